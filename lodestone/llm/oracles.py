@@ -61,4 +61,33 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM squeezed WINDOW same AS (PARTITION BY text)
 """
 
-ORACLES = {"op1_pareto_mix": _OP1, "op2_chunk_recipe_dedup": _OP2}
+_OP10 = r"""
+WITH norm AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS t
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+spots AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM norm, lengths WHERE len(w) >= n)),
+hits AS (SELECT s.doc_id, s.i, s.n, w.item FROM spots s JOIN windows w ON s.n = w.n AND s.t = w.t),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+SELECT norm.doc_id, len(norm.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM norm LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLES = {"op1_pareto_mix": _OP1, "op2_chunk_recipe_dedup": _OP2, "op10_decontaminate": _OP10}
