@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, mixing, pii, simhash, token_counts, url_filter
+from lodestone.llm import decontaminate, exact_dedup, mixing, pii, quality, simhash, token_counts, url_filter
 from lodestone.llm.oracles import ORACLES
 
 
@@ -38,6 +38,11 @@ def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(_table(spark, sf_dir, "pages"), keep=["page_id"])
     return judged.select("page_id", "host", "path", "rule", "verdict")
