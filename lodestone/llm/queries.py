@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, mixing, pii, quality, simhash, token_counts, url_filter
+from lodestone.llm import decontaminate, exact_dedup, html_extract, mixing, pii, quality, simhash, token_counts, url_filter
 from lodestone.llm.oracles import ORACLES
 
 
@@ -61,6 +61,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract_pages(pages, html_extract.learn(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in own}
