@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.durable import durable
+from lodestone.plans.keyed import filter_by_keys
 
 #: Words, before lower-casing: everything but ASCII that is no letter or digit.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -198,7 +199,8 @@ def remove_contaminated(
     ).where("n_hit > 0").select(F.col("key").alias("__hit"), F.col("spans").alias("__spans"))
     on = F.col("__row") == F.col("__hit")
     if mode == "documents":
-        return numbered.join(marked, on, "left_anti").select(*docs.columns)
+        gone = durable(marked.select("__hit"), "gone")
+        return filter_by_keys(numbered, gone, "__row", keep=False).select(*docs.columns)
     hit = lambda i: F.exists("__spans", lambda s: (s["at"] <= i) & (i < s["end"]))
     gaps = F.split(F.col(text_col), WORD, -1)
     parts = F.transform(

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.durable import durable
+from lodestone.plans.keyed import filter_by_keys
 
 #: A chunk ends after punctuation and a space, from MIN_CHARS on, at MAX_CHARS at last.
 MIN_CHARS, MAX_CHARS = 1024, 8192
@@ -137,9 +138,9 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one row of each group of equal texts, columns unchanged."""
     numbered = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    kept = (
+    gone = (
         exact_groups(numbered.select(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("key"), F.col(text_col).alias("text")), "key", "text")
-        .where("kept")
-        .select(F.col("key.row").alias("__kept"))
+        .where("not kept")
+        .select(F.col("key.row").alias("gone"))
     )
-    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
+    return filter_by_keys(numbered, durable(gone, "gone"), "__row", keep=False).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, html_extract, mixing, pii, quality, simhash, token_counts, url_filter
+from lodestone.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, pii, quality, simhash, token_counts, url_filter
 from lodestone.llm.oracles import ORACLES
 
 
@@ -30,6 +30,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, declared=F.col("lang"), host=F.col("source"))
+
+
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -66,9 +71,14 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages, html_extract.learn(pages))
 
 
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op4 with all its evidence: pages declare a language and have an address."""
+    return language_id.identify_pages(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)]
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"language_id_pages": language_id_pages}
 
 
 def oracle_sql() -> dict[str, str]:
