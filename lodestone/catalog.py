@@ -2,10 +2,334 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import classify, literals, text
+from lodestone.functions.gitignore import glob_regex, rule
+from lodestone.operators import chunking, enclosing, inventory, packing, read, rollup, virtual
+from lodestone.streaming import log
+
+_UNITS = "\n"
+_CHUNK_TOKENS = 120
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def lang_rollup(spark, d):
+    return rollup.languages(virtual.summaries(spark, d))
+
+
+def lang_by_count(spark, d):
+    return rollup.languages_by_count(virtual.summaries(spark, d))
+
+
+def manifest_scalars(spark, d):
+    return rollup.manifest(virtual.summaries(spark, d))
+
+
+def skipped_by_reason(spark, d):
+    return rollup.skipped_by_reason(virtual.entries(spark, d))
+
+
+def classify_flags(spark, d):
+    path = F.col("path")
+    return virtual.files(spark, d, f"{virtual.CONTENT} AS content").select(
+        "doc_id", classify.is_test(path).alias("is_test"), classify.is_config(path).alias("is_config"),
+        classify.is_generated(path, F.col("content")).alias("is_generated"), classify.in_skipped_folder(path).alias("in_skipped_folder"),
+    )
+
+
+def detect_language(spark, d):
+    return virtual.files(spark, d, f"{virtual.FIRST_LINE} AS first_line").select(
+        "doc_id", classify.language(F.col("path"), F.col("first_line")).alias("language")
+    )
+
+
+def file_metrics(spark, d):
+    t = F.col("text")
+    loc, blank = text.n_lines(t), text.n_blank(t)
+    return virtual.documents(spark, d).select(
+        "doc_id", text.n_bytes(t).cast("long").alias("bytes"), loc.cast("long").alias("loc"), blank.cast("long").alias("blank"),
+        (loc - blank).cast("long").alias("sloc"), text.tokens(t).cast("long").alias("token_estimate"), text.digest(t).alias("sha256"),
+    )
+
+
+def tree_view(spark, d):
+    return read.tree(virtual.entries(spark, d), "/src1", True)[0].select("path", "size", "analyzed", "skip_reason")
+
+
+def tree_totals(spark, d):
+    return read.tree(virtual.entries(spark, d), "/src1", True)[1]
+
+
+def glob_filter(spark, d):
+    return read.list_files(virtual.files(spark, d), "src[1-4]*/*.py")
+
+
+def _urls(spark, d):
+    return _read(spark, d, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("value"))
+
+
+def url_literals(spark, d):
+    value = F.concat(F.lit("see <"), F.col("value"), F.lit(">, or ("), F.col("value"), F.lit(".);"))
+    return _urls(spark, d).select("page_id", F.explode(literals.urls(value)).alias("url"))
+
+
+def route_literals(spark, d):
+    tail = F.regexp_replace("value", "^https?://[^/]+", "")
+    return _urls(spark, d).select("page_id", literals.route(tail).alias("route")).where("route is not null")
+
+
+def path_literals(spark, d):
+    value = F.concat(F.lit("open ~"), F.regexp_replace("value", "^https?://[^/]+", ""), F.lit(" from "), F.col("value"), F.lit(" or ./a"), F.col("page_id").cast("string"), F.lit("/b.txt"))
+    return _urls(spark, d).select("page_id", F.explode(literals.paths(value)).alias("path"))
+
+
+_STATEMENT = "CASE event_id % 4 WHEN 0 THEN '  select *  from ' || event_type WHEN 1 THEN 'With love from ' || event_type WHEN 2 THEN 'DROP TABLE ' || event_type ELSE 'see ' || event_type END"
+_ENV = "'APP_' || upper(event_type) || ' or DB_' || CAST(user_id % 5 AS STRING) || ' x_Y'"
+_CONTEXT = "CASE event_id % 3 WHEN 0 THEN 'os.GetEnv(' WHEN 1 THEN 'value = process.env[' ELSE 'print(' END"
+
+
+def sql_literals(spark, d):
+    found = _read(spark, d, "events").selectExpr("event_id", f"{_STATEMENT} AS value")
+    return found.select("event_id", literals.sql(F.col("value")).alias("statement")).where("statement is not null")
+
+
+def env_literals(spark, d):
+    found = _read(spark, d, "events").selectExpr("event_id", f"{_ENV} AS value", f"{_CONTEXT} AS context")
+    return found.select("event_id", F.explode(literals.env_names(F.col("value"), F.col("context"))).alias("name"))
+
+
+_SYMBOL_SPANS = ("l_orderkey", "l_linenumber AS symbol_id", "(l_linenumber * 37) % 200 AS start", "(l_linenumber * 37) % 200 + CAST(l_quantity AS INT) * 4 AS end")
+
+
+def enclosing_symbol(spark, d):
+    lines = _read(spark, d, "lineitem")
+    points = lines.selectExpr("l_orderkey", "l_linenumber AS point_id", "CAST(l_partkey % 250 AS INT) AS pos").distinct()
+    return enclosing.enclosing_symbol(points, lines.selectExpr(*_SYMBOL_SPANS), "l_orderkey")
+
+
+def unfetched_entries(spark, d):
+    head = virtual.files(spark, d)
+    seen = head.join(_read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    sizes = head.where("doc_id % 3 <> 0").select("path", "size")
+    return inventory.unfetched(seen, head, sizes)
+
+
+def fetch_failures(spark, d):
+    batch = virtual.files(spark, d).select("path", "size", "doc_id")
+    fetched = batch.join(_read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("path")
+    return inventory.batch_outcome(batch, fetched)[1]
+
+
+def planned_bytes(spark, d):
+    return inventory.planned_bytes(virtual.files(spark, d), 4000)
+
+
+def _symbols(spark, d):
+    return _read(spark, d, "part").selectExpr(*virtual.SYMBOLS)
+
+
+def symbols_filtered(spark, d):
+    return read.symbols(_symbols(spark, d), "", "method", "Brand_1")
+
+
+def top_level_symbols(spark, d):
+    dotted = _symbols(spark, d).withColumn("qualified_name", F.when(F.col("symbol_id") % 3 == 0, F.concat("qualified_name", F.lit(".m"))).otherwise(F.col("qualified_name")))
+    return rollup.top_level(dotted)
+
+
+def symbols_sorted_top(spark, d):
+    return _symbols(spark, d).orderBy("qualified_name", "file", "symbol_id").limit(50)
+
+
+def artifact_index(spark, d):
+    sized = virtual.files(spark, d).select("path", (F.col("size") * 2).alias("size_bytes"))
+    rollups = sized.agg(F.sum("size_bytes").alias("s")).select(F.explode(F.array(
+        F.struct(F.lit("tree.json").alias("name"), F.col("s").alias("size_bytes")), F.struct(F.lit("log.jsonl").alias("name"), F.lit(0).cast("long").alias("size_bytes")),
+    )).alias("r")).select("r.name", "r.size_bytes")
+    return rollup.artifact_index(sized, rollups, "http://localhost/", "j1")
+
+
+def greedy_chunks(spark, d):
+    units = F.filter(F.split("text", _UNITS), lambda u: u != "")
+    docs = virtual.documents(spark, d).select("doc_id", units.alias("units"))
+    found = chunking.chunk_units(docs, "doc_id", F.col("units"), F.transform("units", text.tokens), _CHUNK_TOKENS)
+    return found.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "tokens")
+
+
+def ffd_bins(spark, d):
+    items = virtual.documents(spark, d).selectExpr("source AS job_id", "doc_id", "n_chars AS size")
+    return packing.first_fit_bins(items, 20_000, item="doc_id")
+
+
+_LINE = "'{\"event\": \"' || event_type || '\", \"id\": ' || CAST(event_id AS STRING) || '}'"
+
+
+def log_tail(spark, d):
+    lines = _read(spark, d, "events").selectExpr("event_id", f"{_LINE} AS line")
+    return log.window_of(lines, "event_id", 5000, 200)
+
+
+def event_counts(spark, d):
+    return _read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_windows(spark, d):
+    return log.event_rates(_read(spark, d, "events").select("ts", "event_type"))
+
+
+def retention_sweep(spark, d):
+    dirs = _read(spark, d, "orders").selectExpr("o_orderkey AS job_id", "CAST(unix_seconds(CAST(o_orderdate AS TIMESTAMP)) AS DOUBLE) AS mtime")
+    active = _read(spark, d, "orders").where("o_orderstatus = 'O'").selectExpr("o_orderkey AS job_id")
+    return read.expired(dirs, active, 900_000_000.0, 30)
+
+
+def jobs_newest(spark, d):
+    table = _read(spark, d, "orders").selectExpr("o_orderkey AS job_id", "o_orderstatus AS state", "o_orderdate AS started_at")
+    return read.jobs(table, "F", 40)
+
+
+def language_names(spark, d):
+    names = spark.createDataFrame(list(classify.DISPLAY_NAMES.items()), "language string, display_name string")
+    found = virtual.summaries(spark, d).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(F.broadcast(names), "language", "left").select("language", F.coalesce("display_name", "language").alias("display_name"), "n")
+
+
+def incremental_reindex(spark, d):
+    docs = virtual.documents(spark, d)
+    now = docs.selectExpr("doc_id", f"{virtual.PATH} AS path", "sha2(text, 256) AS sha256")
+    before = docs.selectExpr(f"{virtual.PATH} AS path", "CASE WHEN doc_id % 4 = 0 THEN sha2(text || '.', 256) ELSE sha2(text, 256) END AS sha256")
+    return inventory.changed_files(now, before).select("doc_id", "path", "sha256")
+
+
+_OWN = (
+    lang_rollup, lang_by_count, manifest_scalars, skipped_by_reason, classify_flags, detect_language, file_metrics, tree_view,
+    tree_totals, glob_filter, url_literals, route_literals, path_literals, sql_literals, env_literals, enclosing_symbol,
+    unfetched_entries, fetch_failures, planned_bytes, symbols_filtered, top_level_symbols, symbols_sorted_top, artifact_index,
+    greedy_chunks, ffd_bins, log_tail, event_counts, event_windows, retention_sweep, jobs_newest, language_names, incremental_reindex,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _OWN}
+
+
+# The SQL. ------------------------------------------------------------------------------------
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_BASE = "regexp_extract(lower(path), '[^/]*$')"
+_EXT = f"CASE WHEN {_BASE} LIKE '%.%' THEN regexp_extract({_BASE}, '[^.]*$') ELSE '' END"
+_DIRS = "string_split(regexp_replace(path, '[^/]*$', ''), '/')"
+
+
+def _map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+_LANG = f"""coalesce(({_map(classify.NAMES)})[{_BASE}], ({_map(classify.EXTENSIONS)})[{_EXT}],
+  CASE WHEN first_line LIKE '#!%' THEN
+    ({_map(classify.INTERPRETERS)})[lower(regexp_extract(regexp_extract(regexp_replace(substr(first_line, 3), '^\\s*(/usr/bin/env )?\\s*', ''), '^\\S*'), '[^/]*$'))]
+  END, '')"""
+_TEST = f"(regexp_matches({_BASE}, '{classify.TEST_NAME}') OR list_has_any(string_split(lower(regexp_replace(path, '[^/]*$', '')), '/'), {list(classify.TEST_FOLDERS)}))"
+_CONFIG = f"({_BASE} IN {_in(classify.CONFIG_NAMES)} OR {_EXT} IN {_in(classify.CONFIG_EXTENSIONS)})"
+_GENERATED = "(" + " OR ".join(f"contains('/' || lower(path) || '/', '{h}')" for h in classify.GENERATED_FOLDERS) + f" OR regexp_matches(substr(content, 1, 2048), '{classify.GENERATED_HEAD}'))"
+_SKIPPED = f"list_has_any({_DIRS}, {list(classify.SKIPPED_FOLDERS)})"
+_VFILES = f"vfiles AS (SELECT doc_id, {virtual.PATH} AS path, n_chars AS size, text, {virtual.FIRST_LINE} AS first_line, {virtual.CONTENT} AS content FROM documents)"
+_LOC = r"(len(string_split_regex(content, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')) - CASE WHEN content = '' OR regexp_matches(content, '[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]$') THEN 1 ELSE 0 END)"
+_SUMMARIES = f"""{_VFILES}, summaries AS (
+  SELECT doc_id, path, {_LANG} AS language, strlen(content) AS bytes, {_LOC} AS loc, {_TEST} AS is_test, {_CONFIG} AS is_config,
+         {_GENERATED} AS is_generated FROM vfiles)"""
+
+
+def _ignored(lines) -> str:
+    out = "false"
+    for found in filter(None, map(rule, lines)):
+        out = f"CASE WHEN regexp_matches(path, '{found[0]}') THEN {str(found[1]).lower()} ELSE {out} END"
+    return out
+
+
+_ENTRIES = f"""{_VFILES}, entries AS (
+  SELECT path, size, skip_reason = '' AS analyzed, skip_reason FROM (
+    SELECT path, size, CASE WHEN {_ignored(virtual.IGNORE)} THEN 'gitignore' WHEN {_ignored(virtual.EXTRA)} THEN 'extra_ignore'
+      WHEN size > 4000 THEN 'oversize' WHEN {_EXT} IN {_in(classify.BINARY_EXTENSIONS)} THEN 'binary' ELSE '' END AS skip_reason
+    FROM vfiles WHERE NOT {_SKIPPED}))"""
+_PART = f"symbols AS (SELECT {', '.join(virtual.SYMBOLS)} FROM part)"
+_HEADS = "|".join(literals.SQL_HEADS)
+_TAIL = r"regexp_replace(coalesce(url, ''), '^https?://[^/]+', '')"
+
+_SQL = {
+    "lang_rollup": f"WITH {_SUMMARIES} SELECT CASE WHEN language = '' THEN 'unknown' ELSE language END AS language, count(*) AS file_count, sum(bytes)::BIGINT AS bytes, sum(loc)::BIGINT AS loc FROM summaries GROUP BY 1",
+    "lang_by_count": f"WITH {_SUMMARIES} SELECT language, count(*) AS file_count FROM summaries GROUP BY 1",
+    "manifest_scalars": f"""WITH {_SUMMARIES} SELECT count(*) AS file_count, sum(bytes)::BIGINT AS total_bytes, count(*) FILTER (language = '') AS parse_errors_count,
+      count(*) FILTER (is_test) AS test_file_count, count(*) FILTER (is_config) AS config_file_count, count(*) FILTER (is_generated) AS generated_file_count FROM summaries""",
+    "skipped_by_reason": f"WITH {_ENTRIES} SELECT skip_reason, count(*) AS n FROM entries WHERE NOT analyzed GROUP BY 1",
+    "classify_flags": f"WITH {_VFILES} SELECT doc_id, {_TEST} AS is_test, {_CONFIG} AS is_config, {_GENERATED} AS is_generated, {_SKIPPED} AS in_skipped_folder FROM vfiles",
+    "detect_language": f"WITH {_VFILES} SELECT doc_id, {_LANG} AS language FROM vfiles",
+    "file_metrics": f"""WITH t AS (SELECT doc_id, text AS content FROM documents),
+      u AS (SELECT *, {_LOC} AS loc, len(list_filter(string_split_regex(content, '\\n'), lambda x: regexp_matches(x, '^\\s*$')))
+        - CASE WHEN content = '' OR content LIKE '%\n' THEN 1 ELSE 0 END AS blank FROM t)
+      SELECT doc_id, strlen(content) AS bytes, loc, blank, loc - blank AS sloc, greatest(1, (strlen(content) + 3) // 4) AS token_estimate, sha256(content) AS sha256 FROM u""",
+    "tree_view": f"WITH {_ENTRIES} SELECT path, size, analyzed, skip_reason FROM entries WHERE analyzed AND starts_with(path, 'src1')",
+    "tree_totals": f"""WITH {_ENTRIES} SELECT count(*) FILTER (analyzed AND starts_with(path, 'src1')) AS returned,
+      coalesce(sum(size) FILTER (analyzed AND starts_with(path, 'src1')), 0)::BIGINT AS returned_bytes, count(*) AS total, sum(size)::BIGINT AS total_bytes FROM entries""",
+    "glob_filter": f"WITH {_VFILES} SELECT path FROM vfiles WHERE regexp_matches(path, '{glob_regex('src[1-4]*/*.py')}')",
+    "url_literals": r"""WITH v AS (SELECT page_id, 'see <' || coalesce(url, '') || '>, or (' || coalesce(url, '') || '.);' AS value FROM pages)
+      SELECT DISTINCT page_id, rtrim(u, '.,;:!?)]}''"') AS url FROM (SELECT page_id, unnest(regexp_extract_all(value, '\b(?:https?|wss?|grpc|postgres|mysql|redis|s3|file)://[^\s''"<>`]+')) AS u FROM v)""",
+    "route_literals": rf"""WITH v AS (SELECT page_id, trim({_TAIL}) AS route FROM pages)
+      SELECT page_id, route FROM v WHERE regexp_matches(route, '^/[A-Za-z0-9_\-./{{}}<>:*?]+$') AND contains(substr(route, 2), '/')""",
+    "path_literals": rf"""WITH v AS (SELECT page_id, ' open ~' || {_TAIL} || ' from ' || CASE WHEN regexp_matches(coalesce(url, ''), '^https?://') THEN '' ELSE coalesce(url, '') END
+        || ' or ./a' || page_id::VARCHAR || '/b.txt' AS value FROM pages)
+      SELECT DISTINCT page_id, path FROM (SELECT page_id, unnest(regexp_extract_all(value, '[^A-Za-z0-9_/]((?:/|~/|\./|\.\./)[A-Za-z0-9_./\-]+/[A-Za-z0-9_./\-]+)', 1)) AS path FROM v)""",
+    "sql_literals": rf"""WITH v AS (SELECT event_id, {_STATEMENT} AS value FROM events)
+      SELECT event_id, regexp_replace(trim(value), '\s+', ' ', 'g') AS statement FROM v WHERE regexp_matches(ltrim(upper(value)), '^(?:{_HEADS})[ \n]')""",
+    "env_literals": rf"""WITH v AS (SELECT event_id, {_ENV} AS value, {_CONTEXT} AS context FROM events)
+      SELECT DISTINCT event_id, name FROM (SELECT event_id, unnest(regexp_extract_all(value, '\b[A-Z][A-Z0-9_]{{2,}}\b')) AS name FROM v
+        WHERE {' OR '.join(f"contains(lower(context), '{c}')" for c in literals.ENV_CONTEXTS)})""",
+    "enclosing_symbol": """WITH s AS (SELECT l_orderkey, l_linenumber AS symbol_id, (l_linenumber * 37) % 200 AS a, (l_linenumber * 37) % 200 + CAST(l_quantity AS INT) * 4 AS b FROM lineitem),
+      p AS (SELECT DISTINCT l_orderkey, l_linenumber AS point_id, CAST(l_partkey % 250 AS INT) AS pos FROM lineitem)
+      SELECT l_orderkey, point_id, pos, symbol_id FROM (
+        SELECT p.l_orderkey, point_id, pos, symbol_id, row_number() OVER (PARTITION BY p.l_orderkey, point_id, pos ORDER BY a DESC NULLS LAST, b, symbol_id DESC) AS place
+        FROM p LEFT JOIN s ON p.l_orderkey = s.l_orderkey AND a <= pos AND pos < b) WHERE place = 1""",
+    "unfetched_entries": f"""WITH {_VFILES} SELECT path, CASE WHEN doc_id % 3 <> 0 THEN size ELSE -1 END AS size, false AS analyzed, 'oversize' AS skip_reason
+      FROM vfiles v WHERE NOT EXISTS (SELECT 1 FROM labels l JOIN vfiles w USING (doc_id) WHERE w.path = v.path)""",
+    "fetch_failures": f"WITH {_VFILES} SELECT path, size, doc_id FROM vfiles v WHERE NOT EXISTS (SELECT 1 FROM labels l JOIN vfiles w USING (doc_id) WHERE w.path = v.path)",
+    "planned_bytes": "SELECT coalesce(sum(n_chars) FILTER (n_chars > 0 AND n_chars <= 4000), 0)::BIGINT AS planned_bytes FROM documents",
+    "symbols_filtered": f"WITH {_PART} SELECT * FROM symbols WHERE kind = 'method' AND starts_with(file, 'Brand_1')",
+    "top_level_symbols": f"WITH {_PART} SELECT * FROM (SELECT CASE WHEN symbol_id % 3 = 0 THEN qualified_name || '.m' ELSE qualified_name END AS qualified_name, kind, file, symbol_id FROM symbols) WHERE NOT contains(qualified_name, '.') AND kind <> 'module'",
+    "symbols_sorted_top": f"WITH {_PART} SELECT * FROM symbols ORDER BY qualified_name, file, symbol_id LIMIT 50",
+    "artifact_index": f"""WITH {_VFILES}
+      SELECT 'tree.json' AS name, 'rollup' AS kind, (sum(size) * 2)::BIGINT AS size_bytes, 'http://localhost/outputs/j1/tree.json' AS url FROM vfiles
+      UNION ALL SELECT 'log.jsonl', 'log', 0, 'http://localhost/outputs/j1/log.jsonl'
+      UNION ALL SELECT 'analysis_index.json', 'rollup', NULL, 'http://localhost/outputs/j1/analysis_index.json'
+      UNION ALL SELECT 'files/' || path || '.json', 'per_file', size * 2, 'http://localhost/outputs/j1/file/files/' || path || '.json' FROM vfiles""",
+    "greedy_chunks": f"""WITH RECURSIVE units AS (
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ord, greatest(1, (strlen(u) + 3) // 4) AS t
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE u <> ''),
+      fold AS (
+        SELECT doc_id, ord, 0 AS chunk, t::BIGINT AS run FROM units WHERE ord = 1
+        UNION ALL
+        SELECT u.doc_id, u.ord, CASE WHEN f.run + u.t > {_CHUNK_TOKENS} THEN f.chunk + 1 ELSE f.chunk END,
+               CASE WHEN f.run + u.t > {_CHUNK_TOKENS} THEN u.t ELSE f.run + u.t END
+        FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.ord = f.ord + 1)
+      SELECT doc_id, chunk::BIGINT AS chunk, min(ord) AS first, max(ord) AS last, max(run)::BIGINT AS tokens FROM fold GROUP BY doc_id, chunk""",
+    "log_tail": f"""WITH l AS (SELECT event_id, {_LINE} AS line FROM events), o AS (SELECT *, sum(strlen(line) + 1) OVER (ORDER BY event_id)::BIGINT AS next_offset FROM l)
+      SELECT event_id, line, next_offset FROM o WHERE next_offset - strlen(line) - 1 >= 5000 ORDER BY event_id LIMIT 200""",
+    "event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "event_windows": "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "retention_sweep": "SELECT o_orderkey AS job_id, epoch(o_orderdate)::DOUBLE AS mtime FROM orders o WHERE epoch(o_orderdate) <= 900000000.0 - 30 * 86400 AND NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_orderkey = o.o_orderkey AND a.o_orderstatus = 'O')",
+    "jobs_newest": "SELECT o_orderkey AS job_id, o_orderstatus AS state, o_orderdate AS started_at FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 40",
+    "language_names": f"WITH {_SUMMARIES} SELECT language, coalesce(({_map(classify.DISPLAY_NAMES)})[language], language) AS display_name, count(*) AS n FROM summaries GROUP BY 1, 2",
+    "incremental_reindex": f"WITH {_VFILES} SELECT doc_id, path, sha256(text) AS sha256 FROM vfiles v WHERE doc_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM vfiles w WHERE w.path = v.path AND w.doc_id % 4 <> 0 AND w.text = v.text)",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
