@@ -14,7 +14,7 @@ from lodestone.functions import classify, text
 FOLDERS = ("", "src/", "tests/", "dist/", "pkg/core/", "node_modules/", "docs/generated/")
 NAMES = (
     "mod_#.py", "util_#.ts", "main_#.go", "lib_#.rs", "App#.java", "task_#.rb", "core_#.c", "core_#.cpp", "Svc#.cs",
-    "page_#.php", "run_#.sh", "view_#.test.ts", "test_#.py", "Dockerfile", "settings_#.yaml", "latest", "notes_#.md",
+    "page_#.php", "run_#.sh", "view_#.test.ts", "test_#.py", "svc_#/Dockerfile", "settings_#.yaml", "svc_#/latest", "notes_#.md",
     "data_#.xyz", "image_#.png", "script_#",
 )
 
