@@ -170,12 +170,11 @@ def host_priors(guesses: DataFrame, languages: Sequence[str]) -> DataFrame:
     )
 
 
-def identify(
-    docs: DataFrame, *, text: Column | None = None, declared: Column | None = None, host: Column | None = None,
-    suffix: Column | None = None, keep: Sequence[str] = ("doc_id",), languages: Sequence[str] = LANGUAGES,
+def _judged(
+    docs: DataFrame, text: Column, declared: Column | None, host: Column | None, suffix: Column | None,
+    keep: Sequence[str], languages: Sequence[str],
 ) -> DataFrame:
-    """``keep``'s columns, ``language, confidence, by_text, declared, accepted`` per row of ``docs``."""
-    text = F.col("text") if text is None else text
+    """``kept`` (a struct of ``keep``'s columns) and the judgement per row of ``docs``."""
     none = F.lit(None).cast("string")
     declared, host, suffix = (none if x is None else x for x in (declared, host, suffix))
     known = F.when(F.lower(declared).isin(*languages), F.lower(declared))
@@ -220,11 +219,25 @@ def identify(
         F.when(some, F.get(names, best(F.col("__ll")))).otherwise(F.lit(UNKNOWN)).alias("by_text"),
     )
     return judged.select(
-        "kept.*", "language", "confidence", "by_text", F.col("declared").alias("declared_language"),
+        "kept", "language", "confidence", "by_text", F.col("declared").alias("declared_language"),
         ((F.col("language") != UNKNOWN) & (F.col("confidence") >= ACCEPT)).alias("accepted"),
     )
 
 
+def identify(
+    docs: DataFrame, *, text: Column | None = None, declared: Column | None = None, host: Column | None = None,
+    suffix: Column | None = None, keep: Sequence[str] = ("doc_id",), languages: Sequence[str] = LANGUAGES,
+) -> DataFrame:
+    """``keep``'s columns, ``language, confidence, by_text, declared_language, accepted`` per row of ``docs``.
+
+    A kept column with the name of one of these is left out.
+    """
+    own = ("language", "confidence", "by_text", "declared_language", "accepted")
+    keep = [c for c in keep if c.lower() not in own]
+    judged = _judged(docs, F.col("text") if text is None else text, declared, host, suffix, keep, languages)
+    return judged.select("kept.*", *own)
+
+
 def identify_pages(pages: DataFrame, languages: Sequence[str] = LANGUAGES, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """``identify`` for raw web pages: declared by ``<html lang>``, host and suffix from the url."""
     page = F.coalesce(F.col("html"), F.lit(""))
@@ -238,5 +251,5 @@ def identify_pages(pages: DataFrame, languages: Sequence[str] = LANGUAGES, keep:
 
 def keep_identified(docs: DataFrame, declared_col: str = "lang", host_col: str = "source") -> DataFrame:
     """``docs`` without rows that no known language explains; columns unchanged."""
-    judged = identify(docs, declared=F.col(declared_col), host=F.col(host_col), keep=docs.columns)
-    return judged.where("accepted").select(*docs.columns)
+    judged = _judged(docs, F.col("text"), F.col(declared_col), F.col(host_col), None, docs.columns, LANGUAGES)
+    return judged.where("accepted").select("kept.*")

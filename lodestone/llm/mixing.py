@@ -6,8 +6,8 @@ given). The whole part of that number is certain; the fraction is the probabilit
 ``p`` with which the document wins one more copy. Winners are drawn by Pareto order
 sampling: with ``u`` uniform, documents are ranked by ``(u / (1 - u)) / (p / (1 - p))``
 and the head of the ranking is taken until the source's words are used up. The
-document at the cut would mostly overshoot, so the one that is left out and fits the
-rest best is taken in its place.
+document at the cut would mostly overshoot, so up to ``FILLS`` that are left out and fit
+the rest best are taken in its place.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in
 order; a source without words has target 0; documents of equal ``u`` (repeated ids)
@@ -28,6 +28,8 @@ from lodestone.plans.ordered import global_rank
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of the ranking of one source; only one slice per source is sorted.
 SLICES = 4096
+#: Documents that fill up what the cut leaves of a source's target.
+FILLS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -91,10 +93,6 @@ def source_targets(
     )
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
-
-
 def _with_odds(sized: DataFrame, targets: DataFrame, max_repeat: int) -> DataFrame:
     """Adds ``whole`` (certain copies) and ``q`` (place in the ranking; null: no more copy)."""
     t = targets.select(
@@ -158,22 +156,34 @@ def draw(sized: DataFrame, targets: DataFrame, max_repeat: int = 3) -> DataFrame
     p = params.select(F.col("source").alias("s3"), "rest", "cut")
     at = lottery.join(p, F.col("source").eqNullSafe(F.col("s3"))).withColumn("me", F.struct("q", "id"))
     inside_cut = F.col("cut").isNull() | (F.col("me") < F.col("cut"))
-    gap = (
+    none = F.array().cast(f"array<struct<q:double,id:{sized.schema['id'].dataType.simpleString()}>>")
+    state = durable(
         at.groupBy(F.col("s3").alias("s4"))
         .agg((F.max("rest") - F.sum(F.when(inside_cut, F.col("size")).otherwise(0))).alias("gap"))
-    )
-    off = F.abs(F.col("size") - F.col("gap"))
-    fill = (
-        at.where(~inside_cut)
-        .join(gap, F.col("source").eqNullSafe(F.col("s4")))
-        .where(off < F.col("gap"))
-        .groupBy(F.col("s4").alias("s5"))
-        .agg(F.min(F.struct(off.alias("off"), F.col("me"))).alias("best"))
-        .select("s5", F.col("best.me").alias("fill"))
-    )
+        .withColumn("fills", none),
+        "gaps",
+    )
+    for last in [False] * (FILLS - 1) + [True]:
+        # The largest document that fits; in the end the one that comes nearest either way.
+        off = F.abs(F.col("size") - F.col("gap"))
+        best = (
+            at.where(~inside_cut & (F.col("size") > 0))
+            .join(state, F.col("source").eqNullSafe(F.col("s4")))
+            .where(~F.array_contains("fills", F.col("me")) & ((off < F.col("gap")) if last else (F.col("size") <= F.col("gap"))))
+            .groupBy(F.col("s4").alias("s5"))
+            .agg(F.min(F.struct(off.alias("off"), F.col("me"), F.col("size"))).alias("best"))
+        )
+        state = durable(
+            state.join(best, F.col("s4").eqNullSafe(F.col("s5")), "left").select(
+                "s4",
+                (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
+                F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.concat("fills", F.array("best.me"))).alias("fills"),
+            ),
+            "gaps",
+        )
     return (
-        params.join(fill, F.col("source").eqNullSafe(F.col("s5")), "left")
-        .select("source", "source_size", "target", "cut", "fill")
+        params.join(state, F.col("source").eqNullSafe(F.col("s4")), "left")
+        .select("source", "source_size", "target", "cut", "fills")
     )
 
 
@@ -181,12 +191,12 @@ def take(sized: DataFrame, drawn: DataFrame, max_repeat: int = 3) -> DataFrame:
     """``sized`` with ``source_size, target, copies``; the draw's table is one row per source."""
     me = F.struct("q", "id")
     won = F.col("q").isNotNull() & (
-        F.col("cut").isNull() | (me < F.col("cut")) | F.coalesce(me == F.col("fill"), F.lit(False))
+        F.col("cut").isNull() | (me < F.col("cut")) | F.coalesce(F.array_contains("fills", me), F.lit(False))
     )
     return (
         _with_odds(sized, drawn, max_repeat)
         .withColumn("copies", F.col("whole") + won.cast("long"))
-        .drop("cut", "fill", "q", "whole")
+        .drop("cut", "fills", "q", "whole")
     )
 
 
@@ -211,11 +221,15 @@ def mix_sources(
     weights: Sequence[int] = (5, 2, 1), share: float = 1.0, max_repeat: int = 3,
     weight_col: str | None = None, seed: str = "mix-1", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``id, size, source_size, target, copies, taken`` per document, and ``keep``'s columns.
+    """``id, size, source_size, target, copies, taken`` per document, or these with ``keep``'s columns.
+
+    A kept column with the name of one of these is left out.
 
     ``weight_col``: relative odds of a document inside its source (mean 1 by words).
     Texts are read once for their sizes; what is drawn from is ids and numbers.
     """
+    columns = ["size", "source_size", "target", "copies", "taken"]
+    keep = [c for c in keep if c.lower() not in columns]
     sized = durable(
         sized_documents(docs, id_col, source_col, text_col, weight_col, seed).drop("kept"), "sizes"
     )
@@ -237,5 +251,4 @@ def mix_sources(
     else:
         full = sized
     out = take(full, drawn, max_repeat).withColumn("taken", F.col("copies") * F.col("size"))
-    columns = ["size", "source_size", "target", "copies", "taken"]
     return out.select("kept.*", *columns) if keep else out.select(F.col("id").alias(id_col), *columns)

@@ -39,20 +39,39 @@ lottery AS (
   SELECT o.doc_id, o.source, o.q, o.size, c.rest,
          sum(o.size) OVER (PARTITION BY o.source ORDER BY o.q, o.doc_id ROWS UNBOUNDED PRECEDING) AS run
   FROM odds o JOIN certain c ON o.source IS NOT DISTINCT FROM c.source WHERE o.q IS NOT NULL),
-gaps AS (
+gaps0 AS (
   SELECT source, max(rest) - sum(CASE WHEN run <= rest THEN size ELSE 0 END) AS gap FROM lottery GROUP BY source),
-fill AS (
-  SELECT l.source, l.doc_id, l.q,
-         row_number() OVER (PARTITION BY l.source ORDER BY abs(l.size - g.gap), l.q, l.doc_id) AS place
-  FROM lottery l JOIN gaps g ON l.source IS NOT DISTINCT FROM g.source
-  WHERE l.run > l.rest AND abs(l.size - g.gap) < g.gap)
+FILLING
+filled AS (ALL_FILLS)
 SELECT o.doc_id, o.size, o.source_size, o.target,
-       (o.whole + CASE WHEN l.run <= l.rest OR f.doc_id IS NOT NULL THEN 1 ELSE 0 END) * o.size AS taken
+       (o.whole + CASE WHEN l.run <= l.rest OR f.source_size IS NOT NULL THEN 1 ELSE 0 END) * o.size AS taken
 FROM odds o
 LEFT JOIN lottery l ON o.doc_id = l.doc_id
-LEFT JOIN fill f ON o.doc_id = f.doc_id AND f.place = 1
+LEFT JOIN filled f ON o.doc_id = f.doc_id
 """
 
+
+def _fillings(rounds: int = 4) -> str:
+    """One step per document that fills up a source: the best of those left, and what is then open."""
+    steps = ""
+    for k in range(rounds):
+        fits = "abs(l.size - g.gap) < g.gap" if k + 1 == rounds else "l.size <= g.gap"
+        others = "".join(f" AND l.doc_id NOT IN (SELECT doc_id FROM fill{j})" for j in range(k))
+        steps += f"""fill{k} AS (
+  SELECT source, doc_id, size, true AS source_size FROM (
+    SELECT l.*, row_number() OVER (PARTITION BY l.source ORDER BY abs(l.size - g.gap), l.q, l.doc_id) AS place
+    FROM lottery l JOIN gaps{k} g ON l.source IS NOT DISTINCT FROM g.source
+    WHERE l.run > l.rest AND l.size > 0 AND {fits}{others}) WHERE place = 1),
+gaps{k + 1} AS (
+  SELECT g.source, g.gap - coalesce(f.size, 0) AS gap FROM gaps{k} g LEFT JOIN fill{k} f ON g.source IS NOT DISTINCT FROM f.source),
+"""
+    return steps
+
+
+_OP1 = _OP1.replace("FILLING\n", _fillings()).replace(
+    "ALL_FILLS", " UNION ALL ".join(f"SELECT doc_id, source_size FROM fill{k}" for k in range(4))
+)
+
 _OP2 = r"""
 WITH squeezed AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
