@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_held: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("held", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +36,37 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str = "step") -> DataFrame:
+def durable(df: DataFrame, label: str = "step", keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The result has no lineage to its inputs, so a lost executor costs a file read
     and not a recomputation, non-deterministic columns are fixed, and Catalyst
-    knows its real size.
+    knows its real size. ``keep``: the table outlives ``temporary_tables``.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    if (held := _held.get()) is not None and not keep:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``durable`` writes inside of the block, except those to be kept.
+
+    What the block hands out must be kept tables or not depend on the others.
+    """
+    held: list[str] = []
+    token = _held.set(held)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        for path in held:
+            delete(spark, path)

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, enclosing, inventory, packing, read, rollup
-from lodestone.plans.keyed import filter_by_keys
+from lodestone.plans.durable import durable, temporary_tables
+from lodestone.plans.keyed import content_key, drop_rows, filter_by_keys
 from lodestone.plans.ordered import global_rank, running_total
 from lodestone.sources.tree import read_tree
 from lodestone.streaming import log
@@ -149,3 +150,23 @@ def test_key_filter_either_way(spark):
     for limit in (0, 1000):
         assert filter_by_keys(rows, keys, "n", True, limit).count() == 34
         assert filter_by_keys(rows, keys, "n", False, limit).count() == 66
+
+
+def test_rows_are_dropped_by_content(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "b"), (3, None)], "id int, t string")
+    key = content_key(F.col("id"), F.col("t"))
+    listed = rows.select("id", "t", key.alias("k"))
+    gone = listed.where("id = 2").select("k.*")
+    repeated = listed.where("id = 1").select("k.*").distinct()
+    for limit in (0, 1000):
+        got = sorted([tuple(r) for r in drop_rows(rows, key, gone, repeated, limit).collect()], key=repr)
+        assert got == sorted([(1, "a"), (None, "b"), (3, None)], key=repr)
+
+
+def test_temporary_tables_go(spark):
+    with temporary_tables(spark):
+        lost, kept = durable(spark.range(3)), durable(spark.range(4), keep=True)
+        assert lost.count() == 3
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="FILE|exist"):
+        lost.count()
