@@ -8,8 +8,9 @@ smoothed with its suffix's, these with the shares over all documents.
 
 The posterior adds the logarithms: text (pairs of a text don't come independently, so more
 than ``TEXT_PAIRS`` count as so many), the declaration, right with probability ``TRUST``,
-and the prior. ``und`` is the language of texts that none of the known ones explains: all
-byte pairs are alike likely. A document is accepted where a known language is the likeliest,
+and the prior. ``und`` is the language of texts that none of the known ones explains: whatever
+the pair, it is ``UNUSUAL`` less likely (in logarithms) than pairs are on average in the
+language with the most even ones. A document is accepted where a known language is the likeliest,
 its probability is ``ACCEPT`` or more, and the text has letters to tell by.
 
 Defined cases: null text is the empty text, which is ``und`` and not accepted; unknown or
@@ -35,7 +36,7 @@ TEXT_PAIRS, TRUST, ACCEPT = 60, 0.9, 0.5
 HOST_STRENGTH, SUFFIX_STRENGTH = 20.0, 100.0
 UNKNOWN = "und"
 #: Prior of ``und``, and the share of the uniform distribution in every language's table.
-UNKNOWN_PRIOR, FLOOR = 0.02, 0.001
+UNKNOWN_PRIOR, FLOOR, UNUSUAL = 0.02, 0.001, 2.0
 #: Hosts whose priors are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
 BLOCK_CHARS = 2_000_000
@@ -111,7 +112,8 @@ def train(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", l
     total = table.sum(axis=1, keepdims=True)
     share = np.divide(table, total, out=np.full_like(table, 1 / _PAIRS), where=total > 0)
     share = (1 - FLOOR) * share + FLOOR / _PAIRS
-    return np.log(np.vstack([share, np.full((1, _PAIRS), 1 / _PAIRS)])).astype(np.float32)
+    usual = (share * np.log(share)).sum(axis=1)
+    return np.vstack([np.log(share), np.full((1, _PAIRS), usual.min() - UNUSUAL)]).astype(np.float32)
 
 
 def score_texts(model: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

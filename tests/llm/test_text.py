@@ -1,0 +1,319 @@
+"""Personal data, decontamination, quality, extraction, urls, languages: against plain Python."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import decontaminate, html_extract, language_id, oracles, pii, quality, queries, url_filter
+
+from .conftest import documents
+
+# Personal data. -------------------------------------------------------------------------------
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + k % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out, text = [], text or ""
+    only = lambda m: re.sub("[^0-9]", "", m.group())
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, "email", m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 14 <= len(only(m)) <= 19 and luhn(only(m)):
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(only(m)) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+TRICKY = [
+    "a@b.c_d@e.f x", "1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.0004", "+1 (555) 123-4567 8 9", "4111 1111 1111 1111 4111-1111-1111-1111x12",
+    "..a@b.c@d.e", "a@b a@b. a@b.c", "é4539578763621486é +12345678901234567", "", None, "+1 +22222222222 1.1.1.1.", "x@y.z-",
+    "00000000000001.2.3.4", "mail a@b.co, " * 600, "7" * 5000, "1.1.1.1 \U0001f600 +1 222 333 4444", "256.1.1.1 1.1.1.99999999999999999999",
+]
+
+
+def test_base_spans(spark, odd_rows, data_dir):
+    real = [(r["doc_id"], r["text"], "en", "a") for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
+    rows = [*odd_rows, *real, *((1000 + i, t, "en", "a") for i, t in enumerate(TRICKY))]
+    got = pii.personal_data(documents(spark, rows)).select("doc_id", "base").collect()
+    assert sorted([tuple(r) for r in got], key=repr) == sorted([(r[0], base_spans(r[1])) for r in rows], key=repr)
+    assert pii.personal_data(documents(spark, [])).count() == 0
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    rows = [(i, f"word number {i} please phone: +1 (555) 01{i % 10}-1{i:03d} thanks end", "en", "a") for i in range(40)]
+    rows += [(100, "intro text phone: 1 (555) 019-7777 thanks tail", "en", "a"), (101, "room 12 (555) and 1 (555) 019-8888 elsewhere", "en", "a")]
+    got = {r["doc_id"]: (r["spans"], r["base"], r["n_added"]) for r in pii.personal_data(documents(spark, rows)).collect()}
+    text = rows[40][1]
+    at = text.index("1 (555)")
+    assert got[100] == (f"phone:{at}:{at + len('1 (555) 019-7777')}", "", 1) or got[100][2] == 0
+    assert got[101][2] == 0 and all(got[i][2] == 0 and got[i][0] == got[i][1] for i in range(40))
+
+
+def test_a_pattern_gives_its_kind(spark):
+    rows = [(i, f"said mail user{i}@x{i}.org today {i % 3}", "en", "a") for i in range(30)]
+    rows += [(200 + i, f"said mail name{i}@host today", "en", "a") for i in range(3)]
+    rows += [(300, "other name9@host elsewhere", "en", "a")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(documents(spark, rows)).collect()}
+    outline_known = any(got[200 + i] for i in range(3))
+    assert got[300] == "" and all(got[i].startswith("email:10:") for i in range(30))
+    assert not outline_known or got[200] == "email:10:20"
+
+
+# Decontamination. -----------------------------------------------------------------------------
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words(text):
+    return re.findall(WORD, re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def brute_hits(rows, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(item))
+    out = []
+    for i, text, *_ in rows:
+        w, hit, found = words(text), set(), set()
+        for n in {len(k) for k in windows}:
+            for at in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[at : at + n])):
+                    hit |= set(range(at, at + n))
+                    found |= own
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((i, len(w), len(hit), len(found), digest))
+    return sorted(out, key=repr)
+
+
+PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+ITEMS = [(1, PASSAGE.upper()), (2, "Short item, here!"), (3, None), (4, "..."), (5, "É é Word"), (10, PASSAGE), (6, "solo")]
+LEAKS = [
+    (500, f"before {PASSAGE} after {PASSAGE}", "en", "a"), (501, " ".join(PASSAGE.split()[:9]), "en", "a"), (502, "a short-item here SHORT ITEM HERE", "en", "a"),
+    (503, " ".join(PASSAGE.split()[:10]) + ". " + PASSAGE, "en", "a"), (504, "é é word É é word", "en", "a"), (505, "solo Solo dolos", "en", "a"),
+]
+
+
+@pytest.mark.parametrize("max_set", [200_000, 0])
+def test_contamination(spark, odd_rows, max_set):
+    rows = [*odd_rows, *LEAKS]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.contamination(documents(spark, rows), items, max_set=max_set)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    got = got.select("doc_id", "n_words", "n_hit", "n_items", digest).collect()
+    assert sorted([tuple(r) for r in got], key=repr) == brute_hits(rows, ITEMS)
+
+
+def test_removal(spark, odd_rows):
+    rows = [*odd_rows, *LEAKS]
+    docs, items = documents(spark, rows), spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = decontaminate.remove_contaminated(docs, items)
+    clean = [r[0] for r in brute_hits(rows, ITEMS) if r[2] == 0]
+    assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(clean, key=repr)
+    cut = decontaminate.remove_contaminated(docs, items, "spans")
+    assert cut.count() == len(rows) and decontaminate.contamination(cut, items).where("n_hit > 0").count() == 0
+    assert {r["doc_id"]: r["text"] for r in cut.collect()}[500] == "before after "
+    none = items.limit(0)
+    assert decontaminate.remove_contaminated(docs, none).count() == len(rows)
+    assert decontaminate.contamination(docs.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_queries_equal_sql(spark, data_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data_dir}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, data_dir).toPandas(), con.execute(oracles.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    key = columns[columns.index("doc_id")]
+    got, want = (x[columns].sort_values(key).reset_index(drop=True) for x in (got, want))
+    for c in columns:
+        same = np.isclose(got[c], want[c]) if got[c].dtype.kind == "f" else (got[c].astype(str) == want[c].astype(str))
+        assert np.all(same), c
+
+
+# Quality. -------------------------------------------------------------------------------------
+
+
+def test_marginals_are_as_by_enumeration():
+    rng = np.random.default_rng(3)
+    counts = np.array([1, 4, 2, 3])
+    odds, pairs = rng.normal(size=counts.sum()), rng.normal(size=(2, 2))
+    got, _, norm = quality.forward_backward(odds, counts, pairs)
+    at, total = 0, 0.0
+    for n in counts:
+        weight = {}
+        for code in range(1 << n):
+            y = [code >> i & 1 for i in range(n)]
+            weight[tuple(y)] = np.exp(sum(odds[at + i] for i in range(n) if y[i]) + sum(pairs[a, b] for a, b in zip(y, y[1:], strict=False)))
+        z = sum(weight.values())
+        for i in range(n):
+            assert got[at + i] == pytest.approx(sum(w for y, w in weight.items() if y[i]) / z)
+        at, total = at + n, total + np.log(z)
+    assert norm == pytest.approx(total)
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op6_line_quality(spark, sf).toPandas()
+    assert all(got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id])
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+    rows = got.merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    rows = rows[rows.held_out]
+    good, bad = rows[rows.quality == 1].score.values, rows[rows.quality == 0].score.values
+    assert (good[:, None] > bad[None, :]).mean() > 0.95 and (rows.predicted == rows.quality).mean() > 0.93
+
+
+def test_quality_of_odd_rows(spark, odd_rows):
+    docs = documents(spark, odd_rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    field = quality.train(docs, labels)
+    got = quality.quality_scores(docs, field).collect()
+    assert len(got) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in got)
+    none = quality.train(docs, labels.limit(0))
+    assert {r["score"] for r in quality.quality_scores(docs, none).collect()} == {0.5}
+    assert quality.quality_scores(docs.limit(0), field).count() == 0
+
+
+# Pages. ---------------------------------------------------------------------------------------
+
+
+def page(body):
+    return f"<html><head><title>T</title></head><body>{body}</body></html>"
+
+
+WEIGHTS = html_extract.Weights(html_extract.label_counts(page("<ul><li><a>x</a></li></ul><article><h1>a b</h1><p>c d e</p><p>f <b>g</b></p></article>")))
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<nav><a>Menu</a></nav><article><h1>Head</h1><p>One  two<br>three &amp; four</p><p>Fi<b>ve</b></p></article><footer>Foot words</footer>", "Head\nOne two three & four\nFive"),
+        ("<div class='sidebar x'>side words here</div><main><p>Main words</p><div id=comments><p>I say words</p></div></main>", "Main words"),
+        ("<article><p>Text here<script>var x='</p>';</script> now<!-- no --></p><form><p>mail</p></form><aside>ad</aside></article>", "Text here now"),
+        ("<div><p>Some plain words without an article at all, but many of them</p></div><ul><li><a>x</a></li></ul>", "Some plain words without an article at all, but many of them"),
+        ("<article><p>unclosed <b>bold<p>next &lt;x&gt; 1 < 2</article>", "unclosed bold\nnext <x> 1 < 2"),
+        ("<div class=cookie-notice>We use cookies</div>", ""),
+    ],
+)
+def test_extraction(body, text):
+    assert html_extract.extract(page(body), WEIGHTS) == text
+
+
+def test_best_run_is_the_best():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        scores = rng.integers(-4, 5, rng.integers(0, 12)).astype(float).tolist()
+        low, high = html_extract.best_run(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        assert sum(scores[low:high]) == max(best, 0)
+
+
+def test_extraction_of_odd_pages(spark, data_dir):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "no tags at all"), (3, "u", "no tags at all"), (4, "u", "<" * 5000), (5, "u", "<p>" + "word " * 50_000), (6, "u", "<a href=\"x" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    learnt = html_extract.learn(pages)
+    got = html_extract.extract_pages(pages, learnt).collect()
+    assert len(got) == 7 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert {r["page_id"]: r["text"] for r in got}[3] == "no tags at all"
+    assert html_extract.extract_pages(pages.limit(0), learnt).count() == 0
+    real = spark.read.parquet(f"{data_dir}/pages.parquet")
+    texts = html_extract.extract_pages(real, html_extract.learn(real)).join(real.drop("url"), "page_id").collect()
+    import html
+
+    for r in texts:
+        inner = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
+        assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+def brute_rule(host, path):
+    rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+    fits = [r for r in rules if (host == (h := r.split("/")[0]) or host.endswith("." + h)) and path.startswith(r[len(h) :])]
+    return max(fits, key=len, default=None), rules
+
+
+def test_rules_and_parts(spark, data_dir):
+    urls = [
+        None, "", "no scheme", "HTTP://WWW.Example.COM/en/a?b#c", "x://a.b", "x://a.net/es/", "x://net/fr/1", "x://xnet/fr/1", "x://notexample.com/en/", "x://h.com?x=/en/",
+        "a://b.com/c://d/e", "x://é.com/ü/1\n2", "x://a.org/" + "s/" * 3000,
+    ]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(1, "")]
+    rows += [(100 + r["page_id"], r["url"]) for r in spark.read.parquet(f"{data_dir}/pages.parquet").collect()]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.judge(pages, keep=["page_id"]).collect()
+    assert len(got) == len(rows)
+    known = dict(rows)
+    for r in got:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", known[r["page_id"]] or "")
+        host, path = (re.sub("[A-Z]", lambda c: c.group().lower(), m[1]), m[2]) if m else ("", "")
+        rule, rules = brute_rule(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (rules[rule] if rule else r["verdict"]) and r["verdict"] in ("allow", "block")
+    assert url_filter.judge(pages.limit(0), keep=["page_id"]).count() == 0
+
+
+def test_templates_generalise_and_reject(spark):
+    rules = (("block", "bad.org/ads/"), ("allow", "bad.org/blog/"))
+    rows = [(i, f"http://bad.org/{'ads' if i % 2 else 'blog'}/item{i}") for i in range(400)]
+    rows += [(1000 + i, f"http://names.org/u/{chr(97 + i % 26)}{chr(97 + i // 26)}x/profile") for i in range(300)]
+    rows += [(2000, "http://bad.org/ads/"), (2001, "http://bad.org/other/5")]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules, keep=["page_id"]).collect()}
+    assert got[1]["template"] == "/ads/*" and got[1]["purity"] > 0.9 and got[0]["template"] == "/blog/*" and got[0]["purity"] < 0.1
+    assert {got[1000 + i]["template"] for i in range(300)} == {"/u/*/profile"}
+    assert got[2001]["verdict"] == "allow" and got[2000]["rule"] == "bad.org/ads/"
+
+
+# Languages. -----------------------------------------------------------------------------------
+
+
+def test_languages(spark, data_dir):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, F.lit("fr")).otherwise(F.col("lang")))
+    got = language_id.identify(wrong, declared=F.col("lang"), host=F.col("source")).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got.language == got.lang).mean() > 0.97 and got.accepted.mean() > 0.99
+    other = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.lit("жщы юяэ фыва пролд " * 20)).when(F.col("doc_id") == 4, F.lit("12 34 !!")).otherwise(F.col("text")))
+    kept = {r["doc_id"] for r in language_id.keep_identified(other).collect()}
+    assert 3 not in kept and 4 not in kept and len(kept) >= docs.count() - 3
+
+
+def test_priors_are_smoothed(spark):
+    guesses = spark.createDataFrame([("h1", "de", [90, 0]), ("h2", "de", [0, 1]), (None, "de", [0, 0]), ("h3", None, [1, 1])], "host string, suffix string, c array<long>")
+    got = {r["host"]: r["prior"] for r in language_id.host_priors(guesses, ["a", "b"]).collect()}
+    base = 92 / 95
+    suffix = (90 + 100 * base) / 191
+    assert got["h1"][0] == pytest.approx((90 + 20 * suffix) / 110) and got["h2"][0] == pytest.approx(20 * suffix / 21)
+    assert got[None][0] == pytest.approx(suffix)
+
+
+def test_languages_of_odd_rows(spark, odd_rows):
+    docs = documents(spark, odd_rows)
+    got = language_id.identify(docs, declared=F.col("lang"), host=F.col("source"), keep=docs.columns)
+    assert got.count() == len(odd_rows) and got.columns.count("language") == 1
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and not {3, 4, 5} & {r["doc_id"] for r in kept.collect()}
+    assert language_id.keep_identified(docs.limit(0)).count() == 0
+
+
+def test_languages_of_pages(spark, data_dir):
+    got = queries.language_id_pages(spark, data_dir).toPandas()
+    assert (got.language == got.declared_language).mean() > 0.9
