@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import classify, literals, text
 from lodestone.functions.gitignore import glob_regex, rule
-from lodestone.operators import chunking, enclosing, inventory, packing, read, rollup, virtual
+from lodestone.operators import chunking, enclosing, inventory, packing, read, rollup, symbols, virtual
 from lodestone.streaming import log
 
 _UNITS = "\n"
@@ -206,7 +206,18 @@ def incremental_reindex(spark, d):
     return inventory.changed_files(now, before).select("doc_id", "path", "sha256")
 
 
+def code_symbols(spark, d):
+    found = symbols.symbols(symbols.declarations(virtual.sources(spark, d)))
+    return found.groupBy("path", "kind", "qualified_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def code_references(spark, d):
+    found = symbols.references(symbols.declarations(virtual.sources(spark, d)))
+    return found.groupBy("path", "kind", "qualifier", "in_symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
 _OWN = (
+    code_symbols, code_references,
     lang_rollup, lang_by_count, manifest_scalars, skipped_by_reason, classify_flags, detect_language, file_metrics, tree_view,
     tree_totals, glob_filter, url_literals, route_literals, path_literals, sql_literals, env_literals, enclosing_symbol,
     unfetched_entries, fetch_failures, planned_bytes, symbols_filtered, top_level_symbols, symbols_sorted_top, artifact_index,
@@ -331,5 +342,15 @@ _SQL = {
 }
 
 
+_CODE = f"""code AS (SELECT {virtual.SOURCE_PATH} AS path, doc_id % 3 AS k, doc_id % 5 + 1 AS n, doc_id::VARCHAR AS id FROM documents)"""
+_SQL["code_symbols"] = f"""WITH {_CODE}
+  SELECT path, 'class' AS kind, CASE k WHEN 0 THEN '' ELSE 'a.b.' END || 'D' || id AS qualified_name, 1 AS n FROM code WHERE k <> 1
+  UNION ALL SELECT path, 'module', 'p' || id, 1 FROM code WHERE k = 1
+  UNION ALL SELECT path, CASE k WHEN 1 THEN 'function' ELSE 'method' END, CASE k WHEN 0 THEN 'D' || id || '.go' WHEN 1 THEN 'p' || id || '.Go' ELSE 'a.b.D' || id || '.go' END, n FROM code"""
+_SQL["code_references"] = f"""WITH {_CODE}
+  SELECT path, 'inherit' AS kind, 'Base' AS qualifier, CASE k WHEN 0 THEN '' ELSE 'a.b.' END || 'D' || id AS in_symbol, 1 AS n FROM code WHERE k <> 1
+  UNION ALL SELECT path, 'call', 'use', CASE k WHEN 0 THEN 'D' || id || '.go' WHEN 1 THEN 'p' || id || '.Go' ELSE 'a.b.D' || id || '.go' END, n FROM code"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

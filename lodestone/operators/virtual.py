@@ -65,3 +65,19 @@ SYMBOLS = (
     "replace(p_brand, '#', '_') || '/' || p_type AS file",
     "p_partkey AS symbol_id",
 )
+
+
+#: A small source file per document: one class or package with as many functions as its id says.
+_TIMES = "CAST(doc_id % 5 + 1 AS INT)"
+SOURCE_PATH = "CASE doc_id % 3 WHEN 0 THEN 'd' || CAST(doc_id AS STRING) || '.py' WHEN 1 THEN 'd' || CAST(doc_id AS STRING) || '.go' ELSE 'D' || CAST(doc_id AS STRING) || '.java' END"
+SOURCE = f"""CASE doc_id % 3
+  WHEN 0 THEN 'import os' || chr(10) || 'class D' || CAST(doc_id AS STRING) || '(Base):' || chr(10)
+    || repeat('    def go(self):' || chr(10) || '        return use(1)' || chr(10), {_TIMES})
+  WHEN 1 THEN 'package p' || CAST(doc_id AS STRING) || chr(10) || repeat('func Go() {{ use(1) }}' || chr(10), {_TIMES})
+  ELSE 'package a.b;' || chr(10) || 'class D' || CAST(doc_id AS STRING) || ' extends Base {{' || chr(10)
+    || repeat('  int go(int n) {{ return use(n); }} // use(' || chr(10), {_TIMES}) || '}}' || chr(10) END"""
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = documents(spark, sf_dir).selectExpr(f"{SOURCE_PATH} AS path", f"{SOURCE} AS text")
+    return base.withColumn("language", classify.language(F.col("path")))
