@@ -21,8 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.durable import durable
-from lodestone.plans.keyed import filter_by_keys
+from lodestone.plans.durable import durable, temporary_tables
+from lodestone.plans.keyed import content_key, drop_rows
 
 #: Words, before lower-casing: everything but ASCII that is no letter or digit.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -116,9 +116,7 @@ def find_hits(
         listed = scanned.select("row", "id", F.size("w").cast("long").alias("n_words"))
         cuts = None
         for k in kinds:
-            asked = scanned.select(
-                "row", F.explode(F.transform("h", lambda _, i, k=k: F.struct(i.alias("at"), _anchor(F.col("h"), i, k).alias("anchor")))).alias("x")
-            ).select("row", "x.at", "x.anchor")
+            asked = scanned.select("row", F.explode(F.transform("h", _keys_at(k))).alias("x")).select("row", "x.at", "x.anchor")
             met = asked.join(table.where(F.col("k") == k).select("anchor").distinct(), "anchor", "left_semi").select("row", "at")
             cuts = met if cuts is None else cuts.unionByName(met)
         cuts = (
@@ -149,6 +147,10 @@ def _hits_at(sets: dict[int, list[int]]):
     return test
 
 
+def _keys_at(k: int):
+    return lambda _, i: F.struct(i.alias("at"), _anchor(F.col("h"), i, k).alias("anchor"))
+
+
 def _covered(spans: Column) -> Column:
     """The number of words inside of one or more of the spans ``(at, end)``."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
@@ -192,15 +194,19 @@ def remove_contaminated(
     """``docs`` without the documents that hold a window, or (``mode="spans"``) without the words hit."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
+    if mode == "documents":
+        key = content_key(F.col(text_col))  # what a text holds is the same in all its copies
+        with temporary_tables(docs.sparkSession):
+            keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+            marked = contamination(keyed, benchmark, "key", "text", item_col, item_text_col)
+            gone = durable(marked.where("n_hit > 0").select("key.*").distinct(), "gone", keep=True)
+        return drop_rows(docs, key, gone, gone.limit(0))
     numbered = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     marked = contamination(
         numbered.select(F.col("__row").alias("key"), F.col(text_col).alias("text")),
         benchmark, "key", "text", item_col, item_text_col,
     ).where("n_hit > 0").select(F.col("key").alias("__hit"), F.col("spans").alias("__spans"))
     on = F.col("__row") == F.col("__hit")
-    if mode == "documents":
-        gone = durable(marked.select("__hit"), "gone")
-        return filter_by_keys(numbered, gone, "__row", keep=False).select(*docs.columns)
     hit = lambda i: F.exists("__spans", lambda s: (s["at"] <= i) & (i < s["end"]))
     gaps = F.split(F.col(text_col), WORD, -1)
     parts = F.transform(

@@ -20,8 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.durable import durable
-from lodestone.plans.keyed import filter_by_keys
+from lodestone.plans.durable import durable, temporary_tables
+from lodestone.plans.keyed import content_key, drop_rows
 
 #: A chunk ends after punctuation and a space, from MIN_CHARS on, at MAX_CHARS at last.
 MIN_CHARS, MAX_CHARS = 1024, 8192
@@ -136,11 +136,17 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one row of each group of equal texts, columns unchanged."""
-    numbered = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    gone = (
-        exact_groups(numbered.select(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("key"), F.col(text_col).alias("text")), "key", "text")
-        .where("not kept")
-        .select(F.col("key.row").alias("gone"))
-    )
-    return filter_by_keys(numbered, durable(gone, "gone"), "__row", keep=False).select(*docs.columns)
+    """``docs`` without all but one row of each group of equal texts, columns unchanged.
+
+    Rows are named by a digest of id and text, so texts stay where they are; of rows
+    that agree in both one is kept.
+    """
+    key = content_key(F.col(id_col), F.col(text_col))
+    with temporary_tables(docs.sparkSession):
+        keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("id"), F.col(text_col).alias("text"))
+        known = durable(recipes(keyed, "id", "text").select("id", "recipe"), "recipes")
+        first = known.groupBy("recipe").agg(F.min("id").alias("first")).select(F.col("recipe").alias("r"), F.col("first.key").alias("stays"))
+        rows = durable(known.join(first, F.col("recipe") == F.col("r")).select(F.col("id.key").alias("key"), (F.col("id.key") == F.col("stays")).alias("kept")), "rows")
+        gone = durable(rows.where("not kept").select("key.*").distinct(), "gone", keep=True)
+        repeated = durable(rows.where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key.*"), "repeated", keep=True)
+    return drop_rows(docs, key, gone, repeated)
