@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.ordered import global_rank
+
 
 def plan_bins(sizes: list[tuple[int, int]], limit: int) -> list[tuple[int, int, int]]:
     """``(size, bin, how many)`` for ``(size, count)`` in falling order of size.
@@ -39,7 +41,7 @@ def first_fit_bins(items: DataFrame, limit: int, job: str = "job_id", item: str
     """``items`` (``job, item, size``) with ``bin``, from 0 per job; a limit of 0 or less: one bin.
 
     What a job's plan reads is a row per distinct size, not per item; items then take
-    their places by rank inside their size.
+    their places by rank inside their size, which comes from ranges of a global order.
     """
     if limit <= 0:
         return items.withColumn("bin", F.lit(0))
@@ -55,7 +57,11 @@ def first_fit_bins(items: DataFrame, limit: int, job: str = "job_id", item: str
 
     kind = items.schema[job].dataType.simpleString()
     bins = counts.groupBy(job).applyInPandas(plan, f"__job {kind}, __size bigint, bin int, __n bigint, __upto bigint")
-    ranked = items.withColumn("__place", F.row_number().over(Window.partitionBy(job, "size").orderBy(item)))
+    placed = global_rank(items, [F.col(job), F.col("size"), F.col(item)], "__rank")
+    firsts = placed.groupBy(F.col(job).alias("__j"), F.col("size").alias("__s")).agg(F.min("__rank").alias("__first"))
+    ranked = placed.join(firsts, F.col(job).eqNullSafe(F.col("__j")) & (F.col("size") == F.col("__s"))).withColumn(
+        "__place", F.col("__rank") - F.col("__first") + 1
+    )
     mine = F.col("__place").between(F.col("__upto") - F.col("__n") + 1, F.col("__upto"))
     on = F.col(job).eqNullSafe(F.col("__job")) & (F.col("size") == F.col("__size")) & mine
     return ranked.join(bins, on).select(*items.columns, "bin")
