@@ -8,7 +8,8 @@ words inside among those with the same nearest tag.
 
 Elements that are never content by their name, role or class (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments) are left out before the scan.
-The run is widened to the whole ``article`` or ``main`` element that it starts in.
+The run is widened to the whole ``article`` or ``main`` element, or block of a content
+class, that it starts in.
 
 Defined cases: null html is empty; a page without words gives an empty text; tags that are
 not closed end with their parent or the page; ``<`` that opens no tag is text; repeated rows
@@ -59,10 +60,21 @@ DROP_WORDS = frozenset(
 #: Whole-page wrappers keep what is in them, whatever their class.
 KEEP_TAGS = frozenset("html body main article".split())
 _CLOSES_P = BLOCK - {"body", "html"}
-DEFAULT_TAG = -1.0
+#: Classes and ids of elements that hold the whole of an article.
+WHOLE_WORDS = frozenset("article content post entry story".split())
+#: What tags cost where the labelled pages say nothing: text and its marks little, links and the rest more.
+MARKS = frozenset("b i em strong u s small mark code kbd samp var sub sup span q cite abbr dfn time del ins br img wbr".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption pre blockquote figure figcaption".split())
+MARK_COST, TEXT_COST, OTHER_COST = -0.05, -0.2, -1.0
+#: Labelled tags that outweigh these costs.
+FEW_TAGS = 20
 
 
-def _dropped(name: str, attrs: str) -> bool:
+def _unlabelled(name: str) -> float:
+    return MARK_COST if name in MARKS else TEXT_COST if name in TEXT_TAGS else OTHER_COST
+
+
+def _dropped(name: str, attrs: str, by_class: bool = True) -> bool:
     if name in DROP_TAGS:
         return True
     if not attrs or name in ("html", "body"):
@@ -71,18 +83,35 @@ def _dropped(name: str, attrs: str) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in DROP_ROLES:
             return True
-        if key in ("class", "id"):
+        if by_class and key in ("class", "id"):
             words = set(re.split(r"[^a-z]+", value))
             if words & (DROP_WORDS if name not in KEEP_TAGS else frozenset(("comment", "comments", "reply"))):
                 return True
     return False
 
 
-def tokens(page: str) -> list[tuple[str, str, str]]:
-    """``(kind, name, value)``: ``open`` and ``close`` tags and ``text`` with its nearest tag, without dropped elements."""
+def _classes(attrs: str) -> str:
+    found = [m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs or "") if m[1].lower() in ("class", "id")]
+    return " ".join(found).lower()
+
+
+def tokens(page: str, by_class: bool = True) -> list[tuple[str, str, str]]:
+    """``(kind, name, value)``: ``open`` tags with classes and ids, ``close`` tags, and ``text`` with its nearest tag.
+
+    Dropped elements are left out; without ``by_class`` only those dropped by name or role.
+    """
     out: list[tuple[str, str, str]] = []
     stack: list[str] = []
+    standing: Counter = Counter()  # open elements by name
     skip, depth = "", 0
+
+    def unwind(name: str) -> None:
+        while True:
+            top = stack.pop()
+            standing[top] -= 1
+            if top == name:
+                return
+
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -98,26 +127,25 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
                 depth += -1 if end else 1
                 if not depth:
                     skip = ""
-            elif end and name in stack and name in ("body", "html", "article", "main"):
+            elif end and standing[name] and name in ("body", "html", "article", "main"):
                 skip, depth = "", 0  # the dropped element was never closed
-                while stack and stack.pop() != name:
-                    pass
+                unwind(name)
                 out.append(("close", name, ""))
             continue
         if end:
-            if name in stack:
-                while stack.pop() != name:
-                    pass
+            if standing[name]:
+                unwind(name)
             out.append(("close", name, ""))
-        elif _dropped(name, m["attrs"]):
+        elif _dropped(name, m["attrs"], by_class):
             if name not in VOID:
                 skip, depth = name, 1
         else:
-            out.append(("open", name, ""))
+            out.append(("open", name, _classes(m["attrs"])))
             if name not in VOID:
                 if name in _CLOSES_P and stack and stack[-1] == "p":
-                    stack.pop()
+                    unwind("p")
                 stack.append(name)
+                standing[name] += 1
     return out
 
 
@@ -145,7 +173,8 @@ class Weights:
             within, out = counts[(kind, name, True)], counts[(kind, name, False)]
             share = (within + 1) / (within + out + 2)
             if kind == "tag":
-                self.tags[name] = -max(0.01, 3 * (1 - share))
+                trust = min(1.0, (within + out) / FEW_TAGS)
+                self.tags[name] = -max(0.01, trust * 3 * (1 - share) - (1 - trust) * _unlabelled(name))
             else:
                 self.words[name] = max(0.01, share)
         for name in ("article", "main", "body", "html"):
@@ -154,7 +183,7 @@ class Weights:
     def of(self, kind: str, name: str, value: str) -> float:
         if kind == "text":
             return self.words.get(name, 0.5) * len(value.split())
-        return self.tags.get(name, DEFAULT_TAG)
+        return self.tags.get(name, _unlabelled(name))
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -170,25 +199,36 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def _widened(found: list[tuple[str, str, str]], low: int, high: int) -> tuple[int, int]:
-    """The run grown to the article or main element that holds its first words."""
+    """The run grown to the article, main or content element that holds its first words."""
     first = next((i for i in range(low, high) if found[i][0] == "text" and found[i][2].strip()), low)
-    for name in ("article", "main"):
-        opened: list[int] = []
-        for i in range(first):
-            kind, own, _ = found[i]
-            if own == name and kind == "open":
-                opened.append(i)
-            elif own == name and kind == "close" and opened:
-                opened.pop()
-        if opened:
-            depth = 0
-            for j in range(opened[0], len(found)):
+    opened: list[int] = []
+    standing: Counter = Counter()
+    for i in range(first):
+        kind, name, _ = found[i]
+        if kind == "open" and name not in VOID:
+            opened.append(i)
+            standing[name] += 1
+        elif kind == "close" and standing[name]:
+            while True:
+                top = found[opened.pop()][1]
+                standing[top] -= 1
+                if top == name:
+                    break
+    for wanted in (
+        lambda t: t[1] == "article",
+        lambda t: t[1] == "main",
+        lambda t: t[1] in ("div", "section") and bool(WHOLE_WORDS & set(re.split(r"[^a-z]+", t[2]))),
+    ):
+        start = next((i for i in opened if wanted(found[i])), None)
+        if start is not None:
+            name, depth = found[start][1], 0
+            for j in range(start, len(found)):
                 kind, own, _ = found[j]
                 if own == name and kind != "text":
                     depth += 1 if kind == "open" else -1
                     if not depth:
-                        return opened[0], j + 1
-            return opened[0], len(found)
+                        return start, j + 1
+            return start, len(found)
     return low, high
 
 
@@ -209,12 +249,14 @@ def blocks(found: list[tuple[str, str, str]]) -> list[str]:
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    found = tokens(page or "")
-    low, high = best_run([weights.of(*t) for t in found])
-    if low == high:
-        return ""
-    low, high = _widened(found, low, high)
-    return "\n".join(blocks(found[low:high]))
+    """The main text; a page whose classes would drop all of it is read without them."""
+    for by_class in (True, False):
+        found = tokens(page or "", by_class)
+        low, high = best_run([weights.of(*t) for t in found])
+        if low < high:
+            low, high = _widened(found, low, high)
+            return "\n".join(blocks(found[low:high]))
+    return ""
 
 
 def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Weights:

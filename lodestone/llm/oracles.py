@@ -1,5 +1,7 @@
 """DuckDB SQL for the numbered operators that SQL can express."""
 
+from lodestone.llm import url_filter
+
 _OP1 = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -109,4 +111,61 @@ SELECT norm.doc_id, len(norm.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM norm LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES = {"op1_pareto_mix": _OP1, "op2_chunk_recipe_dedup": _OP2, "op10_decontaminate": _OP10}
+
+def _op7() -> str:
+    """The template tree with one column per segment; each pass over a level is three steps."""
+    depth = url_filter.DEPTH
+    cols = [f"t{i}" for i in range(1, depth + 2)]
+    fits = lambda rule: (
+        f"((host = '{(h := rule.split('/')[0])}' OR suffix(host, '.{h}')) AND starts_with(path, '{rule[len(h):]}'))"
+    )
+    ordered = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in ordered) + " END"
+    segment = lambda i: f"coalesce(CASE WHEN regexp_matches(own[{i}], '[0-9]') THEN '*' ELSE own[{i}] END, '')"
+    steps, last = "", "paths"
+    for d, seg in enumerate(cols[:depth]):
+        at = ["host", *cols[:d]]
+        same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in at)  # noqa: E731, B023
+        moved = ", ".join(f"CASE WHEN r.{seg} IS NOT NULL THEN '*' ELSE p.{c} END AS {c}" if c == seg else f"p.{c}" for c in cols)
+        steps += f"""
+c{d} AS (SELECT {', '.join(at)}, {seg}, sum(a + b + n) AS c FROM {last} GROUP BY ALL),
+k{d} AS (SELECT {', '.join(at)}, count(*) AS kids, sum(c) AS total FROM c{d} WHERE {seg} <> '' GROUP BY ALL),
+r{d} AS (SELECT x.* FROM c{d} x JOIN k{d} k ON {same('x', 'k')} WHERE {seg} <> '' AND {seg} <> '*' AND kids >= {url_filter.MANY} AND c < total * {url_filter.RARE}::DOUBLE),
+p{d} AS (SELECT p.host, p.segs, p.a, p.b, p.n, {moved} FROM {last} p LEFT JOIN r{d} r ON {same('p', 'r')} AND p.{seg} = r.{seg}),"""
+        last = f"p{d}"
+    for d, seg in enumerate(cols[:depth]):
+        at = ["host", *[c for c in cols if c != seg]]
+        same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in at)  # noqa: E731, B023
+        moved = ", ".join(f"CASE WHEN r.{seg} IS NOT NULL THEN '*' ELSE p.{c} END AS {c}" if c == seg else f"p.{c}" for c in cols)
+        total, own = "(aa + ab + an)", "(a + b + n)"
+        term = lambda got, size, x: f"CASE WHEN a{x} * {size} > 0 THEN ({got} - a{x} * {size} / {total}::DOUBLE) ** 2 / (a{x} * {size} / {total}::DOUBLE) ELSE 0 END"  # noqa: E731, B023
+        chi = " + ".join(f"{term(x, own, x)} + {term(f'(a{x} - {x})', f'({total} - {own})', x)}" for x in "abn")  # noqa: B023
+        steps += f"""
+b{d} AS (SELECT {', '.join(at)}, {seg}, sum(a) AS a, sum(b) AS b, sum(n) AS n FROM {last} GROUP BY ALL),
+m{d} AS (SELECT {', '.join(at)}, sum(a) AS aa, sum(b) AS ab, sum(n) AS an, count(*) AS kids FROM b{d} WHERE {seg} <> '' GROUP BY ALL),
+s{d} AS (SELECT x.* FROM b{d} x JOIN m{d} m ON {same('x', 'm')} WHERE {seg} <> '' AND kids > 1 AND {chi} < {url_filter.SAME}),
+q{d} AS (SELECT p.host, p.segs, p.a, p.b, p.n, {moved} FROM {last} p LEFT JOIN s{d} r ON {same('p', 'r')} AND p.{seg} = r.{seg}),"""
+        last = f"q{d}"
+    return rf"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (
+  SELECT *, {rule} AS rule, list_filter(string_split(path, '/'), lambda s: s <> '') AS own FROM parts),
+cut AS (
+  SELECT page_id, host, path, rule, {verdict} AS told,
+         [{', '.join(segment(i) for i in range(1, depth + 1))}, CASE WHEN len(own) > {depth} THEN '**' ELSE '' END] AS segs FROM ruled),
+paths AS (
+  SELECT host, segs, count(*) FILTER (told = 'allow') AS a, count(*) FILTER (told = 'block') AS b, count(*) FILTER (told IS NULL) AS n,
+         {', '.join(f'segs[{i}] AS t{i}' for i in range(1, depth + 2))} FROM cut GROUP BY host, segs),{steps}
+shares AS (SELECT host, {', '.join(cols)}, sum(a) AS ta, sum(b) AS tb FROM {last} GROUP BY ALL),
+judged AS (
+  SELECT p.host, p.segs, (tb + {url_filter.STRENGTH / 2}::DOUBLE) / (ta + tb + {url_filter.STRENGTH}::DOUBLE) AS purity
+  FROM {last} p JOIN shares s USING (host, {', '.join(cols)}))
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN purity >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM cut JOIN judged USING (host, segs)
+"""
+
+
+ORACLES = {"op1_pareto_mix": _OP1, "op2_chunk_recipe_dedup": _OP2, "op10_decontaminate": _OP10, "op7_url_templates": _op7()}

@@ -144,7 +144,7 @@ def test_queries_equal_sql(spark, data_dir, name):
     got, want = queries.queries()[name](spark, data_dir).toPandas(), con.execute(oracles.ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    key = columns[columns.index("doc_id")]
+    key = "page_id" if "page_id" in columns else "doc_id"
     got, want = (x[columns].sort_values(key).reset_index(drop=True) for x in (got, want))
     for c in columns:
         same = np.isclose(got[c], want[c]) if got[c].dtype.kind == "f" else (got[c].astype(str) == want[c].astype(str))
@@ -212,7 +212,14 @@ WEIGHTS = html_extract.Weights(html_extract.label_counts(page("<ul><li><a>x</a><
         ("<article><p>Text here<script>var x='</p>';</script> now<!-- no --></p><form><p>mail</p></form><aside>ad</aside></article>", "Text here now"),
         ("<div><p>Some plain words without an article at all, but many of them</p></div><ul><li><a>x</a></li></ul>", "Some plain words without an article at all, but many of them"),
         ("<article><p>unclosed <b>bold<p>next &lt;x&gt; 1 < 2</article>", "unclosed bold\nnext <x> 1 < 2"),
-        ("<div class=cookie-notice>We use cookies</div>", ""),
+        ("<div class=cookie-notice><form><p>We use cookies</p></form></div>", ""),
+        ("<div class='page has-sidebar'><p>All the text of this page here</p></div>", "All the text of this page here"),
+        (
+            "<div><a href=/>Home</a> <a href=/x>X</a></div><div class=post-content><h2>Title</h2><p>Many words of text stand here</p><ul><li>one</li><li>two</li></ul><p>End.</p></div>"
+            "<div><a href=/a>a</a><a href=/b>b</a></div>",
+            "Title\nMany words of text stand here\none\ntwo\nEnd.",
+        ),
+        ("<article><p>A <em>b</em>c <a href=x>link</a>.</p><table><tr><td>x</td><td>y</td></tr></table><section class=comments><p>No</p></section></article>", "A bc link.\nx\ny"),
     ],
 )
 def test_extraction(body, text):
