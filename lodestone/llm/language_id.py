@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.plans.durable import durable
 
@@ -39,7 +40,7 @@ UNKNOWN = "und"
 UNKNOWN_PRIOR, FLOOR, UNUSUAL = 0.02, 0.001, 2.0
 #: Hosts whose priors are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 _PAIRS = 1 << 16
 
 
@@ -124,25 +125,30 @@ def score_texts(model: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.nda
     return sums / np.maximum(n, 1)[:, None], n
 
 
-def _with_scores(docs: DataFrame, model: np.ndarray, text: Column, columns: Sequence[str]) -> DataFrame:
-    """``columns`` and ``ll`` (text evidence per language), ``pairs``."""
+def _with_scores(docs: DataFrame, model: np.ndarray, columns: Sequence[str], inside: str | None = None) -> DataFrame:
+    """``columns`` and ``ll`` (text evidence per language), ``pairs``.
+
+    The text is column ``text``, or field ``inside`` of the first of ``columns``, so that
+    a text that is passed on is not passed twice.
+    """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)  # languages * 256 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [score_texts(shared.value, texts) for texts in _blocks(batch.column(batch.num_columns - 1))]
+            texts_of = batch.column(0).field(inside) if inside else batch.column(batch.num_columns - 1)
+            got = [score_texts(shared.value, texts) for texts in _blocks(texts_of)]
             mean = np.concatenate([g[0] for g in got]) if got else np.zeros((0, len(shared.value)))
             n = np.concatenate([g[1] for g in got]) if got else np.zeros(0)
             ll = mean * np.minimum(n, TEXT_PAIRS)[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], lists, pa.array(n.astype(np.int64))], [*batch.schema.names[:-1], "__ll", "__pairs"]
+                [*batch.columns[: len(columns)], lists, pa.array(n.astype(np.int64))], [*columns, "__ll", "__pairs"]
             )
 
-    chosen = docs.select(*columns, text.alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, __ll array<double>, __pairs bigint")
+    chosen = docs.select(*columns) if inside else docs.select(*columns, "text")
+    fields = [*docs.select(*columns).schema.fields, T.StructField("__ll", T.ArrayType(T.DoubleType())), T.StructField("__pairs", T.LongType())]
+    return chosen.mapInArrow(run, T.StructType(fields))
 
 
 def host_priors(guesses: DataFrame, languages: Sequence[str]) -> DataFrame:
@@ -174,7 +180,7 @@ def host_priors(guesses: DataFrame, languages: Sequence[str]) -> DataFrame:
 
 def _judged(
     docs: DataFrame, text: Column, declared: Column | None, host: Column | None, suffix: Column | None,
-    keep: Sequence[str], languages: Sequence[str],
+    keep: Sequence[str], languages: Sequence[str], inside: str | None = None,
 ) -> DataFrame:
     """``kept`` (a struct of ``keep``'s columns) and the judgement per row of ``docs``."""
     none = F.lit(None).cast("string")
@@ -187,7 +193,7 @@ def _judged(
     names = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
     best = lambda scores: (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
     guesses = (
-        _with_scores(view, model, F.col("text"), ["host", "suffix"])
+        _with_scores(view, model, ["host", "suffix"])
         .where("__pairs > 0")
         .withColumn("at", best(F.col("__ll")))
         .groupBy("host", "suffix")
@@ -197,7 +203,7 @@ def _judged(
     table = priors.select(F.col("host").alias("h"), F.col("suffix").alias("s"), "prior")
     if table.count() <= MAX_BROADCAST_HOSTS:
         table = F.broadcast(table)
-    scored = _with_scores(view, model, F.col("text"), ["kept", "declared", "host", "suffix"])
+    scored = _with_scores(view, model, ["kept", "declared", "host", "suffix"], inside)
     joined = scored.join(table, F.col("host").eqNullSafe(F.col("h")) & F.col("suffix").eqNullSafe(F.col("s")), "left")
     k = len(languages)
 
@@ -253,5 +259,5 @@ def identify_pages(pages: DataFrame, languages: Sequence[str] = LANGUAGES, keep:
 
 def keep_identified(docs: DataFrame, declared_col: str = "lang", host_col: str = "source") -> DataFrame:
     """``docs`` without rows that no known language explains; columns unchanged."""
-    judged = _judged(docs, F.col("text"), F.col(declared_col), F.col(host_col), None, docs.columns, LANGUAGES)
+    judged = _judged(docs, F.col("text"), F.col(declared_col), F.col(host_col), None, docs.columns, LANGUAGES, "text")
     return judged.where("accepted").select("kept.*")
