@@ -18,7 +18,9 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    from lodestone.session import share_code
+
+    yield share_code(session)
     session.stop()
 
 
