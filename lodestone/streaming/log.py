@@ -90,6 +90,8 @@ def window_of(lines: DataFrame, order: str, from_offset: int, limit: int, line:
 
 def event_rates(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events per type and window of a stream (or a table) with column ``ts``; late rows are dropped in a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("n")
-    ).select(F.col("w.start").alias("window_start"), "event_type", "n")
+    kind = events.schema["ts"].dataType
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").cast(kind).alias("window_start"), "event_type", "n"
+    )
