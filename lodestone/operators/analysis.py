@@ -27,6 +27,7 @@ class Facts:
     chunks: DataFrame
     metrics: DataFrame
     parse: DataFrame
+    docs: DataFrame
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -79,6 +80,7 @@ def analyze(files: DataFrame, include_chunks: bool = True, chunk_max_tokens: int
         files=known, symbols=found, imports=symbols.imports(declared), exports=symbols.exports(declared, found),
         references=symbols.references(declared), literals=symbols.string_literals(declared),
         chunks=cut if include_chunks else cut.limit(0), metrics=symbols.metrics(declared, found), parse=symbols.parse_status(known),
+        docs=symbols.module_docs(declared),
     )
 
 
@@ -110,13 +112,13 @@ def nested(facts: Facts) -> DataFrame:
         out = out.join(gathered(table, name), "path", "left")
     metrics = facts.metrics.select("path", F.struct(*[c for c in facts.metrics.columns if c != "path"]).alias("metrics"))
     parse = facts.parse.select("path", F.struct("parse_ok", "error_nodes").alias("parse"))
-    return out.join(metrics, "path", "left").join(parse, "path", "left")
+    return out.join(metrics, "path", "left").join(parse, "path", "left").join(facts.docs, "path", "left")
 
 
 def write(facts: Facts, folder: str) -> None:
     """Fact tables as Parquet, files by language, and last the index of what was written."""
     facts.files.drop("text").write.mode("overwrite").partitionBy("language").parquet(f"{folder}/files")
-    names = ("symbols", "imports", "exports", "references", "literals", "chunks", "metrics", "parse")
+    names = ("symbols", "imports", "exports", "references", "literals", "chunks", "metrics", "parse", "docs")
     for name in names:
         getattr(facts, name).write.mode("overwrite").parquet(f"{folder}/{name}")
     spark = facts.files.sparkSession

@@ -71,3 +71,16 @@ def artifact_index(summaries: DataFrame, rollups: DataFrame, base_url: str, job_
         name.alias("name"), F.lit("per_file").alias("kind"), F.col("size_bytes").cast("long"), F.concat(F.lit(url + "/file/"), name).alias("url")
     )
     return listed.unionByName(own).unionByName(files)
+
+
+def supported_languages(spark) -> DataFrame:
+    """``id, display_name, has_full_support`` of every language that a path or a shebang can name, by id."""
+    from lodestone.functions import classify
+    from lodestone.operators import rules
+
+    known = [(x,) for table in (classify.EXTENSIONS, classify.NAMES, classify.INTERPRETERS) for x in table.values()]
+    ids = spark.createDataFrame(known, "id string").unionByName(spark.createDataFrame([(x,) for x in rules.FAMILY], "id string")).distinct()
+    names = spark.createDataFrame(list(classify.DISPLAY_NAMES.items()), "id string, display_name string")
+    return ids.join(names, "id", "left").select(
+        "id", F.coalesce("display_name", "id").alias("display_name"), F.col("id").isin(*rules.FAMILY).alias("has_full_support")
+    ).orderBy("id")

@@ -347,3 +347,16 @@ def metrics(declared: DataFrame, found: DataFrame) -> DataFrame:
         "path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_functions", "n_classes", "async_count", "generator_count", "test_count")],
         (F.col("guard") | F.coalesce("main", F.lit(False))).alias("has_main_guard"),
     )
+
+
+def module_docs(declared: DataFrame) -> DataFrame:
+    """``path, module_doc``: a Python file's first string, else the comments before the first code."""
+    some = declared.where("code <> ''").groupBy("path").agg(F.min("s").alias("first"), F.min_by("code", "s").alias("head"), F.min_by("strings", "s").alias("quoted"))
+    told = (
+        declared.where(F.col("language") != "python").join(some.select("path", "first"), "path").where(F.col("s") <= F.col("first"))
+        .groupBy("path").agg(F.sort_array(F.flatten(F.collect_list(F.array_compact("comments")))).alias("comments"))
+    )
+    lines = F.transform("comments", lambda c: F.trim(F.regexp_replace(c["token"], r"^(//[/!]?|/\*+!?|#!?)|\*/$", "")))
+    quoted = F.trim(F.regexp_replace(F.get("quoted", F.lit(0))["token"], "^(\"\"\"|'''|[\"'])|(\"\"\"|'''|[\"'])$", ""))
+    doc = F.when(F.col("head").rlike("^(\"|')"), quoted).otherwise(F.array_join(lines, "\n"))
+    return some.join(told, "path", "left").select("path", F.coalesce(doc, F.lit("")).alias("module_doc"))

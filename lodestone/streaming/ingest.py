@@ -12,7 +12,7 @@ from lodestone.functions import text
 from lodestone.operators import analysis, inventory
 from lodestone.plans.durable import durable, temporary_tables
 
-TABLES = ("symbols", "imports", "exports", "references", "literals", "chunks", "metrics", "parse")
+TABLES = ("symbols", "imports", "exports", "references", "literals", "chunks", "metrics", "parse", "docs")
 
 
 def _known(batch: DataFrame, out: str, batch_id: int) -> DataFrame | None:

@@ -25,7 +25,7 @@ def test_index_of_a_folder(spark, tmp_path):
     top = {r["qualified_name"] for r in spark.read.parquet(f"{out}/rollups/top_level_symbols").collect()}
     assert top == {"hello", "A", "Beta", "util", "test_hello"}
     assert {r["path"] for r in spark.read.parquet(f"{out}/rollups/errors").collect()} == {".gitignore"}
-    assert spark.read.json(f"{out}/index").count() == 9
+    assert spark.read.json(f"{out}/index").count() == 10
 
 
 def test_index_of_a_hosted_repository(spark, tmp_path):

@@ -337,7 +337,11 @@ def test_analysis_of_a_tree(spark, tmp_path):
     assert len(files["web/view.ts"]["symbols"]) == len(KINDS["web/view.ts"]) and files["x.unknown"]["symbols"] is None
     analysis.write(facts, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/files")).where("language = 'go'").count() == 1
-    assert spark.read.json(str(tmp_path / "out/index")).count() == 9
+    assert spark.read.json(str(tmp_path / "out/index")).count() == 10
+    docs = {r["path"]: r["module_doc"] for r in facts.docs.collect()}
+    assert (docs["demo/shop.py"], docs["cmd/main.go"], docs["src/lib.rs"], docs["web/old.js"]) == ("Shop tools.", "Package main starts.", "Crate notes.", "")
+    known = {r["id"]: r["has_full_support"] for r in rollup.supported_languages(spark).collect()}
+    assert known["python"] and known["tsx"] and not known["yaml"] and list(known) == sorted(known)
 
 
 def test_chunks_keep_functions_whole(spark):
