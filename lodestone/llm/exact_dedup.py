@@ -115,14 +115,16 @@ def exact_groups(
     Of repeated rows with the smallest id exactly one is kept.
     """
     known = durable(recipes(docs, id_col, text_col, low, high, hash_bits), "recipes")
-    groups = (
+    # Written first: a join of two plain exchanges is one that a hot group's rows can be split in.
+    groups = durable(
         known.groupBy("recipe")
         .agg(
             F.min("id").alias("keep_id"),
             F.count(F.lit(1)).alias("group_size"),
             F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("first"),
         )
-        .select(F.col("recipe").alias("r"), "keep_id", "group_size", F.col("first.row").alias("keep_row"))
+        .select(F.col("recipe").alias("r"), "keep_id", "group_size", F.col("first.row").alias("keep_row")),
+        "groups",
     )
     return known.join(groups, F.col("recipe") == F.col("r")).select(
         F.col("id").alias(id_col),
@@ -145,7 +147,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with temporary_tables(docs.sparkSession):
         keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("id"), F.col(text_col).alias("text"))
         known = durable(recipes(keyed, "id", "text").select("id", "recipe"), "recipes")
-        first = known.groupBy("recipe").agg(F.min("id").alias("first")).select(F.col("recipe").alias("r"), F.col("first.key").alias("stays"))
+        first = durable(
+            known.groupBy("recipe").agg(F.min("id").alias("first")).select(F.col("recipe").alias("r"), F.col("first.key").alias("stays")), "first"
+        )
         rows = durable(known.join(first, F.col("recipe") == F.col("r")).select(F.col("id.key").alias("key"), (F.col("id.key") == F.col("stays")).alias("kept")), "rows")
         gone = durable(rows.where("not kept").select("key.*").distinct(), "gone", keep=True)
         repeated = durable(rows.where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key.*"), "repeated", keep=True)
