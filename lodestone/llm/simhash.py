@@ -134,10 +134,13 @@ def grouped_prints(printed: DataFrame, id_col: str = "id") -> DataFrame:
         printed.groupBy("print").agg(F.min(id_col).alias("first_id")), "prints"
     )
     roots = durable(components(links_within_two(prints.select("print"))), "roots")
-    named = prints.join(roots, F.col("print") == F.col("node"), "left").select(
-        "print", "first_id", F.coalesce("root", "print").alias("root")
+    named = durable(
+        prints.join(roots, F.col("print") == F.col("node"), "left").select(
+            "print", "first_id", F.coalesce("root", "print").alias("root")
+        ),
+        "named",
     )
-    smallest = named.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
+    smallest = durable(named.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id")), "smallest")
     return named.join(smallest, F.col("root") == F.col("r")).select(F.col("print").alias("p"), "component_id")
 
 
