@@ -37,7 +37,7 @@ TEXT_PAIRS, TRUST, ACCEPT = 60, 0.9, 0.5
 HOST_STRENGTH, SUFFIX_STRENGTH = 20.0, 100.0
 UNKNOWN = "und"
 #: Prior of ``und``, and the share of the uniform distribution in every language's table.
-UNKNOWN_PRIOR, FLOOR, UNUSUAL = 0.02, 0.001, 2.0
+UNKNOWN_PRIOR, FLOOR, UNUSUAL = 0.02, 0.001, 3.0
 #: Hosts whose priors are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
 BLOCK_CHARS = 500_000
@@ -209,8 +209,9 @@ def _judged(
 
     def evidence(i: int) -> Column:
         text_part = F.get("__ll", F.lit(i))
-        if i == k:
-            return text_part + float(np.log(UNKNOWN_PRIOR))
+        if i == k:  # what is declared says nothing about it
+            any_said = F.when(F.col("declared").isNull(), 0.0).otherwise(float(-np.log(k)))
+            return text_part + any_said + float(np.log(UNKNOWN_PRIOR))
         said = F.when(F.col("declared").isNull(), 0.0).otherwise(
             F.when(F.col("declared") == languages[i], float(np.log(TRUST))).otherwise(float(np.log((1 - TRUST) / max(1, k - 1))))
         )
