@@ -11,6 +11,7 @@ handled as the library does by default; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.durable import new_path
+from lodestone.plans.durable import durable, new_path
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Texts given to the tokenizer at once, by characters.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 100_000
 
 
 def default_tokenizer() -> str:
@@ -41,8 +42,9 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+@functools.lru_cache(maxsize=1)
 def _encoder(path: str):
-    """A function from a list of texts to their token counts."""
+    """A function from a list of texts to their token counts; a worker loads a tokenizer once."""
     if path.endswith(".model"):
         import sentencepiece
 
@@ -53,7 +55,7 @@ def _encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _count_batches(path: str):
@@ -114,11 +116,13 @@ def token_counts(
     tokenizer = tokenizer or default_tokenizer()
     cache_path = cache_path or new_path(spark, "token-cache")
     append_misses(docs, cache_path, tokenizer, text_col)
-    cache = (
+    # Two jobs may have appended the same text. Written, so that the join below can split a hot digest.
+    cache = durable(
         read_cache(spark, cache_path)
         .where(F.col("tokenizer") == tokenizer_version(tokenizer))
         .groupBy("digest")
-        .agg(F.min("n_tokens").alias("n_tokens"))  # two jobs may have appended the same text
+        .agg(F.min("n_tokens").alias("n_tokens")),
+        "counts",
     )
     keyed = docs.select(
         F.col(id_col),
