@@ -5,9 +5,9 @@ the method looks for more: tokens with digits or ``@`` are *instances*, the word
 and right of them are lexical *patterns*. Instances that a base pattern found are the
 seeds. A pattern's confidence for a kind is the smoothed share of its distinct instances
 that are of this kind; an instance's confidence is the noisy-or of its patterns'. Both are
-computed in turns over the graph of distinct (pattern, instance) edges. What instances of
-a kind look like is learned too: an unseen instance must have the outline (letters,
-digits and signs, lengths in bands) of enough seeds of that kind.
+computed in turns over the graph of distinct (pattern, instance) edges. An unseen instance
+need only have the loose shape of a kind: digits in a band, or an ``@`` between characters;
+the patterns decide. Numbers that a card or IP test rejects never become that kind.
 
 The graph has one edge for equal occurrences, so copied documents don't add confidence and
 a very common line is one edge. Patterns and instances meet by joins on keys; nothing is
@@ -41,8 +41,12 @@ INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+
 #: Spans are added up in blocks, so a text with very many costs little more for each.
 BLOCK = 256
 #: Rounds of scoring; a pattern counts from so many distinct instances and so much
-#: confidence on, an instance from this confidence on, an outline from so many seeds on.
-ROUNDS, MIN_INSTANCES, MIN_PATTERN, MIN_INSTANCE, MIN_OUTLINE = 3, 5, 0.6, 0.8, 3
+#: confidence on, an instance from this confidence on.
+ROUNDS, MIN_INSTANCES, MIN_PATTERN, MIN_INSTANCE = 3, 5, 0.6, 0.8
+#: A token with ``@`` in an instance, without signs around it.
+ADDRESS = r"(?<![\p{L}0-9])[\p{L}0-9][^\x20@]*+@[^\x20]*[\p{L}0-9]"
+#: Digits of unseen instances: local phone numbers and short cards too.
+PHONE_DIGITS, CARD_DIGITS, IP_DIGITS = (7, 15), (12, 19), (4, 12)
 
 
 def _located(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -77,11 +81,15 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _parts_pass(parts: Column) -> Column:
+    part = lambda p: F.length(F.regexp_replace(p, "^0+(?=.)", ""))
+    return F.forall(parts, lambda p: (part(p) <= 3) & (F.try_to_number(F.right(F.concat(F.lit("000"), p), F.lit(3)), F.lit("999")) <= 255))
+
+
 def _passes(kind: str, text: Column) -> Column:
     digits = _digits(text)
     if kind == "ip":
-        part = lambda p: F.length(F.regexp_replace(p, "^0+(?=.)", ""))
-        return F.forall(F.split(text, r"\."), lambda p: (part(p) <= 3) & (F.try_to_number(F.right(F.concat(F.lit("000"), p), F.lit(3)), F.lit("999")) <= 255))
+        return _parts_pass(F.split(text, r"\."))
     if kind == "card":
         return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
@@ -113,11 +121,22 @@ def _instances(text: Column) -> Column:
     return near
 
 
-def _outline(text: Column) -> Column:
-    """Letters as ``a``, digits as ``9``, runs of four and more as one sign."""
-    return F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(text, r"\p{L}", "a"), "a{4,}", "A"), "[0-9]", "9"
-    )
+def _shapes(text: Column) -> Column:
+    """Kinds that an unseen instance may become."""
+    digits = _digits(text)
+    count, at = F.length(digits), F.contains(text, F.lit("@"))
+    matches = lambda kind: F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    numbers = F.filter(matches("card"), lambda m: F.length(_digits(m)) >= 14)
+    signs = F.length(F.regexp_replace(text, "[^.:]", ""))
+    four = count.between(*IP_DIGITS) & (signs >= 3) & _parts_pass(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)))
+    groups = text.rlike(r"^(?=.*::|(?:[^:]*:){7})[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}$")
+    shapes = {
+        "email": text.rlike(ADDRESS),
+        "ip": ~at & (four | groups) & F.forall(matches("ip"), lambda m: _passes("ip", m)),
+        "card": ~at & count.between(*CARD_DIGITS) & F.call_function("luhn_check", digits) & F.forall(numbers, lambda m: _passes("card", m)),
+        "phone": ~at & count.between(*PHONE_DIGITS),
+    }
+    return F.array_compact(F.array(*[F.when(shapes[k], F.lit(k)) for k in KINDS]))
 
 
 def _bare(text: Column) -> Column:
@@ -169,17 +188,10 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``row, kind, at, end`` of instances that no base span covers and that patterns give a kind."""
     spots, edges = _edges(scanned)
     seeds = edges.where("kind is not null").select("instance", "kind").distinct()
-    outlines = (
-        seeds.groupBy("kind", _outline(F.col("instance")).alias("outline"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= MIN_OUTLINE)
-        .select("kind", "outline")
-    )
-    # Only instances that look like a kind's seeds can become that kind.
+    # Only instances with a kind's loose shape can become that kind.
     unknown = durable(
         edges.where("kind is null").select("instance").distinct()
-        .withColumn("outline", _outline(F.col("instance"))).join(outlines, "outline")
-        .select("instance", "kind"),
+        .select("instance", F.explode(_shapes(F.col("instance"))).alias("kind")),
         "unknown",
     )
     sizes = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("all")).where(F.col("all") >= MIN_INSTANCES)
@@ -208,8 +220,11 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     hits = spots.where("kind is null").join(sure, "instance")
     ahead = F.length("raw") - F.length(F.regexp_replace("raw", r"^[^\p{L}0-9@+(]+", ""))
-    return hits.select(
-        "row", F.col("found").alias("kind"), (F.col("at") + ahead).alias("at"), (F.col("at") + ahead + F.length("instance")).alias("end")
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.length("instance").alias("end"), F.col("instance").alias("text")))
+    # Numbers beside an address are not part of it.
+    parts = F.when(F.col("found") == "email", _starts(*reversed(_located(F.col("instance"), ADDRESS)))).otherwise(whole)
+    return hits.select("row", "found", (F.col("at") + ahead).alias("at"), F.explode(parts).alias("part")).select(
+        "row", F.col("found").alias("kind"), (F.col("at") + F.col("part.at")).alias("at"), (F.col("at") + F.col("part.end")).alias("end")
     )
 
 

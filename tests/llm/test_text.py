@@ -76,6 +76,29 @@ def test_a_pattern_gives_its_kind(spark):
     assert not outline_known or got[200] == "email:10:20"
 
 
+def test_loose_shapes_are_found_and_rejected_numbers_are_not(spark):
+    rows = [(i, f"word number {i} please phone: +1 (555) 01{i % 10}-1{i:03d} thanks end", "en", "a") for i in range(40)]
+    rows += [(100 + i, f"said mail user{i}@x{i}.org today {i % 3}", "en", "a") for i in range(40)]
+    rows += [(200 + i, f"went from 10.{i}.0.{i} onto it", "en", "a") for i in range(40)]
+    cards = [n for n in range(4000000000000000, 4000000000000400) if luhn(str(n))]
+    rows += [(300 + i, f"pays card {n} swiftly now", "en", "a") for i, n in enumerate(cards)]
+    planted = {
+        1000: ("so phone: 1 (555) 019-7777 thanks", "phone", "1 (555) 019-7777"), 1001: ("so phone: 555-0199 thanks", "phone", "555-0199"),
+        1002: ("so mail name0@host today", "email", "name0@host"), 1003: ("so mail (name1@host) 12 today", "email", "name1@host"),
+        1004: ("so from 10[.]9[.]0[.]7 onto", "ip", "10[.]9[.]0[.]7"), 1005: ("so from 2001:db8::1 onto", "ip", "2001:db8::1"),
+        1006: ("so card 4111.1111.1111.1111 swiftly", "card", "4111.1111.1111.1111"), 1007: ("so card 4000000000000001 swiftly", None, None),
+        1008: ("so from 300.1.1.1 onto", None, None), 1009: ("so from 10[.]9[.]0[.]300 onto", None, None), 1010: ("so phone: 42 thanks", None, None),
+        1011: ("so mail x@y x@z today", "email", "x@y"), 1012: ("from 1 (555) 019-9999 elsewhere", None, None),
+    }
+    rows += [(i, text, "en", "a") for i, (text, _, _) in planted.items()]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(documents(spark, rows)).where("doc_id >= 1000").collect()}
+    for i, (text, kind, found) in planted.items():
+        at = text.index(found) if found else 0
+        first = f"{kind}:{at}:{at + len(found)}" if found else ""
+        assert got[i].split(",")[0] == first, (i, got[i])
+    assert got[1011] == "email:8:11,email:12:15"
+
+
 # Decontamination. -----------------------------------------------------------------------------
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
