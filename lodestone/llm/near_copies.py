@@ -8,7 +8,12 @@ hashes in 16 bands of 4. Two texts 0.8 alike share a band with probability 0.999
 A band's bucket emits a few pairs per member: with its most central member, that is the one
 whose bands are shared most, and with two members drawn by a hash; in a bucket of ``FEW``
 members or less with each of the others. Every pair is verified on the texts' whole shingle
-sets. So a bucket of any size costs a bounded number of rows per member.
+sets.
+
+Where these links leave a larger bucket in more than one group, all pairs of its rows across
+groups are found by a prefix filter: two sets that are alike enough share one of the rarest
+``n - ceil(similarity * n) + 1`` shingles of each. A bucket that is one group costs a bounded
+number of rows per member; what else is compared grows with the pairs that share rare shingles.
 
 Defined cases: null text is the empty text; texts without words are alike to each other
 and to no other; a text of fewer words than a shingle is one shingle; of a group the row
@@ -103,8 +108,8 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def candidates(sketched: DataFrame) -> DataFrame:
-    """``a, b``: pairs of rows to verify, at most ``FEW`` per row and bucket."""
+def candidates(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: pairs of rows to verify, at most ``FEW`` per row and bucket; and the rows ``band, key, row`` of larger buckets."""
     banded = sketched.select("row", F.posexplode("bands").alias("band", "key"))
     # Sums are written before they are joined back, so that a hot bucket or group can be split.
     sizes = durable(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
@@ -125,10 +130,57 @@ def candidates(sketched: DataFrame) -> DataFrame:
     close = links_within_two(prints.select("print"))
     one, two = (prints.select(F.col("print").alias(x), F.col("first").alias(f"r{x}")) for x in "ab")
     close = close.join(one, "a").join(two, "b").select(F.col("ra").alias("row"), F.col("rb").alias("head"))
-    return (
+    found = (
         pairs.unionByName(close_by).unionByName(same).unionByName(close).where("row <> head")
         .select(F.least("row", "head").alias("a"), F.greatest("row", "head").alias("b")).distinct()
     )
+    return found, shared.where(F.col("n") > FEW).select("band", "key", "row")
+
+
+def apart(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """``row, root``: rows of the larger buckets that ``links`` leave in more than one group."""
+    roots = durable(components(links.select("a", "b")), "grouped")
+    placed = durable(
+        crowded.join(roots, F.col("row") == F.col("node"), "left").select("band", "key", "row", F.coalesce("root", "row").alias("root")), "placed"
+    )
+    bounds = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    split = durable(bounds.where("low <> high").select("band", "key"), "split")
+    return durable(placed.join(split, ["band", "key"], "left_semi").select("row", "root").distinct(), "apart")
+
+
+def pairs_across(sets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: of ``rows`` (``row, root``) all pairs of two roots that can be alike enough."""
+    owned = durable(sets.join(rows, "row").select("row", "root", F.size("s").alias("size"), "s"), "owned")
+    words = owned.select("row", F.explode("s").alias("x"))
+    counts = durable(words.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    ordered = words.join(counts, "x").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("shared"))
+    # Shingles of one row alone are the rarest: they fill the prefix first and meet nothing.
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1
+    left = F.greatest(F.lit(0), prefix - (F.col("size") - F.size("shared"))).cast("int")
+    keyed = durable(
+        owned.select("row", "root", "size").join(ordered, "row")
+        .select("row", "root", "size", F.explode(F.slice("shared", F.lit(1), left)).alias("k")).select("row", "root", "size", "k.x"),
+        "prefixes",
+    )
+    # Roots meet before rows do, so that rows of one group are never paired.
+    groups = durable(keyed.select("x", "root").distinct(), "groups")
+    meet = groups.withColumnRenamed("root", "ra").join(groups.withColumnRenamed("root", "rb"), "x").where("ra < rb")
+    one, two = (keyed.select("x", F.col("root").alias(f"r{i}"), F.col("row").alias(i), F.col("size").alias(f"n{i}")) for i in "ab")
+    close = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9)
+    met = durable(meet, "meet").join(one, ["x", "ra"]).join(two, ["x", "rb"]).where(close)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, similarity`` of the pairs that are alike enough."""
+    one, two = (sets.select(F.col("row").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    size = F.size("sa") + F.size("sb") - both
+    alike = F.when(size == 0, 1.0).otherwise(both / size)
+    return (
+        pairs.join(one, "a").join(two, "b").select("a", "b", alike.alias("similarity"))
+        .where(F.col("similarity") >= similarity)
+    )
 
 
 def verified_links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +192,8 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     sketched = durable(
         durable(made, "sketches").dropDuplicates(["k1", "k2"]).withColumn("row", F.monotonically_increasing_id()), "sketched"
     )
-    pairs = durable(candidates(sketched), "pairs")
+    pairs, crowded = candidates(sketched)
+    pairs = durable(pairs, "pairs")
     rows = sketched.select("row", "k1", "k2")
     needed = durable(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(rows, "row"), "needed")
     sets = durable(
@@ -149,14 +202,10 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
         .join(needed, ["k1", "k2"]).select("row", "s"),
         "sets",
     )
-    one, two = (sets.select(F.col("row").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    size = F.size("sa") + F.size("sb") - both
-    alike = F.when(size == 0, 1.0).otherwise(both / size)
-    links = (
-        pairs.join(one, "a").join(two, "b").select("a", "b", alike.alias("similarity"))
-        .where(F.col("similarity") >= similarity)
-    )
+    links = durable(_alike(pairs, sets, similarity), "links")
+    rest = apart(crowded, links)
+    if not rest.isEmpty():
+        links = links.unionByName(_alike(durable(pairs_across(sets, rest, similarity), "across"), sets, similarity))
     return rows, links
 
 

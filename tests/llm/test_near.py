@@ -110,6 +110,21 @@ def test_one_stays_of_a_large_group(spark):
     assert [r["doc_id"] for r in near_copies.drop_near_copies(documents(spark, rows)).collect()] == [0]
 
 
+def drifting(n, seed):
+    """Texts that are each alike to one earlier text, less so to that one's other copies."""
+    rng = random.Random(seed)
+    texts = [[f"w{rng.randrange(9000)}" for _ in range(200)]]
+    for _ in range(n - 1):
+        copy, at = list(rng.choice(texts)), rng.randrange(190)
+        copy[at : at + 10] = [f"x{rng.randrange(10**6)}" for _ in range(10)]
+        texts.append(copy)
+    return [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+
+
+def test_one_stays_of_a_drifting_group(spark):
+    assert [r["doc_id"] for r in near_copies.drop_near_copies(documents(spark, drifting(2000, 13))).collect()] == [0]
+
+
 def test_near_copies_of_odd_rows(spark, odd_rows):
     docs = documents(spark, odd_rows)
     got = near_copies.drop_near_copies(docs)
