@@ -8,8 +8,8 @@ words inside among those with the same nearest tag.
 
 Elements that are never content by their name, role or class (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments) are left out before the scan.
-The run is widened to the whole ``article`` or ``main`` element, or block of a content
-class, that it starts in.
+The run is widened to the whole of each ``article`` or ``main`` element, or block of a content
+class, that it touches, and is never narrowed.
 
 Defined cases: null html is empty; a page without words gives an empty text; tags that are
 not closed end with their parent or the page; ``<`` that opens no tag is text; repeated rows
@@ -198,38 +198,49 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+_WHOLE = (
+    lambda t: t[1] == "article",
+    lambda t: t[1] == "main",
+    lambda t: t[1] in ("div", "section") and bool(WHOLE_WORDS & set(re.split(r"[^a-z]+", t[2]))),
+)
+
+
 def _widened(found: list[tuple[str, str, str]], low: int, high: int) -> tuple[int, int]:
-    """The run grown to the article, main or content element that holds its first words."""
-    first = next((i for i in range(low, high) if found[i][0] == "text" and found[i][2].strip()), low)
+    """The run grown to the whole of each article, else main, else content element that it touches.
+
+    The element of the run's first words says how far down that list later words look.
+    """
     opened: list[int] = []
     standing: Counter = Counter()
-    for i in range(first):
-        kind, name, _ = found[i]
+    holders: tuple[list[int], ...] = ([], [], [])  # open elements by kind, outermost first
+    touched: dict[int, int] = {}  # start and end of elements
+    last = None
+    for i, (kind, name, value) in enumerate(found):
         if kind == "open" and name not in VOID:
             opened.append(i)
             standing[name] += 1
+            for held, wanted in zip(holders, _WHOLE, strict=True):
+                if wanted(found[i]):
+                    held.append(i)
         elif kind == "close" and standing[name]:
             while True:
-                top = found[opened.pop()][1]
-                standing[top] -= 1
-                if top == name:
+                top = opened.pop()
+                standing[found[top][1]] -= 1
+                for held in holders:
+                    if held and held[-1] == top:
+                        held.pop()
+                ended = found[top][1] == name
+                if top in touched:
+                    touched[top] = i + 1 if ended else i
+                if ended:
                     break
-    for wanted in (
-        lambda t: t[1] == "article",
-        lambda t: t[1] == "main",
-        lambda t: t[1] in ("div", "section") and bool(WHOLE_WORDS & set(re.split(r"[^a-z]+", t[2]))),
-    ):
-        start = next((i for i in opened if wanted(found[i])), None)
-        if start is not None:
-            name, depth = found[start][1], 0
-            for j in range(start, len(found)):
-                kind, own, _ = found[j]
-                if own == name and kind != "text":
-                    depth += 1 if kind == "open" else -1
-                    if not depth:
-                        return start, j + 1
-            return start, len(found)
-    return low, high
+        elif kind == "text" and low <= i < high and value.strip():
+            rank = next((r for r, held in enumerate(holders) if held), None)
+            if last is None:
+                last = len(holders) - 1 if rank is None else rank
+            if rank is not None and rank <= last:
+                touched.setdefault(holders[rank][0], len(found))
+    return min([low, *touched]), max([high, *touched.values()])
 
 
 def blocks(found: list[tuple[str, str, str]]) -> list[str]:

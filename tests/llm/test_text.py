@@ -249,6 +249,24 @@ def test_extraction(body, text):
     assert html_extract.extract(page(body), WEIGHTS) == text
 
 
+@pytest.mark.parametrize("opened, closed", [("<article>", "</article>"), ("<div class='post-content'>", "</div>"), ("<section class=entry>", "</section>")])
+def test_sibling_content_elements_come_out_whole(opened, closed):
+    parts = ["First part with very many words of text to read", "Second part with very many words of text to read"]
+    body = "".join(f"{opened}<p>{p}</p><ul><li><a>x</a></li></ul>{closed}<figure><img></figure><aside>Buy this now</aside>" for p in parts)
+    body = f"<div><a href=/>Home</a></div>{body}<footer>Foot words</footer>"
+    assert html_extract.extract(page(body), WEIGHTS) == f"{parts[0]}\nx\n{parts[1]}\nx"
+
+
+def test_widening_never_narrows():
+    rng = np.random.default_rng(6)
+    kinds = [("open", "article", ""), ("close", "article", ""), ("open", "div", "entry"), ("close", "div", ""), ("open", "main", ""), ("text", "", "word")]
+    for _ in range(300):
+        found = [kinds[k] for k in rng.integers(0, len(kinds), 14)]
+        low, high = sorted(rng.choice(15, 2, replace=False).tolist())
+        start, end = html_extract._widened(found, low, high)
+        assert 0 <= start <= low < high <= end <= len(found)
+
+
 def test_best_run_is_the_best():
     rng = np.random.default_rng(5)
     for _ in range(200):
