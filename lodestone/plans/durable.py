@@ -17,11 +17,14 @@ _held: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("held",
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests, a laptop) a temporary folder of this
-    machine is named once and kept in the session's configuration.
+    Where the setting is missing and driver and tasks share one machine (tests, a laptop)
+    a temporary folder of this machine is named once and kept in the session's
+    configuration; on a cluster it has to be set.
     """
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set(_KEY, named)
     return named.rstrip("/")

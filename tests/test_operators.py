@@ -170,3 +170,28 @@ def test_temporary_tables_go(spark):
     assert kept.count() == 4
     with pytest.raises(Exception, match="FILE|exist"):
         lost.count()
+
+
+def test_content_keys_tell_nulls_apart(spark):
+    rows = [("abc", None), (None, "abc"), ("zz", "abc"), (None, None), ("", None), (None, "")]
+    keyed = spark.createDataFrame(rows, "id string, text string").select("id", "text", content_key(F.col("id"), F.col("text")).alias("key"))
+    got = keyed.select("key.*").distinct()
+    assert got.count() == len(rows) and got.select("k1").distinct().count() == len(rows) and got.select("k2").distinct().count() == len(rows)
+
+
+def test_only_the_left_out_package_is_forgiven(monkeypatch):
+    import importlib
+
+    import __spark_entry__
+
+    def fails(name):
+        def load(_):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+        return load
+
+    monkeypatch.setattr(importlib, "import_module", fails("lodestone.llm"))
+    assert "lang_rollup" in __spark_entry__.queries() and "pipeline" not in __spark_entry__.queries()
+    monkeypatch.setattr(importlib, "import_module", fails("xxhash"))
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
