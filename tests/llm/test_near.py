@@ -5,7 +5,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import near_copies, simhash
+from lodestone.llm import exact_dedup, near_copies, simhash
 from lodestone.llm.components import components
 
 from .conftest import documents
@@ -131,3 +131,11 @@ def test_near_copies_of_odd_rows(spark, odd_rows):
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted([1, 3, 6, 8, 9, 10, 11], key=repr)
     assert near_copies.drop_near_copies(docs.where(F.lit(False))).count() == 0
+
+
+def test_no_only_copy_is_lost_where_ids_or_texts_are_null(spark):
+    rows = [("abc", None), (None, "abc"), ("zz", "abc"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for drop in (exact_dedup.drop_exact_copies, near_copies.drop_near_copies):
+        got = sorted((tuple(r) for r in drop(docs).collect()), key=repr)
+        assert got == [("abc", None), ("zz", "abc")], drop
