@@ -39,7 +39,7 @@ def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
-        F.sha2("base", 256).alias("base_sha256"), "spans", "n_added",
+        F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret", "n_added", "n_found",
     )
 
 
