@@ -112,40 +112,55 @@ FROM norm LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-def _op7() -> str:
-    """The template tree with one column per segment; each pass over a level is three steps."""
-    depth = url_filter.DEPTH
-    cols = [f"t{i}" for i in range(1, depth + 2)]
+def _op7(depth: int = 4) -> str:
+    """The template tree with one column per segment, as many as the given urls have at most and two more."""
+    cols = [f"t{i}" for i in range(1, depth + 1)]
     fits = lambda rule: (
         f"((host = '{(h := rule.split('/')[0])}' OR suffix(host, '.{h}')) AND starts_with(path, '{rule[len(h):]}'))"
     )
     ordered = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in ordered) + " END"
-    segment = lambda i: f"coalesce(CASE WHEN regexp_matches(own[{i}], '[0-9]') THEN '*' ELSE own[{i}] END, '')"
+    segment = lambda i: f"CASE WHEN regexp_matches(own[{i}], '[0-9]') THEN '*' || regexp_extract(own[{i}], '(\\.[A-Za-z]{{1,5}})$', 1) ELSE own[{i}] END"
     steps, last = "", "paths"
-    for d, seg in enumerate(cols[:depth]):
-        at = ["host", *cols[:d]]
-        same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in at)  # noqa: E731, B023
-        moved = ", ".join(f"CASE WHEN r.{seg} IS NOT NULL THEN '*' ELSE p.{c} END AS {c}" if c == seg else f"p.{c}" for c in cols)
+
+    def replaced(d: int, table: str) -> str:
+        on = " AND ".join(f"p.{c} = r.{c}" for c in ["host", *cols[: d + 1]])
+        moved = ", ".join(f"CASE WHEN r.host IS NOT NULL THEN '*' ELSE p.{c} END AS {c}" if i == d else f"p.{c}" for i, c in enumerate(cols))
+        return f"(SELECT p.host, p.segs, p.a, p.b, p.n, {moved} FROM {last} p LEFT JOIN {table} r ON {on})"
+
+    for d, seg in enumerate(cols):
+        at = ", ".join(["host", *cols[:d]])
         steps += f"""
-c{d} AS (SELECT {', '.join(at)}, {seg}, sum(a + b + n) AS c FROM {last} GROUP BY ALL),
-k{d} AS (SELECT {', '.join(at)}, count(*) AS kids, sum(c) AS total FROM c{d} WHERE {seg} <> '' GROUP BY ALL),
-r{d} AS (SELECT x.* FROM c{d} x JOIN k{d} k ON {same('x', 'k')} WHERE {seg} <> '' AND {seg} <> '*' AND kids >= {url_filter.MANY} AND c < total * {url_filter.RARE}::DOUBLE),
-p{d} AS (SELECT p.host, p.segs, p.a, p.b, p.n, {moved} FROM {last} p LEFT JOIN r{d} r ON {same('p', 'r')} AND p.{seg} = r.{seg}),"""
+c{d} AS (SELECT {at}, {seg}, sum(a + b + n) AS c FROM {last} WHERE {seg} IS NOT NULL GROUP BY ALL),
+k{d} AS (SELECT {at}, count(*) AS kids, sum(c) AS total FROM c{d} GROUP BY ALL),
+r{d} AS (SELECT {at}, {seg} FROM c{d} JOIN k{d} USING ({at}) WHERE NOT starts_with({seg}, '*') AND kids >= {url_filter.MANY} AND c < total * {url_filter.RARE}::DOUBLE),
+p{d} AS {replaced(d, f'r{d}')},"""
         last = f"p{d}"
-    for d, seg in enumerate(cols[:depth]):
-        at = ["host", *[c for c in cols if c != seg]]
-        same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in at)  # noqa: E731, B023
-        moved = ", ".join(f"CASE WHEN r.{seg} IS NOT NULL THEN '*' ELSE p.{c} END AS {c}" if c == seg else f"p.{c}" for c in cols)
-        total, own = "(aa + ab + an)", "(a + b + n)"
-        term = lambda got, size, x: f"CASE WHEN a{x} * {size} > 0 THEN ({got} - a{x} * {size} / {total}::DOUBLE) ** 2 / (a{x} * {size} / {total}::DOUBLE) ELSE 0 END"  # noqa: E731, B023
-        chi = " + ".join(f"{term(x, own, x)} + {term(f'(a{x} - {x})', f'({total} - {own})', x)}" for x in "abn")  # noqa: B023
+    critical = lambda f: f"({f} * (1 - 2::DOUBLE / (9 * {f}) + {url_filter.DEVIATE}::DOUBLE * sqrt(2::DOUBLE / (9 * {f}))) ** 3)"
+    for d, seg in enumerate(cols):
+        own = ", ".join(["host", *cols[:d]])
+        at = own + ", top"
+        kid = f"coalesce({cols[d + 1]}, '')" if d + 1 < depth else "''"
         steps += f"""
-b{d} AS (SELECT {', '.join(at)}, {seg}, sum(a) AS a, sum(b) AS b, sum(n) AS n FROM {last} GROUP BY ALL),
-m{d} AS (SELECT {', '.join(at)}, sum(a) AS aa, sum(b) AS ab, sum(n) AS an, count(*) AS kids FROM b{d} WHERE {seg} <> '' GROUP BY ALL),
-s{d} AS (SELECT x.* FROM b{d} x JOIN m{d} m ON {same('x', 'm')} WHERE {seg} <> '' AND kids > 1 AND {chi} < {url_filter.SAME}),
-q{d} AS (SELECT p.host, p.segs, p.a, p.b, p.n, {moved} FROM {last} p LEFT JOIN s{d} r ON {same('p', 'r')} AND p.{seg} = r.{seg}),"""
+v{d} AS (SELECT {own}, {seg}, {kid} AS kid, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(a + b + n)::DOUBLE AS c FROM {last} WHERE {seg} IS NOT NULL GROUP BY ALL),
+w{d} AS (SELECT *, first_value(kid) OVER (PARTITION BY {own}, {seg} ORDER BY c DESC, kid DESC) AS top FROM v{d}),
+b{d} AS (SELECT {at}, {seg}, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM w{d} GROUP BY ALL),
+m{d} AS (SELECT {at}, sum(a) AS aa, sum(b) AS ab, sum(c) AS ac, count(*) AS branches FROM b{d} GROUP BY ALL),
+f{d} AS (SELECT {at}, kid, sum(c) AS ck FROM w{d} GROUP BY ALL),
+g{d} AS (SELECT {at}, (count(*) - 1)::DOUBLE AS df FROM f{d} GROUP BY ALL),
+x{d} AS (
+  SELECT {at}, {seg}, sum(pow(coalesce(w.c, 0) * sqrt((ac - b.c) / b.c) - (ck - coalesce(w.c, 0)) * sqrt(b.c / (ac - b.c)), 2) / ck) AS chi
+  FROM b{d} b JOIN m{d} USING ({at}) JOIN f{d} USING ({at}) LEFT JOIN w{d} w USING ({at}, {seg}, kid) WHERE branches > 1 GROUP BY ALL),
+t{d}x AS (
+  SELECT {at}, {seg}, chi, df, ac, aa + ab AS told,
+         CASE WHEN (a + b) * (aa + ab - a - b) * aa * ab > 0
+              THEN pow(a * (ab - b) - b * (aa - a), 2) * (aa + ab) / ((a + b) * (aa + ab - a - b) * aa * ab) ELSE 0 END AS cross_chi
+  FROM b{d} JOIN m{d} USING ({at}) JOIN x{d} USING ({at}, {seg}) JOIN g{d} USING ({at})),
+s{d} AS (
+  SELECT {at}, {seg} FROM t{d}x WHERE (df < 1 OR chi < {critical('df')} OR chi < {url_filter.EFFECT}::DOUBLE * ac)
+    AND (cross_chi < {critical('1::DOUBLE')} OR cross_chi < {url_filter.EFFECT}::DOUBLE * told)),
+q{d} AS {replaced(d, f's{d}')},"""
         last = f"q{d}"
     return rf"""
 WITH parts AS (
@@ -153,16 +168,13 @@ WITH parts AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 ruled AS (
   SELECT *, {rule} AS rule, list_filter(string_split(path, '/'), lambda s: s <> '') AS own FROM parts),
-cut AS (
-  SELECT page_id, host, path, rule, {verdict} AS told,
-         [{', '.join(segment(i) for i in range(1, depth + 1))}, CASE WHEN len(own) > {depth} THEN '**' ELSE '' END] AS segs FROM ruled),
+cut AS (SELECT page_id, host, path, rule, {verdict} AS told, [{', '.join(segment(i) for i in range(1, depth + 1))}] AS segs FROM ruled),
 paths AS (
   SELECT host, segs, count(*) FILTER (told = 'allow') AS a, count(*) FILTER (told = 'block') AS b, count(*) FILTER (told IS NULL) AS n,
-         {', '.join(f'segs[{i}] AS t{i}' for i in range(1, depth + 2))} FROM cut GROUP BY host, segs),{steps}
-shares AS (SELECT host, {', '.join(cols)}, sum(a) AS ta, sum(b) AS tb FROM {last} GROUP BY ALL),
+         {', '.join(f'segs[{i}] AS t{i}' for i in range(1, depth + 1))} FROM cut GROUP BY host, segs),{steps}
 judged AS (
-  SELECT p.host, p.segs, (tb + {url_filter.STRENGTH / 2}::DOUBLE) / (ta + tb + {url_filter.STRENGTH}::DOUBLE) AS purity
-  FROM {last} p JOIN shares s USING (host, {', '.join(cols)}))
+  SELECT host, segs, (sum(b) OVER same + {url_filter.STRENGTH / 2}::DOUBLE) / (sum(a + b) OVER same + {url_filter.STRENGTH}::DOUBLE) AS purity
+  FROM {last} WINDOW same AS (PARTITION BY host, {', '.join(cols)}))
 SELECT page_id, host, path, rule, coalesce(told, CASE WHEN purity >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM cut JOIN judged USING (host, segs)
 """

@@ -2,19 +2,22 @@
 
 Rules judge first: of those that fit a url's host and path the longest wins. For the rest
 every host has a tree of path segments. Segments that vary become wildcards: those with
-digits by their form, others where a node has very many different children of which each
-is rare. Then sibling branches whose labels (allowed, blocked or not judged by a rule) are
-spread alike, by a chi-squared test of the branch against its siblings, are merged into
-one. A template is rejected where its smoothed share of blocked among labelled urls is
-high enough.
+digits by their form (an extension stays), others where a node has very many different
+children of which each is rare. Then sibling branches that are statistically alike are merged
+into one: what follows below them is spread alike, and the labels that rules give their urls
+do not differ, both by chi-squared tests of the branch against its siblings below which the
+same segment is the most frequent. A branch that no
+rule judges so shares the labels of siblings with the same structure, and a template is
+rejected where its smoothed share of blocked among labelled urls is high enough.
 
 The tree is built from distinct (host, segments) with counts, level by level with
-aggregates and joins on keys. A host with a third of all pages is as many rows as it has
+aggregates and joins on keys, for as many levels as paths still branch on; a path that is
+alone below its node is done. A host with a third of all pages is as many rows as it has
 different generalised paths, pre-aggregated before they move.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, which is a host
-like any other; segments after the first ``DEPTH`` are one segment; repeated rows count;
-an empty table gives an empty result.
+like any other; empty segments don't count; repeated rows count; a template without labels is
+allowed; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +38,11 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-DEPTH = 4
 #: A node with so many children has its rare ones (below this share) generalised.
 MANY, RARE = 20, 0.05
-#: 95th percentile of chi-squared with two degrees of freedom.
-SAME = 5.99
+#: Standard normal deviate of the tests' 95th percentile; a spread that is smaller than
+#: ``EFFECT`` (chi-squared by url) is none, however many urls show it.
+DEVIATE, EFFECT = 1.645, 0.02
 #: Purity is (blocked + STRENGTH / 2) / (labelled + STRENGTH); templates from REJECT on go.
 STRENGTH, REJECT = 10.0, 0.9
 
@@ -65,70 +68,104 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 
 def segments(path: Column) -> Column:
-    """``DEPTH + 1`` segments; those with digits, and the rest of a deep path, are wildcards."""
+    """The segments; those with digits are wildcards that keep an extension."""
     own = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(own, lambda s: F.when(s.rlike("[0-9]"), F.lit(_ANY)).otherwise(s))
-    deep = F.when(F.size(own) > DEPTH, F.lit("**")).otherwise(F.lit(""))
-    return F.concat(
-        F.transform(F.sequence(F.lit(0), F.lit(DEPTH - 1)), lambda i: F.coalesce(F.get(general, i), F.lit(""))), F.array(deep)
-    )
+    ending = lambda s: F.concat(F.lit(_ANY), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))
+    return F.transform(own, lambda s: F.when(s.rlike("[0-9]"), ending(s)).otherwise(s))
+
 
+def critical(freedom: Column) -> Column:
+    """The 95th percentile of chi-squared, by the cube-root approximation."""
+    part = F.lit(2.0) / (F.lit(9.0) * freedom)
+    return freedom * F.pow(F.lit(1.0) - part + F.lit(DEVIATE) * F.sqrt(part), F.lit(3.0))
 
-def _prefix(d: int) -> Column:
-    return F.array_join(F.slice("to", 1, d), _KEY) if d else F.lit("")
+
+def _level(tree: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    """Paths that go on at level ``d`` below a node that others go on from too, with ``at`` and ``seg``; and all others."""
+    placed = tree.withColumn("at", F.array_join(F.slice("to", 1, d), _KEY) if d else F.lit("")).withColumn("seg", F.get("to", F.lit(d)))
+    nodes = placed.where("open").groupBy("host", "at").agg(F.count_distinct("seg").alias("kids"), F.count(F.lit(1)).alias("paths"))
+    met = placed.where("open").join(nodes.where("paths > 1"), ["host", "at"], "left")
+    done = tree.where("not open").unionByName(met.where("kids is null").select(*tree.columns).withColumn("open", F.lit(False)))
+    return met.where("kids is not null"), done
 
 
 def _replaced(d: int, where: Column) -> Column:
     return F.transform("to", lambda s, i: F.when(where & (i == d), F.lit(_ANY)).otherwise(s))
 
 
+def _swept(tree: DataFrame, change, label: str) -> DataFrame:
+    """``change(met, d)`` (``host, at, seg`` that become wildcards) applied from the root down."""
+    own, d = tree.columns, 0
+    tree = durable(tree.withColumn("open", F.lit(True)), label)
+    while not tree.where("open").isEmpty():
+        met, done = _level(tree, d)
+        met = durable(met, "met")
+        varied = change(met, d).select("host", "at", "seg", F.lit(True).alias("varies"))
+        moved = met.join(varied, ["host", "at", "seg"], "left").withColumn("to", _replaced(d, F.coalesce("varies", F.lit(False))))
+        moved = moved.withColumn("open", F.size("to") > d + 1)
+        tree, d = durable(done.select(*tree.columns).unionByName(moved.select(*tree.columns)), label), d + 1
+    return tree.select(*own)
+
+
+def _rare(met: DataFrame, d: int) -> DataFrame:
+    """Children of nodes with very many, each of them rare."""
+    counted = met.where("seg is not null").groupBy("host", "at", "seg").agg(F.sum(F.col("a") + F.col("b") + F.col("n")).alias("c"))
+    nodes = counted.groupBy("host", "at").agg(F.count(F.lit(1)).alias("all_kids"), F.sum("c").alias("all")).where(F.col("all_kids") >= MANY)
+    named = counted.where(~F.startswith("seg", F.lit(_ANY)))
+    return named.join(nodes, ["host", "at"]).where(F.col("c") < F.col("all") * RARE)
+
+
+def _alike(met: DataFrame, d: int) -> DataFrame:
+    """Branches that are like the siblings of their sort: in what follows below them, and in labels where both have some.
+
+    Siblings are of a sort where the same segment is the most frequent below them.
+    """
+    cells = met.where("seg is not null").groupBy("host", "at", "seg", F.coalesce(F.get("to", F.lit(d + 1)), F.lit("")).alias("kid")).agg(
+        *[F.sum(x).alias(x) for x in "ab"], F.sum(F.col("a") + F.col("b") + F.col("n")).alias("c")
+    )
+    cells = durable(cells, "below")
+    tops = cells.groupBy("host", "at", "seg").agg(F.max(F.struct("c", "kid"))["kid"].alias("top"))
+    below = durable(cells.join(tops, ["host", "at", "seg"]).withColumn("at", F.struct("at", "top")), "sorted")
+    branches = below.groupBy("host", "at", "seg").agg(*[F.sum(x).alias(x) for x in ("a", "b", "c")])
+    nodes = branches.groupBy("host", "at").agg(*[F.sum(x).alias("all_" + x) for x in ("a", "b", "c")], F.count(F.lit(1)).alias("branches")).where("branches > 1")
+    kinds = below.groupBy("host", "at", "kid").agg(F.sum("c").alias("all_kid"))
+    freedom = kinds.groupBy("host", "at").agg((F.count(F.lit(1)) - 1).cast("double").alias("freedom"))
+    rest, own = F.col("all_c") - F.col("c"), F.col("c")
+    cells = (
+        below.select("host", "at", "seg", "kid", F.col("c").alias("got")).join(kinds, ["host", "at", "kid"])
+        .join(branches.select("host", "at", "seg", "c"), ["host", "at", "seg"]).join(nodes, ["host", "at"])
+    )
+    # Two samples' chi-squared: sum of (own * sqrt(rest/own) - others * sqrt(own/rest))^2 / all; kids that a branch lacks add all * own/rest.
+    gap = F.col("got") * F.sqrt(rest / own) - (F.col("all_kid") - F.col("got")) * F.sqrt(own / rest)
+    spread = cells.groupBy("host", "at", "seg").agg(
+        F.sum(gap * gap / F.col("all_kid")).alias("met"), F.sum("all_kid").alias("seen")
+    )
+    chi = F.col("met") + (F.col("all_c") - F.col("seen")) * own / rest
+    a, b, all_a, all_b = (F.col(x).cast("double") for x in ("a", "b", "all_a", "all_b"))
+    labelled, others = a + b, all_a + all_b - a - b
+    cross, margins = a * (all_b - b) - b * (all_a - a), labelled * others * all_a * all_b
+    told = F.when(margins > 0, cross * cross * (labelled + others) / margins).otherwise(0.0)
+    same = lambda x, size, freedom: (x < critical(freedom)) | (x < F.lit(EFFECT) * size)
+    return (
+        branches.join(nodes, ["host", "at"]).join(spread, ["host", "at", "seg"]).join(freedom, ["host", "at"])
+        .where((F.col("freedom") < 1) | same(chi, F.col("all_c"), F.col("freedom")))
+        .where(same(told, labelled + others, F.lit(1.0)))
+        .withColumn("at", F.col("at.at"))
+    )
+
+
 def template_tree(paths: DataFrame) -> DataFrame:
     """``host, segs, to`` (the template): ``paths`` has ``host, segs, a, b, n`` counts by label."""
-    tree = durable(paths.withColumn("to", F.col("segs")), "paths")
-    for d in range(DEPTH):
-        child = tree.withColumn("at", _prefix(d)).withColumn("seg", F.get("to", F.lit(d)))
-        counted = child.groupBy("host", "at", "seg").agg(F.sum(F.col("a") + F.col("b") + F.col("n")).alias("c"))
-        nodes = counted.where("seg <> ''").groupBy("host", "at").agg(F.count(F.lit(1)).alias("kids"), F.sum("c").alias("all"))
-        rare = (
-            counted.where(f"seg <> '' and seg <> '{_ANY}'").join(nodes.where(F.col("kids") >= MANY), ["host", "at"])
-            .where(F.col("c") < F.col("all") * RARE)
-            .select("host", "at", "seg", F.lit(True).alias("rare"))
-        )
-        tree = child.join(rare, ["host", "at", "seg"], "left").select(
-            "host", "segs", "a", "b", "n", _replaced(d, F.coalesce("rare", F.lit(False))).alias("to")
-        )
-        tree = durable(tree, "general")
-    for d in range(DEPTH):
-        child = tree.withColumn("at", _without(d)).withColumn("seg", F.get("to", F.lit(d)))
-        branches = child.groupBy("host", "at", "seg").agg(*[F.sum(x).alias(x) for x in "abn"])
-        nodes = branches.where("seg <> ''").groupBy("host", "at").agg(
-            *[F.sum(x).alias("all_" + x) for x in "abn"], F.count(F.lit(1)).alias("kids")
-        )
-        total = F.col("all_a") + F.col("all_b") + F.col("all_n")
-        own = F.col("a") + F.col("b") + F.col("n")
-        chi = F.lit(0.0)
-        for x in "abn":
-            for got, size in ((F.col(x), own), (F.col("all_" + x) - F.col(x), total - own)):
-                expected = F.col("all_" + x) * size / total
-                chi = chi + F.when(expected > 0, (got - expected) * (got - expected) / expected).otherwise(0.0)
-        alike = (
-            branches.where("seg <> ''").join(nodes.where("kids > 1"), ["host", "at"])
-            .where(chi < SAME)
-            .select("host", "at", "seg", F.lit(True).alias("alike"))
-        )
-        tree = child.join(alike, ["host", "at", "seg"], "left").select(
-            "host", "segs", "a", "b", "n", _replaced(d, F.coalesce("alike", F.lit(False))).alias("to")
-        )
-        tree = durable(tree, "merged")
-    return tree
-
-
-def _without(d: int) -> Column:
-    return F.array_join(F.transform("to", lambda s, i: F.when(i == d, F.lit("?")).otherwise(s)), _KEY)
+    general = _swept(paths.withColumn("to", F.col("segs")), _rare, "general")
+    return _swept(general, _alike, "merged")
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, keep: Sequence[str] = ()) -> DataFrame:
-    """``keep``'s columns and ``host, path, rule, verdict, template, purity`` per row of ``pages``."""
+    """``keep``'s columns and ``host, path, rule, verdict, template, purity`` per row of ``pages``.
+
+    A kept column with the name of one of these is left out.
+    """
+    keep = [c for c in keep if c.lower() not in ("host", "path", "rule", "verdict", "template", "purity")]
     host, path = host_and_path(F.col(url_col))
     read = pages.select(F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"), host.alias("host"), path.alias("path"))
     ruled = read.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
@@ -144,7 +181,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str
     verdicts = durable(
         tree.join(shares, ["host", "to"]).select(
             F.col("host").alias("h"), F.col("segs").alias("s"),
-            F.concat(F.lit("/"), F.array_join(F.filter("to", lambda x: x != ""), "/")).alias("template"),
+            F.concat(F.lit("/"), F.array_join("to", "/")).alias("template"),
             purity.alias("purity"),
         ),
         "verdicts",

@@ -478,6 +478,30 @@ def test_templates_generalise_and_reject(spark):
     assert got[2001]["verdict"] == "allow" and got[2000]["rule"] == "bad.org/ads/"
 
 
+def test_the_tree_rejects_urls_that_no_rule_judges(spark):
+    rules = (("block", "spam.org/de/"), ("block", "spam.org/fr/"), ("allow", "good.org/de/"), ("block", "mixed.org/de/"), ("allow", "mixed.org/fr/"))
+    rows = []
+    for h, host in enumerate(("spam.org", "good.org", "mixed.org", "none.org")):
+        for lang in ("de", "fr", "es"):
+            rows += [(len(rows), f"http://{host}/{lang}/a{i}{'.html' if i % 3 else ''}") for i in range(90)]
+        rows += [(len(rows), f"http://{host}/about/team/{'x' * (i % 7)}/page") for i in range(40)]
+        # Deep paths differ from the seventh segment on only.
+        rows += [(len(rows), f"http://{host}/a/b/c/d/e/f/{'bad' if i % 2 else 'fine'}/{i}") for i in range(200)]
+    deep = (("block", "none.org/a/b/c/d/e/f/bad/"), ("allow", "none.org/a/b/c/d/e/f/fine/"))
+    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in rows], "page_id long, url string, host int, path int")
+    got = url_filter.judge(pages, rules=rules + deep, keep=["page_id", "host", "path"])
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "template", "purity"]
+    table = {}
+    for r in got.collect():
+        first = r["path"].split("/")[1]
+        table.setdefault((r["host"], first), set()).add((r["rule"] is not None, r["verdict"]))
+    assert table["spam.org", "es"] == {(False, "block")}  # as its siblings by structure, all blocked
+    assert table["spam.org", "about"] == {(False, "allow")}  # of another structure
+    assert table["good.org", "es"] == {(False, "allow")} and table["mixed.org", "es"] == {(False, "allow")}
+    deep_templates = {(r["template"], r["verdict"]) for r in got.where("host = 'none.org' and path like '/a/%'").collect()}
+    assert deep_templates == {("/a/b/c/d/e/f/bad/*", "block"), ("/a/b/c/d/e/f/fine/*", "allow")}
+
+
 # Languages. -----------------------------------------------------------------------------------
 
 
