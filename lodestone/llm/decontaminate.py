@@ -1,13 +1,14 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams (DataFrame functions only).
 
 Words are runs of letters, digits and non-ASCII characters, with A-Z lower-cased. An
-item's windows are its runs of 10 words; an item of fewer words is one window. Documents
-are scanned word by word: the hash of the words at a position, as many as the shortest
-key needs (4 at most), is looked up in a hash set that every task holds. Where it hits,
-the words are cut out, compared as text with the windows, and every word inside a
-window's occurrence counts once.
+item's windows are its runs of 10 words; an item of fewer words is one window. Every run of
+a document of as many words as a window has is hashed and looked up in a hash set of the
+windows' hashes that every task holds. Where it hits, the words are cut out and compared as
+text with the window, and every word inside a window's occurrence counts once.
 
-The set's size is checked: beyond ``MAX_SET`` keys the lookup is a shuffled join instead.
+The set is broadcast in slices of at most ``MAX_SET`` hashes, one scan for each slice, so its
+size bounds no task and changes no method. Hits are rows of numbers by text, copies share
+theirs; items stay rows until they are a document's list.
 
 Defined cases: null text has no words; an item without words has no window; a window in
 several items counts for each; repeated items and rows count as they are; an empty
@@ -22,14 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.durable import durable, temporary_tables
-from lodestone.plans.keyed import content_key, drop_rows
+from lodestone.plans.keyed import content_key, drop_rows, filter_by_keys
 
 #: Words, before lower-casing: everything but ASCII that is no letter or digit.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Words hashed for the first lookup, and the most keys and windows that are broadcast.
-ANCHOR = 4
-MAX_SET = 200_000
+#: Hashes that are broadcast at once, 16 bytes each.
+MAX_SET = 1_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -40,153 +40,114 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def _word_hash(word: Column) -> Column:
+    # Full lower-casing maps all spellings that agree in A-Z to one, which is all a first lookup needs.
+    return F.xxhash64(F.lower(word))
+
+
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``text, n, items, anchor`` per distinct window: its words, their number, its items, its key."""
+    """``item, n, key, text`` per distinct window of an item: its number of words, its hash, its words."""
     items = benchmark.select(
         F.col(id_col).cast("string").alias("item"), F.transform(words(F.col(text_col)), lower_ascii).alias("w")
     ).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))
-    cut = items.select("item", "w", F.explode(starts).alias("at")).select(
-        "item", F.slice("w", F.col("at"), window).alias("w")
+    cut = items.select("item", F.explode(F.transform(starts, lambda at: F.slice("w", at, window))).alias("w")).distinct()
+    return cut.select(
+        "item", F.size("w").alias("n"), F.xxhash64(F.transform("w", _word_hash)).alias("key"), F.array_join("w", " ").alias("text")
     )
-    return (
-        cut.groupBy("w")
-        .agg(F.collect_set("item").alias("items"))
-        .select(
-            F.array_join("w", " ").alias("text"),
-            F.size("w").alias("n"),
-            "items",
-            F.least(F.size("w"), F.lit(ANCHOR)).alias("k"),
-            F.transform("w", _word_hash).alias("h"),
-        )
-        .select("text", "n", "items", "k", _anchor(F.col("h"), F.lit(0), F.col("k")).alias("anchor"))
-    )
-
-
-def _word_hash(word: Column) -> Column:
-    # Full lower-casing maps all spellings that agree in A-Z to one, which is all a first lookup needs.
-    return F.xxhash64(F.lower(word))
-
-
-def _anchor(hashes: Column, at: Column, k: Column | int) -> Column:
-    if isinstance(k, int):
-        return F.xxhash64(*[F.get(hashes, at + i) for i in range(k)])
-    kinds = F.when(k == 1, _anchor(hashes, at, 1))
-    for i in range(2, ANCHOR + 1):
-        kinds = kinds.when(k == i, _anchor(hashes, at, i))
-    return kinds
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")
-    ).select("row", "id", "w", F.transform("w", _word_hash).alias("h"))
-
-
-def _cut_out(at: Column) -> Column:
-    return F.struct(
-        at.alias("at"), F.transform(F.slice(F.col("w"), at + 1, WINDOW), lower_ascii).alias("w")
-    )
+def _text_key(text_col: str) -> Column:
+    return content_key(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def find_hits(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", max_set: int = MAX_SET,
-) -> tuple[DataFrame, DataFrame]:
-    """``(row, id, n_words)`` of all documents, and ``(row, at, n, items)`` of all occurrences (``at`` from 0)."""
-    table = durable(windows(benchmark, item_col, item_text_col), "windows")
-    keys = [r for r in table.groupBy("k", "n").agg(F.count(F.lit(1)).alias("c")).collect()]  # at most 13 rows
-    lengths, kinds = sorted({r["n"] for r in keys}), sorted({r["k"] for r in keys})
-    total = sum(r["c"] for r in keys)
-    scanned = _scanned(docs, id_col, text_col)
-    if total <= max_set:
-        sets = {k: [] for k in kinds}
-        for r in table.select("k", "anchor").distinct().toLocalIterator():  # no more than max_set
-            sets[r["k"]].append(r["anchor"])
-        places = F.filter(F.transform("h", _hits_at(sets)), lambda i: i.isNotNull())
-        listed = durable(
-            scanned.select("row", "id", F.size("w").cast("long").alias("n_words"), "w", places.alias("places"))
-            .select("row", "id", "n_words", F.transform("places", _cut_out).alias("cuts")),
-            "cuts",
-        )
-        cuts = listed.select("row", F.explode("cuts").alias("c"))
-    else:
-        numbered = durable(docs.select(id_col, text_col), "texts")
-        scanned = durable(_scanned(numbered, id_col, text_col), "scanned")
-        listed = scanned.select("row", "id", F.size("w").cast("long").alias("n_words"))
-        cuts = None
-        for k in kinds:
-            asked = scanned.select("row", F.explode(F.transform("h", _keys_at(k))).alias("x")).select("row", "x.at", "x.anchor")
-            met = asked.join(table.where(F.col("k") == k).select("anchor").distinct(), "anchor", "left_semi").select("row", "at")
-            cuts = met if cuts is None else cuts.unionByName(met)
-        cuts = (
-            cuts.distinct()
-            .join(scanned.select("row", "w"), "row")
-            .select("row", _cut_out(F.col("at")).alias("c"))
+    docs: DataFrame, table: DataFrame, text_col: str = "text", max_set: int = MAX_SET
+) -> DataFrame:
+    """``k1, k2, at, n, text`` of all occurrences (``at`` from 0) of the windows in ``table`` in the distinct texts of ``docs``."""
+    spark = docs.sparkSession
+    keys = durable(table.select("n", "key").distinct(), "keys")
+    sizes = {r["n"]: r["c"] for r in keys.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most WINDOW rows
+    slices = max(1, -(-sum(sizes.values()) // max(1, max_set)))
+    scanned = docs.select(_text_key(text_col).alias("k"), F.transform(words(F.col(text_col)), _word_hash).alias("h"))
+    run = lambda n: F.when(F.size("h") >= n, F.transform(
+        F.sequence(F.lit(0), F.size("h") - n), lambda at: F.struct(F.lit(n).alias("n"), at.alias("at"), F.xxhash64(F.slice("h", at + 1, n)).alias("key"))
+    )).otherwise(F.array().cast("array<struct<n:int,at:int,key:bigint>>"))
+    found = spark.createDataFrame([], "k1 bigint, k2 bigint, n int, at int, key bigint")
+    for part in range(slices) if sizes else ():
+        runs = scanned.select("k.k1", "k.k2", F.explode(F.concat(*[run(n) for n in sorted(sizes)])).alias("r")).select("k1", "k2", "r.*")
+        own = keys.where(F.pmod(F.col("key"), F.lit(slices)) == part) if slices > 1 else keys
+        found = found.unionByName(durable(runs.join(F.broadcast(own), ["n", "key"]).select("k1", "k2", "n", "at", "key"), "met"))
+    found = durable(found.distinct(), "found")
+    texts = durable(found.select("k1", "k2").distinct(), "texts")
+    held = filter_by_keys(docs.select(_text_key(text_col).alias("k"), F.col(text_col).alias("text")).select("k.*", "text"), texts, ["k1", "k2"])
+    cut = held.dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("w")).join(found, ["k1", "k2"]).select(
+        "k1", "k2", "n", "at", "key", F.array_join(F.transform(F.slice("w", F.col("at") + 1, F.col("n")), lower_ascii), " ").alias("text")
+    )
+    kinds = table.select("n", "key", "text").distinct()
+    return cut.join(kinds, ["n", "key", "text"], "left_semi").select("k1", "k2", "at", "n", "text")
+
+
+def _merged(spans: Column) -> Column:
+    """Spans ``(at, end)`` without overlaps, in order."""
+    kind = "array<struct<at:int,end:int>>"
+    span = lambda at, end: F.struct(at.alias("at"), end.alias("end"))
+    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("struct<at:int,end:int>").alias("open"))
+
+    def add(acc: Column, s: Column) -> Column:
+        apart = acc["open"].isNull() | (s["at"] > acc["open"]["end"])
+        closed = F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+        return F.struct(
+            F.when(apart, closed).otherwise(acc["done"]).alias("done"),
+            F.when(apart, span(s["at"], s["end"])).otherwise(span(acc["open"]["at"], F.greatest(s["end"], acc["open"]["end"]))).alias("open"),
         )
-    shown = F.filter(
-        F.array(*[F.when(F.size("c.w") >= n, F.struct(F.lit(n).alias("n"), F.array_join(F.slice("c.w", 1, n), " ").alias("text"))) for n in lengths]),
-        lambda x: x.isNotNull(),
-    ) if lengths else F.array().cast("array<struct<n:int,text:string>>")
-    tried = cuts.select("row", F.col("c.at").alias("at"), F.explode(shown).alias("x")).select("row", "at", "x.text")
-    known = table.select("text", "n", "items")
-    hits = tried.join(F.broadcast(known) if total <= max_set else known, "text").select("row", "at", "n", "items")
-    return listed.select("row", "id", "n_words"), hits
-
-
-
-def _hits_at(sets: dict[int, list[int]]):
-    """Position ``i`` where one of the sets has the key of the words from there on, else null."""
-
-    def test(_: Column, i: Column) -> Column:
-        found = F.lit(False)
-        for k, anchors in sets.items():
-            found = found | _anchor(F.col("h"), i, k).isin(anchors)
-        return F.when(found, i)
 
-    return test
+    return F.aggregate(F.sort_array(spans), zero, add, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
 
-def _keys_at(k: int):
-    return lambda _, i: F.struct(i.alias("at"), _anchor(F.col("h"), i, k).alias("anchor"))
-
-
-def _covered(spans: Column) -> Column:
-    """The number of words inside of one or more of the spans ``(at, end)``."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
-    return F.aggregate(
-        F.sort_array(spans),
-        start,
-        lambda acc, s: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["at"], acc["to"]))).alias("n"),
-            F.greatest(acc["to"], s["end"]).alias("to"),
-        ),
-        lambda acc: acc["n"],
-    )
+def marked_texts(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_set: int = MAX_SET,
+) -> DataFrame:
+    """``k1, k2, n_hit, items, spans`` per distinct text of ``docs`` that holds a window; spans in words, ends exclusive, without overlaps."""
+    table = durable(windows(benchmark, item_col, item_text_col), "windows")
+    hits = durable(find_hits(docs, table, text_col, max_set), "hits")
+    spans = hits.groupBy("k1", "k2").agg(_merged(F.collect_set(F.struct(F.col("at"), (F.col("at") + F.col("n")).alias("end")))).alias("spans"))
+    named = durable(hits.select("k1", "k2", "n", "text").distinct(), "named")
+    items = named.join(table.select("n", "text", "item"), ["n", "text"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["at"])
+    return durable(spans.join(items, ["k1", "k2"]).select("k1", "k2", covered.alias("n_hit"), "items", "spans"), "marked", keep=True)
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", max_set: int = MAX_SET,
 ) -> DataFrame:
-    """``row, id, n_words, n_hit, n_items, items, spans`` per row of ``docs``; spans in words, ends exclusive."""
-    listed, hits = find_hits(docs, benchmark, id_col, text_col, item_col, item_text_col, max_set)
-    by_row = hits.groupBy(F.col("row").alias("r")).agg(
-        F.collect_set(F.struct(F.col("at"), (F.col("at") + F.col("n")).alias("end"))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    """``id, n_words, n_hit, n_items, items, spans`` per row of ``docs``; spans in words, ends exclusive, without overlaps."""
+    marked = marked_texts(docs, benchmark, text_col, item_col, item_text_col, max_set)
+    rows = docs.select(
+        F.col(id_col), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"), _text_key(text_col).alias("k")
     )
+    joined = rows.join(marked, (F.col("k.k1") == F.col("k1")) & (F.col("k.k2") == F.col("k2")), "left")
     none = F.array().cast("array<struct<at:int,end:int>>")
-    return listed.join(by_row, F.col("row") == F.col("r"), "left").select(
-        "row",
-        F.col("id").alias(id_col),
-        "n_words",
-        F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
+    return joined.select(
+        id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce(F.sort_array("spans"), none).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"),
     )
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` without the words in ``spans`` and what follows each of them up to the next word."""
+    gaps, found = F.split(text, WORD, -1), words(text)
+    whole = F.zip_with(found, F.slice(gaps, 2, F.size(found)), lambda w, gap: F.concat(w, gap))
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["at"]), F.array(F.size(found)))
+    ranges = F.zip_with(starts, ends, lambda at, end: F.struct(at.alias("at"), end.alias("end")))
+    kept = lambda x: F.flatten(F.transform(ranges, lambda r: F.slice(x, r["at"] + 1, r["end"] - r["at"])))
+    left = F.get(F.transform(F.array(whole), kept), F.lit(0))
+    return F.concat(F.get(gaps, F.lit(0)), F.array_join(left, ""))
+
+
 def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, mode: str = "documents", id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
@@ -194,27 +155,13 @@ def remove_contaminated(
     """``docs`` without the documents that hold a window, or (``mode="spans"``) without the words hit."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    if mode == "documents":
-        key = content_key(F.col(text_col))  # what a text holds is the same in all its copies
-        with temporary_tables(docs.sparkSession):
-            keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-            marked = contamination(keyed, benchmark, "key", "text", item_col, item_text_col)
-            gone = durable(marked.where("n_hit > 0").select("key.*").distinct(), "gone", keep=True)
-        return drop_rows(docs, key, gone, gone.limit(0))
-    numbered = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    marked = contamination(
-        numbered.select(F.col("__row").alias("key"), F.col(text_col).alias("text")),
-        benchmark, "key", "text", item_col, item_text_col,
-    ).where("n_hit > 0").select(F.col("key").alias("__hit"), F.col("spans").alias("__spans"))
-    on = F.col("__row") == F.col("__hit")
-    hit = lambda i: F.exists("__spans", lambda s: (s["at"] <= i) & (i < s["end"]))
-    gaps = F.split(F.col(text_col), WORD, -1)
-    parts = F.transform(
-        words(F.col(text_col)),
-        lambda w, i: F.when(hit(i), F.lit("")).otherwise(F.concat(w, F.get(F.col("__gaps"), i + 1))),
-    )
-    text = F.when(
-        F.col("__spans").isNull(), F.col(text_col)
-    ).otherwise(F.concat(F.get(F.col("__gaps"), F.lit(0)), F.array_join(parts, "")))
-    joined = numbered.join(marked, on, "left").withColumn("__gaps", gaps)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    with temporary_tables(docs.sparkSession):
+        marked = marked_texts(docs, benchmark, text_col, item_col, item_text_col)
+    if mode == "documents":  # what a text holds is the same in all its copies
+        gone = marked.select("k1", "k2")
+        return drop_rows(docs, _text_key(text_col), gone, gone.limit(0))
+    rows = docs.select(F.struct(*docs.columns).alias("own"), _text_key(text_col).alias("k"))
+    joined = rows.join(marked.select("k1", "k2", "spans"), (F.col("k.k1") == F.col("k1")) & (F.col("k.k2") == F.col("k2")), "left")
+    text = F.col("own").getField(text_col)
+    cut = F.when(F.col("spans").isNull(), text).otherwise(_without(text, F.col("spans")))
+    return joined.select(*[cut.alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in docs.columns])

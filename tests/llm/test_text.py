@@ -282,7 +282,7 @@ LEAKS = [
 ]
 
 
-@pytest.mark.parametrize("max_set", [200_000, 0])
+@pytest.mark.parametrize("max_set", [1_000_000, 3])
 def test_contamination(spark, odd_rows, max_set):
     rows = [*odd_rows, *LEAKS]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -301,6 +301,8 @@ def test_removal(spark, odd_rows):
     cut = decontaminate.remove_contaminated(docs, items, "spans")
     assert cut.count() == len(rows) and decontaminate.contamination(cut, items).where("n_hit > 0").count() == 0
     assert {r["doc_id"]: r["text"] for r in cut.collect()}[500] == "before after "
+    odd = spark.createDataFrame([(1, f"a {PASSAGE}, b " * 3, 7, 8)], "doc_id long, text string, k1 int, spans int")
+    assert [tuple(r) for r in decontaminate.remove_contaminated(odd, items, "spans").collect()] == [(1, "a b a b a b ", 7, 8)]
     none = items.limit(0)
     assert decontaminate.remove_contaminated(docs, none).count() == len(rows)
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
