@@ -2,7 +2,8 @@
 
 The evidence is a text's byte pairs, the language that its markup declares, the suffix of
 its address and its host. Byte pairs are scored against a table per language, counted over
-all documents under their declared language. Hosts and suffixes have priors: documents
+documents under their declared language: a text is scored with tables of the other half of all
+texts, so what it declares itself is not counted twice. Hosts and suffixes have priors: documents
 are counted by host, suffix and likeliest language by text alone, and a host's shares are
 smoothed with its suffix's, these with the shares over all documents.
 
@@ -56,16 +57,19 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
-def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte pairs of all texts, without pairs of spaces, and the text each belongs to."""
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte pairs of all texts, without pairs of spaces, the text each belongs to, and the half each text is in."""
+    import xxhash
+
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    half = np.array([xxhash.xxh64_intdigest(r, 42) & 1 for r in raw], np.int64)
     buf = LETTERS[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
     pair = (buf[:-1].astype(np.int32) << 8) | buf[1:]
     lengths = np.array([len(r) + 1 for r in raw])
     lengths[0] += len(pair) - lengths.sum() if len(raw) else 0
     owner = np.repeat(np.arange(len(raw)), lengths)
     some = pair != (32 << 8 | 32)
-    return pair[some], owner[some]
+    return pair[some], owner[some], half
 
 
 def _blocks(values: pa.Array) -> Iterator[list[str]]:
@@ -82,21 +86,22 @@ def _blocks(values: pa.Array) -> Iterator[list[str]]:
 
 
 def train(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", languages: Sequence[str] = LANGUAGES) -> np.ndarray:
-    """Logarithms of byte-pair probabilities, one row per language and a last one for ``und``.
+    """Logarithms of byte-pair probabilities for each half of the texts: a row per language and a last one for ``und``.
 
-    Tasks count in a table of fixed size and hand over its non-zero cells; what reaches
-    the driver is at most 65,536 cells per language.
+    A half's tables are counted over the other half, those of a language that has no text
+    there over its own. Tasks count in a table of fixed size and hand over its non-zero cells;
+    what reaches the driver is at most 131,072 cells per language.
     """
     place = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(place), _PAIRS), np.int64)
+        counts = np.zeros((2, len(place), _PAIRS), np.int64)
         for batch in batches:
             names = [place[x] for x in batch.column(0).to_pylist()]
             done = 0
             for texts in _blocks(batch.column(1)):
-                pair, owner = _pairs(texts)
-                which = np.array(names[done : done + len(texts)])[owner]
+                pair, owner, half = _pairs(texts)
+                which = (half * len(place) + np.array(names[done : done + len(texts)]))[owner]
                 counts += np.bincount(which.astype(np.int64) * _PAIRS + pair, minlength=counts.size).reshape(counts.shape)
                 done += len(texts)
         flat = counts.ravel()
@@ -107,9 +112,13 @@ def train(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", l
         docs.where(F.col(declared_col).isin(*languages)).select(declared_col, text_col)
         .mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     )
-    table = np.zeros(len(languages) * _PAIRS)
+    table = np.zeros(2 * len(languages) * _PAIRS)
     table[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
-    table = table.reshape(len(languages), _PAIRS)
+    halves = table.reshape(2, len(languages), _PAIRS)
+    return np.stack([_logs(np.where(other.sum(axis=1, keepdims=True) > 0, other, own)) for own, other in (halves, halves[::-1])])
+
+
+def _logs(table: np.ndarray) -> np.ndarray:
     total = table.sum(axis=1, keepdims=True)
     share = np.divide(table, total, out=np.full_like(table, 1 / _PAIRS), where=total > 0)
     share = (1 - FLOOR) * share + FLOOR / _PAIRS
@@ -119,9 +128,10 @@ def train(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", l
 
 def score_texts(model: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Mean logarithm per language and text, and the number of pairs of each text."""
-    pair, owner = _pairs(texts)
+    pair, owner, half = _pairs(texts)
     n = np.bincount(owner, minlength=len(texts))
-    sums = np.stack([np.bincount(owner, row[pair], len(texts)) for row in model], axis=1)
+    cell = half[owner] * _PAIRS + pair
+    sums = np.stack([np.bincount(owner, model[:, i].ravel()[cell], len(texts)) for i in range(model.shape[1])], axis=1)
     return sums / np.maximum(n, 1)[:, None], n
 
 
@@ -132,13 +142,13 @@ def _with_scores(docs: DataFrame, model: np.ndarray, columns: Sequence[str], ins
     a text that is passed on is not passed twice.
     """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)  # languages * 256 KB
+    shared = context.broadcast(model)  # languages * 512 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts_of = batch.column(0).field(inside) if inside else batch.column(batch.num_columns - 1)
             got = [score_texts(shared.value, texts) for texts in _blocks(texts_of)]
-            mean = np.concatenate([g[0] for g in got]) if got else np.zeros((0, len(shared.value)))
+            mean = np.concatenate([g[0] for g in got]) if got else np.zeros((0, shared.value.shape[1]))
             n = np.concatenate([g[1] for g in got]) if got else np.zeros(0)
             ll = mean * np.minimum(n, TEXT_PAIRS)[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel(), pa.float64()))
