@@ -6,7 +6,9 @@ bins), and neighbouring labels have a potential of their own. The forward-backwa
 algorithm gives each line's marginal; their mean, weighted by line length, is the score.
 
 The field is fitted on at most ``SAMPLE`` labelled documents of each label, drawn by a hash
-of their ids among those that are not held out; a document's label is its lines' label.
+of their ids among those that are not held out; a document's label is its lines' label. Long
+documents give several chains of ``CHAIN`` lines, of which again ``SAMPLE`` by label are drawn,
+so what reaches the driver is bounded and no document is left out for its length.
 Scoring is one pass over all texts, batch by batch, with the few hundred weights in the task.
 
 Defined cases: null text is the empty text; an empty text is one empty line; blank lines
@@ -25,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents fitted on, for each label, and their most lines.
-SAMPLE, SAMPLE_LINES = 1500, 5000
+#: Most labelled documents, and most chains of lines, fitted on for each label; lines in a chain
+#: (60 bytes each: at most 2 * SAMPLE * CHAIN * 60 bytes, 46 MB, reach the driver).
+SAMPLE, CHAIN = 1500, 256
 #: Characters worked on at once.
 BLOCK_CHARS = 2_000_000
 BINS, STEPS, RATE, DECAY = 8, 150, 0.1, 1e-4
@@ -224,12 +227,15 @@ def held_out(id_column: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``label, id, at, features`` of each chain of a document's lines."""
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            features, _, counts = line_features([text.as_py() or ""])
-            if counts[0] <= SAMPLE_LINES:
-                row = [pa.array([int(label)], pa.int32()), pa.array([features.astype("<f4").tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["label", "features"])
+        for label, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            features, _, _ = line_features([text.as_py() or ""])
+            for at in range(0, len(features), CHAIN):
+                chain = pa.array([features[at : at + CHAIN].astype("<f4").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(label)], pa.int32()), pa.array([key], pa.string()), pa.array([at], pa.int32()), chain], ["label", "id", "at", "features"]
+                )
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field:
@@ -244,13 +250,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k in (0, 1):
         own = usable.where(F.col("label") == k).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
         drawn = own if drawn is None else drawn.unionByName(own)
-    rows = (
+    chains = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(drawn), "id")  # 2 * sample rows at most
-        .select("label", "text")
-        .mapInArrow(_sampled, "label int, features binary")
-        .collect()
+        .select("label", F.col("id").cast("string").alias("id"), "text")
+        .mapInArrow(_sampled, "label int, id string, at int, features binary")
     )
+    order = [F.xxhash64("id", "at"), "id", "at", "features"]
+    rows = [r for k in (0, 1) for r in chains.where(F.col("label") == k).orderBy(*order).limit(sample).collect()]
     parts = [np.frombuffer(r["features"], "<f4").reshape(-1, N_FEATURES).astype(float) for r in rows]
     counts = np.array([len(p) for p in parts], np.int64)
     return fit(np.concatenate(parts) if parts else np.zeros((0, N_FEATURES)), counts, np.array([r["label"] for r in rows], np.int64))
