@@ -149,6 +149,10 @@ def tokens(page: str, by_class: bool = True) -> list[tuple[str, str, str]]:
     return out
 
 
+#: Tags that are counted by name; all others are of one kind.
+NAMED = BLOCK | VOID | MARKS | TEXT_TAGS | frozenset("a div section span article main body html".split())
+
+
 def label_counts(page: str) -> Counter | None:
     """Counts of tags and of words by nearest tag, inside and outside of the only article; None without one."""
     found = tokens(page)
@@ -159,7 +163,7 @@ def label_counts(page: str) -> Counter | None:
         if name == "article" and kind != "text":
             inside = kind == "open"
             continue
-        counts[("word" if kind == "text" else "tag", name, inside)] += len(value.split()) if kind == "text" else 1
+        counts[("word" if kind == "text" else "tag", name if name in NAMED else "", inside)] += len(value.split()) if kind == "text" else 1
     return counts
 
 
@@ -181,9 +185,10 @@ class Weights:
             self.tags[name] = -0.01
 
     def of(self, kind: str, name: str, value: str) -> float:
+        known = name if name in NAMED else ""
         if kind == "text":
-            return self.words.get(name, 0.5) * len(value.split())
-        return self.tags.get(name, _unlabelled(name))
+            return self.words.get(known, 0.5) * len(value.split())
+        return self.tags.get(known, _unlabelled(name))
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -271,7 +276,10 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from ``sample`` pages with one article at most, drawn by a hash of their html."""
+    """Weights from ``sample`` different pages with one article at most, those of the lowest hashes of their html.
+
+    What reaches the driver is a count per name in ``NAMED`` and place.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -285,22 +293,21 @@ def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Wei
             ["kind", "name", "inside", "n"],
         )
 
-    marked = pages.select(F.col(html_col).alias("html")).where(F.lower("html").contains("<article"))
-    # A cut by hash keeps the sample near its bound without sorting pages; the limit makes it certain.
-    total = marked.count()
-    parts = max(1, total // max(1, sample))
-    drawn = marked.where(F.pmod(F.xxhash64("html"), F.lit(parts)) == 0).limit(sample)
+    marked = pages.select(F.col(html_col).alias("html")).where(F.lower("html").contains("<article")).select("html", F.xxhash64("html").alias("h"))
+    lowest = marked.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(sample)
+    # Copies of a page are one; each task hands on a page once.
+    drawn = marked.join(F.broadcast(lowest), "h", "left_semi").dropDuplicates(["h"]).select("html")
     counts = (
         drawn.mapInArrow(count, "kind string, name string, inside boolean, n bigint")
         .groupBy("kind", "name", "inside").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "kind", "name", "inside").limit(10_000)
         .collect()
     )
     return Weights(Counter({(r["kind"], r["name"], r["inside"]): r["n"] for r in counts}))
 
 
 def extract_pages(pages: DataFrame, weights: Weights, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep``'s columns, ``text`` and ``n_chars`` per row of ``pages``."""
+    """``keep``'s columns, ``text`` and ``n_chars`` per row of ``pages``; a kept column with one of these names is left out."""
+    keep = tuple(c for c in keep if c.lower() not in ("text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
