@@ -10,9 +10,10 @@ document at the cut would mostly overshoot, so up to ``FILLS`` that are left out
 the rest best are taken in its place.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in
-order; a source without words has target 0; documents of equal ``u`` (repeated ids)
-are told apart by their id only, so repeated rows win or lose together; an empty
-table gives an empty result. ``u`` comes from a digest of the id, so reruns agree.
+order; a source without words has target 0; rows of one id and source win or lose together
+and are drawn with the words of all of them, a row with a null id has its text's digest for
+an id; a source whose certain copies use up its target takes nobody more; an empty table
+gives an empty result. ``u`` comes from a digest of the id, so reruns agree.
 """
 
 from __future__ import annotations
@@ -127,9 +128,9 @@ def draw(sized: DataFrame, targets: DataFrame, max_repeat: int = 3) -> DataFrame
         .join(certain, F.col("s1").eqNullSafe(F.col("source")), "left")
         .select("s1", "source_size", "target", (F.col("target") - F.coalesce("certain", F.lit(0))).alias("rest"))
     )
-    lottery = odds.where("q is not null").withColumn(
-        "slice", F.floor(F.col("q") / (1 + F.col("q")) * SLICES).cast("int")
-    )
+    # Rows of one id are one ticket with the words of all.
+    tickets = durable(odds.where("q is not null").groupBy("source", "q", "id").agg(F.sum("size").alias("size")), "tickets")
+    lottery = tickets.withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * SLICES).cast("int"))
     slices = lottery.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     cut_slice = (
@@ -139,7 +140,6 @@ def draw(sized: DataFrame, targets: DataFrame, max_repeat: int = 3) -> DataFrame
         .groupBy("s1")
         .agg(F.min("slice").alias("at"), F.min_by("base", "slice").alias("base"), F.min("rest").alias("rest"))
     )
-    # A source whose rest is below zero by rounding takes nobody: its cut is its first slice.
     cut_slice = durable(cut_slice, "cut")
     inside = Window.partitionBy("source").orderBy("q", "id").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
@@ -149,13 +149,15 @@ def draw(sized: DataFrame, targets: DataFrame, max_repeat: int = 3) -> DataFrame
         .groupBy(F.col("source").alias("s2"))
         .agg(F.min(F.struct("q", "id")).alias("cut"))
     )
+    # Without a cut everybody is taken, or nobody where the certain copies are too much already.
     params = durable(
-        rest.join(cut, F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("s1", "source"),
+        rest.join(cut, F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("s1", "source")
+        .withColumn("everybody", F.col("cut").isNull() & (F.col("rest") >= 0)),
         "draw",
     )
-    p = params.select(F.col("source").alias("s3"), "rest", "cut")
+    p = params.select(F.col("source").alias("s3"), "rest", "cut", "everybody")
     at = lottery.join(p, F.col("source").eqNullSafe(F.col("s3"))).withColumn("me", F.struct("q", "id"))
-    inside_cut = F.col("cut").isNull() | (F.col("me") < F.col("cut"))
+    inside_cut = F.col("everybody") | F.coalesce(F.col("me") < F.col("cut"), F.lit(False))
     none = F.array().cast(f"array<struct<q:double,id:{sized.schema['id'].dataType.simpleString()}>>")
     state = durable(
         at.groupBy(F.col("s3").alias("s4"))
@@ -183,7 +185,7 @@ def draw(sized: DataFrame, targets: DataFrame, max_repeat: int = 3) -> DataFrame
         )
     return (
         params.join(state, F.col("source").eqNullSafe(F.col("s4")), "left")
-        .select("source", "source_size", "target", "cut", "fills")
+        .select("source", "source_size", "target", "cut", "everybody", "fills")
     )
 
 
@@ -191,12 +193,12 @@ def take(sized: DataFrame, drawn: DataFrame, max_repeat: int = 3) -> DataFrame:
     """``sized`` with ``source_size, target, copies``; the draw's table is one row per source."""
     me = F.struct("q", "id")
     won = F.col("q").isNotNull() & (
-        F.col("cut").isNull() | (me < F.col("cut")) | F.coalesce(F.array_contains("fills", me), F.lit(False))
+        F.col("everybody") | F.coalesce(me < F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("fills", me), F.lit(False))
     )
     return (
         _with_odds(sized, drawn, max_repeat)
         .withColumn("copies", F.col("whole") + won.cast("long"))
-        .drop("cut", "fills", "q", "whole")
+        .drop("cut", "everybody", "fills", "q", "whole")
     )
 
 
@@ -204,15 +206,17 @@ def sized_documents(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weight_col: str | None = None, seed: str = "mix-1", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``id, source, size, rel, u`` of every document, and the columns in ``keep`` as they are."""
+    """``id, own_id, source, size, rel, u`` of every document, and the columns in ``keep`` as they are; ``id`` names a ticket."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text|"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     rel = F.lit(1.0) if weight_col is None else F.greatest(F.lit(0.0), F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)))
     return docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("kept") if keep else F.lit(None).cast("string").alias("kept"),
-        F.col(id_col).alias("id"),
+        name.alias("id"),
+        F.col(id_col).alias("own_id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         rel.alias("rel"),
-        uniform(F.col(id_col), seed).alias("u"),
+        uniform(name, seed).alias("u"),
     )
 
 
@@ -251,4 +255,4 @@ def mix_sources(
     else:
         full = sized
     out = take(full, drawn, max_repeat).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select("kept.*", *columns) if keep else out.select(F.col("id").alias(id_col), *columns)
+    return out.select("kept.*", *columns) if keep else out.select(F.col("own_id").alias(id_col), *columns)

@@ -59,10 +59,27 @@ def test_mix_weights_are_odds(spark):
 
 def test_mix_odd_rows(spark, odd_rows):
     got = mixing.mix_sources(documents(spark, odd_rows)).toPandas()
-    assert len(got) == len(odd_rows) and all(got.copies >= 0) and all(got.copies <= 4)
+    assert len(got) == len(odd_rows) and all(got.copies >= 0) and all(got.copies <= 3)
     assert mixing.mix_sources(documents(spark, [])).count() == 0
 
 
+def test_mix_with_repeated_and_null_ids_comes_near_its_targets(spark):
+    rows = [(i % 40 if i % 3 else None, "w " * (1 + i % 17) + f"x{i}", "en", "abc"[i % 3]) for i in range(1200)]
+    got = mixing.mix_sources(documents(spark, rows), keep=["doc_id", "source"]).toPandas()
+    for _, own in got.groupby("source"):
+        size, target = own["size"].sum(), own.target.iloc[0]
+        largest = own.groupby("doc_id", dropna=True)["size"].sum().max() if own.doc_id.notna().any() else own["size"].max()
+        assert abs(own.taken.sum() - target) <= max(18, largest / 2) and size == own.source_size.iloc[0]
+    assert len(got) == len(rows) and got.copies.between(0, 3).all()
+
+
+def test_certain_copies_beyond_the_target_leave_nobody_else(spark):
+    rows = [(i, "w " * 10, "en", "a") for i in range(100)]
+    docs = documents(spark, rows).withColumn("odds", F.when(F.col("doc_id") == 0, 1000.0).otherwise(1.0))
+    got = mixing.mix_sources(docs, share=0.02, weight_col="odds").toPandas()
+    assert got.taken.sum() <= 30
+
+
 def brute_groups(rows):
     norm = [re.sub(WS, " ", t or "") for _, t, *_ in rows]
     out = []

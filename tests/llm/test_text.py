@@ -1,14 +1,17 @@
 """Personal data, decontamination, quality, extraction, urls, languages: against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 import regex as uregex
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, html_extract, language_id, oracles, pii, quality, queries, url_filter
@@ -538,3 +541,95 @@ def test_languages_of_odd_rows(spark, odd_rows):
 def test_languages_of_pages(spark, data_dir):
     got = queries.language_id_pages(spark, data_dir).toPandas()
     assert (got.language == got.declared_language).mean() > 0.9
+
+
+def brute_language(rows, languages=("de", "en", "es", "fr")):
+    """``language, by_text`` of ``(text, declared, host)`` by plain loops."""
+    def pairs(text):
+        raw = b" " + (text or "").encode() + b" "
+        flat = bytes(c if c >= 128 else c | 32 if chr(c).isalpha() else 32 for c in raw)
+        return [flat[i : i + 2] for i in range(len(flat) - 1) if flat[i : i + 2] != b"  "]
+
+    half = [xxhash.xxh64_intdigest((t or "").encode(), 42) & 1 for t, _, _ in rows]
+    counts = {(h, x): Counter() for h in (0, 1) for x in languages}
+    for (text, said, _), h in zip(rows, half, strict=True):
+        if said in languages:
+            counts[h, said].update(pairs(text))
+    logs, und = {}, {}
+    for h in (0, 1):
+        usual = []
+        for x in languages:
+            table = counts[1 - h, x] or counts[h, x]
+            total, floor = sum(table.values()), 0.001 / 65536
+            logs[h, x] = lambda p, t=table, n=total, f=floor: math.log(0.999 * (t[p] / n if n else 1 / 65536) + f)
+            if total:
+                rest = (65536 - len(table)) * floor * math.log(floor)
+                usual.append(rest + sum((0.999 * c / total + floor) * math.log(0.999 * c / total + floor) for c in table.values()))
+            else:
+                usual.append(math.log(1 / 65536))
+        und[h] = min(usual) - 3.0
+    scores = []
+    for (text, _, _), h in zip(rows, half, strict=True):
+        p = pairs(text)
+        n = max(1, len(p))
+        scores.append([sum(map(logs[h, x], p)) / n * min(len(p), 60) for x in languages] + [und[h] * min(len(p), 60)])
+    best = [max(range(5), key=lambda i: (s[i], -i)) if pairs(r[0]) else 4 for s, r in zip(scores, rows, strict=True)]
+    by_host = {}
+    for b, (text, _, host) in zip(best, rows, strict=True):
+        if pairs(text):
+            by_host.setdefault(host, Counter())[b] += 1
+    everyone = sum(by_host.values(), Counter())
+    base = [(everyone[i] + 1) / (sum(everyone[j] for j in range(4)) + 4) for i in range(4)]
+    known = sum(everyone[j] for j in range(4))
+    suffix = [(everyone[i] + 100 * base[i]) / (known + 100) for i in range(4)]
+    out = []
+    for s, (text, said, host) in zip(scores, rows, strict=True):
+        if not pairs(text):
+            out.append(("und", "und"))
+            continue
+        own = by_host.get(host, Counter())
+        n = sum(own[j] for j in range(4))
+        prior = suffix if host is None else [(own[i] + 20 * suffix[i]) / (n + 20) for i in range(4)]
+        said = said if said in languages else None
+        post = [
+            s[i] + (0 if said is None else math.log(0.9) if said == x else math.log(0.1 / 3)) + math.log(prior[i] * 0.98) for i, x in enumerate(languages)
+        ] + [s[4] - (0 if said is None else math.log(4)) + math.log(0.02)]
+        name = lambda v: (*languages, "und")[max(range(5), key=lambda i: (v[i], -i))]
+        out.append((name(post), name(s)))
+    return out
+
+
+def test_languages_are_as_by_plain_loops(spark, data_dir):
+    rows = [(r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
+    rows = [(t, "fr" if i % 9 == 0 else None if i % 7 == 0 else x, None if i % 11 == 0 else h) for i, (t, x, h) in enumerate(rows)]
+    rows += [(None, "en", "a"), ("", None, None), ("12 34", "de", "b"), ("жщы юяэ", None, "b"), ("ein", None, "c"), ("É", "xx", None)]
+    docs = documents(spark, [(i, *r) for i, r in enumerate(rows)])
+    got = {r["doc_id"]: (r["language"], r["by_text"]) for r in language_id.identify(docs, declared=F.col("lang"), host=F.col("source")).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_language(rows)
+
+
+def test_extraction_without_articles(spark):
+    """The given pages with their article elements made plain blocks, by weights that were learnt before."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    learnt = html_extract.learn(pages)
+    whole = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages, learnt).collect()}
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", r"<(/?)article\b[^>]*>", "<$1div>"), r"<(/?)main\b[^>]*>", "<$1div>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(bare, learnt).collect()}
+    assert sum(got[i] == whole[i] for i in whole) >= 0.9 * len(whole)
+
+
+def test_learning_is_repeatable_and_counts_copies_once(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    again = pages.unionAll(pages.where("page_id = 3")).unionAll(pages.where("page_id = 3")).repartition(7)
+    one, two = (html_extract.learn(p, sample=50) for p in (pages, again))
+    assert one.tags == two.tags and one.words == two.words
+    kept = html_extract.extract_pages(pages.withColumn("text", F.lit("x")), one, keep=("page_id", "text"))
+    assert kept.columns == ["page_id", "text", "n_chars"] and kept.where("text <> 'x'").count() > 0
+
+
+def test_long_labelled_documents_are_fitted_on(spark):
+    rows = [(i, "\n".join(["Good plain words stand here."] * 900 if i % 2 else ["BAD!! $$$ ### bad bad bad"] * 900), "en", "a") for i in range(1, 30)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    got = quality.quality_scores(docs, quality.train(docs, labels)).toPandas()
+    assert all(got.predicted == got.doc_id % 2)
