@@ -331,6 +331,16 @@ _SQL = {
                CASE WHEN f.run + u.t > {_CHUNK_TOKENS} THEN u.t ELSE f.run + u.t END
         FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.ord = f.ord + 1)
       SELECT doc_id, chunk::BIGINT AS chunk, min(ord) AS first, max(ord) AS last, max(run)::BIGINT AS tokens FROM fold GROUP BY doc_id, chunk""",
+    "ffd_bins": """WITH RECURSIVE items AS (
+        SELECT coalesce(source, '') AS job, source, doc_id, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS ord FROM documents),
+      packed AS (
+        SELECT job, 0::BIGINT AS ord, []::BIGINT[] AS rooms, -1::BIGINT AS bin FROM items GROUP BY job
+        UNION ALL
+        SELECT job, ord, CASE WHEN slot IS NULL THEN list_append(rooms, 20000 - size) ELSE list_transform(rooms, lambda r, i: CASE WHEN i = slot THEN r - size ELSE r END) END,
+               coalesce(slot - 1, len(rooms))::BIGINT
+        FROM (SELECT i.job, i.ord, i.size, p.rooms, list_position(list_transform(p.rooms, lambda r: r >= i.size), true) AS slot
+              FROM packed p JOIN items i ON i.job = p.job AND i.ord = p.ord + 1))
+      SELECT i.source AS job_id, i.doc_id, i.size, p.bin::INT AS bin FROM items i JOIN packed p ON i.job = p.job AND i.ord = p.ord""",
     "log_tail": f"""WITH l AS (SELECT event_id, {_LINE} AS line FROM events), o AS (SELECT *, sum(strlen(line) + 1) OVER (ORDER BY event_id)::BIGINT AS next_offset FROM l)
       SELECT event_id, line, next_offset FROM o WHERE next_offset - strlen(line) - 1 >= 5000 ORDER BY event_id LIMIT 200""",
     "event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",

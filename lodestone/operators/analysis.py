@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, text
-from lodestone.operators import chunking, symbols
+from lodestone.operators import chunking, enclosing, symbols
 from lodestone.plans.durable import durable
 
 CHUNK_TOKENS = 800
@@ -34,7 +34,7 @@ def described(files: DataFrame) -> DataFrame:
     """``files`` (``path, content``) with text, language, flags and measures."""
     decoded = files.withColumn("text", text.decoded(F.col("content"))) if "text" not in files.columns else files
     path, body = F.col("path"), F.col("text")
-    first_line = F.substring_index(F.substring("text", 1, 4096), "\n", 1)
+    first_line = F.substring_index("text", "\n", 1)
     return decoded.select(
         "path", "text", classify.language(path, first_line).alias("language"), text.digest(body).alias("sha256"),
         text.n_bytes(body).alias("bytes"), text.n_lines(body).alias("loc"), text.n_blank(body).alias("blank"),
@@ -43,31 +43,66 @@ def described(files: DataFrame) -> DataFrame:
     )
 
 
-def chunks(declared: DataFrame, texts: DataFrame, max_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """``path, chunk, start_byte, end_byte, token_estimate, text``: whole statements of the outermost level, merged to the limit.
-
-    A unit is an outermost statement with all that is nested in it; units that pass the
-    limit by themselves are their inner statements instead, one level down.
-    """
+def _units(declared: DataFrame, max_tokens: int) -> DataFrame:
+    """``path, start, end`` of the outermost statements; one over the limit is its inner statements instead, as far down as there are any."""
     order = Window.partitionBy("path").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    some = declared.where("code <> ''")
-    outer = some.withColumn("unit", F.sum((F.col("level") == 0).cast("int")).over(order))
-    sizes = outer.groupBy("path", "unit").agg((F.max("end") - F.min("start")).alias("size"))
-    split = F.col("size") > max_tokens * 4
-    inner = outer.join(sizes, ["path", "unit"]).withColumn(
-        "piece", F.sum(((F.col("level") == 0) | split & (F.col("level") == 1)).cast("int")).over(order)
-    )
-    units = inner.groupBy("path", "piece").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    ranked = units.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("units"))
+    count = F.sum(F.col("begins").cast("int")).over(order)
+    rows = declared.where("code <> ''").select("path", "s", "level", "start", "end", (F.col("level") == 0).alias("begins"))
+    rows, level = durable(rows.withColumn("unit", count), "units"), 0
+    while True:
+        sizes = rows.groupBy("path", "unit").agg((F.max("end") - F.min("start")).alias("size"), F.max("level").alias("deepest"))
+        wide = durable(sizes.where((F.col("size") > max_tokens * 4) & (F.col("deepest") > level)).select("path", "unit", F.lit(True).alias("wide")), "wide")
+        if wide.isEmpty():
+            break
+        level += 1
+        opened = F.col("begins") | F.coalesce("wide", F.lit(False)) & (F.col("level") == level)
+        split = rows.join(wide, ["path", "unit"], "left").withColumn("begins", opened).drop("unit", "wide")
+        rows = durable(split.withColumn("unit", count), "units")
+    units = rows.groupBy("path", "unit").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    # The head of a block that was split ends where its first inner statement begins.
+    following = F.lead("start").over(Window.partitionBy("path").orderBy("unit"))
+    return units.select("path", "start", F.least("end", F.coalesce(following, F.col("end"))).alias("end"))
+
+
+def chunks(declared: DataFrame, texts: DataFrame, found: DataFrame, max_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """``path, chunk, qualified_name, kind, span, text, token_estimate``: consecutive units merged to the limit.
+
+    A chunk has the name and kind of the innermost symbol that holds its first byte, else
+    ``<module>``. A file's text is encoded and cut once for all its chunks.
+    """
+    ranked = _units(declared, max_tokens).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("units"))
     estimate = F.transform("units", lambda u: F.greatest(F.lit(1), F.floor((u["end"] - u["start"] + 3) / 4).cast("int")))
-    cut = ranked.select("path", "units", F.posexplode(chunking.chunk_bounds(estimate, max_tokens)).alias("chunk", "c"))
-    spans = cut.select(
-        "path", "chunk", F.element_at("units", F.col("c.first"))["start"].alias("start_byte"), F.element_at("units", F.col("c.last"))["end"].alias("end_byte")
+    bounds = F.transform(chunking.chunk_bounds(estimate, max_tokens), lambda c: F.struct(
+        F.element_at("units", c["first"])["start"].alias("start_byte"), F.element_at("units", c["last"])["end"].alias("end_byte")
+    ))
+    whole = ranked.select("path", bounds.alias("bounds")).join(texts.select("path", "text"), "path")
+
+    def pieces(raw: Column) -> Column:
+        piece = lambda at, end: F.decode(F.substring(raw, at + 1, end - at), "UTF-8")
+        lines = lambda value: F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit("")))
+        return F.transform("bounds", lambda b, i: F.struct(
+            i.alias("chunk"), b["start_byte"].alias("start_byte"), b["end_byte"].alias("end_byte"), piece(b["start_byte"], b["end_byte"]).alias("text"),
+            # Line breaks from the end of the chunk before, or from the start of the file, to the start of this one.
+            lines(piece(F.coalesce(F.get("bounds", i - 1)["end_byte"], F.lit(0)), b["start_byte"])).alias("ahead"),
+        ))
+
+    bound = F.get(F.transform(F.array(F.encode("text", "UTF-8")), pieces), F.lit(0))
+    cut = whole.select("path", F.explode(bound).alias("c")).select("path", "c.*")
+    own = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    before = Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    lined = cut.withColumn("start_line", (F.sum(F.col("ahead") + own).over(before) - own + 1).cast("int")).where(
+        F.regexp_replace("text", r"\s", "") != ""
+    )
+    spans = found.select(
+        "path", F.struct("qualified_name", "kind").alias("symbol_id"), F.col("span.start_byte").alias("start"), F.col("span.end_byte").alias("end")
     )
-    raw = F.encode("text", "UTF-8")
-    whole = spans.join(texts.select("path", "text"), "path")
-    part = F.decode(F.substring(raw, F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")), "UTF-8")
-    return whole.select("path", "chunk", "start_byte", "end_byte", part.alias("text")).withColumn("token_estimate", text.tokens(F.col("text")))
+    points = lined.select("path", F.col("chunk").alias("point_id"), F.col("start_byte").alias("pos"))
+    named = enclosing.enclosing_symbol(points, spans, "path").select("path", F.col("point_id").alias("chunk"), "symbol_id")
+    span = F.struct("start_byte", "end_byte", "start_line", (F.col("start_line") + own).cast("int").alias("end_line"))
+    return lined.join(named, ["path", "chunk"], "left").select(
+        "path", "chunk", F.coalesce("symbol_id.qualified_name", F.lit("<module>")).alias("qualified_name"),
+        F.coalesce("symbol_id.kind", F.lit("module")).alias("kind"), span.alias("span"), "text",
+    ).withColumn("token_estimate", text.tokens(F.col("text")))
 
 
 def analyze(files: DataFrame, include_chunks: bool = True, chunk_max_tokens: int = CHUNK_TOKENS) -> Facts:
@@ -75,7 +110,7 @@ def analyze(files: DataFrame, include_chunks: bool = True, chunk_max_tokens: int
     known = durable(described(files), "files")
     declared = durable(symbols.declarations(known), "declarations")
     found = durable(symbols.symbols(declared), "symbols")
-    cut = chunks(declared, known, chunk_max_tokens)
+    cut = chunks(declared, known, found, chunk_max_tokens)
     return Facts(
         files=known, symbols=found, imports=symbols.imports(declared), exports=symbols.exports(declared, found),
         references=symbols.references(declared), literals=symbols.string_literals(declared),

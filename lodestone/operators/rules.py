@@ -25,6 +25,8 @@ TOKENS = {
     "ruby": r"(?m)#[^\n{]*|" + C_STRINGS + r"|[;()\n]|[^;()\n\"'#]+|(?s:.)",
     "bash": r"(?m)(?<=^|[\s;])#[^\n]*|\"(?:\\.|[^\"\\])*+\"|'[^']*+'|\$\{[^}]*\}|[{}();\n]|[^{}();\n\"'#$]+|(?s:.)",
 }
+#: Languages without rules of their own: strings on one line, brackets, lines.
+TOKENS["plain"] = rf"(?m){C_STRINGS}|[{{}};()\n]|[^{{}};()\n\"']+|(?s:.)"
 FAMILY = {
     "typescript": "typescript", "tsx": "typescript", "javascript": "typescript", "go": "brace", "rust": "rust", "java": "brace",
     "c": "c", "cpp": "c", "csharp": "brace", "php": "php", "python": "python", "ruby": "ruby", "bash": "bash",

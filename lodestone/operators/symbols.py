@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import literals as lit_fn
 from lodestone.operators import rules
+from lodestone.plans.durable import durable
 
-#: Nesting levels told apart; deeper ones count as the last.
-LEVELS = 10
+
+def _analysed() -> Column:
+    """Whether a file's language has rules; of others only strings, chunks and parse status are taken."""
+    return F.col("language").isin(*rules.FAMILY)
 
 
 def _by_language(table: dict, value, default: Column) -> Column:
@@ -31,9 +34,10 @@ def _by_language(table: dict, value, default: Column) -> Column:
 def tokens(files: DataFrame) -> DataFrame:
     """``path, language, i, token, start, line, kind`` of ``files`` (``path, language, text``)."""
     cut = _by_language(
-        rules.FAMILY, lambda f: F.regexp_extract_all(F.col("text"), F.lit(rules.TOKENS[f]), F.lit(0)), F.array().cast("array<string>")
+        rules.FAMILY, lambda f: F.regexp_extract_all(F.col("text"), F.lit(rules.TOKENS[f]), F.lit(0)),
+        F.regexp_extract_all(F.col("text"), F.lit(rules.TOKENS["plain"]), F.lit(0)),
     )
-    one = files.where(F.col("language").isin(*rules.FAMILY)).select("path", "language", F.posexplode(cut).alias("i", "token"))
+    one = files.where("language <> ''").select("path", "language", F.posexplode(cut).alias("i", "token"))
     before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     newlines = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
     comment = F.col("token").rlike(r"^(//|/\*|#)") & ~((F.col("language").isin("c", "cpp")) & F.startswith("token", F.lit("#"))) | (
@@ -73,7 +77,7 @@ def statements(files: DataFrame) -> DataFrame:
     ends = (
         mark(";") & ((F.col("paren") <= 0) | ~indented)
         | ~indented & mark("{", "}")
-        | F.col("language").isin(*rules.LINEWISE) & mark("\n") & ((F.col("paren") <= 0) | (F.col("cut") == 1))
+        | (F.col("language").isin(*rules.LINEWISE) | ~_analysed()) & mark("\n") & ((F.col("paren") <= 0) | (F.col("cut") == 1))
         | directive
     )
     # A directive is a statement of its own, whatever stands before it.
@@ -105,7 +109,7 @@ def statements(files: DataFrame) -> DataFrame:
 
 def parse_status(files: DataFrame) -> DataFrame:
     """``path, parse_ok, error_nodes``: brackets that are left open or close nothing."""
-    t = tokens(files).where("kind = 'mark'")
+    t = tokens(files.where(_analysed())).where("kind = 'mark'")
     net = lambda a, b: F.abs(F.count_if(F.col("token") == a) - F.count_if(F.col("token") == b))
     found = t.groupBy("path").agg((net("(", ")") + net("[", "]") + net("{", "}")).cast("int").alias("n"))
     return files.select("path").join(found, "path", "left").select(
@@ -128,22 +132,24 @@ def _declared() -> Column:
 
 def declarations(files: DataFrame) -> DataFrame:
     """Statements with ``kind``, ``name``, ``scopes`` (what encloses them, outermost first) and their block's end."""
-    s = statements(files).withColumn("d", _declared())
+    s = statements(files).withColumn("d", F.when(_analysed(), _declared()))
     indented = F.col("language").isin(*rules.INDENTED)
     ranks = Window.partitionBy("path").orderBy(F.when(F.col("code") != "", F.col("lead")).otherwise(F.lit(0)))
-    s = s.withColumn("level", F.least(F.lit(LEVELS), F.when(indented, F.dense_rank().over(ranks) - 1).otherwise(F.col("depth"))).cast("int"))
+    s = durable(s.withColumn("level", F.greatest(F.lit(0), F.when(indented, F.dense_rank().over(ranks) - 1).otherwise(F.col("depth"))).cast("int")), "statements")
+    levels = range((s.agg(F.max("level")).first()[0] or 0) + 1)
     order = Window.partitionBy("path").orderBy("s")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    # The next one of a sort is the last one before in falling order, which a running frame finds.
+    after = Window.partitionBy("path").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     block = F.when(indented, F.col("code") != "").otherwise(F.col("opens") == 1)
     scope = F.struct(F.col("d.kind").alias("kind"), F.col("d.name").alias("name"), "code", "s")
-    last = [F.last(F.when(block & (F.col("level") == k), scope), ignorenulls=True).over(before) for k in range(LEVELS)]
+    last = [F.last(F.when(block & (F.col("level") == k), scope), ignorenulls=True).over(before) for k in levels]
     # A block on some level ends with the next statement that is on this or an outer level.
     closer = lambda k: F.when(
         F.when(indented, (F.col("code") != "") & (F.col("level") <= k)).otherwise((F.col("closes") == 1) & (F.col("level") <= k + 1)),
         F.struct(F.when(indented, F.col("start")).otherwise(F.col("end")).alias("end"), F.when(indented, F.col("line") - 1).otherwise(F.col("end_line")).alias("line")),
     )
-    nexts = [F.first(closer(k), ignorenulls=True).over(after) for k in range(LEVELS)]
+    nexts = [F.last(closer(k), ignorenulls=True).over(after) for k in levels]
     package = F.last(F.when(F.col("d.kind") == "package", F.col("d.name")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     go_package = F.first(F.when((F.col("language") == "go") & (F.col("d.kind") == "module"), F.col("d.name")), ignorenulls=True).over(
         order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -295,7 +301,7 @@ def references(declared: DataFrame) -> DataFrame:
     tag = lambda kind: lambda x: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("q"), x)
     both = F.concat(F.transform(called, tag("call")), F.transform(inherited, tag("inherit")))
     skip = F.coalesce(F.col("raw_kind").isin("package", "module"), F.lit(False)) | F.col("code").rlike(r"^(?:import|from|use|using)\s|^#\s*(?:include|define)\b")
-    return declared.where(~skip).select("path", "language", F.explode(both).alias("r"), owner.alias("in_symbol"), "line").select(
+    return declared.where(_analysed() & ~skip).select("path", "language", F.explode(both).alias("r"), owner.alias("in_symbol"), "line").select(
         "path", "language", F.element_at(F.split(_segments(F.col("r.q")), r"\."), -1).alias("name"), F.col("r.q").alias("qualifier"), "r.kind", "in_symbol", "line"
     )
 
@@ -351,7 +357,7 @@ def metrics(declared: DataFrame, found: DataFrame) -> DataFrame:
 
 def module_docs(declared: DataFrame) -> DataFrame:
     """``path, module_doc``: a Python file's first string, else the comments before the first code."""
-    some = declared.where("code <> ''").groupBy("path").agg(F.min("s").alias("first"), F.min_by("code", "s").alias("head"), F.min_by("strings", "s").alias("quoted"))
+    some = declared.where(_analysed() & (F.col("code") != "")).groupBy("path").agg(F.min("s").alias("first"), F.min_by("code", "s").alias("head"), F.min_by("strings", "s").alias("quoted"))
     told = (
         declared.where(F.col("language") != "python").join(some.select("path", "first"), "path").where(F.col("s") <= F.col("first"))
         .groupBy("path").agg(F.sort_array(F.flatten(F.collect_list(F.array_compact("comments")))).alias("comments"))

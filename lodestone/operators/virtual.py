@@ -67,10 +67,12 @@ SYMBOLS = (
 )
 
 
-#: A small source file per document: one class or package with as many functions as its id says.
+#: A source file per document: its whole text as comments, ahead of one class or package with as many functions as its id says.
 _TIMES = "CAST(doc_id % 5 + 1 AS INT)"
 SOURCE_PATH = "CASE doc_id % 3 WHEN 0 THEN 'd' || CAST(doc_id AS STRING) || '.py' WHEN 1 THEN 'd' || CAST(doc_id AS STRING) || '.go' ELSE 'D' || CAST(doc_id AS STRING) || '.java' END"
-SOURCE = f"""CASE doc_id % 3
+_SIGN = "CASE doc_id % 3 WHEN 0 THEN '# ' ELSE '// ' END"
+_TEXT = f"{_SIGN} || replace(coalesce(text, ''), chr(10), chr(10) || {_SIGN}) || chr(10)"
+SOURCE = f"""{_TEXT} || CASE doc_id % 3
   WHEN 0 THEN 'import os' || chr(10) || 'class D' || CAST(doc_id AS STRING) || '(Base):' || chr(10)
     || repeat('    def go(self):' || chr(10) || '        return use(1)' || chr(10), {_TIMES})
   WHEN 1 THEN 'package p' || CAST(doc_id AS STRING) || chr(10) || repeat('func Go() {{ use(1) }}' || chr(10), {_TIMES})

@@ -330,9 +330,15 @@ def test_analysis_of_a_tree(spark, tmp_path):
     assert len(sums) == len(rows) and sums["x.unknown"]["parse_reason"] == "no_parser" and not sums["x.unknown"]["parse_ok"]
     assert sums["c.yaml"]["is_config"] and sums["c.yaml"]["parse_ok"] and sums["cmd/main.go"]["has_main_guard"]
     assert {r["path"] for r in rollup.entry_points(analysis.summaries(facts)).collect()} >= {"cmd/main.go", "demo/shop.py"}
+    texts, names = dict(SOURCES) | {"c.yaml": "a: 1"}, {}
     for r in facts.chunks.collect():
-        raw = SOURCES[r["path"]].encode()
-        assert raw[r["start_byte"] : r["end_byte"]].decode() == r["text"] and r["text"].strip()
+        raw, (start, end, line, last) = texts[r["path"]].encode(), r["span"]
+        assert raw[start:end].decode() == r["text"] and r["text"].strip()
+        assert (raw[:start].count(b"\n") + 1, raw[:end].count(b"\n") + 1) == (line, last)
+        names.setdefault(r["path"], set()).add((r["qualified_name"], r["kind"]))
+    assert set(names) == set(texts) and names["c.yaml"] == {("<module>", "module")}
+    known = {(r["path"], r["qualified_name"], r["kind"]) for r in facts.symbols.collect()}
+    assert all(x == ("<module>", "module") or (path, *x) in known for path, own in names.items() for x in own)
     files = {r["path"]: r for r in analysis.nested(facts).collect()}
     assert len(files["web/view.ts"]["symbols"]) == len(KINDS["web/view.ts"]) and files["x.unknown"]["symbols"] is None
     analysis.write(facts, str(tmp_path / "out"))
@@ -351,3 +357,28 @@ def test_chunks_keep_functions_whole(spark):
     assert len(cut) > 3 and all(c["text"].startswith("def ") and c["text"].count("def ") == c["text"].count("return ") for c in cut)
     assert sum(c["text"].count("def ") for c in cut) == 20
     assert analysis.analyze(spark.createDataFrame([("m.py", code)], "path string, text string"), False).chunks.count() == 0
+
+
+def test_chunks_go_down_as_far_as_they_must(spark):
+    methods = "".join(f"        def m{i}(self):\n            return {i} + 1000\n\n" for i in range(30))
+    code = f"import os\n\nclass A:\n    class B:\n{methods}\nx = 1\n"
+    deep = "void f() " + "{ if (a) " * 25 + "{ go(); go(); }" + " }" * 25 + "\n"
+    files = spark.createDataFrame([("m.py", code), ("d.c", deep), ("n.yaml", "a: 1\nb: 'two'\n"), ("k.unknown", "x")], "path string, text string")
+    facts = analysis.analyze(files, chunk_max_tokens=40)
+    cut = facts.chunks.where("path = 'm.py'").orderBy("chunk").collect()
+    assert "".join(c["text"] for c in cut).count("def ") == 30 and all(c["token_estimate"] <= 60 for c in cut)
+    names = [c["qualified_name"] for c in cut]
+    assert names[0] == "<module>" and sum(n.startswith("A.B.m") for n in names) >= 8 and cut[0]["text"].startswith("import os")
+    assert all(c["text"].count("def ") == c["text"].count("return ") for c in cut)
+    assert facts.symbols.where("path = 'd.c'").select("qualified_name").collect()[0][0] == "f"
+    assert {r["path"] for r in facts.chunks.select("path").distinct().collect()} == {"m.py", "d.c", "n.yaml"}
+    assert facts.references.where("path = 'n.yaml'").count() == 0 and facts.symbols.where("path = 'n.yaml'").count() == 0
+
+
+def test_the_next_end_is_found_in_deep_nests(spark):
+    depth = 16
+    code = "".join(" " * i + f"def f{i}():\n" for i in range(depth)) + " " * depth + "pass\n" + "y = 2\n"
+    found = analysis.analyze(spark.createDataFrame([("n.py", code)], "path string, text string")).symbols.collect()
+    names = {r["name"]: r for r in found}
+    assert names[f"f{depth - 1}"]["qualified_name"] == ".".join(f"f{i}" for i in range(depth))
+    assert all(names[f"f{i}"]["span"]["end_byte"] == len(code) - len("y = 2\n") for i in range(depth))
