@@ -45,7 +45,7 @@ def index(
 ) -> DataFrame:
     """Analyse ``source`` and write facts and rollups under ``out``; returns the manifest's row.
 
-    Facts come first, rollups after them, the index of all tables last: where it is, all is.
+    Rollups come first, facts after them, the index of all tables last: where it is, all is.
     """
     repo = hosted.repository(source)
     if repo is None and "://" in source:
