@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import classify, literals, text
 from lodestone.functions.gitignore import glob_regex, rule
 from lodestone.operators import chunking, enclosing, inventory, packing, read, rollup, symbols, virtual
+from lodestone.plans.durable import durable
 from lodestone.streaming import log
 
 _UNITS = "\n"
@@ -216,7 +217,72 @@ def code_references(spark, d):
     return found.groupBy("path", "kind", "qualifier", "in_symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _kinds_declared(spark, d):
+    """Statements of the sources in 13 languages, written once for all that is read from them."""
+    return durable(symbols.declarations(virtual.kinds(spark, d)), "declared")
+
+
+def kind_symbols(spark, d):
+    return symbols.symbols(_kinds_declared(spark, d)).select("path", "language", "kind", "name", "qualified_name")
+
+
+def kind_imports(spark, d):
+    return symbols.imports(_kinds_declared(spark, d)).select("path", "module", "alias", "kind")
+
+
+def kind_exports(spark, d):
+    declared = _kinds_declared(spark, d)
+    return symbols.exports(declared, symbols.symbols(declared))
+
+
+def kind_references(spark, d):
+    found = symbols.references(_kinds_declared(spark, d))
+    return found.where("kind = 'inherit' OR qualifier IN ('use', 'join', 'take', 'puts', 'Use')").select("path", "name", "kind", "in_symbol")
+
+
+def kind_literals(spark, d):
+    return symbols.string_literals(_kinds_declared(spark, d)).select("path", "kind", "value")
+
+
+def kind_metrics(spark, d):
+    declared = _kinds_declared(spark, d)
+    return symbols.metrics(declared, symbols.symbols(declared))
+
+
+def parse_status(spark, d):
+    return symbols.parse_status(virtual.kinds(spark, d))
+
+
+def path_glob(spark, d):
+    return read.expand(virtual.files(spark, d), "**/pkg/*/[a-z]*_[0-9]*.?s")
+
+
+def symbol_totals(spark, d):
+    return read.symbol_totals(_symbols(spark, d), kind="method", file_prefix="/Brand_1")
+
+
+def artifact_totals(spark, d):
+    return rollup.artifact_totals(artifact_index(spark, d))
+
+
+def entry_points(spark, d):
+    declared = _kinds_declared(spark, d)
+    return rollup.entry_points(symbols.metrics(declared, symbols.symbols(declared)))
+
+
+_DONE = (
+    "CASE WHEN event_id % 7 = 0 THEN 'file_error' ELSE 'file_done' END AS event", "CASE WHEN user_id % 5 = 0 THEN '' ELSE event_type END AS language",
+    "event_id % 11 <> 0 AS parse_ok",
+)
+
+
+def progress_counters(spark, d):
+    return rollup.progress(_read(spark, d, "events").selectExpr(*_DONE))
+
+
 _OWN = (
+    kind_symbols, kind_imports, kind_exports, kind_references, kind_literals, kind_metrics, parse_status, path_glob, symbol_totals, artifact_totals,
+    entry_points, progress_counters,
     code_symbols, code_references,
     lang_rollup, lang_by_count, manifest_scalars, skipped_by_reason, classify_flags, detect_language, file_metrics, tree_view,
     tree_totals, glob_filter, url_literals, route_literals, path_literals, sql_literals, env_literals, enclosing_symbol,
@@ -362,5 +428,66 @@ _SQL["code_references"] = f"""WITH {_CODE}
   UNION ALL SELECT path, 'call', 'use', CASE k WHEN 0 THEN 'D' || id || '.go' WHEN 1 THEN 'p' || id || '.Go' ELSE 'a.b.D' || id || '.go' END, n FROM code"""
 
 
+# What the sources in 13 languages declare, written down per language and not derived from the rules. ``@``: the id.
+_DECLARED = {
+    0: "class D@ D@|method go D@.go|function test_go test_go",
+    1: "class D@ D@|method go D@.go|function area area",
+    2: "interface Shape Shape|function area@ area@",
+    3: "class D@ D@|method go D@.go|function up up",
+    4: "module p@ p@|class Box p@.Box|field W p@.Box.W|method Fill p@.Box.Fill|function TestFill p@.TestFill",
+    5: "class Rod Rod|field len Rod.len|method cut Rod.cut|function weld@ weld@|function main main",
+    6: "class D@ a.b.D@|field n a.b.D@.n|method main a.b.D@.main",
+    7: "module Kit Kit|class D@ Kit.D@|method test_go Kit.D@.test_go",
+    8: "constant RATE RATE|function twice@ twice@|function main main",
+    9: "module sp sp|function jump@ sp.jump@",
+    10: "module Home Home|class D@ Home.D@|property Watts Home.D@.Watts|method Go Home.D@.Go",
+    11: "class D@ Site.D@|method go Site.D@.go|function link_to Site.link_to",
+    12: "constant TARGET TARGET|function build build",
+}
+_NAMED = dict(enumerate("python typescript tsx javascript go rust java ruby c cpp csharp php bash".split()))
+_IMPORTED = {
+    0: "os - import|a.b.c d from", 1: "./parts::One - from", 2: "./parts::Two T from", 3: "./parts::default X from", 4: "os - import",
+    5: "std::fmt::Debug - import", 6: "java.util.Map - import", 7: "set - import", 8: "stdlib.h - import", 9: "map - import", 10: "System.Text - import",
+    11: "Form - import", 12: "./lib.sh - import",
+}
+_EXPORTED = {0: "D@ D@|go go", 1: "D@ D@|area area", 2: "Shape Shape|area@ area@", 3: "D@ D@|up up", 4: "Box p@.Box|TestFill p@.TestFill", 5: "Rod Rod|cut Rod.cut|weld@ weld@", 6: "D@ a.b.D@", 10: "D@ Home.D@"}
+_REFERRED = {
+    0: "Base inherit D@|use call D@.go|use call test_go", 1: "Base inherit D@|use call D@.go|use call area", 2: "use call area@", 3: "Base inherit D@|use call D@.go",
+    4: "use call p@.Fill|use call p@.TestFill", 5: "join call Rod.cut|join call weld@|join call main", 6: "Base inherit a.b.D@|use call a.b.D@.main",
+    7: "Base inherit Kit.D@|use call Kit.D@.test_go", 8: "puts call main", 9: "use call sp.jump@", 10: "Use call Home.D@.Go", 11: "Base inherit Site.D@|take call Site.D@.go",
+}
+#: Functions, classes, nesting, async, generators, tests, and whether there is an entry point.
+_MEASURED = {
+    0: "2 1 2 0 1 1 true", 1: "2 1 1 1 0 0 false", 2: "1 0 0 0 0 0 false", 3: "2 1 1 0 0 0 false", 4: "2 1 0 0 0 1 false", 5: "3 1 0 1 0 0 true", 6: "1 1 0 0 0 0 true",
+    7: "1 1 0 0 0 1 false", 8: "2 0 0 0 0 0 true", 9: "1 0 0 0 0 0 false", 10: "1 1 0 0 0 0 false", 11: "2 1 0 0 0 0 false", 12: "1 0 0 0 0 0 false",
+}
+
+
+def _told(table: dict[int, str], *columns: str) -> str:
+    """``said``: a row per document and entry of its language, its parts under the names given."""
+    values = ", ".join(f"({k}, '{row}')" for k, entry in table.items() for row in entry.split("|"))
+    parts = ", ".join(f"string_split(row, ' ')[{i}] AS {c}" for i, c in enumerate(columns, 1))
+    return f"""told(k, said) AS (VALUES {values}), said AS (SELECT doc_id, path, k, text, {parts} FROM (
+      SELECT doc_id, text, {virtual.KIND_PATH} AS path, k, replace(said, '@', doc_id::VARCHAR) AS row FROM documents JOIN told ON doc_id % 13 = k))"""
+
+
+_LANGUAGE_OF = "CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _NAMED.items()) + " END"
+_SQL["kind_symbols"] = f"WITH {_told(_DECLARED, 'kind', 'name', 'qualified_name')} SELECT path, {_LANGUAGE_OF} AS language, kind, name, qualified_name FROM said"
+_SQL["kind_imports"] = f"WITH {_told(_IMPORTED, 'module', 'alias', 'kind')} SELECT path, module, nullif(alias, '-') AS alias, kind FROM said"
+_SQL["kind_exports"] = f"WITH {_told(_EXPORTED, 'name', 'qualified_name')} SELECT path, name, qualified_name FROM said"
+_SQL["kind_references"] = f"WITH {_told(_REFERRED, 'name', 'kind', 'in_symbol')} SELECT path, name, kind, in_symbol FROM said"
+_SQL["kind_literals"] = f"SELECT {virtual.KIND_PATH} AS path, 'url' AS kind, 'https://h.example/' || doc_id AS value FROM documents"
+_SQL["kind_metrics"] = f"""WITH {_told(_MEASURED, 'f', 'c', 'd', 'a', 'g', 't', 'm')}
+  SELECT path, f::BIGINT AS n_functions, c::BIGINT AS n_classes, d::INT AS max_nest_depth, a::BIGINT AS async_count, g::BIGINT AS generator_count, t::BIGINT AS test_count,
+         m::BOOLEAN AS has_main_guard, CASE WHEN k IN (5, 6) THEN 0 ELSE len(string_split(coalesce(text, ''), chr(10))) END::INT AS comment_lines FROM said"""
+_SQL["entry_points"] = f"WITH {_told(_MEASURED, 'f', 'c', 'd', 'a', 'g', 't', 'm')} SELECT path FROM said WHERE m = 'true'"
+_SQL["parse_status"] = f"SELECT {virtual.KIND_PATH} AS path, true AS parse_ok, 0 AS error_nodes FROM documents"
+_SQL["path_glob"] = f"WITH {_VFILES} SELECT path FROM vfiles WHERE list_extract(string_split(path, '/'), -3) = 'pkg' AND list_extract(string_split(path, '/'), -1) SIMILAR TO '[a-z][^/]*_[0-9][^/]*[.][^/]s'"
+_SQL["symbol_totals"] = f"WITH {_PART} SELECT count(*) AS total_in_repo, count(*) FILTER (kind = 'method' AND starts_with(file, 'Brand_1')) AS total_returned FROM symbols"
+_SQL["artifact_totals"] = "SELECT count(*) + 3 AS artifacts, (4 * sum(n_chars))::BIGINT AS total_size_bytes FROM documents"
+_SQL["progress_counters"] = f"""WITH e AS (SELECT {', '.join(_DONE)} FROM events)
+  SELECT CASE WHEN language = '' THEN 'unknown' ELSE language END AS language, count(*) AS files_done, count(*) FILTER (NOT parse_ok) AS errors_count FROM e WHERE event = 'file_done' GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

@@ -69,5 +69,15 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)^{out}$"
 
 
+def path_regex(pattern: str) -> str:
+    """A glob over paths by segments: ``*`` and ``?`` stay in a segment, ``**`` is any number of them."""
+    parts = [p for p in pattern.strip("/").split("/") if p not in ("", ".")]
+    body = ""
+    for i, part in enumerate(parts):
+        last = i + 1 == len(parts)
+        body += (".*" if last else "(?:[^/]+/)*") if part == "**" else _segment(part) + ("" if last else "/")
+    return f"(?s)^{body}$"
+
+
 def glob_matches(path: Column, pattern: str) -> Column:
     return path.rlike(glob_regex(pattern)) if pattern else F.lit(True)

@@ -13,7 +13,7 @@ from lodestone.operators import analysis, inventory, rollup
 from lodestone.plans.durable import durable
 from lodestone.sources import hosted, tree
 
-ROLLUPS = ("languages", "all_symbols", "top_level_symbols", "errors", "tree", "manifest")
+ROLLUPS = ("languages", "all_symbols", "top_level_symbols", "entry_points", "skipped_by_reason", "errors", "tree", "manifest")
 
 
 def _local(spark: SparkSession, root: str, respect_ignore: bool, extra: Sequence[str], max_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -28,13 +28,15 @@ def _local(spark: SparkSession, root: str, respect_ignore: bool, extra: Sequence
     return marked.select(*inventory.ENTRY), marked.where("analyzed").select("path", "content")
 
 
-def _hosted(spark: SparkSession, repo: hosted.Repository, ref: str, extra: Sequence[str], max_bytes: int, get) -> tuple[DataFrame, DataFrame]:
+def _hosted(spark: SparkSession, repo: hosted.Repository, ref: str, respect_ignore: bool, extra: Sequence[str], max_bytes: int, get) -> tuple[DataFrame, DataFrame]:
     """The same for a repository that is fetched file by file; what can't be fetched is not analysed."""
     ref = hosted.checked_ref(ref) or hosted.default_branch(repo, get) or ""
     listing = hosted.inventory(spark, repo, ref, get)
     if listing is None:
         raise ValueError(f"no full listing of {repo.owner}/{repo.name}")
-    entries = durable(inventory.classify_files(listing, extra_globs=extra, max_bytes=max_bytes), "entries")
+    own = (get(hosted.raw_url(repo, ref, ".gitignore"), hosted.headers(repo), None) or b"") if respect_ignore else b""
+    lines = own.decode("utf-8", "replace").splitlines()
+    entries = durable(inventory.classify_files(listing, ignore_lines=lines, extra_globs=extra, max_bytes=max_bytes), "entries")
     files = durable(hosted.fetch(entries.where("analyzed"), repo, ref, get), "fetched")
     return entries.select(*inventory.ENTRY), files.where("content is not null").select("path", "content")
 
@@ -50,7 +52,7 @@ def index(
     repo = hosted.repository(source)
     if repo is None and "://" in source:
         raise ValueError(f"unsupported source {source!r}")
-    entries, files = _hosted(spark, repo, ref, extra_globs, max_file_bytes, get) if repo else _local(spark, source, respect_ignore, extra_globs, max_file_bytes)
+    entries, files = _hosted(spark, repo, ref, respect_ignore, extra_globs, max_file_bytes, get) if repo else _local(spark, source, respect_ignore, extra_globs, max_file_bytes)
     facts = analysis.analyze(files, include_chunks, chunk_max_tokens)
     sums = durable(analysis.summaries(facts), "summaries")
     named = facts.symbols.select("qualified_name", "kind", "name", "language", F.col("path").alias("file"), "span")
@@ -60,6 +62,8 @@ def index(
         "languages": rollup.languages(sums),
         "all_symbols": named.orderBy("qualified_name", "file"),
         "top_level_symbols": rollup.top_level(named).orderBy("qualified_name", "file"),
+        "entry_points": rollup.entry_points(sums),
+        "skipped_by_reason": rollup.skipped_by_reason(entries),
         "errors": rollup.parse_errors(sums),
         "tree": entries.orderBy("path"),
         "manifest": manifest,

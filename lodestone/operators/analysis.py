@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import classify, text
 from lodestone.operators import chunking, enclosing, symbols
 from lodestone.plans.durable import durable
+from lodestone.streaming import log
 
 CHUNK_TOKENS = 800
 
@@ -139,22 +140,41 @@ def nested(facts: Facts) -> DataFrame:
         own = [c for c in table.columns if c not in ("path", "language")]
         return table.groupBy("path").agg(F.collect_list(F.struct(*own)).alias(name))
 
-    out = facts.files.select("path", "language", F.struct(*[c for c in facts.files.columns if c != "text"]).alias("file"))
+    counted = facts.files.drop("text").join(facts.metrics.select("path", F.col("comment_lines").alias("comment")), "path", "left")
+    about = [F.coalesce(c, F.lit(0)).alias(c) if c == "comment" else F.col(c) for c in counted.columns]
+    out = counted.select("path", "language", F.struct(*about).alias("file"))
     for name, table in (
         ("symbols", facts.symbols), ("imports", facts.imports), ("exports", facts.exports), ("references", facts.references),
         ("literals_of_interest", facts.literals), ("chunks", facts.chunks),
     ):
         out = out.join(gathered(table, name), "path", "left")
-    metrics = facts.metrics.select("path", F.struct(*[c for c in facts.metrics.columns if c != "path"]).alias("metrics"))
+    metrics = facts.metrics.select("path", F.struct(*[c for c in facts.metrics.columns if c not in ("path", "comment_lines")]).alias("metrics"))
     parse = facts.parse.select("path", F.struct("parse_ok", "error_nodes").alias("parse"))
     return out.join(metrics, "path", "left").join(parse, "path", "left").join(facts.docs, "path", "left")
 
 
+def artifacts(facts: Facts) -> DataFrame:
+    """``path, language, body, size_bytes``: a file's facts as one JSON object, every key there even where it is null."""
+    body = F.to_json(F.struct(*[c for c in nested(facts).columns if c not in ("path", "language")]), {"ignoreNullFields": "false"})
+    return nested(facts).select("path", "language", body.alias("body")).withColumn("size_bytes", F.octet_length("body").cast("long"))
+
+
+def done_events(facts: Facts) -> DataFrame:
+    """A ``file_done`` event per file: ``ts, event, path, language, n_symbols, parse_ok, bytes``."""
+    counts = facts.symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"))
+    return summaries(facts).join(counts, "path", "left").select(
+        (F.unix_micros(F.current_timestamp()) / 1e6).alias("ts"), F.lit("file_done").alias("event"), "path", "language",
+        F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"), "parse_ok", F.col("bytes").cast("long").alias("bytes"),
+    )
+
+
 def write(facts: Facts, folder: str) -> None:
-    """Fact tables as Parquet, files by language, and last the index of what was written."""
+    """Fact tables as Parquet, files by language, the files' artefacts, events appended to the log, and last the index of what was written."""
     facts.files.drop("text").write.mode("overwrite").partitionBy("language").parquet(f"{folder}/files")
     names = ("symbols", "imports", "exports", "references", "literals", "chunks", "metrics", "parse", "docs")
     for name in names:
         getattr(facts, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    artifacts(facts).write.mode("overwrite").partitionBy("language").parquet(f"{folder}/artifacts")
+    log.append(done_events(facts), f"{folder}/log")
     spark = facts.files.sparkSession
-    spark.createDataFrame([(n, f"{folder}/{n}") for n in ("files", *names)], "name string, path string").coalesce(1).write.mode("overwrite").json(f"{folder}/index")
+    spark.createDataFrame([(n, f"{folder}/{n}") for n in ("files", *names, "artifacts", "log")], "name string, path string").coalesce(1).write.mode("overwrite").json(f"{folder}/index")

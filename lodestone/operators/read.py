@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.gitignore import glob_matches
+from lodestone.functions.gitignore import glob_matches, path_regex
 
 SECTIONS = ("file", "module_doc", "symbols", "imports", "exports", "references", "literals_of_interest", "chunks", "metrics", "parse")
 
@@ -25,15 +25,25 @@ def tree(entries: DataFrame, path_prefix: str = "", analyzed_only: bool = False)
     return entries.where(wanted).orderBy("path"), totals
 
 
-def symbols(table: DataFrame, prefix: str = "", kind: str = "", file_prefix: str = "") -> DataFrame:
-    """Symbols that pass all filters given; an empty filter is none."""
+def _wanted(prefix: str, kind: str, file_prefix: str) -> Column:
+    out = F.lit(True)
     if prefix:
-        table = table.where(F.startswith("qualified_name", F.lit(prefix)))
+        out = out & F.startswith("qualified_name", F.lit(prefix))
     if kind:
-        table = table.where(F.col("kind") == kind)
-    if file_prefix:
-        table = table.where(F.startswith("file", F.lit(file_prefix)))
-    return table
+        out = out & (F.col("kind") == kind)
+    if file_prefix := file_prefix.lstrip("/"):
+        out = out & F.startswith("file", F.lit(file_prefix))
+    return out
+
+
+def symbols(table: DataFrame, prefix: str = "", kind: str = "", file_prefix: str = "") -> DataFrame:
+    """Symbols that pass all filters given; an empty filter is none."""
+    return table.where(_wanted(prefix, kind, file_prefix))
+
+
+def symbol_totals(table: DataFrame, prefix: str = "", kind: str = "", file_prefix: str = "") -> DataFrame:
+    """One row: how many symbols there are, and how many pass the filters."""
+    return table.agg(F.count(F.lit(1)).alias("total_in_repo"), F.count_if(_wanted(prefix, kind, file_prefix)).alias("total_returned"))
 
 
 def file_analysis(analysis: DataFrame, path: str, sections: Sequence[str] = ()) -> DataFrame:
@@ -47,6 +57,11 @@ def list_files(entries: DataFrame, glob: str = "") -> DataFrame:
     return entries.where(glob_matches(F.col("path"), glob)).select("path").orderBy("path")
 
 
+def expand(entries: DataFrame, pattern: str) -> DataFrame:
+    """Paths that a glob by segments names, in order."""
+    return entries.where(F.col("path").rlike(path_regex(pattern))).select("path").orderBy("path")
+
+
 def jobs(table: DataFrame, state: str = "", limit: int = 100, most: int = 1000) -> DataFrame:
     """Newest jobs first, of one state if given; the limit lies between 1 and ``most``."""
     chosen = table.where(F.col("state") == state) if state else table

@@ -73,6 +73,18 @@ def artifact_index(summaries: DataFrame, rollups: DataFrame, base_url: str, job_
     return listed.unionByName(own).unionByName(files)
 
 
+def artifact_totals(index: DataFrame) -> DataFrame:
+    """One row: how many artefacts there are, and their bytes; one of unknown size adds none."""
+    return index.agg(F.count(F.lit(1)).alias("artifacts"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("total_size_bytes"))
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """Files done and files with errors per language, from a log's ``file_done`` events."""
+    done = events.where("event = 'file_done'")
+    name = F.when(F.coalesce("language", F.lit("")) == "", "unknown").otherwise(F.col("language"))
+    return done.groupBy(name.alias("language")).agg(F.count(F.lit(1)).alias("files_done"), F.count_if(~F.col("parse_ok")).alias("errors_count"))
+
+
 def supported_languages(spark) -> DataFrame:
     """``id, display_name, has_full_support`` of every language that a path or a shebang can name, by id."""
     from lodestone.functions import classify

@@ -324,34 +324,50 @@ def exports(declared: DataFrame, found: DataFrame) -> DataFrame:
     code = F.col("signature")
     public = (
         F.when(F.col("language").isin("typescript", "tsx", "javascript"), code.rlike(r"^export\b"))
-        .when(F.col("language") == "go", F.col("name").rlike("^[A-Z]") & (F.col("kind") != "method"))
+        .when(F.col("language") == "go", F.col("name").rlike("^[A-Z]") & ~F.col("kind").isin("method", "field"))
         .when(F.col("language") == "rust", F.array_contains("modifiers", "pub") & ~F.col("kind").isin("field", "module", "macro"))
-        .when(F.col("language").isin("java", "csharp", "php"), F.col("kind").isin("class", "interface", "enum") & (code.rlike(r"\bpublic\b") | (F.col("language") == "php")))
+        .when(F.col("language").isin("java", "csharp"), F.col("kind").isin("class", "interface", "enum") & code.rlike(r"\bpublic\b"))
         .otherwise(False)
     )
     return listed.unionByName(found.where(public).select("path", "name", "qualified_name"))
 
 
 def metrics(declared: DataFrame, found: DataFrame) -> DataFrame:
-    """Counts per file: functions, classes, async, generators, tests, main guards, unbalanced brackets."""
-    calls = F.col("kind").isin("function", "method", "constructor", "property")
+    """Counts per file: functions, classes, nesting, async, generators, tests, main guards, lines of comments.
+
+    Nesting is that of functions and classes in Python, and 1 for a file with a class in
+    TypeScript and JavaScript; no other language has one. Comments of Java and Rust count as none.
+    """
+    scripted = F.col("language").isin("python", "typescript", "tsx", "javascript")
+    calls = F.col("kind").isin("function", "method", "constructor") | scripted & (F.col("kind") == "property")
+    outermost = F.col("parent_qname") == F.when(F.col("language") == "go", "main").otherwise("")
     per = found.groupBy("path").agg(
         F.count_if(calls).alias("n_functions"), F.count_if(F.col("kind") == "class").alias("n_classes"),
-        F.count_if(calls & F.array_contains("modifiers", "async")).alias("async_count"),
+        F.max(
+            F.when((F.col("language") == "python") & (calls | (F.col("kind") == "class")), F.size(F.split("qualified_name", r"\.")))
+            .when(F.col("language").isin("typescript", "tsx", "javascript") & (F.col("kind") == "class"), 1).otherwise(0)
+        ).alias("max_nest_depth"),
+        F.count_if(calls & (scripted | F.col("language").isin("rust", "csharp")) & F.array_contains("modifiers", "async")).alias("async_count"),
         F.count_if(calls & (
-            F.when(F.col("language") == "go", F.col("name").rlike("^Test[A-Z]")).when(F.col("language") == "rust", F.array_contains("modifiers", "test"))
-            .otherwise(F.col("name").rlike("^(test_|setUp$|tearDown$)"))
+            F.when(F.col("language") == "go", F.col("name").rlike("^Test[A-Z]") & (F.col("kind") == "function"))
+            .when(F.col("language") == "rust", F.array_contains("modifiers", "test"))
+            .when(F.col("language") == "python", F.col("name").rlike("^(test_|setUp$|tearDown$)"))
+            .otherwise((F.col("language") == "ruby") & F.startswith("name", F.lit("test_")))
         )).alias("test_count"),
-        F.max(F.col("language").isin("go", "rust", "c", "cpp") & (F.col("name") == "main") & (F.col("kind") == "function")
-              | F.col("language").isin("java", "csharp") & F.col("name").isin("main", "Main") & F.array_contains("modifiers", "static")).alias("main"),
+        F.max(F.col("language").isin("go", "rust", "c", "cpp") & (F.col("name") == "main") & (F.col("kind") == "function") & outermost
+              | (F.col("language") == "java") & (F.col("name") == "main") & F.array_contains("modifiers", "static")
+              | (F.col("language") == "csharp") & (F.col("name") == "Main") & F.array_contains("modifiers", "static") & ~F.contains("parent_qname", F.lit("."))).alias("main"),
     )
+    breaks = lambda token: F.length(token) - F.length(F.replace(token, F.lit("\n"), F.lit("")))
+    covered = F.flatten(F.transform(F.array_compact("comments"), lambda c: F.sequence(c["line"], c["line"] + breaks(c["token"]))))
     guard = declared.groupBy("path").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(_analysed() & ~F.col("language").isin("java", "rust"), covered))))).alias("comment_lines"),
         F.max((F.col("language") == "python") & F.col("code").rlike("^if __name__ == [\"']__main__[\"']")).alias("guard"),
         F.count_distinct(F.when((F.col("language") == "python") & F.col("code").rlike(r"\byield\b"), F.get("scopes", F.size("scopes") - 1)["s"])).alias("generator_count"),
     )
     return guard.join(per, "path", "left").select(
-        "path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_functions", "n_classes", "async_count", "generator_count", "test_count")],
-        (F.col("guard") | F.coalesce("main", F.lit(False))).alias("has_main_guard"),
+        "path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_functions", "n_classes", "max_nest_depth", "async_count", "generator_count", "test_count")],
+        (F.col("guard") | F.coalesce("main", F.lit(False))).alias("has_main_guard"), "comment_lines",
     )
 
 

@@ -80,6 +80,127 @@ SOURCE = f"""{_TEXT} || CASE doc_id % 3
     || repeat('  int go(int n) {{ return use(n); }} // use(' || chr(10), {_TIMES}) || '}}' || chr(10) END"""
 
 
+#: A source per document in one of 13 languages: its text as comments, then declarations with the document's id for ``@``.
+#: Extension, what a comment begins with, what stands before and after the text.
+KINDS = (
+    ("py", "# ", "", """import os
+from a.b import c as d
+__all__ = ["D@", "go"]
+class D@(Base):
+    def go(self):
+        return use("https://h.example/@")
+def test_go():
+    yield use(1)
+if __name__ == "__main__":
+    test_go()
+"""),
+    ("ts", "// ", "", """import { One } from "./parts";
+export class D@ extends Base {
+    async go(n: number): Promise<string> { return use("https://h.example/@"); }
+}
+export function area(r: number): number { return use(r); }
+"""),
+    ("tsx", "// ", "", """import { Two as T } from "./parts";
+export interface Shape { size: number }
+export function area@(r: number): number { return use("https://h.example/@"); }
+"""),
+    ("js", "// ", "", """import X from "./parts";
+export class D@ extends Base {
+    go(n) { return use("https://h.example/@"); }
+}
+export function up() { return 1; }
+"""),
+    ("go", "// ", "", """package p@
+import (
+    "os"
+)
+type Box struct {
+    W int
+}
+func (b *Box) Fill(n int) string {
+    return use("https://h.example/@")
+}
+func TestFill() { use(1) }
+"""),
+    ("rs", "// ", "", """use std::fmt::Debug;
+pub struct Rod { pub len: u32 }
+impl Rod {
+    pub fn cut(&self, n: u32) -> u32 { join("https://h.example/@") }
+}
+pub async fn weld@(a: u32) -> u32 { join(a) }
+fn main() { join(1); }
+"""),
+    ("java", "// ", "", """package a.b;
+import java.util.Map;
+public class D@ extends Base {
+    private int n = 4;
+    public static int main(int k) { return use("https://h.example/@"); }
+}
+"""),
+    ("rb", "# ", "", """require "set"
+module Kit
+  class D@ < Base
+    def test_go(n)
+      use("https://h.example/@")
+    end
+  end
+end
+"""),
+    ("c", "// ", "", """#include <stdlib.h>
+#define RATE 2
+static int twice@(int n) { return n + n; }
+int main(int n) { return puts("https://h.example/@"); }
+"""),
+    ("cpp", "// ", "", """#include <map>
+namespace sp {
+    int jump@(int x) { return use("https://h.example/@"); }
+}
+"""),
+    ("cs", "// ", "", """using System.Text;
+namespace Home {
+    public class D@ {
+        public int Watts { get; set; }
+        public void Go() { Use("https://h.example/@"); }
+    }
+}
+"""),
+    ("php", "// ", "<?php\n", """namespace Site;
+use Form;
+class D@ extends Base {
+    public function go(): string { return take("https://h.example/@"); }
+}
+function link_to(int $a): int { return $a + 1; }
+"""),
+    ("sh", "# ", "", """source ./lib.sh
+TARGET="x"
+build() {
+    echo "https://h.example/@"
+}
+build all
+"""),
+)
+
+
+def _by_kind(value) -> str:
+    """SQL that gives each document ``value`` of its kind."""
+    arms = " ".join(f"WHEN {i} THEN {value(kind)}" for i, kind in enumerate(KINDS))
+    return f"CASE doc_id % {len(KINDS)} {arms} END"
+
+
+def _literal(code: str) -> str:
+    lines = ["'" + line.replace("'", "''") + "'" for line in code.split("\n")]
+    return "replace(" + " || chr(10) || ".join(lines) + ", '@', CAST(doc_id AS STRING))"
+
+
+KIND_PATH = "'k' || CAST(doc_id AS STRING) || " + _by_kind(lambda k: f"'.{k[0]}'")
+KIND_SOURCE = _by_kind(lambda k: f"{_literal(k[2])} || '{k[1]}' || replace(coalesce(text, ''), chr(10), chr(10) || '{k[1]}') || chr(10) || {_literal(k[3])}")
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = documents(spark, sf_dir).selectExpr(f"{KIND_PATH} AS path", f"{KIND_SOURCE} AS text")
+    return base.withColumn("language", classify.language(F.col("path")))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = documents(spark, sf_dir).selectExpr(f"{SOURCE_PATH} AS path", f"{SOURCE} AS text")
     return base.withColumn("language", classify.language(F.col("path")))

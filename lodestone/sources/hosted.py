@@ -73,7 +73,7 @@ def http_get(url: str, headers: dict, body: bytes | None = None) -> bytes | None
         return None
 
 
-def _headers(repo: Repository, **more: str) -> dict:
+def headers(repo: Repository, **more: str) -> dict:
     return {**({"Authorization": f"Bearer {repo.token}"} if repo.token else {}), **more}
 
 
@@ -88,7 +88,7 @@ def _project(repo: Repository) -> str:
 def default_branch(repo: Repository, get: Get = http_get) -> str | None:
     url = f"{HUB_API}/repos/{repo.owner}/{repo.name}" if repo.host == "github" else _project(repo)
     try:
-        return json.loads(get(url, _headers(repo), None) or b"{}").get("default_branch") or None
+        return json.loads(get(url, headers(repo), None) or b"{}").get("default_branch") or None
     except (ValueError, AttributeError):
         return None
 
@@ -124,24 +124,24 @@ def inventory(spark: SparkSession, repo: Repository, ref: str = "", get: Get = h
     if not ref:
         return None
     if repo.host == "github":
-        body = get(f"{HUB_API}/repos/{repo.owner}/{repo.name}/git/trees/{_quoted(ref)}?recursive=1", _headers(repo), None)
+        body = get(f"{HUB_API}/repos/{repo.owner}/{repo.name}/git/trees/{_quoted(ref)}?recursive=1", headers(repo), None)
         try:
             if body is None or json.loads(body).get("truncated"):
                 return None
         except (ValueError, AttributeError):
             return None
         return tree_entries(spark.createDataFrame([(body.decode("utf-8", "replace"),)], "body string"))
-    headers = _headers(repo)
+    plain = headers(repo)
     page_url = f"{_project(repo)}/repository/tree?recursive=true&per_page={PAGE_SIZE}&ref={_quoted(ref)}&page="
     pages = _fetched(
-        spark.range(1, MAX_PAGES + 1, numPartitions=min(MAX_PAGES, 16)).withColumnRenamed("id", "page"), get, lambda row: (f"{page_url}{row['page']}", headers, None)
+        spark.range(1, MAX_PAGES + 1, numPartitions=min(MAX_PAGES, 16)).withColumnRenamed("id", "page"), get, lambda row: (f"{page_url}{row['page']}", plain, None)
     ).select("page", F.from_json("body", _PAGE).alias("entries")).persist()
     if pages.where("entries is null").count():
         return None
     paths = pages.select(F.explode("entries").alias("e")).where("e.type = 'blob'").select("e.path")
     batches = paths.select("path", F.floor(F.rand(1) * F.greatest(F.lit(1), F.lit(paths.count() // PATHS_PER_QUERY + 1))).alias("batch"))
     asked = batches.groupBy("batch").agg(F.collect_list("path").alias("paths"))
-    post = _headers(repo, Accept="application/json", **{"Content-Type": "application/json"})
+    post = headers(repo, Accept="application/json", **{"Content-Type": "application/json"})
     full = f"{repo.owner}/{repo.name}"
 
     def query(row: pd.Series) -> tuple[str, dict, bytes]:
@@ -157,10 +157,10 @@ def inventory(spark: SparkSession, repo: Repository, ref: str = "", get: Get = h
 
 def fetch(files: DataFrame, repo: Repository, ref: str, get: Get = http_get, tasks: int = 16) -> DataFrame:
     """``path, size, content`` of ``files`` (``path, size``); content is null where the fetch failed."""
-    headers = _headers(repo)
+    plain = headers(repo)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(content=[get(raw_url(repo, ref, p), headers, None) for p in frame["path"]])
+            yield frame.assign(content=[get(raw_url(repo, ref, p), plain, None) for p in frame["path"]])
 
     return files.select("path", "size").repartition(tasks, "path").mapInPandas(run, "path string, size bigint, content binary")

@@ -77,6 +77,20 @@ def tail(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:
     return spark.readStream.format("event_log").option("limit", limit).load(path)
 
 
+#: What a file's end in the log of an analysis says.
+DONE = "ts double, event string, path string, language string, n_symbols bigint, parse_ok boolean, bytes bigint"
+
+
+def append(events: DataFrame, folder: str) -> None:
+    """``events`` as further lines of JSON in a log that is a folder: each write adds files and changes none."""
+    events.write.mode("append").json(folder)
+
+
+def follow(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
+    """A log that is a folder as a stream; executors read it, the driver lists it."""
+    return spark.readStream.schema(DONE).option("maxFilesPerTrigger", files_a_batch).json(folder)
+
+
 def offsets(lines: DataFrame, order: str, line: str = "line") -> DataFrame:
     """``lines`` with ``next_offset``, the byte behind each line in a log written in this order."""
     return running_total(lines, [F.col(order)], F.octet_length(line) + 1, "next_offset")

@@ -1,6 +1,7 @@
 import fnmatch
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,11 @@ def test_literals(spark):
     got = values(spark, [c[:2] for c in cases], "v string, c string", literals.literals(F.col("v"), F.col("c")))
     for (value, _, want), (found,) in zip(cases, got, strict=True):
         assert [tuple(x) for x in found] == want, value
+
+
+@pytest.mark.parametrize("pattern, path, fits", [
+    ("*.json", "tree.json", True), ("*.json", "files/a.json", False), ("files/**/*.json", "files/a.json", True), ("files/**/*.json", "files/a/b/c.json", True),
+    ("**", "a/b", True), ("a?c", "abc", True), ("a?c", "a/c", False), ("[ab].x", "b.x", True), ("[!ab].x", "b.x", False), ("x/**", "x/y/z", True), ("x/**", "y/x", False),
+])
+def test_globs_by_segments(pattern, path, fits):
+    assert bool(re.match(gitignore.path_regex(pattern), path)) is fits

@@ -308,6 +308,23 @@ def test_literals_exports_and_metrics(facts):
     assert by["cmd/main.go"]["test_count"] == 1 and by["src/lib.rs"]["test_count"] == 1
 
 
+def test_comment_lines_and_nesting(spark):
+    code = {
+        "a.py": "# one\nx = 1  # two\n# three # still\nclass A:\n    class B:\n        def f(self):\n            def g():\n                pass\n",
+        "b.c": "/* a\n b */ /* c */ int f() { return 1; } // d\n\n// e", "c.java": "// a\nclass A { }\n", "d.rs": "// a\nfn f() {}\n",
+        "e.ts": "class A { m() { return 1; } }\n", "f.go": "package box\nfunc main() {}\n", "g.cs": "namespace A.B { class C { static void Main() {} } }\n",
+        "h.cs": "class C { static void Main() {} }\n", "i.java": "class A { void test_x() {} }\n", "j.php": "<?php\nclass A { }\n", "k.yaml": "# a\na: 1\n",
+    }
+    files = spark.createDataFrame(list(code.items()), "path string, text string").withColumn("language", classify.language(F.col("path")))
+    declared = symbols.declarations(files)
+    found = symbols.symbols(declared)
+    by = {r["path"]: r for r in symbols.metrics(declared, found).collect()}
+    assert [by[p]["comment_lines"] for p in ("a.py", "b.c", "c.java", "d.rs", "k.yaml")] == [3, 3, 0, 0, 0]
+    assert [by[p]["max_nest_depth"] for p in ("a.py", "b.c", "c.java", "e.ts")] == [4, 0, 0, 1]
+    assert [by[p]["has_main_guard"] for p in ("f.go", "g.cs", "h.cs")] == [False, False, True]
+    assert by["i.java"]["test_count"] == 0 and symbols.exports(declared, found).where("path = 'j.php'").isEmpty()
+
+
 def test_tokens_join_to_the_text(spark):
     files = spark.createDataFrame([*SOURCES.items(), ("x.py", "'''open"), ("y.rs", "'a \"b"), ("z.go", "/* c")], "path string, text string")
     cut = symbols.tokens(files.withColumn("language", classify.language(F.col("path")))).collect()
@@ -343,7 +360,7 @@ def test_analysis_of_a_tree(spark, tmp_path):
     assert len(files["web/view.ts"]["symbols"]) == len(KINDS["web/view.ts"]) and files["x.unknown"]["symbols"] is None
     analysis.write(facts, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/files")).where("language = 'go'").count() == 1
-    assert spark.read.json(str(tmp_path / "out/index")).count() == 10
+    assert spark.read.json(str(tmp_path / "out/index")).count() == 12
     docs = {r["path"]: r["module_doc"] for r in facts.docs.collect()}
     assert (docs["demo/shop.py"], docs["cmd/main.go"], docs["src/lib.rs"], docs["web/old.js"]) == ("Shop tools.", "Package main starts.", "Crate notes.", "")
     known = {r["id"]: r["has_full_support"] for r in rollup.supported_languages(spark).collect()}
