@@ -149,7 +149,11 @@ def apart(crowded: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def pairs_across(sets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: of ``rows`` (``row, root``) all pairs of two roots that can be alike enough."""
+    """``a, b``: of ``rows`` (``row, root``) all pairs of two roots that can be alike enough.
+
+    Where a shingle is the first that two sets share, both have at most what follows it in common
+    besides; pairs for which this is too little at every shingle that they share are none.
+    """
     owned = durable(sets.join(rows, "row").select("row", "root", F.size("s").alias("size"), "s"), "owned")
     words = owned.select("row", F.explode("s").alias("x"))
     counts = durable(words.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
@@ -159,14 +163,19 @@ def pairs_across(sets: DataFrame, rows: DataFrame, similarity: float) -> DataFra
     left = F.greatest(F.lit(0), prefix - (F.col("size") - F.size("shared"))).cast("int")
     keyed = durable(
         owned.select("row", "root", "size").join(ordered, "row")
-        .select("row", "root", "size", F.explode(F.slice("shared", F.lit(1), left)).alias("k")).select("row", "root", "size", "k.x"),
+        .select("row", "root", "size", F.size("shared").alias("met"), F.posexplode(F.slice("shared", F.lit(1), left)).alias("at", "k"))
+        .select("row", "root", "size", "k.x", (F.col("met") - F.col("at")).alias("left")),
         "prefixes",
     )
-    # Roots meet before rows do, so that rows of one group are never paired.
-    groups = durable(keyed.select("x", "root").distinct(), "groups")
-    meet = groups.withColumnRenamed("root", "ra").join(groups.withColumnRenamed("root", "rb"), "x").where("ra < rb")
-    one, two = (keyed.select("x", F.col("root").alias(f"r{i}"), F.col("row").alias(i), F.col("size").alias(f"n{i}")) for i in "ab")
+    # Roots meet before rows do, so that rows of one group are never paired; what no two of their rows can reach is left out.
+    groups = durable(keyed.groupBy("x", "root").agg(F.max("left").alias("l"), F.min("size").alias("low"), F.max("size").alias("high")), "groups")
+    a, b = (groups.select("x", F.col("root").alias(f"r{i}"), *[F.col(c).alias(c + i) for c in ("l", "low", "high")]) for i in "ab")
+    near = (F.col("higha") >= F.col("lowb") * F.lit(similarity) - F.lit(1e-9)) & (F.col("highb") >= F.col("lowa") * F.lit(similarity) - F.lit(1e-9))
+    reach = F.least("la", "lb") >= (F.col("lowa") + F.col("lowb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)
+    meet = a.join(b, "x").where("ra < rb").where(near & reach).select("x", "ra", "rb")
+    one, two = (keyed.select("x", F.col("root").alias(f"r{i}"), F.col("row").alias(i), F.col("size").alias(f"n{i}"), F.col("left").alias(f"l{i}")) for i in "ab")
     close = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9)
+    close = close & (F.least("la", "lb") >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
     met = durable(meet, "meet").join(one, ["x", "ra"]).join(two, ["x", "rb"]).where(close)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -139,3 +139,22 @@ def test_no_only_copy_is_lost_where_ids_or_texts_are_null(spark):
     for drop in (exact_dedup.drop_exact_copies, near_copies.drop_near_copies):
         got = sorted((tuple(r) for r in drop(docs).collect()), key=repr)
         assert got == [("abc", None), ("zz", "abc")], drop
+
+
+def test_pairs_across_groups_are_all_that_are_alike(spark):
+    """Every pair of two roots that is alike enough is among the pairs, and few others are."""
+    draw = random.Random(8)
+    sets = []
+    for i in range(160):
+        base = random.Random(i // 8)
+        own = {base.randrange(1 << 40) for _ in range(base.choice([5, 20, 40]))}
+        sets.append((i, sorted({x if draw.random() > 0.07 else draw.randrange(1 << 40) for x in own} | {7, 9})))
+    roots = [(i, i // 2) for i, _ in sets]
+    got = near_copies.pairs_across(spark.createDataFrame(sets, "row bigint, s array<bigint>"), spark.createDataFrame(roots, "row bigint, root bigint"), 0.8)
+    got = {(r["a"], r["b"]) for r in got.collect()}
+    root = dict(roots)
+    alike = {
+        (i, j) for i, x in sets for j, y in sets
+        if i < j and root[i] != root[j] and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    }
+    assert alike and alike <= got and len(got) < 160 * 159 / 8
