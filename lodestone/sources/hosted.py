@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.durable import durable
+
 Get = Callable[[str, dict, bytes | None], bytes | None]
 
 # Addresses, what a repository's address looks like, page and batch sizes.
@@ -27,7 +29,7 @@ HUB_URL = re.compile(r"^https://github\.com/([A-Za-z0-9_.\-]+)/([A-Za-z0-9_.\-]+
 LAB_URL = re.compile(r"^https://gitlab\.com/([A-Za-z0-9_.\-/]+?)(?:\.git)?/?$")
 GIT_REF = re.compile(r"^[A-Za-z0-9._/\-]{1,250}$")
 HUB_API, HUB_RAW, LAB = "https://api.github.com", "https://raw.githubusercontent.com", "https://gitlab.com"
-PAGE_SIZE, MAX_PAGES, PATHS_PER_QUERY = 100, 100, 100
+PAGE_SIZE, MAX_PAGES = 100, 100
 TOKENS = {"github": "GITHUB_TOKEN", "gitlab": "GITLAB_TOKEN"}
 SIZES_QUERY = "query($p: ID!, $paths: [String!]!, $ref: String!) { project(fullPath: $p) { repository { blobs(paths: $paths, ref: $ref) { nodes { path size } } } } }"
 
@@ -133,14 +135,22 @@ def inventory(spark: SparkSession, repo: Repository, ref: str = "", get: Get = h
         return tree_entries(spark.createDataFrame([(body.decode("utf-8", "replace"),)], "body string"))
     plain = headers(repo)
     page_url = f"{_project(repo)}/repository/tree?recursive=true&per_page={PAGE_SIZE}&ref={_quoted(ref)}&page="
-    pages = _fetched(
-        spark.range(1, MAX_PAGES + 1, numPartitions=min(MAX_PAGES, 16)).withColumnRenamed("id", "page"), get, lambda row: (f"{page_url}{row['page']}", plain, None)
-    ).select("page", F.from_json("body", _PAGE).alias("entries")).persist()
-    if pages.where("entries is null").count():
+    pages, at = None, 1
+    # Pages are asked for in waves, the first of one page, until one is not full; a full last page may not be the end.
+    for wave in (1, 4, 15, 40, MAX_PAGES):
+        numbers = spark.range(at, min(at + wave, MAX_PAGES + 1), numPartitions=min(wave, 16)).withColumnRenamed("id", "page")
+        got = durable(_fetched(numbers, get, lambda row: (f"{page_url}{row['page']}", plain, None)).select("page", F.from_json("body", _PAGE).alias("entries")), "pages")
+        pages, at = got if pages is None else pages.unionByName(got), at + wave
+        state = got.agg(F.count_if(F.col("entries").isNull()).alias("failed"), F.count_if(F.size("entries") < PAGE_SIZE).alias("last")).first()
+        if state["failed"]:
+            return None
+        if state["last"]:
+            break
+    else:
         return None
-    paths = pages.select(F.explode("entries").alias("e")).where("e.type = 'blob'").select("e.path")
-    batches = paths.select("path", F.floor(F.rand(1) * F.greatest(F.lit(1), F.lit(paths.count() // PATHS_PER_QUERY + 1))).alias("batch"))
-    asked = batches.groupBy("batch").agg(F.collect_list("path").alias("paths"))
+    # A page has no more paths than a query takes.
+    paths = F.transform(F.filter("entries", lambda e: e["type"] == "blob"), lambda e: e["path"])
+    asked = pages.select("page", paths.alias("paths")).where(F.size("paths") > 0)
     post = headers(repo, Accept="application/json", **{"Content-Type": "application/json"})
     full = f"{repo.owner}/{repo.name}"
 

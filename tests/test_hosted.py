@@ -42,8 +42,9 @@ def lab(url, headers, body):
         return json.dumps({"data": {"project": {"repository": {"blobs": {"nodes": [{"path": p, "size": str(len(p))} for p in asked]}}}}}).encode()
     page = int(re.search(r"page=(\d+)$", url)[1]) if "page=" in url else 0
     if page:
-        names = [f"f{i}" for i in range(250)][(page - 1) * 100 : page * 100]
-        return json.dumps([{"path": n, "type": "blob"} for n in names] + [{"path": "dir", "type": "tree"}] * (page == 1)).encode()
+        assert page <= 100
+        known = [{"path": "dir", "type": "tree"}] + [{"path": f"f{i}", "type": "blob"} for i in range(10_000 if "all" in url else 250)]
+        return json.dumps(known[(page - 1) * 100 : page * 100]).encode()
     return b'{"default_branch": "main"}'
 
 
@@ -58,6 +59,7 @@ def test_inventories_and_fetch(spark):
     sizes = {r["path"]: r["size"] for r in hosted.inventory(spark, hosted.Repository("gitlab", "g/s", "r"), get=lab).collect()}
     assert sizes == {f"f{i}": len(f"f{i}") for i in range(250)}
     assert hosted.inventory(spark, hosted.Repository("gitlab", "g", "r"), "main", get=lambda *a: None) is None
+    assert hosted.inventory(spark, hosted.Repository("gitlab", "g", "r"), "all", get=lab) is None
 
 
 @pytest.mark.skipif("TEST_NETWORK" not in os.environ, reason="needs a network")
