@@ -180,4 +180,82 @@ FROM cut JOIN judged USING (host, segs)
 """
 
 
-ORACLES = {"op1_pareto_mix": _OP1, "op2_chunk_recipe_dedup": _OP2, "op10_decontaminate": _OP10, "op7_url_templates": _op7()}
+def _op12(levels: int = 8) -> str:
+    """One step per level; a level with one node is passed on as it is. ``levels`` is enough for 8 ** 8 leaves a group."""
+    value = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    row = lambda text: "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = ""
+
+    def level(k: int, own: str, key: str) -> str:
+        group = f"{key}, i // 8" if key else "i // 8"
+        over = f"PARTITION BY {key}" if key else ""
+        keys = f"{key}, " if key else ""
+        return f"""
+{own}c{k} AS (SELECT *, count(*) OVER ({over}) AS c FROM {own}{k}),
+{own}{k + 1} AS (SELECT {keys}i // 8 AS i, CASE WHEN any_value(c) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {own}c{k} GROUP BY {group}),
+{own}s{k} AS (
+  SELECT {keys}i, c, coalesce(string_agg(d, '' ORDER BY i) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(d, '' ORDER BY i) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {own}c{k} WINDOW run AS (PARTITION BY {group} ORDER BY i)),"""
+
+    for k in range(levels):
+        steps += level(k, "n", "g")
+    steps += f"""
+roots AS (SELECT g, d FROM n{levels}),
+t0 AS (SELECT g AS i, d FROM roots),"""
+    for k in range(levels):
+        steps += level(k, "t", "")
+    for own, key, count in (("n", "s.g = f.g AND ", levels), ("t", "", levels)):
+        for k in range(count):
+            last = f"{own}f{k - 1}" if k else ("claims" if own == "n" else f"nf{levels - 1}")
+            at = f"f.place // {8 ** k}" if own == "n" else f"f.g // {8 ** k}"
+            steps += f"""
+{own}f{k} AS (
+  SELECT f.* REPLACE (CASE WHEN s.c = 1 THEN f.h ELSE sha256(s.l || f.h || s.r) END AS h, CASE WHEN s.c = 1 THEN f.p ELSE f.p || s.l || s.r END AS p)
+  FROM {last} f JOIN {own}s{k} s ON {key}s.i = {at}),"""
+    return rf"""
+WITH bits AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, _: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)) ORDER BY b) AS crc
+  FROM range(256) AS t(b)),
+hashed AS (
+  SELECT doc_id, lang, text, n_chars, source, {row('text')} AS leaf, {row(lower)} AS changed,
+         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) % 3 = 0 AS tampered
+  FROM documents, bits),
+leaves AS (
+  SELECT doc_id, leaf, CASE WHEN tampered THEN changed ELSE leaf END AS claim, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM hashed),
+claims AS (SELECT doc_id, leaf, g, place, claim AS h, '' AS p FROM leaves),
+n0 AS (SELECT g, place AS i, leaf AS d FROM leaves),{steps}
+top AS (SELECT d FROM t{levels})
+SELECT f.doc_id, f.leaf, roots.d AS subroot, (SELECT d FROM top) AS root, sha256(f.p) AS proof_sha256, f.h AS folded_root, f.h = (SELECT d FROM top) AS verified
+FROM tf{levels - 1} f JOIN roots USING (g)
+"""
+
+
+_OP13 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS u,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s
+  FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM cut),
+parts AS (
+  SELECT doc_id, text, n::BIGINT AS n, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+ORACLES = {"op1_pareto_mix": _OP1, "op2_chunk_recipe_dedup": _OP2, "op10_decontaminate": _OP10, "op7_url_templates": _op7(), "op12_merkle_manifest": _op12(), "op13_fill_in_middle": _OP13}

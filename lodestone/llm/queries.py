@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, pii, quality, simhash, token_counts, url_filter
+from lodestone.llm import (
+    decontaminate, exact_dedup, fill_middle, html_extract, language_id, lz_fingerprint, merkle, mixing, pii, quality, simhash, token_counts, url_filter,
+)
 from lodestone.llm.oracles import ORACLES
 
 
@@ -71,6 +73,23 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages, html_extract.learn(pages))
 
 
+def op11_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_neighbours(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    text = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    claim = merkle.leaf_digest([*(F.col(c) for c in columns[:-1]), text])
+    manifest = merkle.build(_table(spark, sf_dir, "documents"), columns, "lang", "doc_id", claim)
+    return merkle.verify(manifest).withColumnRenamed("id", "doc_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator of op4 with all its evidence: pages declare a language and have an address."""
     return language_id.identify_pages(_table(spark, sf_dir, "pages")).drop("url")
