@@ -12,7 +12,8 @@ those that may still become it counting half; an instance's confidence is the no
 its patterns'. Both are computed in turns over the graph of distinct (pattern, instance)
 edges. An unseen instance need only have the loose shape of a kind: digits in a band, an
 ``@`` between characters, letters and digits mixed; the patterns decide. Numbers that a card
-or IP test rejects never become that kind.
+or IP test rejects never become that kind. A sure instance is marked where one of the patterns
+beside it is sure of the kind too; the same number in other surroundings stays unmarked.
 
 The graph has one edge for equal occurrences, so copied documents don't add confidence and
 a very common line is one edge. Patterns are summed by partial aggregation; those that are
@@ -229,14 +230,17 @@ def _spots(scanned: DataFrame) -> DataFrame:
     return seen.where(~base).select("row", "at", "end", "instance", "left", "right", F.coalesce(kind, F.when(seed, F.lit("secret"))).alias("kind"))
 
 
-def _edges(spots: DataFrame) -> DataFrame:
-    """``instance, pattern, kind`` per distinct pair; the kind is that of a seed."""
+def _beside(spots: DataFrame) -> DataFrame:
+    """Each spot once for every ``pattern`` at its place."""
     side = lambda name, word: F.struct(F.lit(name).alias("side"), word.alias("word"))
     sides = F.array(side("left", F.col("left")), side("right", F.col("right")), side("sign", F.regexp_extract("left", "[=:]$", 0)))
-    return (
-        spots.select("instance", "kind", F.explode(sides).alias("p")).where("p.word <> ''")
-        .groupBy("instance", F.concat_ws(":", "p.side", "p.word").alias("pattern")).agg(F.max("kind").alias("kind"))
-    )
+    named = spots.select("*", F.explode(sides).alias("p")).where("p.word <> ''")
+    return named.select("*", F.concat_ws(":", "p.side", "p.word").alias("pattern")).drop("p")
+
+
+def _edges(spots: DataFrame) -> DataFrame:
+    """``instance, pattern, kind`` per distinct pair; the kind is that of a seed."""
+    return _beside(spots).groupBy("instance", "pattern").agg(F.max("kind").alias("kind"))
 
 
 def _sure_patterns(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -256,8 +260,8 @@ def _sure_patterns(edges: DataFrame, state: DataFrame) -> DataFrame:
     return summed.select("pattern", F.explode(told).alias("t")).select("pattern", "t.*").where(F.col("confidence") >= MIN_PATTERN)
 
 
-def scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``instance, seeded, may, score`` (arrays by kind) of all seeds and of instances with a kind's loose shape."""
+def scores(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """``instance, seeded, shape, may, score`` (arrays by kind) of all seeds and of instances with a kind's loose shape, and the patterns that gave them."""
     kinds = range(len(FOUND_KINDS))
     seeded = F.array(*[F.coalesce(F.max(F.col("kind") == k), F.lit(False)) for k in FOUND_KINDS])
     first = edges.groupBy("instance").agg(seeded.alias("seeded"), F.max(F.col("kind").isNull()).alias("unseen"))
@@ -279,19 +283,21 @@ def scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         new = F.transform("may", lambda open_, i: F.when(
             open_, F.round(1 - F.exp(F.coalesce(F.get("logs", i), F.lit(0.0))), 9)).otherwise(F.get("score", i)))
         state = durable(state.join(found, F.col("instance") == F.col("i"), "left").select("instance", "seeded", "shape", "may", new.alias("score")), "state")
-    return state
+    return state, patterns
 
 
 def discover(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``row, rank, at, end`` of spans that no base pattern has: seeds of secrets, and instances that patterns give a kind."""
     spots = durable(_spots(scanned), "spots")
-    judged = scores(durable(_edges(spots), "edges"), rounds)
-    best = lambda score: F.array_position(score, F.array_max(score))
+    judged, patterns = scores(durable(_edges(spots), "edges"), rounds)
     able = F.zip_with("shape", "score", lambda shape, score: F.when(shape, score).otherwise(0.0))
-    sure = judged.select("instance", able.alias("able")).where(F.array_max("able") >= MIN_INSTANCE).select(
-        F.col("instance").alias("i"), best(F.col("able")).cast("int").alias("rank")
-    )
-    hits = spots.where("kind is null").join(sure, F.col("instance") == F.col("i")).select("row", "rank", "at", "end", "instance")
+    sure = judged.select(F.col("instance").alias("i"), able.alias("able")).where(F.array_max("able") >= MIN_INSTANCE)
+    likely = spots.where("kind is null").join(sure, F.col("instance") == F.col("i"))
+    told = patterns.select(F.col("pattern").alias("q"), F.col("kind").alias("k"))
+    few = told.count() <= MAX_BROADCAST_KEYS
+    here = _beside(likely).join(F.broadcast(told) if few else told, F.col("pattern") == F.col("q")).where(F.get("able", F.col("k")) >= MIN_INSTANCE)
+    best = F.max_by(F.col("k"), F.struct(F.get("able", F.col("k")), -F.col("k"))) + 1
+    hits = here.groupBy("row", "at", "end", "instance").agg(best.cast("int").alias("rank")).select("row", "rank", "at", "end", "instance")
     known = spots.where("kind = 'secret'").select("row", F.lit(len(FOUND_KINDS)).alias("rank"), "at", "end", "instance")
     whole = F.array(F.struct(F.lit(0).alias("at"), F.length("instance").alias("end"), F.col("instance").alias("text")))
     # Numbers beside an address are not part of it.

@@ -154,12 +154,13 @@ def brute_spans(texts):
             fresh[i, k] = round(1 - rest, 9)
         score |= fresh
     out = [set((a, kinds.index(k), b) for a, b, k in base) for base in bases]
-    for n, at, end, bare, kind, _ in spots:
+    for n, at, end, bare, kind, patterns in spots:
         if kind == "secret":
             out[n].add((at, 4, end))
         if kind is None:
-            best = max(kinds, key=lambda k: (score.get((bare, k), 0.0) if k in shape.get(bare, ()) else 0.0, -kinds.index(k)))
-            if best in shape.get(bare, ()) and score.get((bare, best), 0.0) >= 0.8:
+            told = {k for k in shape.get(bare, ()) if score.get((bare, k), 0.0) >= 0.8 and any((p, k) in sure for p in patterns)}
+            if told:
+                best = max(told, key=lambda k: (score[bare, k], -kinds.index(k)))
                 if best == "email":
                     for m in uregex.finditer(r"(?<![\p{L}0-9])[\p{L}0-9][^\x20@]*+@[^\x20]*[\p{L}0-9]", bare):
                         out[n].add((at + m.start(), 0, at + m.end()))
@@ -198,12 +199,21 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[101][2] == 0 and all(got[i][2] == 0 and got[i][0] == got[i][1] for i in range(40))
 
 
+def test_an_instance_is_marked_only_beside_a_sure_pattern(spark):
+    rows = [(i, f"word number {i} please phone: +1 (555) 01{i % 10}-1{i:03d} thanks end", "en", "a") for i in range(40)]
+    rows += [(100, "so phone: 5550199 thanks", "en", "a"), (101, "they counted 5550199 apples", "en", "a"), (102, "population of 5550199 people", "en", "a")]
+    rows += [(103, "5550199", "en", "a"), (104, "phone: 5550199 and then 5550199 apples, phone: 5550199", "en", "a")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(documents(spark, rows)).collect()}
+    assert got[100] == "phone:10:17" and got[101] == got[102] == got[103] == ""
+    assert got[104] == "phone:7:14,phone:47:54"
+
+
 def test_a_pattern_gives_its_kind(spark):
     rows = [(i, f"said mail user{i}@x{i}.org today {i % 3}", "en", "a") for i in range(30)]
     rows += [(200 + i, f"said mail name{i}@host today", "en", "a") for i in range(3)]
-    rows += [(300, "other name9@host elsewhere", "en", "a")]
+    rows += [(300, "other name9@host elsewhere", "en", "a"), (301, "other name0@host elsewhere", "en", "a")]
     got = {r["doc_id"]: r["spans"] for r in pii.personal_data(documents(spark, rows)).collect()}
-    assert got[300] == "" and all(got[i].startswith("email:10:") for i in range(30))
+    assert got[300] == got[301] == "" and all(got[i].startswith("email:10:") for i in range(30))
     assert all(got[200 + i] == "email:10:20" for i in range(3))
 
 
