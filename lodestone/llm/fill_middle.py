@@ -41,10 +41,10 @@ ORDERS = {"psm": ((0, 0), (2, 1), (1, 2)), "spm": ((2, 1), (0, 0), (1, 2))}
 
 def check_marks(marks: Sequence[str]) -> tuple[str, ...]:
     """Marks that can be told apart wherever they stand: none is empty, inside another, or overlaps one."""
-    for a in marks:
-        for b in marks:
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
             overlaps = any(a.endswith(b[:k]) for k in range(1, len(b)))
-            if not a or overlaps or (a is not b and a in b):
+            if not a or overlaps or (i != j and a in b):
                 raise ValueError(f"marks {a!r} and {b!r} can be mistaken for each other")
     return tuple(marks)
 
