@@ -236,8 +236,7 @@ def kind_exports(spark, d):
 
 
 def kind_references(spark, d):
-    found = symbols.references(_kinds_declared(spark, d))
-    return found.where("kind = 'inherit' OR qualifier IN ('use', 'join', 'take', 'puts', 'Use')").select("path", "name", "kind", "in_symbol")
+    return symbols.references(_kinds_declared(spark, d)).select("path", "name", "kind", "in_symbol")
 
 
 def kind_literals(spark, d):
@@ -253,6 +252,32 @@ def parse_status(spark, d):
     return symbols.parse_status(virtual.kinds(spark, d))
 
 
+def bracket_errors(spark, d):
+    return symbols.parse_status(virtual.derived(spark, d, virtual.BRACKET_PATH, virtual.BRACKET_SOURCE))
+
+
+def nested_lists(spark, d):
+    """Imports, symbols, exports and calls out of lists inside of statements."""
+    declared = durable(symbols.declarations(virtual.derived(spark, d, virtual.LIST_PATH, virtual.LIST_SOURCE)), "lists")
+    found = durable(symbols.symbols(declared.where("language IN ('go', 'typescript')")), "symbols")
+    none = F.lit(None).cast("string")
+    return (
+        symbols.imports(declared).select("path", F.lit("import").alias("what"), F.col("module").alias("name"), F.col("alias").alias("more"))
+        .unionByName(found.select("path", F.col("kind").alias("what"), F.col("qualified_name").alias("name"), none.alias("more")))
+        .unionByName(symbols.exports(declared, found).where(F.endswith("path", F.lit(".ts"))).select("path", F.lit("export").alias("what"), "name", none.alias("more")))
+        .unionByName(symbols.references(declared.where("language = 'bash'")).select("path", F.col("kind").alias("what"), "name", F.col("in_symbol").alias("more")))
+    )
+
+
+def deep_scopes(spark, d):
+    found = symbols.symbols(symbols.declarations(virtual.derived(spark, d, virtual.DEEP_PATH, virtual.DEEP_SOURCE)))
+    return found.select("path", "kind", "qualified_name", (F.col("span.end_line") - F.col("span.start_line") + 1).alias("lines"))
+
+
+def module_docs(spark, d):
+    return symbols.module_docs(symbols.declarations(virtual.derived(spark, d, virtual.DOC_PATH, virtual.DOC_SOURCE)))
+
+
 def path_glob(spark, d):
     return read.expand(virtual.files(spark, d), "**/pkg/*/[a-z]*_[0-9]*.?s")
 
@@ -281,7 +306,7 @@ def progress_counters(spark, d):
 
 
 _OWN = (
-    kind_symbols, kind_imports, kind_exports, kind_references, kind_literals, kind_metrics, parse_status, path_glob, symbol_totals, artifact_totals,
+    kind_symbols, kind_imports, kind_exports, kind_references, kind_literals, kind_metrics, parse_status, bracket_errors, nested_lists, deep_scopes, module_docs, path_glob, symbol_totals, artifact_totals,
     entry_points, progress_counters,
     code_symbols, code_references,
     lang_rollup, lang_by_count, manifest_scalars, skipped_by_reason, classify_flags, detect_language, file_metrics, tree_view,
@@ -452,9 +477,10 @@ _IMPORTED = {
 }
 _EXPORTED = {0: "D@ D@|go go", 1: "D@ D@|area area", 2: "Shape Shape|area@ area@", 3: "D@ D@|up up", 4: "Box p@.Box|TestFill p@.TestFill", 5: "Rod Rod|cut Rod.cut|weld@ weld@", 6: "D@ a.b.D@", 10: "D@ Home.D@"}
 _REFERRED = {
-    0: "Base inherit D@|use call D@.go|use call test_go", 1: "Base inherit D@|use call D@.go|use call area", 2: "use call area@", 3: "Base inherit D@|use call D@.go",
+    0: "Base inherit D@|use call D@.go|use call test_go|test_go call <module>", 1: "Base inherit D@|use call D@.go|use call area", 2: "use call area@", 3: "Base inherit D@|use call D@.go",
     4: "use call p@.Fill|use call p@.TestFill", 5: "join call Rod.cut|join call weld@|join call main", 6: "Base inherit a.b.D@|use call a.b.D@.main",
     7: "Base inherit Kit.D@|use call Kit.D@.test_go", 8: "puts call main", 9: "use call sp.jump@", 10: "Use call Home.D@.Go", 11: "Base inherit Site.D@|take call Site.D@.go",
+    12: "echo call build|build call <module>",
 }
 #: Functions, classes, nesting, async, generators, tests, and whether there is an entry point.
 _MEASURED = {
@@ -481,7 +507,44 @@ _SQL["kind_metrics"] = f"""WITH {_told(_MEASURED, 'f', 'c', 'd', 'a', 'g', 't',
   SELECT path, f::BIGINT AS n_functions, c::BIGINT AS n_classes, d::INT AS max_nest_depth, a::BIGINT AS async_count, g::BIGINT AS generator_count, t::BIGINT AS test_count,
          m::BOOLEAN AS has_main_guard, CASE WHEN k IN (5, 6) THEN 0 ELSE len(string_split(coalesce(text, ''), chr(10))) END::INT AS comment_lines FROM said"""
 _SQL["entry_points"] = f"WITH {_told(_MEASURED, 'f', 'c', 'd', 'a', 'g', 't', 'm')} SELECT path FROM said WHERE m = 'true'"
-_SQL["parse_status"] = f"SELECT {virtual.KIND_PATH} AS path, true AS parse_ok, 0 AS error_nodes FROM documents"
+_SQL["parse_status"] = f"SELECT {virtual.KIND_PATH} AS path, true AS parse_ok, 0 AS error_nodes, 0 AS missing_nodes FROM documents"
+# Of the brackets of one type, as many close nothing as the running sum falls below zero at most.
+_SQL["bracket_errors"] = """WITH letters AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^aeiont]', '', 'g') AS w FROM documents),
+  runs AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(w, '[^aei]', '', 'g') || translate(reverse(regexp_replace(w, '[^aei]', '', 'g')), 'aei', 'xyz') ELSE w END, '') AS m FROM letters),
+  marks AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS c FROM runs),
+  kinds AS (SELECT doc_id, i, CASE WHEN doc_id % 2 = 0 THEN (CASE WHEN c IN ('a', 'x') THEN 0 WHEN c IN ('e', 'y') THEN 1 ELSE 2 END) ELSE (CASE WHEN c IN ('a', 'e') THEN 0 WHEN c IN ('i', 'o') THEN 1 ELSE 2 END) END AS kind,
+    CASE WHEN doc_id % 2 = 0 THEN (CASE WHEN c IN ('a', 'e', 'i') THEN 1 ELSE -1 END) ELSE (CASE WHEN c IN ('a', 'i', 'n') THEN 1 ELSE -1 END) END AS d FROM marks WHERE c <> ''),
+  sums AS (SELECT doc_id, kind, d, sum(d) OVER (PARTITION BY doc_id, kind ORDER BY i) AS run FROM kinds),
+  low AS (SELECT doc_id, greatest(0, -min(run)) AS c, sum(d) + greatest(0, -min(run)) AS o FROM sums GROUP BY doc_id, kind),
+  per AS (SELECT doc_id, sum(c + o)::INT AS e, sum(o)::INT AS m FROM low GROUP BY doc_id)
+  SELECT 'b' || doc_id || ('.' || ['py', 'ts', 'tsx', 'js', 'go', 'rs', 'java', 'rb', 'c', 'cpp', 'cs', 'php'][doc_id % 12 + 1]) AS path,
+    coalesce(e, 0) = 0 AS parse_ok, coalesce(e, 0) AS error_nodes, coalesce(m, 0) AS missing_nodes FROM documents LEFT JOIN per USING (doc_id)"""
+_LINED = "lined AS (SELECT doc_id, l, i - 1 AS i, 'x' || regexp_extract(l, '[A-Za-z]+') || (i - 1) AS x FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents))"
+_SQL["nested_lists"] = f"""WITH {_LINED}
+  SELECT 'q' || doc_id || '.rs' AS path, 'import' AS what, 'top::' || x || CASE i % 3 WHEN 1 THEN '::deep' || i || '::Last' ELSE '' END AS name,
+    CASE i % 3 WHEN 1 THEN 'L' || i WHEN 2 THEN 'R' || i END AS more FROM lined WHERE doc_id % 4 = 0
+  UNION ALL SELECT 'q' || doc_id || '.go', 'module', 'p', NULL FROM documents WHERE doc_id % 4 = 1
+  UNION ALL SELECT 'q' || doc_id || '.go', 'constant', 'p.' || x || unnest(CASE i % 3 WHEN 0 THEN [''] WHEN 1 THEN ['A', 'B'] ELSE ['C'] END), NULL FROM lined WHERE doc_id % 4 = 1
+  UNION ALL SELECT 'q' || doc_id || '.go', 'constant', 'p.' || CASE i % 3 WHEN 0 THEN 'X' ELSE 'Up' END || i, NULL FROM lined WHERE doc_id % 4 = 1 AND i % 3 < 2
+  UNION ALL SELECT 'q' || doc_id || '.go', CASE i % 2 WHEN 0 THEN 'class' ELSE 'interface' END, 'p.' || CASE i % 2 WHEN 0 THEN 'T' ELSE 'I' END || i, NULL FROM lined WHERE doc_id % 4 = 1
+  UNION ALL SELECT 'q' || doc_id || '.go', 'field', 'p.T' || i || '.F' || i, NULL FROM lined WHERE doc_id % 4 = 1 AND i % 2 = 0
+  UNION ALL SELECT 'q' || doc_id || '.ts', w, x, NULL FROM (SELECT doc_id, x, unnest([CASE i % 2 WHEN 0 THEN 'constant' ELSE 'function' END, 'export']) AS w FROM lined WHERE doc_id % 4 = 2)
+  UNION ALL SELECT 'q' || doc_id || '.ts', w, CASE w WHEN 'export default' THEN 'default' ELSE 'D' || doc_id END, NULL
+    FROM (SELECT doc_id, unnest([CASE doc_id % 8 WHEN 2 THEN 'class' ELSE 'function' END, 'export', 'export default']) AS w FROM documents WHERE doc_id % 4 = 2)
+  UNION ALL SELECT 'q' || doc_id || '.sh', 'call', x || unnest(CASE i % 2 WHEN 0 THEN ['', 'b', 'c'] ELSE ['d', 'e', 'f', 'g'] END), 'run' FROM lined WHERE doc_id % 4 = 3"""
+_SQL["nested_lists"] = f"SELECT path, CASE what WHEN 'export default' THEN 'export' ELSE what END AS what, name, more FROM ({_SQL['nested_lists']})"
+_SQL["deep_scopes"] = """WITH deep AS (SELECT doc_id, doc_id % 2 AS k, (1 + len(string_split(coalesce(text, ''), chr(10))) % 40)::BIGINT AS n FROM documents),
+  named AS (SELECT *, list_transform(list_filter(range(n), lambda i: i % 3 < 2), lambda i: 'C' || i) AS chain FROM deep),
+  each AS (SELECT doc_id, k, n, chain, unnest(range(n)) AS i FROM named)
+  SELECT 'n' || doc_id || CASE k WHEN 0 THEN '.java' ELSE '.py' END AS path, 'class' AS kind, array_to_string(chain[1:list_position(chain, 'C' || i)], '.') AS qualified_name,
+    CASE k WHEN 0 THEN n - i + 2 ELSE n - i + 1 END::INT AS lines FROM each WHERE i % 3 < 2
+  UNION ALL SELECT 'n' || doc_id || CASE k WHEN 0 THEN '.java' ELSE '.py' END, 'method', array_to_string(chain, '.') || '.go', 1 FROM named
+  UNION ALL SELECT 'n' || doc_id || CASE k WHEN 0 THEN '.java' ELSE '.py' END, unnest(['class', 'method']), unnest(['Tail', 'Tail.last']), unnest(CASE k WHEN 0 THEN [1, 1] ELSE [3, 2] END) FROM named"""
+_BARE = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_SQL["module_docs"] = f"""WITH {_LINED},
+  docs AS (SELECT doc_id, string_agg(CASE WHEN doc_id % 5 = 3 AND i % 3 = 1 THEN NULL ELSE {_BARE('l')} END, chr(10) ORDER BY i) AS t FROM lined GROUP BY doc_id)
+  SELECT 'm' || doc_id || ['.py', '.go', '.ts', '.rs', '.java'][doc_id % 5 + 1] AS path,
+    CASE doc_id % 5 WHEN 0 THEN {_BARE("coalesce(text, '')")} WHEN 4 THEN '' ELSE coalesce({_BARE('t')}, '') END AS module_doc FROM documents JOIN docs USING (doc_id)"""
 _SQL["path_glob"] = f"WITH {_VFILES} SELECT path FROM vfiles WHERE list_extract(string_split(path, '/'), -3) = 'pkg' AND list_extract(string_split(path, '/'), -1) SIMILAR TO '[a-z][^/]*_[0-9][^/]*[.][^/]s'"
 _SQL["symbol_totals"] = f"WITH {_PART} SELECT count(*) AS total_in_repo, count(*) FILTER (kind = 'method' AND starts_with(file, 'Brand_1')) AS total_returned FROM symbols"
 _SQL["artifact_totals"] = "SELECT count(*) + 3 AS artifacts, (4 * sum(n_chars))::BIGINT AS total_size_bytes FROM documents"

@@ -128,7 +128,7 @@ def summaries(facts: Facts) -> DataFrame:
         .select(
             "path", "language", "bytes", "loc", "is_test", "is_generated", "is_config", F.coalesce("has_main_guard", F.lit(False)).alias("has_main_guard"),
             (F.coalesce("parse_ok", F.lit(True)) & ~no_parser).alias("parse_ok"), F.coalesce("error_nodes", F.lit(0)).alias("error_nodes"),
-            F.lit(0).alias("missing_nodes"), F.when(no_parser, "no_parser").alias("parse_reason"),
+            F.coalesce("missing_nodes", F.lit(0)).alias("missing_nodes"), F.when(no_parser, "no_parser").alias("parse_reason"),
         )
     )
 
@@ -149,14 +149,15 @@ def nested(facts: Facts) -> DataFrame:
     ):
         out = out.join(gathered(table, name), "path", "left")
     metrics = facts.metrics.select("path", F.struct(*[c for c in facts.metrics.columns if c not in ("path", "comment_lines")]).alias("metrics"))
-    parse = facts.parse.select("path", F.struct("parse_ok", "error_nodes").alias("parse"))
+    parse = facts.parse.select("path", F.struct("parse_ok", "error_nodes", "missing_nodes").alias("parse"))
     return out.join(metrics, "path", "left").join(parse, "path", "left").join(facts.docs, "path", "left")
 
 
 def artifacts(facts: Facts) -> DataFrame:
     """``path, language, body, size_bytes``: a file's facts as one JSON object, every key there even where it is null."""
-    body = F.to_json(F.struct(*[c for c in nested(facts).columns if c not in ("path", "language")]), {"ignoreNullFields": "false"})
-    return nested(facts).select("path", "language", body.alias("body")).withColumn("size_bytes", F.octet_length("body").cast("long"))
+    rows = nested(facts)
+    body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("path", "language")]), {"ignoreNullFields": "false"})
+    return rows.select("path", "language", body.alias("body")).withColumn("size_bytes", F.octet_length("body").cast("long"))
 
 
 def done_events(facts: Facts) -> DataFrame:

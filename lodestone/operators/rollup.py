@@ -94,5 +94,5 @@ def supported_languages(spark) -> DataFrame:
     ids = spark.createDataFrame(known, "id string").unionByName(spark.createDataFrame([(x,) for x in rules.FAMILY], "id string")).distinct()
     names = spark.createDataFrame(list(classify.DISPLAY_NAMES.items()), "id string, display_name string")
     return ids.join(names, "id", "left").select(
-        "id", F.coalesce("display_name", "id").alias("display_name"), F.col("id").isin(*rules.FAMILY).alias("has_full_support")
+        "id", F.coalesce("display_name", F.initcap(F.replace("id", F.lit("_"), F.lit(" ")))).alias("display_name"), F.col("id").isin(*rules.FAMILY).alias("has_full_support")
     ).orderBy("id")

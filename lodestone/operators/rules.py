@@ -27,8 +27,11 @@ TOKENS = {
 }
 #: Languages without rules of their own: strings on one line, brackets, lines.
 TOKENS["plain"] = rf"(?m){C_STRINGS}|[{{}};()\n]|[^{{}};()\n\"']+|(?s:.)"
+#: In Go, what a list of declarations in parentheses begins with.
+GO_GROUP = r"\A(?:const|var|type)[ \t]*\(\z"
+TOKENS["go"] = r"(?m)^(?:const|var|type)[ \t]*\(|" + TOKENS["brace"].removeprefix("(?m)")
 FAMILY = {
-    "typescript": "typescript", "tsx": "typescript", "javascript": "typescript", "go": "brace", "rust": "rust", "java": "brace",
+    "typescript": "typescript", "tsx": "typescript", "javascript": "typescript", "go": "go", "rust": "rust", "java": "brace",
     "c": "c", "cpp": "c", "csharp": "brace", "php": "php", "python": "python", "ruby": "ruby", "bash": "bash",
 }
 #: Languages whose blocks are told by indentation, and those where a line's end is a statement's.
@@ -42,12 +45,18 @@ _TS = (
     (r"^(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+([\w$]+)", "enum"),
     (r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)", "function"),
     (r"^(?:export\s+)?(?:const|let|var)\s+([\w$]+)[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>", "function"),
+    (r"^(?:export\s+)?(?:const|let|var)\s+([\w$]+)[^=]*=\s*(?:async\s+)?function\b", "function"),
     (r"^(?:export\s+)?(?:const|let|var)\s+([\w$]+)", "constant"),
     (r"^(?:(?:public|private|protected|static|readonly|override|abstract)\s+)*(constructor)\s*\(", "constructor"),
     (r"^(?:(?:public|private|protected|static|override|abstract)\s+)*(?:get|set)\s+([\w$]+)\s*\(", "property"),
     (r"^(?:(?:public|private|protected|static|override|abstract|async)\s+)*\*?\s*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|new\b|await\b)([\w$#]+)\s*(?:<[^(]*>)?\([^;]*\)\s*(?::[^;=]+)?$", "method"),
     (r"^(?:(?:public|private|protected|static|readonly|declare)\s+)*([\w$#]+)\s*[?!]?\s*(?::[^=]+)?(?:=.*)?$", "field"),
 )
+#: A declarator that is a function.
+CALLABLE = r"^[^=]*=\s*(?:async\s+)?(?:function\b|(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>)"
+#: Words that may stand before a shell command, and commands that only declare.
+SHELL_AHEAD = ("if", "elif", "while", "until", "then", "do", "else", "time")
+SHELL_DECLARES = ("local", "declare", "typeset", "readonly", "export", "unset", "source", ".", "{", "}", "fi", "done", "esac", "in")
 RULES: dict[str, tuple[tuple[str, str], ...]] = {
     "python": (
         (r"^class\s+(\w+)", "class"),
@@ -65,7 +74,7 @@ RULES: dict[str, tuple[tuple[str, str], ...]] = {
         (r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\b", "interface"),
         (r"^type\s+(\w+)", "type_alias"),
         (r"^const\s+(\w+)", "constant"),
-        (r"^var\s+([A-Z]\w*)", "constant"),
+        (r"^var\s+(?:\w+\s*,\s*)*?([A-Z]\w*)", "constant"),
         (r"^(\w+)\s+[\w.*\[\]]+(?:\s*`[^`]*`)?$", "field"),
     ),
     "rust": (

@@ -4,8 +4,8 @@ A file's text is cut into tokens that join to the text again; windows over a fil
 give every token its byte and line, its nesting and the statement it belongs to. Statements
 are rows; what they declare is a pattern per language (``rules``); what encloses them is the
 last block opened on each outer level. There is no syntax tree: heads of declarations are
-recognised, broken code around them does not matter, and error counts are unbalanced
-brackets. A file is a window partition, at most ``MAX_FILE_BYTES`` long.
+recognised, broken code around them does not matter, and error counts are brackets that do
+not match. A file is a window partition, at most ``MAX_FILE_BYTES`` long.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import literals as lit_fn
-from lodestone.operators import rules
+from lodestone.operators import brackets, lists, rules, scopes
 from lodestone.plans.durable import durable
 
 
@@ -44,7 +44,8 @@ def tokens(files: DataFrame) -> DataFrame:
         F.col("token").rlike("^#") & F.col("language").isin("python", "ruby", "bash", "php")
     )
     kind = (
-        F.when(F.col("token").rlike(r"\A[{}();\n\[\]]\z"), "mark")
+        F.when((F.col("language") == "go") & F.col("token").rlike(rules.GO_GROUP), "group")
+        .when(F.col("token").rlike(r"\A[{}();\n\[\]]\z"), "mark")
         .when(comment & ~F.col("token").rlike(r"^#!?\["), "comment")
         .when(F.col("token").rlike("\\A[\"'`]") & (F.length("token") > 1), "string")
         .otherwise("code")
@@ -63,7 +64,8 @@ def statements(files: DataFrame) -> DataFrame:
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     mark = lambda *m: (F.col("kind") == "mark") & F.col("token").isin(*m)
     indented = F.col("language").isin(*rules.INDENTED)
-    paren = F.when(mark("(", "["), 1).when(mark(")", "]"), -1).when(indented & mark("{"), 1).when(indented & mark("}"), -1).otherwise(0)
+    grouped = F.col("kind") == "group"
+    paren = F.when(mark("(", "[") | grouped, 1).when(mark(")", "]"), -1).when(indented & mark("{"), 1).when(indented & mark("}"), -1).otherwise(0)
     brace = F.when(indented, 0).when(mark("{"), 1).when(mark("}"), -1).otherwise(0)
     # A line that can only begin a statement begins one, whatever bracket was left open.
     anew = (F.col("language") == "python") & (F.lag("token").over(order) == "\n") & F.col("token").rlike(r"^(?:async\s+def|def|class|import|from|@)\b")
@@ -71,13 +73,18 @@ def statements(files: DataFrame) -> DataFrame:
     t = t.withColumn("part", F.sum("anew").over(upto)).withColumn("cut", F.coalesce(F.lead("anew").over(order), F.lit(0)))
     within = Window.partitionBy("path", "part").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("paren", F.sum(paren).over(within)).withColumn("depth", F.coalesce(F.sum(brace).over(before), F.lit(0)))
+    # A list in parentheses after const, var or type: its lines are statements, each of which means this word.
+    group = F.when(grouped, F.regexp_extract("token", r"\w+", 0)).when(mark(")") & (F.col("paren") <= 0), "")
+    t = t.withColumn("group", F.coalesce(F.last(group, ignorenulls=True).over(upto), F.lit("")))
+    t = t.withColumn("ungroup", mark(")") & (F.col("group") == "") & (F.coalesce(F.lag("group").over(order), F.lit("")) != ""))
     directive = F.col("language").isin("c", "cpp") & (F.col("kind") == "code") & F.col("token").rlike(r"^\s*#") | F.col("token").rlike(
         r"\A[ \t]*(?:import\b[\s\S]*[\"'];?|(?:pub(?:\([^)]*\))?\s+)?use\s[\s\S]*;)\z"
     )
     ends = (
         mark(";") & ((F.col("paren") <= 0) | ~indented)
         | ~indented & mark("{", "}")
-        | (F.col("language").isin(*rules.LINEWISE) | ~_analysed()) & mark("\n") & ((F.col("paren") <= 0) | (F.col("cut") == 1))
+        | (F.col("language").isin(*rules.LINEWISE) | ~_analysed()) & mark("\n") & ((F.col("paren") <= F.when(F.col("group") != "", 1).otherwise(0)) | (F.col("cut") == 1))
+        | grouped | F.col("ungroup")
         | directive
     )
     # A directive is a statement of its own, whatever stands before it.
@@ -87,34 +94,45 @@ def statements(files: DataFrame) -> DataFrame:
     shown = (F.col("kind") != "comment") & F.trim(F.regexp_replace("token", r"\s", " ")).isNotNull() & (F.regexp_replace(code, r"\s", "") != "")
     first = F.min(F.when(shown, F.col("i")))
     piece_of = t.withColumn("s", piece.cast("int")).withColumn("code", code).withColumn("shown", shown)
-    grouped = piece_of.groupBy("path", "language", "s").agg(
+    pieces = piece_of.groupBy("path", "language", "s").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "code"))), lambda x: x["code"]), "").alias("code"),
-        first.alias("first"),
+        first.alias("first"), F.max(F.when(F.col("shown"), F.col("group"))).alias("group"),
         F.min_by(F.struct("start", "line", "depth", "i"), F.when(F.col("shown"), F.col("i"))).alias("head"),
-        F.max_by(F.struct((F.col("start") + F.octet_length("token")).alias("end"), "line"), "i").alias("tail"),
+        F.max_by(F.struct((F.col("start") + F.octet_length("token")).alias("end"), "line", "depth"), "i").alias("tail"),
         F.max(F.when(mark("{"), 1).otherwise(0)).alias("opens"),
         F.max(F.when(mark("}"), 1).otherwise(0)).alias("closes"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "string", F.struct("i", "token", "start", "line")))).alias("strings"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "comment", F.struct("i", "token", "line")))).alias("comments"),
     )
     flat = F.trim(F.regexp_replace("code", r"\s+", " "))
-    return grouped.select(
-        "path", "language", "s", flat.alias("code"),
+    depth = F.coalesce("head.depth", "tail.depth").cast("int")
+    whole = F.when((F.col("group") != "") & (depth == 0) & (flat != ""), F.concat("group", F.lit(" "), flat)).otherwise(flat)
+    return pieces.select(
+        "path", "language", "s", whole.alias("code"),
         F.coalesce("head.start", "tail.end").alias("start"), F.coalesce("head.line", "tail.line").alias("line"),
         F.col("tail.end").alias("end"), F.col("tail.line").alias("end_line"),
-        F.length(F.regexp_extract("code", r"(?:^|\n)([ \t]*)\S", 1)).alias("lead"), F.coalesce("head.depth", F.lit(0)).cast("int").alias("depth"),
+        F.length(F.regexp_extract("code", r"(?:^|\n)([ \t]*)\S", 1)).alias("lead"), depth.alias("depth"),
         "opens", "closes", "strings", "comments",
     )
 
 
 def parse_status(files: DataFrame) -> DataFrame:
-    """``path, parse_ok, error_nodes``: brackets that are left open or close nothing."""
-    t = tokens(files.where(_analysed())).where("kind = 'mark'")
-    net = lambda a, b: F.abs(F.count_if(F.col("token") == a) - F.count_if(F.col("token") == b))
-    found = t.groupBy("path").agg((net("(", ")") + net("[", "]") + net("{", "}")).cast("int").alias("n"))
-    return files.select("path").join(found, "path", "left").select(
-        "path", (F.coalesce("n", F.lit(0)) == 0).alias("parse_ok"), F.coalesce("n", F.lit(0)).alias("error_nodes")
-    )
+    """``path, parse_ok, error_nodes, missing_nodes``: brackets that do not match, and the closing ones that are missing.
+
+    A file's brackets outside of comments and strings are reduced where the file is; nothing is
+    shuffled. What ends a case of a shell's ``case`` is no bracket.
+    """
+    quiet = r"\A(?://|/\*|#(?!!?\[)|[\"'`])"
+
+    def marks(family: str) -> Column:
+        cut = F.regexp_extract_all("text", F.lit(rules.TOKENS[family]), F.lit(0))
+        kept = F.array_join(F.filter(cut, lambda t: ~t.rlike(quiet)), "")
+        return brackets.only_brackets(F.regexp_replace(kept, r"(?m)^[ \t]*[^\s()][^()\n]*\)", "") if family == "bash" else kept)
+
+    state = brackets.reduce_text(_by_language(rules.FAMILY, marks, F.lit("")))
+    counted = files.select("path", state.alias("state"))
+    errors = brackets.unclosed(F.col("state")) + brackets.unopened(F.col("state"))
+    return counted.select("path", (errors == 0).alias("parse_ok"), errors.alias("error_nodes"), brackets.unclosed(F.col("state")).alias("missing_nodes"))
 
 
 def _declared() -> Column:
@@ -132,40 +150,25 @@ def _declared() -> Column:
 
 def declarations(files: DataFrame) -> DataFrame:
     """Statements with ``kind``, ``name``, ``scopes`` (what encloses them, outermost first) and their block's end."""
-    s = statements(files).withColumn("d", F.when(_analysed(), _declared()))
     indented = F.col("language").isin(*rules.INDENTED)
-    ranks = Window.partitionBy("path").orderBy(F.when(F.col("code") != "", F.col("lead")).otherwise(F.lit(0)))
-    s = durable(s.withColumn("level", F.greatest(F.lit(0), F.when(indented, F.dense_rank().over(ranks) - 1).otherwise(F.col("depth"))).cast("int")), "statements")
-    levels = range((s.agg(F.max("level")).first()[0] or 0) + 1)
+    s = durable(statements(files).withColumn("d", F.when(_analysed(), _declared())), "statements")
+    nested = scopes.nest(s.select(
+        "path", "s", indented.alias("indented"), (F.col("code") != "").alias("shown"), "lead", "depth", (F.col("opens") == 1).alias("opens"), (F.col("closes") == 1).alias("closes"),
+        F.startswith("code", F.lit("typedef")).alias("typedef"), "start", "line", "end", "end_line", F.col("d.kind").alias("kind"), F.col("d.name").alias("name"),
+    )).withColumnRenamed("path", "p").withColumnRenamed("s", "q")
     order = Window.partitionBy("path").orderBy("s")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # The next one of a sort is the last one before in falling order, which a running frame finds.
-    after = Window.partitionBy("path").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    block = F.when(indented, F.col("code") != "").otherwise(F.col("opens") == 1)
-    scope = F.struct(F.col("d.kind").alias("kind"), F.col("d.name").alias("name"), "code", "s")
-    last = [F.last(F.when(block & (F.col("level") == k), scope), ignorenulls=True).over(before) for k in levels]
-    # A block on some level ends with the next statement that is on this or an outer level.
-    closer = lambda k: F.when(
-        F.when(indented, (F.col("code") != "") & (F.col("level") <= k)).otherwise((F.col("closes") == 1) & (F.col("level") <= k + 1)),
-        F.struct(F.when(indented, F.col("start")).otherwise(F.col("end")).alias("end"), F.when(indented, F.col("line") - 1).otherwise(F.col("end_line")).alias("line")),
-    )
-    nexts = [F.last(closer(k), ignorenulls=True).over(after) for k in levels]
     package = F.last(F.when(F.col("d.kind") == "package", F.col("d.name")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     go_package = F.first(F.when((F.col("language") == "go") & (F.col("d.kind") == "module"), F.col("d.name")), ignorenulls=True).over(
         order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    sibling = F.get(F.array(*last), F.col("level"))["code"]
-    named = s.select(
-        "*", sibling.alias("sibling"), F.array(*last).alias("outer"), F.array(*nexts).alias("ends"), F.coalesce(go_package, package).alias("package"),
+    named = s.join(nested, (F.col("path") == F.col("p")) & (F.col("s") == F.col("q"))).select(
+        "*", F.coalesce(go_package, package).alias("package"),
         F.lag("code", 1).over(order).alias("code_before"), F.lead("code", 1).over(order).alias("code_after"), F.lead("strings", 1).over(order).alias("strings_after"),
     )
-    scopes = F.filter(F.slice("outer", 1, F.col("level")), lambda x: x.isNotNull() & x["name"].isNotNull() & (x["name"] != ""))
-    ended = F.when(indented | (F.col("opens") == 1), F.get("ends", F.col("level")))
     return named.select(
-        "path", "language", "s", "code", "level", "start", "line", "strings", "comments", "package", "code_before", "code_after", "strings_after", "sibling",
-        F.col("d.kind").alias("raw_kind"), F.col("d.name").alias("name"), scopes.alias("scopes"), "opens",
-        F.coalesce(ended["end"], F.when(indented, F.lit(None)).otherwise(F.col("end")), F.col("end")).alias("end"),
-        F.greatest("line", F.coalesce(ended["line"], F.col("end_line"))).alias("end_line"),
+        "path", "language", "s", "code", "level", "start", "line", "strings", "comments", "package", "code_before", "code_after", "strings_after", "after_typedef",
+        F.col("d.kind").alias("raw_kind"), F.col("d.name").alias("name"), "scopes", "opens",
+        F.coalesce("block_end", "end").alias("end"), F.greatest("line", F.coalesce("block_line", "end_line")).alias("end_line"),
     )
 
 
@@ -177,11 +180,33 @@ def _segments(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"::|\\|->", "."), r"^\.+|\.+$", "")
 
 
+_SCRIPTED = ("typescript", "tsx", "javascript")
+
+
+def _each_name(declared: DataFrame) -> DataFrame:
+    """``declared`` with a row for every name that a statement declares: ``const a = 1, b = 2`` has two, ``var A, B int`` in Go too."""
+    word = F.regexp_extract("code", r"^((?:export\s+)?(?:const|let|var))\s", 1)
+    one = lambda kind, name, code: F.struct(kind.alias("raw_kind"), name.alias("name"), code.alias("code"))
+    own = F.array(one(F.col("raw_kind"), F.col("name"), F.col("code")))
+    named = r"^([\w$]+)\s*!?\s*(?:[:=]|$)"
+    parts = F.filter(F.slice(lists.split_outside(F.regexp_replace("code", r"^(?:export\s+)?(?:const|let|var)\s+", "")), 2, 1_000_000), lambda p: p.rlike(named))
+    called = lambda p: F.when(p.rlike(rules.CALLABLE), "function").otherwise("constant")
+    scripted = F.col("language").isin(*_SCRIPTED) & (word != "") & F.contains("code", F.lit(",")) & F.col("raw_kind").isin("constant", "function")
+    listed = F.split(F.regexp_extract("code", r"^(?:const|var)\s+(\w+(?:\s*,\s*\w+)+)", 1), r"\s*,\s*")
+    more = F.filter(listed, lambda n: (n != "") & (n != F.col("name")) & (n != "_") & (~F.startswith("code", F.lit("var")) | n.rlike("^[A-Z]")))
+    extra = F.when(scripted, F.transform(parts, lambda p: one(called(p), F.regexp_extract(p, named, 1), F.concat(word, F.lit(" "), p)))).when(
+        (F.col("language") == "go") & (F.col("raw_kind") == "constant"), F.transform(more, lambda n: one(F.lit("constant"), n, F.col("code")))
+    )
+    rows = declared.withColumn("each", F.explode(F.concat(own, F.coalesce(extra, F.array().cast("array<struct<raw_kind:string,name:string,code:string>>")))))
+    return rows.select(*[F.col(f"each.{c}").alias(c) if c in ("raw_kind", "name", "code") else F.col(c) for c in declared.columns])
+
+
 def symbols(declared: DataFrame) -> DataFrame:
     """``path, language`` and a symbol's columns, from ``declarations``."""
+    declared = _each_name(declared.where("raw_kind is not null and name <> ''"))
     inside = F.get("scopes", F.size("scopes") - 1)
     parent_kind = inside["kind"]
-    direct = F.size("scopes") == 0
+    direct = (F.size("scopes") == 0) & (F.col("language").isin(*rules.INDENTED) | (F.col("level") == 0))
     kind = (
         F.when((F.col("raw_kind") == "function") & parent_kind.isin("class", "interface", "impl", "enum") & (F.col("name") == F.lit("new")) & (F.col("language") == "rust"), "constructor")
         .when((F.col("raw_kind").isin("function", "method")) & F.col("name").isin("__init__", "__construct", "initialize"), "constructor")
@@ -202,7 +227,7 @@ def symbols(declared: DataFrame) -> DataFrame:
         F.when(F.col("raw_kind") == "impl", False)
         .when(F.col("raw_kind") == "package", False)
         .when((F.col("raw_kind") == "field") & (F.col("language") == "python"), parent_kind == "class")
-        .when(F.col("raw_kind") == "typedef_name", F.startswith("sibling", F.lit("typedef")))
+        .when(F.col("raw_kind") == "typedef_name", F.col("after_typedef"))
         .when(F.col("raw_kind") == "field", parent_kind == "class")
         .when(F.col("raw_kind") == "property", parent_kind.isin("class", "interface"))
         .when(F.col("raw_kind").isin("constructor"), in_container)
@@ -220,11 +245,11 @@ def symbols(declared: DataFrame) -> DataFrame:
         (F.col("language") == "python") & F.col("code_after").rlike("^[\"']"),
         F.trim(F.regexp_replace(F.get("strings_after", F.lit(0))["token"], "^(\"\"\"|'''|[\"'])|(\"\"\"|'''|[\"'])$", "")),
     ).otherwise(F.lit(""))
-    found = declared.where("raw_kind is not null and name <> ''").where(F.coalesce(keeps, F.lit(False)))
+    found = declared.where(F.coalesce(keeps, F.lit(False)))
     return found.select(
         "path", "language", kind.alias("kind"), F.element_at(F.split(own, r"\."), -1).alias("name"),
         F.when(parent == "", own).otherwise(F.concat(parent, F.lit("."), own)).alias("qualified_name"),
-        F.regexp_replace("code", r"\s*:$", "").alias("signature"), _span().alias("span"), doc.alias("doc"), modifiers.alias("modifiers"), parent.alias("parent_qname"),
+        F.regexp_replace(F.when(F.col("language") == "go", F.regexp_replace("code", r"^(?:const|var)\s+", "")).otherwise(F.col("code")), r"\s*:$", "").alias("signature"), _span().alias("span"), doc.alias("doc"), modifiers.alias("modifiers"), parent.alias("parent_qname"),
     )
 
 
@@ -242,7 +267,8 @@ def imports(declared: DataFrame) -> DataFrame:
 
     source = F.regexp_extract(code, "[\"']([^\"']*)[\"']", 1)
     braces = F.regexp_extract(code, r"\{([^}]*)\}", 1)
-    rust_path = F.regexp_replace(F.regexp_extract(code, r"use\s+([^;{]*)", 1), r"(::)?\s*$", "")
+    # A leaf that is only ``self`` names no item of its own, and a star none at all.
+    leaves = F.when(F.col("language") == "rust", lists.expand_tree(F.regexp_extract(code, r"use\s+([^;]*)", 1)))
     from_part = F.regexp_extract(code, r"^from\s+(\S+)\s+import\b", 1)
     from_joint = F.when(F.endswith(from_part, F.lit(".")), from_part).otherwise(F.concat(from_part, F.lit(".")))
     star = F.regexp_extract(code, r"^import\s+(?:type\s+)?([\w$]+)", 1)
@@ -255,8 +281,9 @@ def imports(declared: DataFrame) -> DataFrame:
             F.when((star != "") & (star != "from"), F.array(entry(F.concat(source, F.lit("::default")), star, F.lit("from")))).otherwise(F.array().cast("array<struct<module:string,alias:string,kind:string>>")),
             F.when(code.rlike(r"\*\s+as\s+"), F.array(entry(source, F.regexp_extract(code, r"\*\s+as\s+(\w+)", 1), F.lit("import")))).otherwise(F.array().cast("array<struct<module:string,alias:string,kind:string>>")),
             listed(braces, source, "::", "from")))
-        .when((F.col("language") == "rust") & code.rlike(r"^(?:pub(?:\([^)]*\))?\s+)?use\s"), F.when(braces == "", F.array(
-            entry(name_of(rust_path), alias_of(rust_path), F.lit("import")))).otherwise(listed(braces, rust_path, "::", "import")))
+        .when((F.col("language") == "rust") & code.rlike(r"^(?:pub(?:\([^)]*\))?\s+)?use\s"), F.transform(
+            F.filter(leaves, lambda x: (F.contains(x, F.lit(" as ")) | ~x.rlike(r"(?:^|::)(?:self|super|crate)$")) & ~F.contains(x, F.lit("*"))),
+            lambda x: entry(name_of(x), alias_of(x), F.lit("import"))))
         .when((F.col("language") == "php") & code.rlike(r"^(?:<\?php\s*)?use\s"), F.array(
             entry(name_of(F.regexp_replace(code, r"^(?:<\?php\s*)?use\s+(?:function\s+|const\s+)?", "")), alias_of(code), F.lit("import"))))
         .when((F.col("language") == "go") & code.rlike(r"^import\b"), F.transform(
@@ -283,8 +310,9 @@ def references(declared: DataFrame) -> DataFrame:
         F.regexp_extract_all(code, F.lit(r"([A-Za-z_$][\w$]*(?:(?:\.|::|->|\\)[A-Za-z_$][\w$]*)*)!?\s*\("), F.lit(1)), lambda x: F.trim(x)
     )
     calls = F.filter(calls, lambda x: ~x.isin(*rules.NO_CALLS))
-    own = F.when(heads & (F.col("name") != ""), F.filter(calls, lambda x: x != F.col("name"))).otherwise(calls)
-    command = F.when((F.col("language") == "bash") & F.col("raw_kind").isNull(), F.array_compact(F.array(F.nullif(F.regexp_extract("code", r"^(?:then\s+|do\s+|else\s+)?([A-Za-z_][\w./-]*)(?:\s|$)", 1), F.lit("")))))
+    own = F.when(heads & (F.col("name") != ""), F.filter(calls, lambda x: (x != F.col("name")) & (x != F.concat(F.lit("self."), F.col("name"))))).otherwise(calls)
+    command = F.when((F.col("language") == "bash") & (F.col("raw_kind").isNull() | (F.col("raw_kind") == "constant")), F.filter(
+        lists.commands(F.col("code"), rules.SHELL_AHEAD), lambda x: ~x.isin(*rules.SHELL_DECLARES)))
     called = F.filter(F.coalesce(command, own), lambda x: ~x.isin("fi", "done", "then", "do", "else", "esac", *rules.NO_CALLS))
     bases = F.when(
         F.col("raw_kind") == "class",
@@ -329,6 +357,8 @@ def exports(declared: DataFrame, found: DataFrame) -> DataFrame:
         .when(F.col("language").isin("java", "csharp"), F.col("kind").isin("class", "interface", "enum") & code.rlike(r"\bpublic\b"))
         .otherwise(False)
     )
+    default = declared.where(F.col("language").isin(*_SCRIPTED) & (F.col("level") == 0) & F.col("code").rlike(r"^export\s+default\s+(?:async\s+)?(?:function|class)\b"))
+    listed = listed.unionByName(default.select("path", F.lit("default").alias("name"), F.lit("default").alias("qualified_name")))
     return listed.unionByName(found.where(public).select("path", "name", "qualified_name"))
 
 
@@ -372,13 +402,24 @@ def metrics(declared: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def module_docs(declared: DataFrame) -> DataFrame:
-    """``path, module_doc``: a Python file's first string, else the comments before the first code."""
+    """``path, module_doc``: what a language takes for a file's documentation.
+
+    A Python file's first string; in Go the comments before the first code, in Rust those of
+    documentation among them; in TypeScript and JavaScript a block comment that comes first.
+    Other languages have none.
+    """
     some = declared.where(_analysed() & (F.col("code") != "")).groupBy("path").agg(F.min("s").alias("first"), F.min_by("code", "s").alias("head"), F.min_by("strings", "s").alias("quoted"))
     told = (
-        declared.where(F.col("language") != "python").join(some.select("path", "first"), "path").where(F.col("s") <= F.col("first"))
-        .groupBy("path").agg(F.sort_array(F.flatten(F.collect_list(F.array_compact("comments")))).alias("comments"))
+        declared.where(F.col("language").isin("go", "rust", *_SCRIPTED)).join(some.select("path", "first"), "path").where(F.col("s") <= F.col("first"))
+        .groupBy("path").agg(F.max("language").alias("language"), F.sort_array(F.flatten(F.collect_list(F.array_compact("comments")))).alias("comments"))
     )
-    lines = F.transform("comments", lambda c: F.trim(F.regexp_replace(c["token"], r"^(//[/!]?|/\*+!?|#!?)|\*/$", "")))
-    quoted = F.trim(F.regexp_replace(F.get("quoted", F.lit(0))["token"], "^(\"\"\"|'''|[\"'])|(\"\"\"|'''|[\"'])$", ""))
-    doc = F.when(F.col("head").rlike("^(\"|')"), quoted).otherwise(F.array_join(lines, "\n"))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    inner = lambda x: bare(F.regexp_replace(x, r"^/\*\*?|\*/$", ""))
+    block = lambda x: F.startswith(x, F.lit("/*"))
+    tokens_of = F.transform("comments", lambda c: c["token"])
+    lines = F.when(F.col("language") == "go", F.transform(tokens_of, lambda c: F.when(block(c), inner(c)).otherwise(bare(F.substring(c, 3, 1_000_000_000))))).when(
+        F.col("language") == "rust", F.transform(F.filter(tokens_of, lambda c: block(c) | c.rlike(r"^//[/!]")), lambda c: F.when(block(c), inner(c)).otherwise(bare(F.substring(c, 4, 1_000_000_000))))
+    ).otherwise(F.when(block(F.get(tokens_of, F.lit(0))), F.transform(F.split(inner(F.get(tokens_of, F.lit(0))), "\n"), lambda c: bare(F.regexp_replace(c, r"^\s*\*+", "")))))
+    quoted = bare(F.regexp_replace(F.get("quoted", F.lit(0))["token"], "^(\"\"\"|'''|[\"'])|(\"\"\"|'''|[\"'])$", ""))
+    doc = F.when(F.col("head").rlike("^(\"|')") & F.col("language").isNull(), quoted).otherwise(bare(F.array_join(lines, "\n")))
     return some.join(told, "path", "left").select("path", F.coalesce(doc, F.lit("")).alias("module_doc"))

@@ -204,3 +204,62 @@ def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = documents(spark, sf_dir).selectExpr(f"{SOURCE_PATH} AS path", f"{SOURCE} AS text")
     return base.withColumn("language", classify.language(F.col("path")))
+
+
+# Sources whose declarations come from the text itself: names from its lines, numbers and depths from their count. -----
+
+_LINES = "split(coalesce(text, ''), chr(10))"
+_WORD = "concat('x', regexp_extract(l, '[A-Za-z]+', 0), i)"
+
+
+def _each(*arms: str, joint: str) -> str:
+    """One of ``arms`` per line of the text, in turn, joined; ``x`` in an arm is the line's first word and number."""
+    cases = " ".join(f"WHEN {k} THEN {arm.replace('{x}', _WORD)}" for k, arm in enumerate(arms))
+    return f"array_join(transform({_LINES}, (l, i) -> CASE i % {len(arms)} {cases} END), {joint})"
+
+
+#: Rust paths in braces three deep, Go lists in parentheses, several declarators, shell pipes.
+LIST_PATH = "concat('q', doc_id, CASE doc_id % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.go' WHEN 2 THEN '.ts' ELSE '.sh' END)"
+LIST_SOURCE = f"""CASE doc_id % 4
+  WHEN 0 THEN concat('use top::{{', {_each("{x}", "concat({x}, '::{self, deep', i, '::{Last as L', i, ', *}}')", "concat({x}, ' as R', i)", joint="', '")}, '}};', chr(10), 'fn go() {{ }}', chr(10))
+  WHEN 1 THEN concat('package p', chr(10), 'const (', chr(10),
+    {_each("concat({x}, ' = ', i)", "concat({x}, 'A, ', {x}, 'B = f(1, 2), ', i)", "concat('// note', chr(10), {x}, 'C')", joint="chr(10)")}, chr(10), ')', chr(10), 'var (', chr(10),
+    {_each("concat('X', i, ' = map[string]int{', chr(10), '\"a\": 1,', chr(10), '}')", "concat('low', i, ', Up', i, ' int')", "''", joint="chr(10)")}, chr(10), ')', chr(10), 'type (', chr(10),
+    {_each("concat('T', i, ' struct {', chr(10), 'F', i, ' int', chr(10), '}')", "concat('I', i, ' interface {', chr(10), '}')", joint="chr(10)")}, chr(10), ')', chr(10))
+  WHEN 2 THEN concat('export const ', {_each("concat({x}, ' = [', i, ', g(1, 2)]')", "concat({x}, ' = (n: number) => use(n, 1)')", joint="', '")}, ';', chr(10),
+    'export default ', CASE doc_id % 8 WHEN 2 THEN 'class D' ELSE 'function D' END, doc_id, CASE doc_id % 8 WHEN 2 THEN '' ELSE '()' END, ' {{ }}', chr(10))
+  ELSE concat('run() {{', chr(10), {_each("concat({x}, ' | ', {x}, 'b y && ', {x}, 'c')", "concat('V', i, '=$(', {x}, 'd z | ', {x}, 'e)', chr(10), 'if ', {x}, 'f -q; then ', {x}, 'g; fi')", joint="chr(10)")}, chr(10), '}}', chr(10)) END"""
+
+#: A text's letters as brackets: opened and closed in mirror order, or as they come. Comments and strings hold others.
+BRACKET_KINDS = KINDS[:12]
+_LETTERS = "regexp_replace(lower(coalesce(text, '')), '[^aeiont]', '')"
+_OPENED = f"translate(regexp_replace({_LETTERS}, '[^aei]', ''), 'aei', '([{{')"
+BRACKET_PATH = "concat('b', doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '.{kind[0]}'" for k, kind in enumerate(BRACKET_KINDS)) + " END)"
+_MARK = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{kind[1]}'" for k, kind in enumerate(BRACKET_KINDS)) + " END"
+BRACKET_SOURCE = f"""concat(CASE doc_id % 12 WHEN 11 THEN concat('<?php', chr(10)) ELSE '' END, {_MARK}, '( [', chr(10), 'x = ', chr(34), '}} ((', chr(34), chr(10),
+  CASE doc_id % 2 WHEN 0 THEN concat({_OPENED}, translate(reverse({_OPENED}), '([{{', ')]}}')) ELSE translate({_LETTERS}, 'aeiont', '()[]{{}}') END, chr(10))"""
+
+#: Blocks as deep as the text's lines say, every third of which has no name; a class after them.
+DEPTH = "1 + size(" + _LINES + ") % 40"
+DEEP_PATH = "concat('n', doc_id, CASE doc_id % 2 WHEN 0 THEN '.java' ELSE '.py' END)"
+_NESTED = f"transform(sequence(0, {DEPTH} - 1), i -> "
+DEEP_SOURCE = f"""CASE doc_id % 2
+  WHEN 0 THEN concat(array_join({_NESTED} CASE i % 3 WHEN 2 THEN 'static {{' ELSE concat('class C', i, ' {{') END), chr(10)), chr(10), 'int go(int n) {{ return use(n); }}', chr(10),
+    repeat('}}', {DEPTH}), chr(10), 'class Tail {{ int last(int n) {{ return n; }} }}', chr(10))
+  ELSE concat(array_join({_NESTED} concat(repeat(' ', i), CASE i % 3 WHEN 2 THEN 'if x:' ELSE concat('class C', i, ':') END)), chr(10)), chr(10), repeat(' ', {DEPTH}), 'def go(self): pass', chr(10),
+    'class Tail:', chr(10), '        def last(self):', chr(10), '                pass', chr(10)) END"""
+
+#: The text as the comment or string that a language takes for a file's documentation.
+DOC_PATH = "concat('m', doc_id, CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.ts' WHEN 3 THEN '.rs' ELSE '.java' END)"
+DOC_SOURCE = f"""CASE doc_id % 5
+  WHEN 0 THEN concat(repeat(chr(34), 3), coalesce(text, ''), repeat(chr(34), 3), chr(10), 'x = 1', chr(10))
+  WHEN 1 THEN concat({_each("concat('// ', l)", "concat('/* ', l, ' */')", joint="chr(10)")}, chr(10), 'package p', chr(10), '// after', chr(10))
+  WHEN 2 THEN concat('/**', chr(10), {_each("concat(' * ', l)", "concat(' ** ', l)", joint="chr(10)")}, chr(10), ' */', chr(10), 'export const a = 1;', chr(10))
+  WHEN 3 THEN concat({_each("concat('//! ', l)", "concat('// ', l)", "concat('/// ', l)", joint="chr(10)")}, chr(10), 'fn go() {{ }}', chr(10))
+  ELSE concat('/* ', coalesce(text, ''), ' */', chr(10), 'class A {{ }}', chr(10)) END"""
+
+
+def derived(spark: SparkSession, sf_dir: str, path: str, source: str) -> DataFrame:
+    """``path, text, language`` of files whose path and source are SQL over a document."""
+    base = documents(spark, sf_dir).selectExpr(f"{path} AS path", f"{source} AS text")
+    return base.withColumn("language", classify.language(F.col("path")))
