@@ -39,39 +39,44 @@ DICTIONARY = 1 << 20
 
 
 class Parse:
-    """A parse under way: the dictionary, where the phrase in hand begins, and the smallest hashes so far."""
+    """A parse under way: the dictionary, the phrase in hand, and the smallest hashes so far."""
 
     def __init__(self, size: int = SIZE, dictionary: int = DICTIONARY):
         self.size, self.limit = size, dictionary
         self.known: set[str] = set()
-        self.begin = self.end = 0
+        self.phrase = ""
         self.smallest = np.empty(0, np.uint32)
 
     def copy(self) -> Parse:
         other = Parse(self.size, self.limit)
-        other.known, other.begin, other.end, other.smallest = set(self.known), self.begin, self.end, self.smallest
+        other.known, other.phrase, other.smallest = set(self.known), self.phrase, self.smallest
         return other
 
-    def read(self, text: str, until: int) -> Parse:
-        """Go on to character ``until`` of ``text``, whose part read before is as it was then."""
-        known, begin, fresh = self.known, self.begin, []
-        for end in range(self.end + 1, until + 1):
-            phrase = text[begin:end]
+    def read(self, text: str) -> Parse:
+        """Go on with ``text``."""
+        known, limit, phrase, fresh = self.known, self.limit, self.phrase, []
+        for letter in text:
+            phrase += letter
             if phrase not in known:
                 known.add(phrase)
                 fresh.append(phrase)
-                begin = end
-                if len(known) >= self.limit:
+                phrase = ""
+                if len(known) >= limit:
                     self._take(fresh)
                     known.clear()
                     fresh = []
-        self.begin, self.end = begin, until
+        self.phrase = phrase
         self._take(fresh)
         return self
 
     def _take(self, phrases: list[str]) -> None:
-        hashed = np.fromiter((xxhash.xxh32_intdigest(p.encode()) for p in phrases), np.uint32, len(phrases))
-        self.smallest = np.union1d(self.smallest, hashed)[: self.size]
+        """Keep the smallest hashes; a few more than are wanted are looked at, all only where too many of these are equal."""
+        hashed = np.concatenate([self.smallest, np.fromiter(map(xxhash.xxh32_intdigest, phrases), np.uint32, len(phrases))])
+        few = 2 * self.size
+        first = np.unique(np.partition(hashed, few)[:few] if len(hashed) > few else hashed)
+        if len(first) < self.size and len(hashed) > few:
+            first = np.unique(hashed)
+        self.smallest = first[: self.size]
 
     def fingerprint(self) -> str:
         return self.smallest.astype(">u4").tobytes().hex()
@@ -93,7 +98,7 @@ def _hashes(fingerprint: str) -> np.ndarray:
 
 def fingerprint(text: str, size: int = SIZE, dictionary: int = DICTIONARY) -> str:
     """The fingerprint of one text, as hexadecimal digits, eight for each hash in rising order."""
-    return Parse(size, dictionary).read(text, len(text)).fingerprint()
+    return Parse(size, dictionary).read(text).fingerprint()
 
 
 def likeness_of(a: str, b: str, size: int = SIZE) -> float:
@@ -175,9 +180,6 @@ _COMPARED = [
 
 
 def _compare(size: int, dictionary: int):
-    def parsed(text: str, until: int) -> Parse:
-        return Parse(size, dictionary).read(text, until)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         neighbour, its = "", np.empty(0, np.uint32)
         for batch in batches:
@@ -185,12 +187,13 @@ def _compare(size: int, dictionary: int):
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
                 if batch.column("guest")[i].as_py():
-                    neighbour, its = text, parsed(text, len(text)).smallest
+                    neighbour, its = text, Parse(size, dictionary).read(text).smallest
                     continue
+                cut = len(text) - len(text) // 3
                 changed = edited(text, neighbour)
-                shared = parsed(text, len(text) - len(text) // 3)
-                new = shared.copy().read(changed, len(changed))
-                own = shared.read(text, len(text))
+                shared = Parse(size, dictionary).read(text[:cut])
+                new = shared.copy().read(changed[cut:])
+                own = shared.read(text[cut:])
                 row = (
                     len(text), hashlib.sha256(changed.encode()).hexdigest(), own.fingerprint(), new.fingerprint(),
                     likeness(own.smallest, new.smallest, size), likeness(own.smallest, its, size),
