@@ -30,10 +30,16 @@ from pyspark.sql import functions as F
 #: Most labelled pages that weights are taken from.
 SAMPLE = 2000
 
+# Quoted values may hold ``>``, and ``<`` where the quote ends as a value does; a quote that
+# doesn't is a character.
+_PLAIN = r"(?:[^<>\"'=]|=\s*\"[^\"<]*\"|=\s*'[^'<]*'|=)*+"
+_QUOTED = r"(?:[^<>\"'=]|=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|=)*+"
+_LOOSE = r"[^<>]*+"
+_NAMED = r"[a-zA-Z][a-zA-Z0-9:_.-]*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>"
+    r"|<(?P<raw>script|style|textarea|title|iframe)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>{_NAMED})(?P<attrs>{_PLAIN}|{_QUOTED}|{_LOOSE})>"
     r"|</?[a-zA-Z][^<>]*>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -48,7 +54,7 @@ BLOCK = frozenset(
     " tfoot th thead tr ul".split()
 )
 #: Never content: by element, by role, and by a word of the class or id.
-DROP_TAGS = frozenset("head nav header footer aside form button menu dialog label input".split())
+DROP_TAGS = frozenset("head nav header footer aside form button menu dialog label input noscript template svg select object".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner sponsor sponsored promo promotion promoted"
@@ -57,6 +63,13 @@ DROP_WORDS = frozenset(
     " signup login share sharing social comment comments commentlist disqus replies reply respond related recommended"
     " widget widgets pagination pager toolbar copyright disclaimer".split()
 )
+#: Words that say where or what kind of box such an element is; a class of several words is dropped
+#: if all of them are of one or the other kind (``site-header``, but not ``share-price``).
+BESIDE_WORDS = frozenset(
+    "site page main global top bottom left right primary secondary first last inner outer box bar list area wrap wrapper container section"
+    " block panel item items link links button buttons icon icons text title slot unit units post posts article articles form toggle mobile desktop"
+    " js is has the and by to a".split()
+)
 #: Whole-page wrappers keep what is in them, whatever their class.
 KEEP_TAGS = frozenset("html body main article".split())
 _CLOSES_P = BLOCK - {"body", "html"}
@@ -83,13 +96,18 @@ def _dropped(name: str, attrs: str, by_class: bool = True) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in DROP_ROLES:
             return True
-        if by_class and key in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & (DROP_WORDS if name not in KEEP_TAGS else frozenset(("comment", "comments", "reply"))):
-                return True
+        if by_class and key in ("class", "id") and any(_tells(word, name) for word in value.split()):
+            return True
     return False
 
 
+def _tells(word: str, name: str) -> bool:
+    """Whether a class or id says that an element is no content: by itself, or with all of its parts."""
+    parts = [p for p in re.split(r"[^a-z]+", word) if p]
+    told = DROP_WORDS if name not in KEEP_TAGS else frozenset(("comment", "comments", "reply"))
+    return any(p in told for p in parts) and all(p in told or p in BESIDE_WORDS for p in parts)
+
+
 def _classes(attrs: str) -> str:
     found = [m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs or "") if m[1].lower() in ("class", "id")]
     return " ".join(found).lower()
@@ -137,7 +155,7 @@ def tokens(page: str, by_class: bool = True) -> list[tuple[str, str, str]]:
                 unwind(name)
             out.append(("close", name, ""))
         elif _dropped(name, m["attrs"], by_class):
-            if name not in VOID:
+            if name not in VOID and not (name == "svg" and m["attrs"].endswith("/")):
                 skip, depth = name, 1
         else:
             out.append(("open", name, _classes(m["attrs"])))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -411,6 +412,30 @@ def test_extraction(body, text):
     assert html_extract.extract(page(body), WEIGHTS) == text
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<p>one <a title="x > y" href="#">link</a> two words</p>', "one link two words"),
+    ('<p>one two</p><div class="menu" data-x="a>b">MENU</div><p>three four</p>', "one two\nthree four"),
+    ("<article><title-card>hello there</title-card> <p>world of</p> <select-box>x y</select-box></article>", "hello there\nworld of\nx y"),
+    ('<article><section class="share-price">12 and more</section><div class="ad-hoc">ad hoc text</div><div class="site-header">H</div></article>', "12 and more\nad hoc text"),
+    ('<article><p>a b c</p><div class="cookie-banner">C</div><div class="ad">AD</div><div id="comment-12">CC</div><div class="related-posts">R</div><p>d</p></article>', "a b c\nd"),
+    ("<p>it is <b it's>so and</b> so</p>", "it is so and so"), ('<p data-a="a < b">text here</p>', "text here"), ('<p a="1"b="2>3">two quotes</p>', "two quotes"),
+    ('<p>pic <svg viewBox="0 0"/> after</p>', "pic after"), ("<article><p>a b</p><select><option>1</select><p>c d</p></article>", "a b\nc d"),
+    ('<p>say <a title="foo>text</a> and <b class="x">bold</b> words</p>', "say text and bold words"),
+])
+def test_no_text_is_lost_to_quotes_names_and_classes(page, want):
+    weights = html_extract.Weights(Counter())
+    page = page if page.startswith("<article>") else f"<article>{page}</article>"
+    assert html_extract.extract(page, weights) == want
+    assert html_extract.extract(f"<html><body><nav>m</nav>{page}<footer>f</footer></body></html>", weights) == want
+
+
+def test_reading_tokens_is_linear():
+    began = time.perf_counter()
+    for piece in ('<a x="1" ', '<a b="', '="', "<select ", "<title ", "<p it's", '<a b="<', "<svg/>", "<!-", '<a =">'):
+        html_extract.tokens(piece * 20_000)
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("opened, closed", [("<article>", "</article>"), ("<div class='post-content'>", "</div>"), ("<section class=entry>", "</section>")])
 def test_sibling_content_elements_come_out_whole(opened, closed):
     parts = ["First part with very many words of text to read", "Second part with very many words of text to read"]
