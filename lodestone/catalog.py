@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import classify, literals, text
+from lodestone.functions import classify, gitignore, literals, text
 from lodestone.functions.gitignore import glob_regex, rule
 from lodestone.operators import chunking, enclosing, inventory, packing, read, rollup, symbols, virtual
 from lodestone.plans.durable import durable
-from lodestone.streaming import log
+from lodestone.streaming import log, versions
 
 _UNITS = "\n"
 _CHUNK_TOKENS = 120
@@ -207,6 +207,37 @@ def incremental_reindex(spark, d):
     return inventory.changed_files(now, before).select("doc_id", "path", "sha256")
 
 
+_CHANGES = ("concat('u', user_id) AS path", "event_id AS version", "event_type <> 'view' AS live", "event_type AS language", "event_id % 1000 AS bytes")
+
+
+def versioned_rollup(spark, d):
+    """Files and bytes by language after each quarter of the changes, from what the changes bring and replace."""
+    events = _read(spark, d, "events")
+    count = events.agg(F.max("event_id")).first()[0] + 1
+    signed = versions.differences(events.selectExpr(*_CHANGES), ["language", "bytes"])
+    quarter = F.floor(F.col("version") * 4 / count).cast("int")
+    return versions.summed(signed.withColumn("quarter", F.explode(F.sequence(quarter, F.lit(3)))), ["quarter", "language"], ["bytes"])
+
+
+def versioned_facts(spark, d):
+    """The facts (here the events' values) that belong to the last version of their path."""
+    events = _read(spark, d, "events")
+    facts = events.selectExpr("concat('u', user_id) AS path", "event_id AS version", "value")
+    return versions.counting(facts, events.selectExpr(*_CHANGES))
+
+
+#: Names, endings, roots, folders and their exceptions, 5,000 of them, in order.
+RULES = 5000
+
+
+def rule_line(k: int) -> str:
+    return (f"mod_{k}.py", f"*.x{k}.ts", f"/src{k % 20}/src/main_{k}.go", f"!test_{k - 16}.py", f"svc_{k}/", f"!src{k % 20}/dist/lib_{k}.rs", f"page_{k}.*", f"test_{k}.py")[k % 8 if k % 64 > 3 else k % 3]
+
+
+def ignore_rules(spark, d):
+    return virtual.files(spark, d).select("doc_id", "path", gitignore.ignored(F.col("path"), [rule_line(k) for k in range(RULES)]).alias("ignored"))
+
+
 def code_symbols(spark, d):
     found = symbols.symbols(symbols.declarations(virtual.sources(spark, d)))
     return found.groupBy("path", "kind", "qualified_name").agg(F.count(F.lit(1)).alias("n"))
@@ -307,7 +338,7 @@ def progress_counters(spark, d):
 
 _OWN = (
     kind_symbols, kind_imports, kind_exports, kind_references, kind_literals, kind_metrics, parse_status, bracket_errors, nested_lists, deep_scopes, module_docs, path_glob, symbol_totals, artifact_totals,
-    entry_points, progress_counters,
+    entry_points, progress_counters, versioned_rollup, versioned_facts, ignore_rules,
     code_symbols, code_references,
     lang_rollup, lang_by_count, manifest_scalars, skipped_by_reason, classify_flags, detect_language, file_metrics, tree_view,
     tree_totals, glob_filter, url_literals, route_literals, path_literals, sql_literals, env_literals, enclosing_symbol,
@@ -548,6 +579,22 @@ _SQL["module_docs"] = f"""WITH {_LINED},
 _SQL["path_glob"] = f"WITH {_VFILES} SELECT path FROM vfiles WHERE list_extract(string_split(path, '/'), -3) = 'pkg' AND list_extract(string_split(path, '/'), -1) SIMILAR TO '[a-z][^/]*_[0-9][^/]*[.][^/]s'"
 _SQL["symbol_totals"] = f"WITH {_PART} SELECT count(*) AS total_in_repo, count(*) FILTER (kind = 'method' AND starts_with(file, 'Brand_1')) AS total_returned FROM symbols"
 _SQL["artifact_totals"] = "SELECT count(*) + 3 AS artifacts, (4 * sum(n_chars))::BIGINT AS total_size_bytes FROM documents"
+_SQL["versioned_rollup"] = f"""WITH e AS (SELECT {', '.join(_CHANGES)}, (event_id * 4 // (SELECT max(event_id) + 1 FROM events))::INT AS q FROM events),
+  state AS (SELECT k AS quarter, path, max_by(live, version) AS live, max_by(language, version) AS language, max_by(bytes, version) AS bytes FROM e, range(4) AS t(k) WHERE q <= k GROUP BY k, path)
+  SELECT quarter::INT AS quarter, language, count(*) AS file_count, sum(bytes)::BIGINT AS bytes FROM state WHERE live GROUP BY ALL"""
+_SQL["versioned_facts"] = """SELECT 'u' || user_id AS path, event_id AS version, value FROM events e
+  WHERE event_type <> 'view' AND NOT EXISTS (SELECT 1 FROM events n WHERE n.user_id = e.user_id AND n.event_id > e.event_id)"""
+# The rules again as kinds and keys; the last one that fits decides.
+_SQL["ignore_rules"] = f"""WITH r AS (SELECT k, CASE WHEN k % 64 > 3 THEN k % 8 ELSE k % 3 END AS kind FROM range({RULES}) AS t(k)),
+  f AS (SELECT doc_id, {virtual.PATH} AS path FROM documents), p AS (SELECT *, string_split(path, '/') AS parts FROM f),
+  hits AS (
+    SELECT doc_id, k, kind FROM p, r WHERE CASE kind
+      WHEN 0 THEN list_contains(parts, 'mod_' || k || '.py') WHEN 1 THEN list_has_any([true], list_transform(parts, lambda x: ends_with(x, '.x' || k || '.ts')))
+      WHEN 2 THEN starts_with(path || '/', 'src' || k % 20 || '/src/main_' || k || '.go/') WHEN 3 THEN list_contains(parts, 'test_' || (k - 16) || '.py')
+      WHEN 4 THEN list_contains(parts[1:len(parts) - 1], 'svc_' || k) WHEN 5 THEN starts_with(path || '/', 'src' || k % 20 || '/dist/lib_' || k || '.rs/')
+      WHEN 6 THEN list_has_any([true], list_transform(parts, lambda x: starts_with(x, 'page_' || k || '.'))) ELSE list_contains(parts, 'test_' || k || '.py') END),
+  last AS (SELECT doc_id, max_by(kind, k) AS kind FROM hits GROUP BY doc_id)
+  SELECT doc_id, path, coalesce(kind NOT IN (3, 5), false) AS ignored FROM p LEFT JOIN last USING (doc_id)"""
 _SQL["progress_counters"] = f"""WITH e AS (SELECT {', '.join(_DONE)} FROM events)
   SELECT CASE WHEN language = '' THEN 'unknown' ELSE language END AS language, count(*) AS files_done, count(*) FILTER (NOT parse_ok) AS errors_count FROM e WHERE event = 'file_done' GROUP BY 1"""
 

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.search import looked_up
+
 
 def _segment(text: str) -> str:
     """One path segment with ``*``, ``?`` and ``[...]``, none of which crosses a slash."""
@@ -55,12 +57,67 @@ def rule(line: str) -> tuple[str, bool] | None:
     return f"^{body}{'/' if only_folder else '(?:/|$)'}", ignores
 
 
+_WILD = re.compile(r"[*?\[\\]")
+
+
+def _kind(line: str) -> tuple[str, str, bool]:
+    """How one line's paths can be looked up: ``(kind, key, only folders)``.
+
+    ``name``: a part of the path is the key; ``end``: a part ends in the key, which begins with a
+    dot; ``start``: a part begins with the key; ``root``: the path begins with the key's parts;
+    else ``regex``.
+    """
+    line = line[1:] if line.startswith("!") else line
+    only_folder = line.endswith("/")
+    body = line.rstrip("/")
+    if "/" not in body:
+        if not _WILD.search(body):
+            return "name", body, only_folder
+        if body.startswith("*.") and not _WILD.search(body[1:]):
+            return "end", body[1:], only_folder
+        if body.endswith("*") and len(body) > 1 and not _WILD.search(body[:-1]):
+            return "start", body[:-1], only_folder
+    elif not _WILD.search(body):
+        return "root", "/".join(p for p in body.lstrip("/").split("/") if p != ""), only_folder
+    return "regex", "", only_folder
+
+
 def ignored(path: Column, lines: Iterable[str]) -> Column:
-    """Whether the last line that matches the path ignores it."""
-    out = F.lit(False)
-    for found in filter(None, map(rule, lines)):
-        out = F.when(path.rlike(found[0]), F.lit(found[1])).otherwise(out)
-    return out
+    """Whether the last line that matches the path ignores it.
+
+    Lines with a plain name, ending, beginning or root are kept as sorted keys with the number of
+    the last line that has them, and a path's parts are looked up there; the others, as a rule few,
+    are one regular expression for each run of lines that all ignore or all don't. The highest
+    number decides, so the work grows with the logarithm of such lines.
+    """
+    tables: dict[tuple[str, bool], dict[str, int]] = {}
+    runs: list[tuple[int, list[str]]] = []
+    sign, fresh = None, True
+    for number, line in enumerate(lines):
+        if (found := rule(line)) is None:
+            continue
+        regex, ignores = found
+        kind, key, only_folder = _kind(re.sub(r"(?<!\\)\s+$", "", line.rstrip("\n")))
+        fresh, sign = fresh or ignores != sign, ignores
+        if kind != "regex":
+            tables.setdefault((kind, only_folder), {})[key] = 2 * number + ignores
+            continue
+        if fresh:
+            runs.append((0, []))
+        runs[-1] = (2 * number + ignores, [*runs[-1][1], regex])
+        fresh = False
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    probes = {
+        "name": lambda xs, _: xs,
+        "end": lambda xs, _: F.flatten(F.transform(xs, lambda c: F.regexp_extract_all(c, F.lit(r"(?s)(?=(\..*))"), F.lit(1)))),
+        "start": lambda xs, keys: F.flatten(F.transform(xs, lambda c: F.array(*[F.substring(c, 1, n) for n in sorted({len(k) for k in keys})]))),
+        "root": lambda xs, _: F.transform(xs, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/")),
+    }
+    hits = [looked_up(probes[kind](folders if only_folder else parts, keys), keys) for (kind, only_folder), keys in tables.items()]
+    hits += [F.when(path.rlike("|".join(f"(?:{r})" for r in regexes)), code) for code, regexes in runs]
+    best = F.coalesce(F.greatest(F.lit(-2), F.lit(-2), *hits), F.lit(-2))
+    return best % 2 == 1
 
 
 def glob_regex(pattern: str) -> str:

@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from lodestone.functions import classify
 from lodestone.operators import analysis, inventory, rollup
 from lodestone.plans.durable import durable
-from lodestone.sources import hosted, tree
+from lodestone.sources import artifacts, hosted, tree, walk
 
 ROLLUPS = ("languages", "all_symbols", "top_level_symbols", "entry_points", "skipped_by_reason", "errors", "tree", "manifest")
 
 
 def _local(spark: SparkSession, root: str, respect_ignore: bool, extra: Sequence[str], max_bytes: int) -> tuple[DataFrame, DataFrame]:
     """All entries of a folder, and the files that are analysed."""
-    files = durable(tree.read_tree(spark, root, max_file_bytes=max_bytes), "tree")
+    root = tree.checked_root(root)
     lines: list[str] = []
     own = os.path.join(root, ".gitignore")
     if respect_ignore and os.path.isfile(own):
         with open(own, encoding="utf-8", errors="replace") as f:
             lines = f.read().splitlines()
+    files = durable(walk.read_files(walk.walk(spark, root, lines, extra), root, max_bytes), "tree")
     marked = inventory.classify_files(files, ignore_lines=lines, extra_globs=extra, max_bytes=max_bytes, binary=classify.looks_binary(F.col("content")))
     return marked.select(*inventory.ENTRY), marked.where("analyzed").select("path", "content")
 
@@ -44,10 +45,12 @@ def _hosted(spark: SparkSession, repo: hosted.Repository, ref: str, respect_igno
 def index(
     spark: SparkSession, source: str, out: str, *, ref: str = "", respect_ignore: bool = True, extra_globs: Sequence[str] = (),
     max_file_bytes: int = classify.MAX_FILE_BYTES, include_chunks: bool = True, chunk_max_tokens: int = analysis.CHUNK_TOKENS, get=hosted.http_get,
+    artifact_folder: str = "",
 ) -> DataFrame:
     """Analyse ``source`` and write facts and rollups under ``out``; returns the manifest's row.
 
     Rollups come first, facts after them, the index of all tables last: where it is, all is.
+    ``artifact_folder``: a mounted folder that gets a JSON file per source file, under its path.
     """
     repo = hosted.repository(source)
     if repo is None and "://" in source:
@@ -70,5 +73,7 @@ def index(
     }
     for name in ROLLUPS:
         tables[name].write.mode("overwrite").parquet(f"{out}/rollups/{name}")
+    if artifact_folder:
+        artifacts.write_artifacts(analysis.artifacts(facts), artifact_folder)
     analysis.write(facts, out)
     return spark.read.parquet(f"{out}/rollups/manifest")

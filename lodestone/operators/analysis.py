@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, text
@@ -169,13 +169,30 @@ def done_events(facts: Facts) -> DataFrame:
     )
 
 
-def write(facts: Facts, folder: str) -> None:
-    """Fact tables as Parquet, files by language, the files' artefacts, events appended to the log, and last the index of what was written."""
-    facts.files.drop("text").write.mode("overwrite").partitionBy("language").parquet(f"{folder}/files")
+def _observed(rows: DataFrame, seen: dict[str, Observation], name: str, *more: Column) -> DataFrame:
+    """``rows``, counted under ``name`` as they are written."""
+    seen[name] = Observation()
+    return rows.observe(seen[name], F.count(F.lit(1)).alias("rows"), *more)
+
+
+def write(facts: Facts, folder: str) -> dict[str, dict]:
+    """Fact tables as Parquet, files by language, the files' artefacts, events appended to the log, and last the index of what was written.
+
+    Returns counts by table (``rows``; of files their ``bytes`` and ``loc`` too, of parse states the
+    ``errors``), which the writes take themselves.
+    """
+    seen: dict[str, Observation] = {}
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    files = _observed(facts.files.drop("text"), seen, "files", total("bytes"), total("loc"))
+    files.write.mode("overwrite").partitionBy("language").parquet(f"{folder}/files")
     names = ("symbols", "imports", "exports", "references", "literals", "chunks", "metrics", "parse", "docs")
     for name in names:
-        getattr(facts, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    artifacts(facts).write.mode("overwrite").partitionBy("language").parquet(f"{folder}/artifacts")
-    log.append(done_events(facts), f"{folder}/log")
+        more = [F.count_if(~F.col("parse_ok")).alias("errors")] if name == "parse" else []
+        _observed(getattr(facts, name), seen, name, *more).write.mode("overwrite").parquet(f"{folder}/{name}")
+    _observed(artifacts(facts), seen, "artifacts").write.mode("overwrite").partitionBy("language").parquet(f"{folder}/artifacts")
+    log.append(_observed(done_events(facts), seen, "log"), f"{folder}/log")
+    counts = {name: one.get for name, one in seen.items()}
     spark = facts.files.sparkSession
-    spark.createDataFrame([(n, f"{folder}/{n}") for n in ("files", *names, "artifacts", "log")], "name string, path string").coalesce(1).write.mode("overwrite").json(f"{folder}/index")
+    rows = [(n, f"{folder}/{n}", counts[n]["rows"]) for n in counts]
+    spark.createDataFrame(rows, "name string, path string, rows long").coalesce(1).write.mode("overwrite").json(f"{folder}/index")
+    return counts

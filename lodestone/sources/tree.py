@@ -74,9 +74,17 @@ class TreeSource(DataSource):
         return _TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, **options: int) -> DataFrame:
-    """Files under ``root``; content is null where a file is too large or can't be read."""
+def checked_root(root: str) -> str:
+    """An absolute folder that is there."""
     if not os.path.isabs(root) or ".." in root.split(os.sep) or not os.path.isdir(root):
         raise ValueError(f"not an absolute folder: {root!r}")
+    return root
+
+
+def read_tree(spark: SparkSession, root: str, **options: int) -> DataFrame:
+    """Files under ``root``; content is null where a file is too large or can't be read.
+
+    The driver lists the folder; ``sources.walk`` does that in tasks.
+    """
     spark.dataSource.register(TreeSource)
-    return spark.read.format("source_tree").options(**options).load(root)
+    return spark.read.format("source_tree").options(**options).load(checked_root(root))

@@ -4,23 +4,34 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lodestone.plans.ordered import running_total
 from lodestone.schema import LOG_EVENT
 
 LIMIT = 100_000
+#: Bytes of a log that a task reads.
+RANGE_BYTES = 8 * 1024 * 1024
+
+
+def _event(line: bytes) -> tuple | None:
+    """``ts, event, line`` of a line that is a JSON object."""
+    try:
+        event = json.loads(line)
+        return (float(event.get("ts") or 0.0), event.get("event"), line.decode("utf-8", "replace").rstrip("\n")) if isinstance(event, dict) else None
+    except (ValueError, TypeError):
+        return None
 
 
 def read_from(path: str, offset: int, limit: int = LIMIT) -> tuple[list[tuple], int]:
     """Events after ``offset`` and the offset behind them.
 
     A last line without its end is left for the next read; a line that is no JSON object
-    is passed over.
+    is passed over. For a short look at a log; ``tail`` reads one of any length.
     """
     rows: list[tuple] = []
     if not os.path.exists(path):
@@ -32,33 +43,98 @@ def read_from(path: str, offset: int, limit: int = LIMIT) -> tuple[list[tuple],
             if not line.endswith(b"\n"):
                 break
             offset += len(line)
-            try:
-                event = json.loads(line)
-            except ValueError:
-                continue
-            if isinstance(event, dict):
-                rows.append((float(event.get("ts") or 0.0), event.get("event"), line.decode("utf-8", "replace").rstrip("\n"), offset))
+            if (row := _event(line)) is not None:
+                rows.append((*row, offset))
     return rows, offset
 
 
-class _LogReader(SimpleDataSourceStreamReader):
+class _Range(InputPartition):
+    """Lines whose end is a byte from ``start`` on and before ``end``."""
+
+    def __init__(self, start: int, end: int) -> None:
+        super().__init__((start, end))
+        self.start, self.end = start, end
+
+
+def _line_start(f, at: int, block: int = 1 << 16) -> int:
+    """Where the line that goes on at byte ``at`` began."""
+    while at > 0:
+        low = max(0, at - block)
+        f.seek(low)
+        found = f.read(at - low).rfind(b"\n")
+        if found >= 0:
+            return low + found + 1
+        at = low
+    return 0
+
+
+def read_range(path: str, start: int, end: int) -> Iterator[tuple]:
+    """Events of the lines that end in a range of bytes; what has no end yet belongs to a later range."""
+    if not os.path.exists(path):
+        return
+    with open(path, "rb") as f:
+        at = _line_start(f, start)
+        f.seek(at)
+        while at < end:
+            line = f.readline()
+            at += len(line)
+            if not line.endswith(b"\n") or at > end:
+                return
+            if (row := _event(line)) is not None:
+                yield (*row, at)
+
+
+def _ranges(low: int, high: int, width: int) -> list[_Range]:
+    return [_Range(at, min(at + width, high)) for at in range(low, high, width)]
+
+
+def _size(path: str) -> int:
+    return os.path.getsize(path) if os.path.exists(path) else 0
+
+
+class _BatchReader(DataSourceReader):
+    """All of a log file by ranges of bytes."""
+
     def __init__(self, options: dict) -> None:
-        self.path, self.limit = options["path"], max(1, min(int(options.get("limit", LIMIT)), LIMIT))
+        self.path, self.width = options["path"], max(1, int(options.get("range_bytes", RANGE_BYTES)))
+
+    def partitions(self) -> Sequence[InputPartition]:
+        return _ranges(0, _size(self.path), self.width) or [_Range(0, 0)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        return read_range(self.path, partition.start, partition.end)
+
+
+class _RangeReader(DataSourceStreamReader):
+    """A log file that grows: the driver knows its size only, tasks find the lines."""
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.width = options["path"], max(1, int(options.get("range_bytes", RANGE_BYTES)))
+        self.most = int(options.get("max_bytes", 0))
+        self.seen = 0
 
     def initialOffset(self) -> dict:
         return {"byte": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = read_from(self.path, start["byte"], self.limit)
-        return iter(rows), {"byte": end}
+    def latestOffset(self) -> dict:
+        size = _size(self.path)
+        # What was read is known from the first batch on, so only that one may be larger.
+        self.seen = max(self.seen, min(size, self.seen + self.most) if self.most else size)
+        return {"byte": self.seen}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows, _ = read_from(self.path, start["byte"])
-        return iter(r for r in rows if r[3] <= end["byte"])
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        self.seen = max(self.seen, end["byte"])
+        return _ranges(start["byte"], end["byte"], self.width)
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        return read_range(self.path, partition.start, partition.end)
+
+    def commit(self, end: dict) -> None:
+        self.seen = max(self.seen, end["byte"])
 
 
 class LogSource(DataSource):
-    """``spark.readStream.format("event_log").load(file)``: ``ts, event, line, next_offset``."""
+    """``spark.readStream.format("event_log").load(file)``, or ``spark.read``: ``ts, event, line, next_offset``."""
 
     @classmethod
     def name(cls) -> str:
@@ -67,14 +143,17 @@ class LogSource(DataSource):
     def schema(self) -> str:
         return LOG_EVENT
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _LogReader(self.options)
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _RangeReader(self.options)
+
+    def reader(self, schema) -> DataSourceReader:
+        return _BatchReader(self.options)
 
 
-def tail(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:
-    """The log as a stream of events."""
+def tail(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, max_bytes: int = 0) -> DataFrame:
+    """The log as a stream of events; a task reads ``range_bytes``, a batch ``max_bytes`` (0: all there is)."""
     spark.dataSource.register(LogSource)
-    return spark.readStream.format("event_log").option("limit", limit).load(path)
+    return spark.readStream.format("event_log").option("range_bytes", range_bytes).option("max_bytes", max_bytes).load(path)
 
 
 #: What a file's end in the log of an analysis says.
