@@ -50,9 +50,8 @@ def detect_language(spark, d):
 
 
 def file_metrics(spark, d):
-    t = F.col("text")
-    loc, blank = text.n_lines(t), text.n_blank(t)
-    return virtual.documents(spark, d).select(
+    t, loc, blank = F.col("text"), F.col("measured.loc"), F.col("measured.blank")
+    return virtual.documents(spark, d).withColumn("measured", text.measured(F.col("text"))).select(
         "doc_id", text.n_bytes(t).cast("long").alias("bytes"), loc.cast("long").alias("loc"), blank.cast("long").alias("blank"),
         (loc - blank).cast("long").alias("sloc"), text.tokens(t).cast("long").alias("token_estimate"), text.digest(t).alias("sha256"),
     )

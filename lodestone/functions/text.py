@@ -28,6 +28,17 @@ def n_blank(text: Column) -> Column:
     return F.size(F.filter(lines(text), lambda x: x.rlike(BLANK))).cast("int")
 
 
+def measured(text: Column) -> Column:
+    """``struct<loc, blank>``: lines and blank lines, from one cut of the text."""
+
+    def counted(parts: Column) -> Column:
+        ends = F.when(F.get(parts, F.size(parts) - 1) == "", 1).otherwise(0)
+        blank = F.size(F.filter(parts, lambda x: x.rlike(BLANK)))
+        return F.struct((F.size(parts) - ends).cast("int").alias("loc"), (blank - ends).cast("int").alias("blank"))
+
+    return F.get(F.transform(F.array(F.split(text, LINE_END, -1)), counted), F.lit(0))
+
+
 def n_bytes(text: Column) -> Column:
     return F.octet_length(text)
 

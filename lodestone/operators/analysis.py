@@ -36,10 +36,10 @@ def described(files: DataFrame) -> DataFrame:
     decoded = files.withColumn("text", text.decoded(F.col("content"))) if "text" not in files.columns else files
     path, body = F.col("path"), F.col("text")
     first_line = F.substring_index("text", "\n", 1)
-    return decoded.select(
+    return decoded.withColumn("measured", text.measured(body)).select(
         "path", "text", classify.language(path, first_line).alias("language"), text.digest(body).alias("sha256"),
-        text.n_bytes(body).alias("bytes"), text.n_lines(body).alias("loc"), text.n_blank(body).alias("blank"),
-        (text.n_lines(body) - text.n_blank(body)).alias("sloc"), classify.is_generated(path, body).alias("is_generated"),
+        text.n_bytes(body).alias("bytes"), "measured.loc", "measured.blank",
+        (F.col("measured.loc") - F.col("measured.blank")).alias("sloc"), classify.is_generated(path, body).alias("is_generated"),
         classify.is_test(path).alias("is_test"), classify.is_config(path).alias("is_config"),
     )
 

@@ -9,31 +9,57 @@ from pyspark.sql import functions as F
 from lodestone.plans.ordered import global_rank
 
 
+class _Rooms:
+    """Bins' rooms in order, with the largest of each half, so that the first bin with room is found by going down."""
+
+    def __init__(self) -> None:
+        self.width, self.count = 1, 0
+        self.most = [-1, -1]
+
+    def add(self, room: int) -> int:
+        if self.count == self.width:
+            leaves = self.most[self.width :]
+            self.width *= 2
+            self.most = [-1] * self.width + leaves + [-1] * (self.width - self.count)
+            for node in range(self.width - 1, 0, -1):
+                self.most[node] = max(self.most[2 * node], self.most[2 * node + 1])
+        self.count += 1
+        self.set(self.count - 1, room)
+        return self.count - 1
+
+    def set(self, bin_: int, room: int) -> None:
+        node = self.width + bin_
+        self.most[node] = room
+        while node > 1:
+            node //= 2
+            self.most[node] = max(self.most[2 * node], self.most[2 * node + 1])
+
+    def first(self, size: int) -> tuple[int, int] | None:
+        """The first bin with so much room, and its room."""
+        if self.most[1] < size:
+            return None
+        node = 1
+        while node < self.width:
+            node = 2 * node if self.most[2 * node] >= size else 2 * node + 1
+        return node - self.width, self.most[node]
+
+
 def plan_bins(sizes: list[tuple[int, int]], limit: int) -> list[tuple[int, int, int]]:
     """``(size, bin, how many)`` for ``(size, count)`` in falling order of size.
 
     Items of one size go to the first bins with room, as one by one they would: a bin
-    takes as many as fit before the next is looked at. A full bin is never looked at again.
+    takes as many as fit before the next is looked at, and is found in logarithmic time.
     """
     out: list[tuple[int, int, int]] = []
-    rooms: list[list[int]] = []  # [bin, room] of bins that may still take something
-    made, least = 0, min((s for s, _ in sizes), default=0)
+    rooms = _Rooms()
     for size, count in sizes:
-        for entry in rooms:
-            if not count:
-                break
-            fits = count if size == 0 else min(count, max(0, entry[1]) // size)
-            if fits:
-                out.append((size, entry[0], fits))
-                entry[1] -= fits * size
-                count -= fits
         while count:
-            fits = 1 if size > limit else count if size == 0 else min(count, limit // size)
-            out.append((size, made, fits))
-            rooms.append([made, limit - fits * size])
-            made += 1
+            found = rooms.first(size)
+            bin_, room = found or (rooms.add(limit), max(limit, size))
+            fits = count if size == 0 else min(count, room // size)
+            rooms.set(bin_, limit - size if size > limit else room - fits * size)
+            out.append((size, bin_, fits))
             count -= fits
-        rooms = [r for r in rooms if r[1] >= least]
     return out
 
 
