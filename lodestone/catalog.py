@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import classify, gitignore, literals, text
 from lodestone.functions.gitignore import glob_regex, rule
-from lodestone.operators import chunking, enclosing, inventory, packing, read, rollup, symbols, virtual
+from lodestone.operators import analysis, chunking, enclosing, inventory, packing, read, rollup, symbols, virtual
 from lodestone.plans.durable import durable
 from lodestone.streaming import log, versions
 
@@ -304,6 +304,14 @@ def deep_scopes(spark, d):
     return found.select("path", "kind", "qualified_name", (F.col("span.end_line") - F.col("span.start_line") + 1).alias("lines"))
 
 
+def code_chunks(spark, d):
+    files = virtual.derived(spark, d, virtual.CHUNK_PATH, virtual.CHUNK_SOURCE)
+    declared = durable(symbols.declarations(files), "functions")
+    return analysis.chunks(declared, files, symbols.symbols(declared), 40).select(
+        "path", "chunk", "qualified_name", "kind", "span.start_line", "span.end_line", "token_estimate", F.sha2("text", 256).alias("sha256")
+    )
+
+
 def module_docs(spark, d):
     return symbols.module_docs(symbols.declarations(virtual.derived(spark, d, virtual.DOC_PATH, virtual.DOC_SOURCE)))
 
@@ -336,7 +344,7 @@ def progress_counters(spark, d):
 
 
 _OWN = (
-    kind_symbols, kind_imports, kind_exports, kind_references, kind_literals, kind_metrics, parse_status, bracket_errors, nested_lists, deep_scopes, module_docs, path_glob, symbol_totals, artifact_totals,
+    kind_symbols, kind_imports, kind_exports, kind_references, kind_literals, kind_metrics, parse_status, bracket_errors, nested_lists, deep_scopes, module_docs, code_chunks, path_glob, symbol_totals, artifact_totals,
     entry_points, progress_counters, versioned_rollup, versioned_facts, ignore_rules,
     code_symbols, code_references,
     lang_rollup, lang_by_count, manifest_scalars, skipped_by_reason, classify_flags, detect_language, file_metrics, tree_view,
@@ -570,6 +578,21 @@ _SQL["deep_scopes"] = """WITH deep AS (SELECT doc_id, doc_id % 2 AS k, (1 + len(
     CASE k WHEN 0 THEN n - i + 2 ELSE n - i + 1 END::INT AS lines FROM each WHERE i % 3 < 2
   UNION ALL SELECT 'n' || doc_id || CASE k WHEN 0 THEN '.java' ELSE '.py' END, 'method', array_to_string(chain, '.') || '.go', 1 FROM named
   UNION ALL SELECT 'n' || doc_id || CASE k WHEN 0 THEN '.java' ELSE '.py' END, unnest(['class', 'method']), unnest(['Tail', 'Tail.last']), unnest(CASE k WHEN 0 THEN [1, 1] ELSE [3, 2] END) FROM named"""
+_SQL["code_chunks"] = f"""WITH RECURSIVE {_LINED},
+  units AS (
+    SELECT doc_id, i, 'def f' || i || '():' || chr(10) || '    return "' || repeat(CASE i % 2 WHEN 0 THEN 'x' ELSE 'y' END, length(l) % 60) || '"' AS code,
+      sum(CASE i % 2 WHEN 0 THEN 2 ELSE 3 END) OVER (PARTITION BY doc_id ORDER BY i) - CASE i % 2 WHEN 0 THEN 1 ELSE 2 END AS line FROM lined),
+  fold AS (
+    SELECT doc_id, i, 0 AS chunk, (strlen(code) + 3) // 4 AS run FROM units WHERE i = 0
+    UNION ALL
+    SELECT u.doc_id, u.i, CASE WHEN f.run + (strlen(u.code) + 3) // 4 > 40 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.run + (strlen(u.code) + 3) // 4 > 40 THEN (strlen(u.code) + 3) // 4 ELSE f.run + (strlen(u.code) + 3) // 4 END
+    FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.i = f.i + 1),
+  whole AS (
+    SELECT doc_id, chunk, min(i) AS first, max(i) AS last, min(line) AS line,
+      string_agg(code || CASE WHEN i % 2 = 1 AND i < edge THEN chr(10) || '# note' ELSE '' END, chr(10) ORDER BY i) AS text
+    FROM (SELECT *, max(i) OVER (PARTITION BY doc_id, chunk) AS edge FROM fold JOIN units USING (doc_id, i)) GROUP BY doc_id, chunk)
+  SELECT 'h' || doc_id || '.py' AS path, chunk::INT AS chunk, 'f' || first AS qualified_name, 'function' AS kind, line::INT AS start_line,
+    (line + strlen(text) - strlen(replace(text, chr(10), '')))::INT AS end_line, ((strlen(text) + 3) // 4)::INT AS token_estimate, sha256(text) AS sha256 FROM whole"""
 _BARE = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _SQL["module_docs"] = f"""WITH {_LINED},
   docs AS (SELECT doc_id, string_agg(CASE WHEN doc_id % 5 = 3 AND i % 3 = 1 THEN NULL ELSE {_BARE('l')} END, chr(10) ORDER BY i) AS t FROM lined GROUP BY doc_id)

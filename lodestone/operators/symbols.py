@@ -93,12 +93,14 @@ def statements(files: DataFrame) -> DataFrame:
     code = F.when(F.col("kind") == "comment", F.lit(" ")).when((F.col("ends") == 1) & ~F.col("own"), F.lit("")).otherwise(F.col("token"))
     shown = (F.col("kind") != "comment") & F.trim(F.regexp_replace("token", r"\s", " ")).isNotNull() & (F.regexp_replace(code, r"\s", "") != "")
     first = F.min(F.when(shown, F.col("i")))
+    solid = F.regexp_replace("token", r"\s+$", "")
     piece_of = t.withColumn("s", piece.cast("int")).withColumn("code", code).withColumn("shown", shown)
     pieces = piece_of.groupBy("path", "language", "s").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "code"))), lambda x: x["code"]), "").alias("code"),
         first.alias("first"), F.max(F.when(F.col("shown"), F.col("group"))).alias("group"),
         F.min_by(F.struct("start", "line", "depth", "i"), F.when(F.col("shown"), F.col("i"))).alias("head"),
         F.max_by(F.struct((F.col("start") + F.octet_length("token")).alias("end"), "line", "depth"), "i").alias("tail"),
+        F.max_by(F.struct((F.col("start") + F.octet_length(solid)).alias("end"), "line"), F.when((F.col("kind") != "comment") & (solid != ""), F.col("i"))).alias("last"),
         F.max(F.when(mark("{"), 1).otherwise(0)).alias("opens"),
         F.max(F.when(mark("}"), 1).otherwise(0)).alias("closes"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "string", F.struct("i", "token", "start", "line")))).alias("strings"),
@@ -110,7 +112,7 @@ def statements(files: DataFrame) -> DataFrame:
     return pieces.select(
         "path", "language", "s", whole.alias("code"),
         F.coalesce("head.start", "tail.end").alias("start"), F.coalesce("head.line", "tail.line").alias("line"),
-        F.col("tail.end").alias("end"), F.col("tail.line").alias("end_line"),
+        F.coalesce("last.end", "tail.end").alias("end"), F.coalesce("last.line", "tail.line").alias("end_line"),
         F.length(F.regexp_extract("code", r"(?:^|\n)([ \t]*)\S", 1)).alias("lead"), depth.alias("depth"),
         "opens", "closes", "strings", "comments",
     )

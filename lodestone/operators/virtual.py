@@ -249,6 +249,11 @@ DEEP_SOURCE = f"""CASE doc_id % 2
   ELSE concat(array_join({_NESTED} concat(repeat(' ', i), CASE i % 3 WHEN 2 THEN 'if x:' ELSE concat('class C', i, ':') END)), chr(10)), chr(10), repeat(' ', {DEPTH}), 'def go(self): pass', chr(10),
     'class Tail:', chr(10), '        def last(self):', chr(10), '                pass', chr(10)) END"""
 
+#: A function per line of the text, as long as the line says, and some only a comment apart.
+CHUNK_PATH = "concat('h', doc_id, '.py')"
+CHUNK_SOURCE = f"""concat({_each("concat('def f', i, '():', chr(10), '    return ', chr(34), repeat('x', length(l) % 60), chr(34))",
+    "concat('def f', i, '():', chr(10), '    return ', chr(34), repeat('y', length(l) % 60), chr(34), chr(10), '# note')", joint="chr(10)")}, chr(10))"""
+
 #: The text as the comment or string that a language takes for a file's documentation.
 DOC_PATH = "concat('m', doc_id, CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.ts' WHEN 3 THEN '.rs' ELSE '.java' END)"
 DOC_SOURCE = f"""CASE doc_id % 5

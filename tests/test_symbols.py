@@ -398,4 +398,4 @@ def test_the_next_end_is_found_in_deep_nests(spark):
     found = analysis.analyze(spark.createDataFrame([("n.py", code)], "path string, text string")).symbols.collect()
     names = {r["name"]: r for r in found}
     assert names[f"f{depth - 1}"]["qualified_name"] == ".".join(f"f{i}" for i in range(depth))
-    assert all(names[f"f{i}"]["span"]["end_byte"] == len(code) - len("y = 2\n") for i in range(depth))
+    assert all(names[f"f{i}"]["span"]["end_byte"] == len(code) - len("\ny = 2\n") for i in range(depth))
