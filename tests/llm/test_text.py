@@ -333,7 +333,7 @@ def test_queries_equal_sql(spark, data_dir, name):
     key = "page_id" if "page_id" in columns else "doc_id"
     got, want = (x[columns].sort_values(key).reset_index(drop=True) for x in (got, want))
     for c in columns:
-        same = np.isclose(got[c], want[c]) if got[c].dtype.kind == "f" else (got[c].astype(str) == want[c].astype(str))
+        same = np.isclose(got[c], want[c].astype(float), equal_nan=True) if got[c].dtype.kind == "f" else (got[c].astype(str) == want[c].astype(str))
         assert np.all(same), c
 
 
