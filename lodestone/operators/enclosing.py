@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _cells(start: Column, end: Column) -> Column:
+    """The fewest aligned cells ``(level, cell)``, each 2^level long, that make up ``[start, end)``; at most two a level.
+
+    At a level the cells that fit run from ``first`` to before ``after``; the one at either edge
+    that is no left or right half of a fitting larger one stays, all others go up a level.
+    """
+    half = lambda x, k: F.call_function("shiftright", x, k)
+
+    def at(k: Column) -> Column:
+        first, after = -half(-start, k), half(end, k)
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        cell = lambda x: F.struct(k.alias("level"), x.alias("cell"))
+        edges = F.array(F.when(odd(first), cell(first)), F.when(odd(after), cell(after - 1)))
+        return F.when(first < after, F.array_compact(edges))
+
+    levels = F.sequence(F.lit(0), F.length(F.bin(end - start)) - 1)
+    return F.when(end > start, F.flatten(F.filter(F.transform(levels, at), lambda found: found.isNotNull())))
+
+
 def enclosing_symbol(points: DataFrame, symbols: DataFrame, file: str = "path") -> DataFrame:
     """``points`` (``path, point_id, pos``) with ``symbol_id`` of the innermost ``[start, end)`` around ``pos``, or null.
 
-    Of symbols around a point the last in order of start and then of falling end is the
-    innermost. Points and symbols meet by file, and per point only the best so far is kept.
+    Of symbols around a point the last in order of start, then of falling end, then of id is the
+    innermost; they need not be nested. A symbol is cut into aligned cells, two at most for each
+    power of two in its length, and a cell keeps its innermost symbol only. A point asks for the
+    one cell around it at each level that occurs, so it meets a row a level and not every symbol
+    of its file, and a file with very many of both spreads over its cells.
+
+    Points without a position and symbols that are empty, reversed or without an end meet nothing;
+    a null file meets no other; repeated points are one.
     """
-    s = symbols.select(F.col(file).alias("__file"), "symbol_id", "start", "end")
-    inside = (F.col(file) == F.col("__file")) & (F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end"))
-    return (
-        points.join(s, inside, "left")
-        .groupBy(file, "point_id", "pos")
-        .agg(F.max(F.when(F.col("symbol_id").isNotNull(), F.struct("start", (-F.col("end")).alias("e"), "symbol_id"))).alias("best"))
-        .select(file, "point_id", "pos", F.col("best.symbol_id").alias("symbol_id"))
+    placed = symbols.select(F.col(file).alias("__file"), "symbol_id", "start", "end")
+    best = (
+        placed.withColumn("c", F.explode(_cells(F.col("start").cast("long"), F.col("end").cast("long"))))
+        .groupBy("__file", F.col("c.level").alias("__level"), F.col("c.cell").alias("__cell"))
+        .agg(F.max(F.struct("start", (-F.col("end")).alias("e"), "symbol_id")).alias("__best"))
+    )
+    longest = placed.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0  # one number
+    levels = range(max(int(longest), 1).bit_length())
+    pos = F.col("pos").cast("long")
+    asked = points.select(file, "point_id", "pos").distinct().withColumn("c", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("level"), F.shiftright(pos, k).alias("cell")) for k in levels
+    ])))
+    met = asked.join(best, (F.col(file) == F.col("__file")) & (F.col("c.level") == F.col("__level")) & (F.col("c.cell") == F.col("__cell")), "left")
+    return met.groupBy(file, "point_id", "pos").agg(F.max("__best").alias("best")).select(
+        file, "point_id", "pos", F.col("best.symbol_id").alias("symbol_id")
     )

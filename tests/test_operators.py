@@ -72,6 +72,26 @@ def test_innermost_symbol(spark):
     assert got == {1: 3, 2: 2, 3: 1, 4: None, 5: None}
 
 
+def test_innermost_of_any_spans(spark):
+    import random
+
+    draw = random.Random(5)
+    spans = [(f"f{i % 3}", i, a, a + draw.choice([0, 1, 2, 3, 7, 8, 64, 500, 1023, -4])) for i in range(400) for a in [draw.randrange(-40, 900)]]
+    spans += [("f0", 900, 0, 1024), ("f0", 901, 0, 1024), ("f1", 902, 5, None), ("f1", 903, None, 9), (None, 904, 0, 50), ("f2", 905, 0, 2_000_000_000)]
+    points = [("f%d" % (i % 4), i, draw.randrange(-50, 1100)) for i in range(300)] + [("f2", 400, 1_999_999_999), ("f2", 401, 2_000_000_000), ("f0", 402, None), (None, 403, 3)]
+    symbols = spark.createDataFrame(spans, "path string, symbol_id int, start int, end int")
+    asked = spark.createDataFrame(points + points[:9], "path string, point_id int, pos int")
+    found = enclosing.enclosing_symbol(asked, symbols).collect()
+    want = {}
+    for file, point, pos in points:
+        around = [(a, -b, i) for f, i, a, b in spans if None not in (f, a, b, pos) and f == file and a <= pos < b]
+        want[point] = max(around)[2] if around else None
+    assert len(found) == len(points) and {r["point_id"]: r["symbol_id"] for r in found} == want
+    none = symbols.limit(0)
+    assert {r["symbol_id"] for r in enclosing.enclosing_symbol(asked, none).collect()} == {None}
+    assert enclosing.enclosing_symbol(asked.limit(0), symbols).count() == 0
+
+
 def test_inventory(spark):
     files = spark.createDataFrame(
         [("a.py", 10), ("b.log", 10), ("node_modules/x.js", 5), ("big.py", 9000), ("i.png", 3), ("k.tmp", 1)], "path string, size long"
