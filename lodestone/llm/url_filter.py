@@ -13,7 +13,8 @@ rejected where its smoothed share of blocked among labelled urls is high enough.
 The tree is built from distinct (host, segments) with counts, level by level with
 aggregates and joins on keys, for as many levels as paths still branch on; a path that is
 alone below its node is done. A host with a third of all pages is as many rows as it has
-different generalised paths, pre-aggregated before they move.
+different generalised paths, pre-aggregated before they move; sums by node are written before
+they are joined back, so small ones are broadcast by their size and a hot node's join can be split.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, which is a host
 like any other; empty segments don't count; repeated rows count; a template without labels is
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,13 +82,13 @@ def critical(freedom: Column) -> Column:
     return freedom * F.pow(F.lit(1.0) - part + F.lit(DEVIATE) * F.sqrt(part), F.lit(3.0))
 
 
-def _level(tree: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
-    """Paths that go on at level ``d`` below a node that others go on from too, with ``at`` and ``seg``; and all others."""
-    placed = tree.withColumn("at", F.array_join(F.slice("to", 1, d), _KEY) if d else F.lit("")).withColumn("seg", F.get("to", F.lit(d)))
-    nodes = placed.where("open").groupBy("host", "at").agg(F.count_distinct("seg").alias("kids"), F.count(F.lit(1)).alias("paths"))
-    met = placed.where("open").join(nodes.where("paths > 1"), ["host", "at"], "left")
-    done = tree.where("not open").unionByName(met.where("kids is null").select(*tree.columns).withColumn("open", F.lit(False)))
-    return met.where("kids is not null"), done
+def _placed(paths: DataFrame, d: int) -> DataFrame:
+    """``paths`` with their node ``at`` level ``d``, its child ``seg``, and ``kids``: null below nodes that no other path goes on from."""
+    placed = paths.withColumn("at", F.array_join(F.slice("to", 1, d), _KEY) if d else F.lit("")).withColumn("seg", F.get("to", F.lit(d)))
+    # By segment first, so that a node with very many paths is not one task's.
+    kids = placed.groupBy("host", "at", "seg").agg(F.count(F.lit(1)).alias("paths"))
+    nodes = kids.groupBy("host", "at").agg(F.sum("paths").alias("paths"), F.count("seg").alias("kids")).where("paths > 1")
+    return placed.join(durable(nodes.drop("paths"), "nodes"), ["host", "at"], "left")
 
 
 def _replaced(d: int, where: Column) -> Column:
@@ -94,23 +96,23 @@ def _replaced(d: int, where: Column) -> Column:
 
 
 def _swept(tree: DataFrame, change, label: str) -> DataFrame:
-    """``change(met, d)`` (``host, at, seg`` that become wildcards) applied from the root down."""
-    own, d = tree.columns, 0
-    tree = durable(tree.withColumn("open", F.lit(True)), label)
-    while not tree.where("open").isEmpty():
-        met, done = _level(tree, d)
-        met = durable(met, "met")
-        varied = change(met, d).select("host", "at", "seg", F.lit(True).alias("varies"))
+    """``change(met, d)`` (``host, at, seg`` that become wildcards) applied from the root down; a path that is done moves no more."""
+    own, d, done = tree.columns, 0, []
+    going = durable(tree, label)
+    while not done or not going.isEmpty():
+        met = durable(_placed(going, d), "met")
+        varied = change(met.where("kids is not null"), d).select("host", "at", "seg", F.lit(True).alias("varies"))
         moved = met.join(varied, ["host", "at", "seg"], "left").withColumn("to", _replaced(d, F.coalesce("varies", F.lit(False))))
-        moved = moved.withColumn("open", F.size("to") > d + 1)
-        tree, d = durable(done.select(*tree.columns).unionByName(moved.select(*tree.columns)), label), d + 1
-    return tree.select(*own)
+        moved = durable(moved.select(*own, (F.col("kids").isNotNull() & (F.size("to") > d + 1)).alias("open")), label)
+        done.append(moved.where("not open").select(*own))
+        going, d = moved.where("open").select(*own), d + 1
+    return reduce(DataFrame.unionByName, done)
 
 
 def _rare(met: DataFrame, d: int) -> DataFrame:
     """Children of nodes with very many, each of them rare."""
     counted = met.where("seg is not null").groupBy("host", "at", "seg").agg(F.sum(F.col("a") + F.col("b") + F.col("n")).alias("c"))
-    nodes = counted.groupBy("host", "at").agg(F.count(F.lit(1)).alias("all_kids"), F.sum("c").alias("all")).where(F.col("all_kids") >= MANY)
+    nodes = durable(counted.groupBy("host", "at").agg(F.count(F.lit(1)).alias("all_kids"), F.sum("c").alias("all")).where(F.col("all_kids") >= MANY), "many")
     named = counted.where(~F.startswith("seg", F.lit(_ANY)))
     return named.join(nodes, ["host", "at"]).where(F.col("c") < F.col("all") * RARE)
 
@@ -123,13 +125,13 @@ def _alike(met: DataFrame, d: int) -> DataFrame:
     cells = met.where("seg is not null").groupBy("host", "at", "seg", F.coalesce(F.get("to", F.lit(d + 1)), F.lit("")).alias("kid")).agg(
         *[F.sum(x).alias(x) for x in "ab"], F.sum(F.col("a") + F.col("b") + F.col("n")).alias("c")
     )
-    cells = durable(cells, "below")
     tops = cells.groupBy("host", "at", "seg").agg(F.max(F.struct("c", "kid"))["kid"].alias("top"))
     below = durable(cells.join(tops, ["host", "at", "seg"]).withColumn("at", F.struct("at", "top")), "sorted")
     branches = below.groupBy("host", "at", "seg").agg(*[F.sum(x).alias(x) for x in ("a", "b", "c")])
-    nodes = branches.groupBy("host", "at").agg(*[F.sum(x).alias("all_" + x) for x in ("a", "b", "c")], F.count(F.lit(1)).alias("branches")).where("branches > 1")
-    kinds = below.groupBy("host", "at", "kid").agg(F.sum("c").alias("all_kid"))
+    kinds = durable(below.groupBy("host", "at", "kid").agg(F.sum("c").alias("all_kid")), "kinds")
     freedom = kinds.groupBy("host", "at").agg((F.count(F.lit(1)) - 1).cast("double").alias("freedom"))
+    sums = branches.groupBy("host", "at").agg(*[F.sum(x).alias("all_" + x) for x in ("a", "b", "c")], F.count(F.lit(1)).alias("branches")).where("branches > 1")
+    nodes = durable(sums.join(freedom, ["host", "at"]), "nodes")
     rest, own = F.col("all_c") - F.col("c"), F.col("c")
     cells = (
         below.select("host", "at", "seg", "kid", F.col("c").alias("got")).join(kinds, ["host", "at", "kid"])
@@ -147,7 +149,7 @@ def _alike(met: DataFrame, d: int) -> DataFrame:
     told = F.when(margins > 0, cross * cross * (labelled + others) / margins).otherwise(0.0)
     same = lambda x, size, freedom: (x < critical(freedom)) | (x < F.lit(EFFECT) * size)
     return (
-        branches.join(nodes, ["host", "at"]).join(spread, ["host", "at", "seg"]).join(freedom, ["host", "at"])
+        branches.join(nodes, ["host", "at"]).join(spread, ["host", "at", "seg"])
         .where((F.col("freedom") < 1) | same(chi, F.col("all_c"), F.col("freedom")))
         .where(same(told, labelled + others, F.lit(1.0)))
         .withColumn("at", F.col("at.at"))
@@ -176,7 +178,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str
         F.count_if(label.isNull()).alias("n"),
     )
     tree = template_tree(paths)
-    shares = tree.groupBy("host", "to").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    shares = durable(tree.groupBy("host", "to").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")), "shares")
     purity = (F.col("tb") + STRENGTH / 2) / (F.col("ta") + F.col("tb") + STRENGTH)
     verdicts = durable(
         tree.join(shares, ["host", "to"]).select(
