@@ -18,6 +18,7 @@ benchmark hits nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,31 @@ def _word_hash(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
+def _with_runs(rows: DataFrame, sizes: Iterable[int]) -> DataFrame:
+    """``rows`` (with ``h``, the words' hashes) and by size ``n`` a column ``run<n>``: the hash of every run of ``n`` words, by where it starts.
+
+    A run's hash is made of the hashes of two parts, powers of two that all sizes share, so a size
+    costs a word as many steps as the size has binary digits. Each power is a projection of its
+    own, which the optimizer keeps apart as it is used twice.
+    """
+    sizes = sorted(sizes)
+
+    def joined(left: Column, right: Column, shift: int) -> Column:
+        count = F.greatest(F.lit(0), F.size(right) - shift)
+        return F.zip_with(F.slice(left, 1, count), F.slice(right, shift + 1, count), lambda a, b: F.xxhash64(a, b))
+
+    def run(n: int) -> Column:
+        high = 1 << (n.bit_length() - 1)
+        return F.col(f"run{high}") if n == high else joined(F.col(f"run{high}"), run(n - high), high)
+
+    own, power = rows.columns, 1
+    rows = rows.withColumn("run1", F.col("h"))
+    while sizes and power * 2 <= sizes[-1]:
+        half = F.col(f"run{power}")
+        rows, power = rows.withColumn(f"run{power * 2}", joined(half, half, power)), power * 2
+    return rows.select(*own, *[run(n).alias(f"run{n}") for n in sizes])
+
+
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``item, n, key, text`` per distinct window of an item: its number of words, its hash, its words."""
     items = benchmark.select(
@@ -52,9 +78,9 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     ).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))
     cut = items.select("item", F.explode(F.transform(starts, lambda at: F.slice("w", at, window))).alias("w")).distinct()
-    return cut.select(
-        "item", F.size("w").alias("n"), F.xxhash64(F.transform("w", _word_hash)).alias("key"), F.array_join("w", " ").alias("text")
-    )
+    hashed = _with_runs(cut.select("item", F.size("w").alias("n"), "w", F.transform("w", _word_hash).alias("h")), range(1, window + 1))
+    key = F.coalesce(*[F.when(F.col("n") == n, F.get(f"run{n}", F.lit(0))) for n in range(1, window + 1)])
+    return hashed.select("item", "n", key.alias("key"), F.array_join("w", " ").alias("text"))
 
 
 def _text_key(text_col: str) -> Column:
@@ -69,13 +95,11 @@ def find_hits(
     keys = durable(table.select("n", "key").distinct(), "keys")
     sizes = {r["n"]: r["c"] for r in keys.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most WINDOW rows
     slices = max(1, -(-sum(sizes.values()) // max(1, max_set)))
-    scanned = docs.select(_text_key(text_col).alias("k"), F.transform(words(F.col(text_col)), _word_hash).alias("h"))
-    run = lambda n: F.when(F.size("h") >= n, F.transform(
-        F.sequence(F.lit(0), F.size("h") - n), lambda at: F.struct(F.lit(n).alias("n"), at.alias("at"), F.xxhash64(F.slice("h", at + 1, n)).alias("key"))
-    )).otherwise(F.array().cast("array<struct<n:int,at:int,key:bigint>>"))
+    hashed = docs.select(_text_key(text_col).alias("k"), F.transform(words(F.col(text_col)), _word_hash).alias("h"))
+    by_size = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"run{n}").alias("keys")) for n in sorted(sizes)])
     found = spark.createDataFrame([], "k1 bigint, k2 bigint, n int, at int, key bigint")
     for part in range(slices) if sizes else ():
-        runs = scanned.select("k.k1", "k.k2", F.explode(F.concat(*[run(n) for n in sorted(sizes)])).alias("r")).select("k1", "k2", "r.*")
+        runs = _with_runs(hashed, sizes).select("k.k1", "k.k2", F.explode(by_size).alias("r")).select("k1", "k2", "r.n", F.posexplode("r.keys").alias("at", "key"))
         own = keys.where(F.pmod(F.col("key"), F.lit(slices)) == part) if slices > 1 else keys
         found = found.unionByName(durable(runs.join(F.broadcast(own), ["n", "key"]).select("k1", "k2", "n", "at", "key"), "met"))
     found = durable(found.distinct(), "found")
