@@ -254,10 +254,12 @@ CHUNK_PATH = "concat('h', doc_id, '.py')"
 CHUNK_SOURCE = f"""concat({_each("concat('def f', i, '():', chr(10), '    return ', chr(34), repeat('x', length(l) % 60), chr(34))",
     "concat('def f', i, '():', chr(10), '    return ', chr(34), repeat('y', length(l) % 60), chr(34), chr(10), '# note')", joint="chr(10)")}, chr(10))"""
 
-#: The text as the comment or string that a language takes for a file's documentation.
+#: The text as the comment or string that a language takes for a file's documentation. A text may end in a quote, so the
+#: closing ones stand on a line of their own, and they are the other kind where the text holds three of the first.
+_QUOTE = "CASE WHEN contains(text, repeat(chr(34), 3)) THEN chr(39) ELSE chr(34) END"
 DOC_PATH = "concat('m', doc_id, CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.ts' WHEN 3 THEN '.rs' ELSE '.java' END)"
 DOC_SOURCE = f"""CASE doc_id % 5
-  WHEN 0 THEN concat(repeat(chr(34), 3), coalesce(text, ''), repeat(chr(34), 3), chr(10), 'x = 1', chr(10))
+  WHEN 0 THEN concat(repeat({_QUOTE}, 3), coalesce(text, ''), chr(10), repeat({_QUOTE}, 3), chr(10), 'x = 1', chr(10))
   WHEN 1 THEN concat({_each("concat('// ', l)", "concat('/* ', l, ' */')", joint="chr(10)")}, chr(10), 'package p', chr(10), '// after', chr(10))
   WHEN 2 THEN concat('/**', chr(10), {_each("concat(' * ', l)", "concat(' ** ', l)", joint="chr(10)")}, chr(10), ' */', chr(10), 'export const a = 1;', chr(10))
   WHEN 3 THEN concat({_each("concat('//! ', l)", "concat('// ', l)", "concat('/// ', l)", joint="chr(10)")}, chr(10), 'fn go() {{ }}', chr(10))

@@ -399,3 +399,17 @@ def test_the_next_end_is_found_in_deep_nests(spark):
     names = {r["name"]: r for r in found}
     assert names[f"f{depth - 1}"]["qualified_name"] == ".".join(f"f{i}" for i in range(depth))
     assert all(names[f"f{i}"]["span"]["end_byte"] == len(code) - len("\ny = 2\n") for i in range(depth))
+
+
+def test_module_docs_of_texts_with_quotes_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone import catalog
+
+    said = ['say "hi"', '"', 'a """ b', "it's '''", '"""', "'", "", None, 'two\nlines"  ']
+    rows = [(5 * k + kind, text) for k, text in enumerate(said) for kind in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in catalog.module_docs(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(catalog.oracle_sql()["module_docs"]).fetchall())
