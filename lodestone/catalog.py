@@ -238,18 +238,24 @@ def ignore_rules(spark, d):
 
 
 def code_symbols(spark, d):
-    found = symbols.symbols(symbols.declarations(virtual.sources(spark, d)))
+    found = symbols.symbols(symbols.declarations(virtual.sources(spark, d), comments=False))
     return found.groupBy("path", "kind", "qualified_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def code_references(spark, d):
-    found = symbols.references(symbols.declarations(virtual.sources(spark, d)))
+    found = symbols.references(symbols.declarations(virtual.sources(spark, d), comments=False))
     return found.groupBy("path", "kind", "qualifier", "in_symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _kinds_declared(spark, d):
-    """Statements of the sources in 13 languages, written once for all that is read from them."""
-    return durable(symbols.declarations(virtual.kinds(spark, d)), "declared")
+    """Statements of the sources in 13 languages."""
+    return symbols.declarations(virtual.kinds(spark, d), comments=False)
+
+
+def _kinds_found(spark, d):
+    """The same and their symbols; the statements are written once for both."""
+    declared = durable(_kinds_declared(spark, d).drop("strings"), "declared")
+    return declared, symbols.symbols(declared)
 
 
 def kind_symbols(spark, d):
@@ -261,8 +267,7 @@ def kind_imports(spark, d):
 
 
 def kind_exports(spark, d):
-    declared = _kinds_declared(spark, d)
-    return symbols.exports(declared, symbols.symbols(declared))
+    return symbols.exports(*_kinds_found(spark, d))
 
 
 def kind_references(spark, d):
@@ -274,8 +279,7 @@ def kind_literals(spark, d):
 
 
 def kind_metrics(spark, d):
-    declared = _kinds_declared(spark, d)
-    return symbols.metrics(declared, symbols.symbols(declared))
+    return symbols.metrics(*_kinds_found(spark, d))
 
 
 def parse_status(spark, d):
@@ -288,7 +292,7 @@ def bracket_errors(spark, d):
 
 def nested_lists(spark, d):
     """Imports, symbols, exports and calls out of lists inside of statements."""
-    declared = durable(symbols.declarations(virtual.derived(spark, d, virtual.LIST_PATH, virtual.LIST_SOURCE)), "lists")
+    declared = durable(symbols.declarations(virtual.derived(spark, d, virtual.LIST_PATH, virtual.LIST_SOURCE), comments=False), "lists")
     found = durable(symbols.symbols(declared.where("language IN ('go', 'typescript')")), "symbols")
     none = F.lit(None).cast("string")
     return (
@@ -300,13 +304,13 @@ def nested_lists(spark, d):
 
 
 def deep_scopes(spark, d):
-    found = symbols.symbols(symbols.declarations(virtual.derived(spark, d, virtual.DEEP_PATH, virtual.DEEP_SOURCE)))
+    found = symbols.symbols(symbols.declarations(virtual.derived(spark, d, virtual.DEEP_PATH, virtual.DEEP_SOURCE), comments=False))
     return found.select("path", "kind", "qualified_name", (F.col("span.end_line") - F.col("span.start_line") + 1).alias("lines"))
 
 
 def code_chunks(spark, d):
     files = virtual.derived(spark, d, virtual.CHUNK_PATH, virtual.CHUNK_SOURCE)
-    declared = durable(symbols.declarations(files), "functions")
+    declared = durable(symbols.declarations(files, comments=False), "functions")
     return analysis.chunks(declared, files, symbols.symbols(declared), 40).select(
         "path", "chunk", "qualified_name", "kind", "span.start_line", "span.end_line", "token_estimate", F.sha2("text", 256).alias("sha256")
     )
@@ -329,8 +333,7 @@ def artifact_totals(spark, d):
 
 
 def entry_points(spark, d):
-    declared = _kinds_declared(spark, d)
-    return rollup.entry_points(symbols.metrics(declared, symbols.symbols(declared)))
+    return rollup.entry_points(symbols.metrics(*_kinds_found(spark, d)))
 
 
 _DONE = (

@@ -30,6 +30,11 @@ TOKENS["plain"] = rf"(?m){C_STRINGS}|[{{}};()\n]|[^{{}};()\n\"']+|(?s:.)"
 #: In Go, what a list of declarations in parentheses begins with.
 GO_GROUP = r"\A(?:const|var|type)[ \t]*\(\z"
 TOKENS["go"] = r"(?m)^(?:const|var|type)[ \t]*\(|" + TOKENS["brace"].removeprefix("(?m)")
+#: Lines of comment behind one another, from the first column on, are one token.
+_RUNS = {family: r"//[^\n]*+" for family in ("brace", "typescript", "rust", "php", "c", "go")} | {
+    "python": r"#(?!!?\[)[^\n]*+", "bash": r"#(?!!?\[)[^\n]*+", "ruby": r"#(?!!?\[)[^\n{]*+",
+}
+TOKENS |= {family: f"(?m)(?<![^\\n]){line}(?:\\n{line})*+|" + TOKENS[family].removeprefix("(?m)") for family, line in _RUNS.items()}
 FAMILY = {
     "typescript": "typescript", "tsx": "typescript", "javascript": "typescript", "go": "go", "rust": "rust", "java": "brace",
     "c": "c", "cpp": "c", "csharp": "brace", "php": "php", "python": "python", "ruby": "ruby", "bash": "bash",

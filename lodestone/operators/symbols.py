@@ -31,8 +31,11 @@ def _by_language(table: dict, value, default: Column) -> Column:
     return out.otherwise(default)
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """``path, language, i, token, start, line, kind`` of ``files`` (``path, language, text``)."""
+def tokens(files: DataFrame, comments: bool = True) -> DataFrame:
+    """``path, language, i, token, kind, breaks, start, end, line`` of ``files`` (``path, language, text``).
+
+    Without ``comments`` their tokens stay, with their places and line breaks, and their texts do not.
+    """
     cut = _by_language(
         rules.FAMILY, lambda f: F.regexp_extract_all(F.col("text"), F.lit(rules.TOKENS[f]), F.lit(0)),
         F.regexp_extract_all(F.col("text"), F.lit(rules.TOKENS["plain"]), F.lit(0)),
@@ -40,6 +43,7 @@ def tokens(files: DataFrame) -> DataFrame:
     one = files.where("language <> ''").select("path", "language", F.posexplode(cut).alias("i", "token"))
     before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     newlines = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
+    # What is asked of a token's text is asked before the tokens are dealt by file.
     comment = F.col("token").rlike(r"^(//|/\*|#)") & ~((F.col("language").isin("c", "cpp")) & F.startswith("token", F.lit("#"))) | (
         F.col("token").rlike("^#") & F.col("language").isin("python", "ruby", "bash", "php")
     )
@@ -50,16 +54,19 @@ def tokens(files: DataFrame) -> DataFrame:
         .when(F.col("token").rlike("\\A[\"'`]") & (F.length("token") > 1), "string")
         .otherwise("code")
     )
-    return one.select(
-        "path", "language", "i", "token", kind.alias("kind"),
-        F.coalesce(F.sum(F.octet_length("token")).over(before), F.lit(0)).cast("int").alias("start"),
-        (F.coalesce(F.sum(newlines).over(before), F.lit(0)) + 1).cast("int").alias("line"),
+    told = one.select("path", "language", "i", "token", kind.alias("kind"), F.octet_length("token").alias("bytes"), newlines.alias("breaks"))
+    if not comments:
+        told = told.withColumn("token", F.when(F.col("kind") == "comment", "").otherwise(F.col("token")))
+    start = F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("int")
+    return told.select(
+        "path", "language", "i", "token", "kind", "breaks", start.alias("start"), (start + F.col("bytes")).alias("end"),
+        (F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1).cast("int").alias("line"),
     )
 
 
-def statements(files: DataFrame) -> DataFrame:
+def statements(files: DataFrame, comments: bool = True) -> DataFrame:
     """``path, language, s, code, level, opens, closes, strings, comments`` and the span, a row per statement."""
-    t = tokens(files)
+    t = tokens(files, comments)
     order = Window.partitionBy("path").orderBy("i")
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     mark = lambda *m: (F.col("kind") == "mark") & F.col("token").isin(*m)
@@ -68,11 +75,14 @@ def statements(files: DataFrame) -> DataFrame:
     paren = F.when(mark("(", "[") | grouped, 1).when(mark(")", "]"), -1).when(indented & mark("{"), 1).when(indented & mark("}"), -1).otherwise(0)
     brace = F.when(indented, 0).when(mark("{"), 1).when(mark("}"), -1).otherwise(0)
     # A line that can only begin a statement begins one, whatever bracket was left open.
-    anew = (F.col("language") == "python") & (F.lag("token").over(order) == "\n") & F.col("token").rlike(r"^(?:async\s+def|def|class|import|from|@)\b")
-    t = t.withColumn("anew", F.coalesce(anew, F.lit(False)).cast("int"))
-    t = t.withColumn("part", F.sum("anew").over(upto)).withColumn("cut", F.coalesce(F.lead("anew").over(order), F.lit(0)))
-    within = Window.partitionBy("path", "part").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("paren", F.sum(paren).over(within)).withColumn("depth", F.coalesce(F.sum(brace).over(before), F.lit(0)))
+    fresh = F.col("token").rlike(r"^(?:async\s+def|def|class|import|from|@)\b") & (F.col("language") == "python")
+    t = t.withColumn("paren", paren).withColumn("fresh", fresh).select(
+        "*", F.sum("paren").over(upto).alias("open"), F.coalesce(F.sum(brace).over(before), F.lit(0)).alias("depth"),
+        (F.col("fresh") & F.coalesce(F.lag("token").over(order) == "\n", F.lit(False))).alias("anew"),
+        ((F.col("token") == "\n") & F.coalesce(F.lead("fresh").over(order), F.lit(False))).alias("cut"),
+    )
+    # All windows are over a file in order, so its tokens are sorted once; what is open counts from the last line that began anew.
+    t = t.withColumn("paren", F.col("open") - F.coalesce(F.last(F.when(F.col("anew"), F.col("open") - F.col("paren")), ignorenulls=True).over(upto), F.lit(0)))
     # A list in parentheses after const, var or type: its lines are statements, each of which means this word.
     group = F.when(grouped, F.regexp_extract("token", r"\w+", 0)).when(mark(")") & (F.col("paren") <= 0), "")
     t = t.withColumn("group", F.coalesce(F.last(group, ignorenulls=True).over(upto), F.lit("")))
@@ -83,36 +93,36 @@ def statements(files: DataFrame) -> DataFrame:
     ends = (
         mark(";") & ((F.col("paren") <= 0) | ~indented)
         | ~indented & mark("{", "}")
-        | (F.col("language").isin(*rules.LINEWISE) | ~_analysed()) & mark("\n") & ((F.col("paren") <= F.when(F.col("group") != "", 1).otherwise(0)) | (F.col("cut") == 1))
+        | (F.col("language").isin(*rules.LINEWISE) | ~_analysed()) & mark("\n") & ((F.col("paren") <= F.when(F.col("group") != "", 1).otherwise(0)) | F.col("cut"))
         | grouped | F.col("ungroup")
-        | directive
+        | F.col("own")
     )
     # A directive is a statement of its own, whatever stands before it.
-    t = t.withColumn("ends", ends.cast("int")).withColumn("own", directive)
+    t = t.withColumn("own", directive).withColumn("ends", ends.cast("int"))
     piece = F.coalesce(F.sum("ends").over(before), F.lit(0)) + F.sum(F.col("own").cast("int")).over(upto)
+    solid = (F.col("kind") != "comment") & F.col("token").rlike(r"\S")
+    shown = F.col("solid") & ((F.col("ends") == 0) | F.col("own"))
     code = F.when(F.col("kind") == "comment", F.lit(" ")).when((F.col("ends") == 1) & ~F.col("own"), F.lit("")).otherwise(F.col("token"))
-    shown = (F.col("kind") != "comment") & F.trim(F.regexp_replace("token", r"\s", " ")).isNotNull() & (F.regexp_replace(code, r"\s", "") != "")
-    first = F.min(F.when(shown, F.col("i")))
-    solid = F.regexp_replace("token", r"\s+$", "")
-    piece_of = t.withColumn("s", piece.cast("int")).withColumn("code", code).withColumn("shown", shown)
+    piece_of = t.withColumn("s", piece.cast("int")).withColumn("solid", solid).withColumn("shown", shown)
     pieces = piece_of.groupBy("path", "language", "s").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "code"))), lambda x: x["code"]), "").alias("code"),
-        first.alias("first"), F.max(F.when(F.col("shown"), F.col("group"))).alias("group"),
-        F.min_by(F.struct("start", "line", "depth", "i"), F.when(F.col("shown"), F.col("i"))).alias("head"),
-        F.max_by(F.struct((F.col("start") + F.octet_length("token")).alias("end"), "line", "depth"), "i").alias("tail"),
-        F.max_by(F.struct((F.col("start") + F.octet_length(solid)).alias("end"), "line"), F.when((F.col("kind") != "comment") & (solid != ""), F.col("i"))).alias("last"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("i"), code.alias("code")))), lambda x: x["code"]), "").alias("code"),
+        F.max(F.when(F.col("shown"), F.col("group"))).alias("group"),
+        F.min(F.when(F.col("shown"), F.struct("i", "start", "line", "depth"))).alias("head"),
+        F.max(F.struct("i", "end", "line", "depth")).alias("tail"),
+        F.max(F.when(F.col("solid"), F.struct("i", "start", "line", "token"))).alias("last"),
         F.max(F.when(mark("{"), 1).otherwise(0)).alias("opens"),
         F.max(F.when(mark("}"), 1).otherwise(0)).alias("closes"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "string", F.struct("i", "token", "start", "line")))).alias("strings"),
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "comment", F.struct("i", "token", "line")))).alias("comments"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "comment", F.struct("i", "token", "line", "breaks")))).alias("comments"),
     )
+    solid_end = F.col("last.start") + F.octet_length(F.regexp_replace("last.token", r"\s+$", ""))
     flat = F.trim(F.regexp_replace("code", r"\s+", " "))
     depth = F.coalesce("head.depth", "tail.depth").cast("int")
     whole = F.when((F.col("group") != "") & (depth == 0) & (flat != ""), F.concat("group", F.lit(" "), flat)).otherwise(flat)
     return pieces.select(
         "path", "language", "s", whole.alias("code"),
         F.coalesce("head.start", "tail.end").alias("start"), F.coalesce("head.line", "tail.line").alias("line"),
-        F.coalesce("last.end", "tail.end").alias("end"), F.coalesce("last.line", "tail.line").alias("end_line"),
+        F.coalesce(solid_end, "tail.end").alias("end"), F.coalesce("last.line", "tail.line").alias("end_line"),
         F.length(F.regexp_extract("code", r"(?:^|\n)([ \t]*)\S", 1)).alias("lead"), depth.alias("depth"),
         "opens", "closes", "strings", "comments",
     )
@@ -150,22 +160,31 @@ def _declared() -> Column:
     return F.when(F.col("code") != "", _by_language(rules.RULES, chain, F.lit(None).cast("struct<kind:string,name:string>")))
 
 
-def declarations(files: DataFrame) -> DataFrame:
-    """Statements with ``kind``, ``name``, ``scopes`` (what encloses them, outermost first) and their block's end."""
-    indented = F.col("language").isin(*rules.INDENTED)
-    s = durable(statements(files).withColumn("d", F.when(_analysed(), _declared())), "statements")
-    nested = scopes.nest(s.select(
-        "path", "s", indented.alias("indented"), (F.col("code") != "").alias("shown"), "lead", "depth", (F.col("opens") == 1).alias("opens"), (F.col("closes") == 1).alias("closes"),
-        F.startswith("code", F.lit("typedef")).alias("typedef"), "start", "line", "end", "end_line", F.col("d.kind").alias("kind"), F.col("d.name").alias("name"),
-    )).withColumnRenamed("path", "p").withColumnRenamed("s", "q")
+def declarations(files: DataFrame, comments: bool = True) -> DataFrame:
+    """Statements with ``kind``, ``name``, ``scopes`` (what encloses them, outermost first) and their block's end.
+
+    Only ``module_docs`` reads the texts of ``comments``.
+    """
+    indented, python = F.col("language").isin(*rules.INDENTED), F.col("language") == "python"
     order = Window.partitionBy("path").orderBy("s")
     package = F.last(F.when(F.col("d.kind") == "package", F.col("d.name")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     go_package = F.first(F.when((F.col("language") == "go") & (F.col("d.kind") == "module"), F.col("d.name")), ignorenulls=True).over(
         order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    named = s.join(nested, (F.col("path") == F.col("p")) & (F.col("s") == F.col("q"))).select(
-        "*", F.coalesce(go_package, package).alias("package"),
-        F.lag("code", 1).over(order).alias("code_before"), F.lead("code", 1).over(order).alias("code_after"), F.lead("strings", 1).over(order).alias("strings_after"),
+    # What stands beside a statement is taken where its file's statements are made; only decorators and strings of Python are asked for.
+    beside = statements(files, comments).withColumn("d", F.when(_analysed(), _declared())).select(
+        "*", F.coalesce(go_package, package).alias("package"), F.when(python, F.lag("code", 1).over(order)).alias("code_before"),
+        F.when(python, F.lead("code", 1).over(order)).alias("code_after"), F.when(python, F.lead("strings", 1).over(order)).alias("strings_after"),
+    )
+    marked = (F.col("code") != "") | (F.col("opens") == 1) | (F.col("closes") == 1)
+    # Blank ones have done their part, but a file keeps its first.
+    s = durable(beside.where(marked | (F.size("comments") > 0) | (F.size("strings") > 0) | (F.col("s") == 0)), "statements")
+    nested = scopes.nest(s.where(marked).select(
+        "path", "s", indented.alias("indented"), (F.col("code") != "").alias("shown"), "lead", "depth", (F.col("opens") == 1).alias("opens"), (F.col("closes") == 1).alias("closes"),
+        F.startswith("code", F.lit("typedef")).alias("typedef"), "start", "line", "end", "end_line", F.col("d.kind").alias("kind"), F.col("d.name").alias("name"),
+    )).withColumnRenamed("path", "p").withColumnRenamed("s", "q")
+    named = s.join(nested, (F.col("path") == F.col("p")) & (F.col("s") == F.col("q")), "left").withColumn("level", F.coalesce("level", F.lit(0))).withColumn(
+        "scopes", F.coalesce("scopes", F.array().cast(nested.schema["scopes"].dataType))
     )
     return named.select(
         "path", "language", "s", "code", "level", "start", "line", "strings", "comments", "package", "code_before", "code_after", "strings_after", "after_typedef",
@@ -390,8 +409,7 @@ def metrics(declared: DataFrame, found: DataFrame) -> DataFrame:
               | (F.col("language") == "java") & (F.col("name") == "main") & F.array_contains("modifiers", "static")
               | (F.col("language") == "csharp") & (F.col("name") == "Main") & F.array_contains("modifiers", "static") & ~F.contains("parent_qname", F.lit("."))).alias("main"),
     )
-    breaks = lambda token: F.length(token) - F.length(F.replace(token, F.lit("\n"), F.lit("")))
-    covered = F.flatten(F.transform(F.array_compact("comments"), lambda c: F.sequence(c["line"], c["line"] + breaks(c["token"]))))
+    covered = F.flatten(F.transform(F.array_compact("comments"), lambda c: F.sequence(c["line"], c["line"] + c["breaks"])))
     guard = declared.groupBy("path").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(F.when(_analysed() & ~F.col("language").isin("java", "rust"), covered))))).alias("comment_lines"),
         F.max((F.col("language") == "python") & F.col("code").rlike("^if __name__ == [\"']__main__[\"']")).alias("guard"),
@@ -419,8 +437,10 @@ def module_docs(declared: DataFrame) -> DataFrame:
     inner = lambda x: bare(F.regexp_replace(x, r"^/\*\*?|\*/$", ""))
     block = lambda x: F.startswith(x, F.lit("/*"))
     tokens_of = F.transform("comments", lambda c: c["token"])
-    lines = F.when(F.col("language") == "go", F.transform(tokens_of, lambda c: F.when(block(c), inner(c)).otherwise(bare(F.substring(c, 3, 1_000_000_000))))).when(
-        F.col("language") == "rust", F.transform(F.filter(tokens_of, lambda c: block(c) | c.rlike(r"^//[/!]")), lambda c: F.when(block(c), inner(c)).otherwise(bare(F.substring(c, 4, 1_000_000_000))))
+    # Lines of comment behind one another are one token.
+    each = F.flatten(F.transform(tokens_of, lambda c: F.when(block(c), F.array(c)).otherwise(F.split(c, "\n"))))
+    lines = F.when(F.col("language") == "go", F.transform(each, lambda c: F.when(block(c), inner(c)).otherwise(bare(F.substring(c, 3, 1_000_000_000))))).when(
+        F.col("language") == "rust", F.transform(F.filter(each, lambda c: block(c) | c.rlike(r"^//[/!]")), lambda c: F.when(block(c), inner(c)).otherwise(bare(F.substring(c, 4, 1_000_000_000))))
     ).otherwise(F.when(block(F.get(tokens_of, F.lit(0))), F.transform(F.split(inner(F.get(tokens_of, F.lit(0))), "\n"), lambda c: bare(F.regexp_replace(c, r"^\s*\*+", "")))))
     quoted = bare(F.regexp_replace(F.get("quoted", F.lit(0))["token"], "^(\"\"\"|'''|[\"'])|(\"\"\"|'''|[\"'])$", ""))
     doc = F.when(F.col("head").rlike("^(\"|')") & F.col("language").isNull(), quoted).otherwise(bare(F.array_join(lines, "\n")))

@@ -413,3 +413,18 @@ def test_module_docs_of_texts_with_quotes_equal_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == set(con.execute(catalog.oracle_sql()["module_docs"]).fetchall())
+
+
+@pytest.mark.parametrize("name, mark, code", [("a.py", "# ", "X = 1\n"), ("a.go", "// ", "package p\n"), ("a.java", "// ", "class A { }\n"), ("a.sh", "# ", "X=1\n"), ("a.rb", "# ", "X = 1\n"), ("a.php", "// ", "class A { }\n")])
+def test_lines_of_comment_are_one_token_and_no_statements(spark, name, mark, code):
+    lines = 50_000
+    text = f"{mark}note\n" * lines + "\n" * 100 + code + f"  {mark}inner\n{mark}last\n"
+    files = spark.createDataFrame([(name, text)], "path string, text string").withColumn("language", classify.language(F.col("path")))
+    assert symbols.tokens(files).count() < 200
+    bare = symbols.tokens(files, comments=False).where("kind = 'comment'").agg(F.max(F.length("token")), F.max("breaks")).first()
+    assert tuple(bare) == (0, lines - 1)
+    declared = symbols.declarations(files, comments=False)
+    assert declared.count() < 12
+    found = symbols.symbols(declared).collect()
+    assert [r["span"]["start_line"] for r in found] == [lines + 101]
+    assert symbols.metrics(declared, symbols.symbols(declared)).first()["comment_lines"] == (0 if name == "a.java" else lines + 2)
