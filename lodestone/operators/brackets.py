@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 PAIRS = ("()", "[]", "{}")
 #: Brackets of a run.
 RUN = 4096
+#: How often neighbours that match are taken out of a run before what is left of it is folded.
+ROUNDS = 8
 _STATE = "struct<" + ",".join(f"c{i}:int,o{i}:int" for i in range(len(PAIRS))) + ">"
 
 
@@ -30,30 +32,51 @@ def combine(left: Column, right: Column) -> Column:
     return F.struct(*parts)
 
 
-def reduce_run(run: Column) -> Column:
-    """``struct<c0, o0, ...>`` of a text of brackets: per type, how many close nothing and how many stay open."""
+def _one_type(run: Column, opened: str, closed: str) -> Column:
+    """``struct<c, o>`` of one type's brackets, the others gone.
+
+    Neighbours that match go first, by plain replacement; what is left is folded by stretches of
+    equal brackets, and not one by one.
+    """
+    for _ in range(ROUNDS):
+        run = F.replace(run, F.lit(opened + closed), F.lit(""))
+
+    def step(state: Column, stretch: Column) -> Column:
+        n, opens = F.length(stretch), F.startswith(stretch, F.lit(opened))
+        met = F.least(state["o"], n)
+        return F.struct(
+            F.when(opens, state["c"]).otherwise(state["c"] + n - met).alias("c"),
+            F.when(opens, state["o"] + n).otherwise(state["o"] - met).alias("o"),
+        )
 
-    def step(state: Column, mark: Column) -> Column:
-        parts = []
-        for i, (opened, closed) in enumerate(PAIRS):
-            o, c = state[f"o{i}"], state[f"c{i}"]
-            parts += [
-                F.when((mark == closed) & (o == 0), c + 1).otherwise(c).alias(f"c{i}"),
-                F.when(mark == opened, o + 1).when((mark == closed) & (o > 0), o - 1).otherwise(o).alias(f"o{i}"),
-            ]
-        return F.struct(*parts)
+    stretches = F.regexp_extract_all(run, F.lit(f"\\{opened}++|\\{closed}++"), F.lit(0))
+    return F.aggregate(stretches, F.struct(F.lit(0).alias("c"), F.lit(0).alias("o")), step)
 
-    return F.aggregate(F.filter(F.split(run, ""), lambda m: m != ""), _zero(), step)
+
+def reduce_run(run: Column) -> Column:
+    """``struct<c0, o0, ...>`` of a text of brackets: per type, how many close nothing and how many stay open."""
+    every, types = "".join(PAIRS), []
+    for i, (opened, closed) in enumerate(PAIRS):
+        others = every.replace(opened, "").replace(closed, "")
+        types.append(_one_type(F.translate(run, others, ""), opened, closed).alias(f"t{i}"))
+    # Bound to a variable, as each type's two numbers are asked for.
+    bound = F.transform(F.array(F.struct(*types)), lambda t: F.struct(*[t[f"t{i}"][side].alias(f"{side}{i}") for i in range(len(PAIRS)) for side in "co"]))
+    return F.get(bound, F.lit(0))
 
 
 def reduce_text(marks: Column, run: int = RUN) -> Column:
     """The same of a text of brackets of any length, run by run."""
-    starts = F.when(F.length(marks) > 0, F.sequence(F.lit(1), F.length(marks), F.lit(run))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(F.transform(starts, lambda s: reduce_run(F.substring(marks, s, F.lit(run)))), _zero(), combine)
+
+    def reduced(text: Column) -> Column:
+        starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(run))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(F.transform(starts, lambda s: reduce_run(F.substring(text, s, F.lit(run)))), _zero(), combine)
+
+    # Bound to a variable: the text is made once, and not again for each run.
+    return F.get(F.transform(F.array(marks), reduced), F.lit(0))
 
 
 def only_brackets(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^()\[\]{}]", "")
+    return F.regexp_replace(text, r"[^()\[\]{}]+", "")
 
 
 def combined(runs: DataFrame, by: str, order: str, state: str = "state") -> DataFrame:

@@ -134,11 +134,12 @@ def parse_status(files: DataFrame) -> DataFrame:
     A file's brackets outside of comments and strings are reduced where the file is; nothing is
     shuffled. What ends a case of a shell's ``case`` is no bracket.
     """
-    quiet = r"\A(?://|/\*|#(?!!?\[)|[\"'`])"
+    quiet = r"//|/\*|#(?!!?\[)|[\"'`]"
 
     def marks(family: str) -> Column:
-        cut = F.regexp_extract_all("text", F.lit(rules.TOKENS[family]), F.lit(0))
-        kept = F.array_join(F.filter(cut, lambda t: ~t.rlike(quiet)), "")
+        # One pass over the tokens; those that are no comment and no string are kept.
+        token = rules.TOKENS[family]
+        kept = F.regexp_replace("text", f"(?:(?!{quiet})({token})|(?:{token}))", "$1")
         return brackets.only_brackets(F.regexp_replace(kept, r"(?m)^[ \t]*[^\s()][^()\n]*\)", "") if family == "bash" else kept)
 
     state = brackets.reduce_text(_by_language(rules.FAMILY, marks, F.lit("")))

@@ -141,3 +141,23 @@ def test_deep_nesting_costs_no_more(spark):
 
     took(3)
     assert took(300) < 2 * took(30) + 2
+
+
+def test_brackets_of_a_long_file_are_made_once(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choices("([{)]}", k=600_000)) + "\n// ( [\nx = \"}} ((\"\n"
+    want = [0, 0]
+    for opened, closed in brackets.PAIRS:
+        depth = 0
+        for mark in text.split("\n")[0]:
+            if mark == opened:
+                depth += 1
+            elif mark == closed:
+                want[0], depth = want[0] + (depth == 0), max(depth - 1, 0)
+        want = [want[0], want[1] + depth]
+    files = spark.createDataFrame([("a.java", text)], "path string, text string").withColumn("language", F.lit("java"))
+    symbols.parse_status(files.limit(0)).collect()
+    began = time.time()
+    got = symbols.parse_status(files).first()
+    assert (got["error_nodes"], got["missing_nodes"]) == (sum(want), want[1])
+    assert time.time() - began < 12
