@@ -108,7 +108,7 @@ _SYMBOL_SPANS = ("l_orderkey", "l_linenumber AS symbol_id", "(l_linenumber * 37)
 
 def enclosing_symbol(spark, d):
     lines = _read(spark, d, "lineitem")
-    points = lines.selectExpr("l_orderkey", "l_linenumber AS point_id", "CAST(l_partkey % 250 AS INT) AS pos").distinct()
+    points = lines.selectExpr("l_orderkey", "l_linenumber AS point_id", "CAST(l_partkey % 250 AS INT) AS pos")
     return enclosing.enclosing_symbol(points, lines.selectExpr(*_SYMBOL_SPANS), "l_orderkey")
 
 

@@ -92,6 +92,20 @@ def test_innermost_of_any_spans(spark):
     assert enclosing.enclosing_symbol(asked.limit(0), symbols).count() == 0
 
 
+@pytest.mark.parametrize("few_symbols, few_points", [(64, 100_000), (4, 100_000), (64, 6), (0, 0)])
+def test_innermost_with_files_of_any_size(spark, few_symbols, few_points):
+    draw = random.Random(9)
+    spans = [(f"f{min(i % 12, 7)}", i, a, a + draw.choice([1, 2, 9, 64])) for i in range(60) for a in [draw.randrange(100)]]
+    points = [(f"f{min(i % 14, 9)}", i, draw.randrange(-5, 180)) for i in range(90)]
+    symbols = spark.createDataFrame(spans, "path string, symbol_id int, start int, end int")
+    asked = spark.createDataFrame(points + points[:7], "path string, point_id int, pos int")
+    found = enclosing.enclosing_symbol(asked, symbols, few_symbols=few_symbols, few_points=few_points)
+    assert ("Generate" in found._jdf.queryExecution().toString()) == (few_symbols < 64 or few_points < 100_000)
+    want = {p: max(((a, -b, i) for f, i, a, b in spans if f == file and a <= pos < b), default=(0, 0, None))[2] for file, p, pos in points}
+    got = found.collect()
+    assert len(got) == len(points) and {r["point_id"]: r["symbol_id"] for r in got} == want
+
+
 def test_inventory(spark):
     files = spark.createDataFrame(
         [("a.py", 10), ("b.log", 10), ("node_modules/x.js", 5), ("big.py", 9000), ("i.png", 3), ("k.tmp", 1)], "path string, size long"
