@@ -91,12 +91,11 @@ def chunks(declared: DataFrame, texts: DataFrame, found: DataFrame, max_tokens:
     cut = whole.select("path", F.explode(bound).alias("c")).select("path", "c.*")
     own = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     before = Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    lined = cut.withColumn("start_line", (F.sum(F.col("ahead") + own).over(before) - own + 1).cast("int")).where(
-        F.regexp_replace("text", r"\s", "") != ""
-    )
-    spans = found.select(
+    # Both are read more than once from here on, and are made once.
+    lined = durable(cut.withColumn("start_line", (F.sum(F.col("ahead") + own).over(before) - own + 1).cast("int")).where(F.col("text").rlike(r"\S")), "cut")
+    spans = durable(found.select(
         "path", F.struct("qualified_name", "kind").alias("symbol_id"), F.col("span.start_byte").alias("start"), F.col("span.end_byte").alias("end")
-    )
+    ), "spans")
     points = lined.select("path", F.col("chunk").alias("point_id"), F.col("start_byte").alias("pos"))
     named = enclosing.enclosing_symbol(points, spans, "path").select("path", F.col("point_id").alias("chunk"), "symbol_id")
     span = F.struct("start_byte", "end_byte", "start_line", (F.col("start_line") + own).cast("int").alias("end_line"))

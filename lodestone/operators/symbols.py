@@ -75,7 +75,7 @@ def statements(files: DataFrame, comments: bool = True) -> DataFrame:
     paren = F.when(mark("(", "[") | grouped, 1).when(mark(")", "]"), -1).when(indented & mark("{"), 1).when(indented & mark("}"), -1).otherwise(0)
     brace = F.when(indented, 0).when(mark("{"), 1).when(mark("}"), -1).otherwise(0)
     # A line that can only begin a statement begins one, whatever bracket was left open.
-    fresh = F.col("token").rlike(r"^(?:async\s+def|def|class|import|from|@)\b") & (F.col("language") == "python")
+    fresh = (F.col("language") == "python") & F.col("token").rlike(r"^(?:async\s+def|def|class|import|from|@)\b")
     t = t.withColumn("paren", paren).withColumn("fresh", fresh).select(
         "*", F.sum("paren").over(upto).alias("open"), F.coalesce(F.sum(brace).over(before), F.lit(0)).alias("depth"),
         (F.col("fresh") & F.coalesce(F.lag("token").over(order) == "\n", F.lit(False))).alias("anew"),
@@ -87,7 +87,7 @@ def statements(files: DataFrame, comments: bool = True) -> DataFrame:
     group = F.when(grouped, F.regexp_extract("token", r"\w+", 0)).when(mark(")") & (F.col("paren") <= 0), "")
     t = t.withColumn("group", F.coalesce(F.last(group, ignorenulls=True).over(upto), F.lit("")))
     t = t.withColumn("ungroup", mark(")") & (F.col("group") == "") & (F.coalesce(F.lag("group").over(order), F.lit("")) != ""))
-    directive = F.col("language").isin("c", "cpp") & (F.col("kind") == "code") & F.col("token").rlike(r"^\s*#") | F.col("token").rlike(
+    directive = F.col("language").isin("c", "cpp") & (F.col("kind") == "code") & F.col("token").rlike(r"^\s*#") | (F.contains("token", F.lit("import")) | F.contains("token", F.lit("use"))) & F.col("token").rlike(
         r"\A[ \t]*(?:import\b[\s\S]*[\"'];?|(?:pub(?:\([^)]*\))?\s+)?use\s[\s\S]*;)\z"
     )
     ends = (
@@ -116,7 +116,8 @@ def statements(files: DataFrame, comments: bool = True) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("kind") == "comment", F.struct("i", "token", "line", "breaks")))).alias("comments"),
     )
     solid_end = F.col("last.start") + F.octet_length(F.regexp_replace("last.token", r"\s+$", ""))
-    flat = F.trim(F.regexp_replace("code", r"\s+", " "))
+    pieces = pieces.withColumn("flat", F.trim(F.regexp_replace("code", r"\s+", " ")))
+    flat = F.col("flat")
     depth = F.coalesce("head.depth", "tail.depth").cast("int")
     whole = F.when((F.col("group") != "") & (depth == 0) & (flat != ""), F.concat("group", F.lit(" "), flat)).otherwise(flat)
     return pieces.select(
@@ -259,7 +260,7 @@ def symbols(declared: DataFrame) -> DataFrame:
     )
     words = ["async", "static", "abstract", "public", "private", "protected", "final", "readonly", "override", "unsafe", "const", "pub", "export"]
     modifiers = F.array_compact(F.array(
-        *[F.when(F.col("code").rlike(rf"^(?:#\[[^\]]*\]\s*)*(?:[\w()]+\s+)*?{w}\b(?!\s*\()") & F.col("code").rlike(rf"^[^(={{]*\b{w}\b"), F.lit(w)) for w in words],
+        *[F.when(F.contains("code", F.lit(w)) & F.col("code").rlike(rf"^(?:#\[[^\]]*\]\s*)*(?:[\w()]+\s+)*?{w}\b(?!\s*\()") & F.col("code").rlike(rf"^[^(={{]*\b{w}\b"), F.lit(w)) for w in words],
         F.when(F.col("code").rlike(r"^#\[[^\]]*test"), F.lit("test")),
         F.when((F.col("language") == "python") & F.startswith("code_before", F.lit("@")), F.regexp_extract("code_before", r"^@([\w.]+)", 1)),
     ))

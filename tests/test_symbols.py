@@ -428,3 +428,14 @@ def test_lines_of_comment_are_one_token_and_no_statements(spark, name, mark, cod
     found = symbols.symbols(declared).collect()
     assert [r["span"]["start_line"] for r in found] == [lines + 101]
     assert symbols.metrics(declared, symbols.symbols(declared)).first()["comment_lines"] == (0 if name == "a.java" else lines + 2)
+
+
+def test_blank_statements_are_not_kept_and_neighbours_are(spark):
+    code = {"a.go": "package p\n" + "\n" * 40 + "func Go() {\n\n\n}\n" * 10, "b.py": "class A:\n    @property\n    def go(self):\n        'Says go.'\n" + "\n" * 40, "c.py": "\n" * 30}
+    files = spark.createDataFrame(list(code.items()), "path string, text string").withColumn("language", classify.language(F.col("path")))
+    declared = symbols.declarations(files)
+    rows = {r["path"]: r["n"] for r in declared.groupBy("path").agg(F.count("s").alias("n")).collect()}
+    assert rows["a.go"] <= 22 and rows["b.py"] == 4 and rows["c.py"] == 1
+    found = {r["qualified_name"]: r for r in symbols.symbols(declared).where("path = 'b.py'").collect()}
+    assert (found["A.go"]["kind"], found["A.go"]["doc"]) == ("property", "Says go.")
+    assert symbols.metrics(declared, symbols.symbols(declared)).count() == 3
